@@ -1,6 +1,13 @@
 """Queries and SQL of the corpus operators."""
 
-from . import line_dedup
+from . import line_dedup, quality_rules, sharding
 
-QUERIES = {"op4_line_dedup": line_dedup.op4_line_dedup}
-SQL = {"op4_line_dedup": line_dedup.OP4_SQL}
+QUERIES = {
+    "op2_sharding": sharding.op2_sharding,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op7_quality_rules": quality_rules.op7_quality_rules,
+}
+SQL = {
+    "op4_line_dedup": line_dedup.OP4_SQL,
+    "op7_quality_rules": quality_rules.OP7_SQL,
+}
