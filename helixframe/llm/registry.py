@@ -1,13 +1,16 @@
 """Queries and SQL of the corpus operators."""
 
-from . import line_dedup, quality_rules, sharding
+from . import chat_format, line_dedup, packing, quality_rules, sharding
 
 QUERIES = {
+    "op5_best_fit_packing": packing.op5_best_fit_packing,
+    "op6_chat_formatting": chat_format.op6_chat_formatting,
     "op2_sharding": sharding.op2_sharding,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op7_quality_rules": quality_rules.op7_quality_rules,
 }
 SQL = {
+    "op6_chat_formatting": chat_format.OP6_SQL,
     "op4_line_dedup": line_dedup.OP4_SQL,
     "op7_quality_rules": quality_rules.OP7_SQL,
 }
