@@ -108,7 +108,7 @@ def plan(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS, seed: int
     if not total:
         return [(r, 0.0, 0.0) for r in rules]
     scratch = Scratch(docs.sparkSession, "quality-sample")
-    sample = scratch.save(docs.select("text").sample(fraction=min(1.0, sample_rows / total), seed=seed).coalesce(1), "sample")
+    sample = scratch.save(docs.select("text").sample(fraction=min(1.0, sample_rows / total), seed=seed).repartition(1), "sample")
     sample = sample.select("text", words(F.col("text")).alias("__w"), F.lit(1).alias("__one")).filter(F.size("__w") >= 0)
     found = []
     for rule in rules:
