@@ -1,8 +1,9 @@
 """Queries and SQL of the corpus operators."""
 
-from . import chat_format, line_dedup, packing, quality_rules, sharding, toxicity
+from . import chat_format, line_dedup, near_dedup, packing, quality_rules, sharding, toxicity
 
 QUERIES = {
+    "op1_near_dedup": near_dedup.op1_near_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_chat_formatting": chat_format.op6_chat_formatting,
