@@ -1,8 +1,60 @@
-"""Corpus pipeline (stages are added as operators land)."""
+"""Corpus pipeline: quality rules, line dedup, near-dedup, decontamination, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept; every stage
+but the last returns the columns of documents. Stages are written to the shared folder and read
+again, so each of them starts from a table.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from helixframe.llm import decontamination, line_dedup, near_dedup, packing, quality_rules
+from helixframe.llm.common import Scratch
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no quality rule rejects."""
+    return quality_rules.cascade(docs).filter("__rejected_by is null").select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that ten documents or more hold; n_chars follows the text."""
+    kept = line_dedup.drop_frequent_lines(docs, min_docs=10)
+    changed = {"text": F.col("__kept"), "n_chars": F.length("__kept").cast("long")}
+    return kept.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest id of each group of near-duplicates (five-word shingles, similarity 0.8 or more)."""
+    found = near_dedup.near_duplicates(docs.select("doc_id", "text"), size=5, share=80)
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item, with its own or with other numbers and names."""
+    found = decontamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    gone = found.select(F.col("doc_id").alias("__gone"), F.col("__text").alias("__gone_text")).distinct()
+    same = docs["doc_id"].eqNullSafe(F.col("__gone")) & (F.xxhash64(docs["text"]) == F.col("__gone_text"))
+    return docs.join(gone, same, "left_anti")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences of 1024 tokens."""
+    return packing.packed(docs).select(*packing.COLUMNS)
+
+
+STAGES = [("quality_rules", quality), ("line_dedup", lines), ("near_dedup", near), ("decontamination", decontaminate), ("packing", pack)]
+
+#: SQL has no tokenizer, so the last stage can't be expressed; tests/llm holds a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.save(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,11 +1,11 @@
 """MinHash near-dedup by a multi-index Hamming join.
 
-Every text has a signature of VALUES b-bit minhashes. Two texts are candidates if their
-signatures differ in at most ERRORS places. The signature is split into CHUNKS chunks; by the
-pigeonhole principle such a pair has a chunk with at most ERRORS // CHUNKS = 1 errors, so a key
-for each chunk and each place that may be wrong (the place left out) brings every such pair
-together. At similarity 0.85 each of the 64 values differs with probability 0.15: more than 25
-differences have a probability below 1e-6. Links are confirmed on the full shingle sets.
+Every text has a signature of VALUES 16-bit minhashes. Two texts are candidates if their
+signatures differ in at most 2 * chunks - 1 places. The signature is split into chunks; by the pigeonhole
+principle such a pair has a chunk with at most one error, so a key for each chunk and each place that
+may be wrong (the place left out) brings every such pair together. The number of chunks follows
+from the similarity: at 0.85 a value differs with probability 0.15, and 13 chunks miss a pair with a
+probability below 1e-6. Links are confirmed on the full shingle sets.
 
 No group is compared pair by pair:
  1. texts with equal shingle sets are one node (their smallest id);
@@ -23,6 +23,7 @@ repeated rows of one id are one node; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,13 +35,13 @@ from .bytescan import U64, Texts, halves, mix
 from .common import Scratch, documents
 from .components import components
 
-VALUES, CHUNKS, ERRORS = 64, 13, 25
+VALUES = 64
+MISSED = 1e-6
 BLOCK = 512
 PART_BYTES = 1 << 21
 _rng = np.random.default_rng(7)
 SEEDS = _rng.integers(0, 2**64, VALUES, dtype=np.uint64)
 ODD = _rng.integers(0, 2**64, VALUES, dtype=np.uint64) | U64(1)
-EDGES = np.linspace(0, VALUES, CHUNKS + 1).round().astype(int)
 
 
 def shingles(texts: Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -87,11 +88,21 @@ def signatures(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def keys(sig: np.ndarray) -> np.ndarray:
+def chunks_for(share: int) -> int:
+    """The fewest chunks for which 2 * chunks - 1 errors are exceeded with a probability below MISSED by
+    signatures of texts at the similarity share / 100; a chunk then has at most one error."""
+    p, chunks = 1 - share / 100, 1
+    while sum(math.comb(VALUES, k) * p**k * (1 - p) ** (VALUES - k) for k in range(2 * chunks, VALUES + 1)) > MISSED:
+        chunks += 1
+    return chunks
+
+
+def keys(sig: np.ndarray, chunks: int) -> np.ndarray:
     """(texts, keys): a hash of each chunk with each of its places left out."""
     wide, out = sig.astype(np.uint64), []
-    for c in range(CHUNKS):
-        places = range(EDGES[c], EDGES[c + 1])
+    edges = np.linspace(0, VALUES, chunks + 1).round().astype(int)
+    for c in range(chunks):
+        places = range(edges[c], edges[c + 1])
         for gone in places:
             h = np.full(len(sig), U64(c * 64 + gone + 1), U64)
             for p in places:
@@ -122,12 +133,12 @@ def signed(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, sig binary")
 
 
-def keyed(reps: DataFrame) -> DataFrame:
+def keyed(reps: DataFrame, chunks: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 b = whole.slice(at, 2048)
-                k = keys(np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16).reshape(-1, VALUES))
+                k = keys(np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16).reshape(-1, VALUES), chunks)
                 ids = b.column(0).to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays([pa.array(k.ravel().view(np.int64)), pa.array(np.repeat(ids, k.shape[1]))], names=["key", "doc"])
 
@@ -147,13 +158,13 @@ def sets_of(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "doc long, set binary")
 
 
-def close_pairs(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b, sa, sb) whose signatures differ in ERRORS places at most."""
+def close_pairs(pairs: DataFrame, errors: int) -> DataFrame:
+    """Pairs (a, b, sa, sb) whose signatures differ in `errors` places at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint16).reshape(-1, VALUES) for i in (2, 3))
-            keep = pa.array((x != y).sum(1) <= ERRORS)
+            keep = pa.array((x != y).sum(1) <= errors)
             yield pa.RecordBatch.from_arrays([b.column(i).filter(keep) for i in (0, 1)], names=["a", "b"])
 
     return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
@@ -206,7 +217,7 @@ def star_links(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     return rows.repartition("b", "unit").sortWithinPartitions("b", "unit", "other").mapInArrow(run, "a long, b long")
 
 
-def cross_units(rows: DataFrame) -> DataFrame:
+def cross_units(rows: DataFrame, chunks: int) -> DataFrame:
     """rows (key, u, v, doc, comp, sig), the nodes of a bucket or of two of its blocks ->
     (key, u, v, doc, comp, partners): the nodes that have a close partner in another component.
 
@@ -224,7 +235,7 @@ def cross_units(rows: DataFrame) -> DataFrame:
             if (comp == comp[0]).all():
                 continue
             sig = np.frombuffer(b"".join(r[6] for r in group), np.uint16).reshape(-1, VALUES)
-            all_keys = keys(sig)
+            all_keys = keys(sig, chunks)
             place = int(np.flatnonzero(all_keys[0] == np.array([key], np.int64).view(U64)[0])[0])
             _, inverse, number = np.unique(comp, return_inverse=True, return_counts=True)
             weight = number[inverse]
@@ -236,7 +247,7 @@ def cross_units(rows: DataFrame) -> DataFrame:
                     may &= block != block[i]
                 js = np.flatnonzero(may)
                 if len(js):
-                    js = js[(sig[js] != sig[i]).sum(1) <= ERRORS]
+                    js = js[(sig[js] != sig[i]).sum(1) < 2 * chunks]
                 if len(js) and place:
                     js = js[~(all_keys[js, :place] == all_keys[i, :place]).any(1)]
                 if len(js):
@@ -285,8 +296,8 @@ def cross_links(units: DataFrame, sets: DataFrame, share: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, size: int = 5, share: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; links have 100 * intersection >= share * union of
-    `size`-word shingles. share must be 80 or more at the signature's settings."""
-    scratch = Scratch(docs.sparkSession, "near-dedup")
+    `size`-word shingles."""
+    scratch, chunks = Scratch(docs.sparkSession, "near-dedup"), chunks_for(share)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sigs = scratch.save(signed(slim, size), "sigs")
     full = sigs.filter("n > 0 and doc_id is not null")
@@ -295,14 +306,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, share: int = 80) -> DataFram
     reps = full.join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "sig").dropDuplicates(["doc_id"])
     reps = scratch.save(reps, "reps")
 
-    keyed_reps = keyed(reps)
+    keyed_reps = keyed(reps, chunks)
     shared = keyed_reps.groupBy("key").agg(F.count("*").alias("c"), F.min("doc").alias("lead")).filter("c > 1")
     buckets = scratch.save(keyed_reps.join(shared, "key").select("key", "doc", "lead", "c"), "buckets")
 
     sig = reps.select(F.col("doc_id").alias("doc"), "sig")
     pairs = buckets.filter("doc <> lead").select(F.col("doc").alias("a"), F.col("lead").alias("b")).distinct()
     pairs = pairs.join(sig.select(F.col("doc").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("doc").alias("b"), F.col("sig").alias("sb")), "b")
-    pairs = scratch.save(close_pairs(pairs), "pairs")
+    pairs = scratch.save(close_pairs(pairs, 2 * chunks - 1), "pairs")
 
     def sets_for(ids: DataFrame, name: str) -> DataFrame:
         there = slim.join(ids.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi")
@@ -317,7 +328,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, share: int = 80) -> DataFram
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
     rows = joined.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("doc"), blocks).cast("int"))
     rows = rows.withColumn("__j", F.explode(F.sequence(F.lit(0), blocks - 1))).select("key", "doc", "comp", "block", F.least("block", "__j").alias("u"), F.greatest("block", "__j").alias("v"))
-    units = scratch.save(cross_units(rows.join(sig, "doc")), "units")
+    units = scratch.save(cross_units(rows.join(sig, "doc"), chunks), "units")
     more = units.select("doc").distinct().join(sets, "doc", "left_anti")
     more = scratch.save(more, "more")
     if more.limit(1).count():

@@ -1,8 +1,9 @@
 """Queries and SQL of the corpus operators."""
 
-from . import chat_format, line_dedup, near_dedup, packing, quality_rules, sharding, toxicity
+from . import chat_format, decontamination, line_dedup, near_dedup, packing, quality_rules, sharding, toxicity
 
 QUERIES = {
+    "op9_decontamination": decontamination.op9_decontamination,
     "op1_near_dedup": near_dedup.op1_near_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
@@ -12,6 +13,7 @@ QUERIES = {
     "op7_quality_rules": quality_rules.op7_quality_rules,
 }
 SQL = {
+    "op9_decontamination": decontamination.OP9_SQL,
     "op6_chat_formatting": chat_format.OP6_SQL,
     "op4_line_dedup": line_dedup.OP4_SQL,
     "op7_quality_rules": quality_rules.OP7_SQL,
