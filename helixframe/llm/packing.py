@@ -17,6 +17,7 @@ like others; repeated rows are packed as often as they occur; an empty table giv
 
 from __future__ import annotations
 
+import base64
 import re
 import zlib
 from collections import defaultdict
@@ -31,40 +32,42 @@ from .common import Scratch, documents
 
 CAPACITY, END_ID = 1024, 2
 RANK_GROUPS = 64
-CACHE_PIECES = 400_000
-#: Before a lone space or line feed between other characters the tokenizer's own pattern always splits.
-_CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
-#: Characters that Python's \s takes and the tokenizer's pattern does not.
-_ODD = re.compile("[\x1c-\x1f]")
-
 
 class Encoder:
-    """ids of whole texts; pieces that recur are encoded once."""
+    """ids of whole texts as the tokenizer file gives them.
+
+    Where the same vocabulary is at hand as a rank file, texts without special tokens take the faster
+    library for rank files; it gives the same ids (tests compare them).
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
+        self.fast = None
+        if ranks:
+            import tiktoken
+
+            with open(ranks, "rb") as lines:
+                table = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
+            self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+
+    def ids(self, text: str) -> np.ndarray:
+        if self.fast and not (self.special and self.special.search(text)):
+            return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4")
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+
+_ENCODERS: dict[tuple, Encoder] = {}
+
 
-    def batch(self, texts: list[str]) -> Iterator[np.ndarray]:
-        split = [None if _ODD.search(t) or (self.special and self.special.search(t)) else _CUT.split(t) for t in texts]
-        if len(self.known) > CACHE_PIECES:
-            self.known.clear()
-        known = self.known
-        new = list({p for pieces in split if pieces for p in pieces if p not in known})
-        for i in range(0, len(new), 4096):
-            for p, e in zip(new[i : i + 4096], self.tokenizer.encode_batch_fast(new[i : i + 4096], add_special_tokens=False), strict=True):
-                known[p] = tuple(e.ids)
-        for text, pieces in zip(texts, split, strict=True):
-            ids: list[int] = []
-            if pieces is None:
-                ids.extend(self.tokenizer.encode(text, add_special_tokens=False).ids)
-            else:
-                for p in pieces:
-                    ids += known[p]
-            yield np.array(ids, "<u4")
+def encoder(*files) -> Encoder:
+    """One for each Python worker, which serves many tasks."""
+    if files not in _ENCODERS:
+        _ENCODERS[files] = Encoder(*files)
+    return _ENCODERS[files]
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -72,20 +75,21 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
     """One row for each piece of each document; keep_ids adds the ids themselves."""
+    files: tuple = (tokenizer,)
     if tokenizer is None:
         import public_tokenizers
 
-        tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+        files = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encode = encoder(*files).ids
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 out: dict[str, list] = defaultdict(list)
                 texts = [t or "" for t in batch.column(1).to_pylist()]
-                for doc, ids in zip(batch.column(0).to_pylist(), encoder.batch(texts), strict=True):
-                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
+                for doc, text in zip(batch.column(0).to_pylist(), texts, strict=True):
+                    ids = np.append(encode(text), np.uint32(end_id)).astype("<u4", copy=False)
                     n = len(ids)
                     # Whole pieces are counted from the end, so only the first may be shorter.
                     ends = [*range(n % capacity or capacity, n + 1, capacity)]
