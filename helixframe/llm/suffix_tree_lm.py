@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .bytescan import SPACE, U64, Texts, halves, mix
 from .common import Scratch, documents
 
-DEPTH = 5
+DEPTH = 6
 P_MIN = 1e-5
 DIVERGENCE = 0.002
 PRIOR = 24.0
