@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -54,6 +55,9 @@ class Scratch:
         if partition_by:
             writer = writer.partitionBy(partition_by)
         writer.parquet(self.path(name))
+        # Shuffle files of finished jobs go when the driver's JVM collects their plans.
+        gc.collect()
+        self.spark._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:

@@ -1,8 +1,9 @@
 """Queries and SQL of the corpus operators."""
 
-from . import chat_format, decontamination, line_dedup, near_dedup, packing, quality_rules, sharding, suffix_tree_lm, toxicity
+from . import chat_format, decontamination, line_dedup, near_dedup, packing, quality_rules, sharding, suffix_dedup, suffix_tree_lm, toxicity
 
 QUERIES = {
+    "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op8_suffix_tree_lm": suffix_tree_lm.op8_suffix_tree_lm,
     "op9_decontamination": decontamination.op9_decontamination,
     "op1_near_dedup": near_dedup.op1_near_dedup,
