@@ -38,7 +38,9 @@ from .components import components
 VALUES = 64
 MISSED = 1e-6
 BLOCK = 512
-PART_BYTES = 1 << 21
+PART_BYTES = 1 << 19  # arrays of a part stay in the processor's cache
+CHUNK_ROWS = 8_192
+BROADCAST_IDS = 1_000_000
 _rng = np.random.default_rng(7)
 SEEDS = _rng.integers(0, 2**64, VALUES, dtype=np.uint64)
 ODD = _rng.integers(0, 2**64, VALUES, dtype=np.uint64) | U64(1)
@@ -79,10 +81,10 @@ def signatures(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
     if not len(full):
         return out
     starts = (np.cumsum(counts) - counts)[full]
+    x = np.empty_like(h)
     for k in range(VALUES):
-        x = h ^ SEEDS[k]
-        x *= ODD[k]
-        x ^= x >> U64(29)
+        np.bitwise_xor(h, SEEDS[k], out=x)
+        np.multiply(x, ODD[k], out=x)
         least = np.minimum.reduceat(x, starts)
         out[full, k] = (mix(least) >> U64(48)).astype(np.uint16)
     return out
@@ -226,40 +228,53 @@ def cross_units(rows: DataFrame, chunks: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = {"key": pa.int64(), "u": pa.int32(), "v": pa.int32(), "doc": pa.int64(), "comp": pa.int64(), "partners": pa.list_(pa.int64())}
-        out: list[tuple] = []
-        for group in _runs(batches, 3):
-            if len(group) < 2:
-                continue
-            key, u, v = group[0][:3]
-            doc, comp, block = (np.array([r[i] for r in group]) for i in (3, 4, 5))
-            if (comp == comp[0]).all():
-                continue
-            sig = np.frombuffer(b"".join(r[6] for r in group), np.uint16).reshape(-1, VALUES)
+
+        def solve(groups: list[list[tuple]]) -> pa.RecordBatch:
+            out: list[tuple] = []
+            flat = [r for g in groups for r in g]
+            doc, comp, block = (np.array([r[i] for r in flat], np.int64) for i in (3, 4, 5))
+            sig = np.frombuffer(b"".join(r[6] for r in flat), np.uint16).reshape(-1, VALUES)
             all_keys = keys(sig, chunks)
-            place = int(np.flatnonzero(all_keys[0] == np.array([key], np.int64).view(U64)[0])[0])
-            _, inverse, number = np.unique(comp, return_inverse=True, return_counts=True)
-            weight = number[inverse]
-            partners: dict[int, list[int]] = {}
-            for i in range(len(doc)):
-                # the side whose component has fewer nodes here keeps the list
-                may = (comp != comp[i]) & ((weight[i] < weight) | ((weight[i] == weight) & (comp[i] > comp)))
-                if u != v:
-                    may &= block != block[i]
-                js = np.flatnonzero(may)
-                if len(js):
-                    js = js[(sig[js] != sig[i]).sum(1) < 2 * chunks]
-                if len(js) and place:
-                    js = js[~(all_keys[js, :place] == all_keys[i, :place]).any(1)]
-                if len(js):
-                    partners.setdefault(i, []).extend(doc[js].tolist())
-                    for j in js:
-                        partners.setdefault(int(j), [])
-            out += [(key, u, v, int(doc[i]), int(comp[i]), p) for i, p in partners.items()]
-            if len(out) > 5000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds.values(), strict=True)], names=list(kinds))
-                out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds.values(), strict=True)], names=list(kinds))
+            ends = np.cumsum([len(g) for g in groups])
+            own = np.repeat(np.array([g[0][0] for g in groups], np.int64), [len(g) for g in groups]).view(U64)
+            place = (all_keys == own[:, None]).argmax(1)
+            for end, g in zip(ends.tolist(), groups, strict=True):
+                lo = end - len(g)
+                key, u, v = g[0][:3]
+                c, s, first = comp[lo:end], sig[lo:end], place[lo]
+                earlier = all_keys[lo:end, :first]
+                _, inverse, number = np.unique(c, return_inverse=True, return_counts=True)
+                weight = number[inverse]
+                partners: dict[int, list[int]] = {}
+                for i in range(len(g)):
+                    # the side whose component has fewer nodes here keeps the list
+                    may = (c != c[i]) & ((weight[i] < weight) | ((weight[i] == weight) & (c[i] > c)))
+                    if u != v:
+                        may &= block[lo:end] != block[lo + i]
+                    js = np.flatnonzero(may)
+                    if len(js):
+                        js = js[(s[js] != s[i]).sum(1) < 2 * chunks]
+                    if len(js) and first:
+                        js = js[~(earlier[js] == earlier[i]).any(1)]
+                    if len(js):
+                        partners.setdefault(i, []).extend(doc[lo + js].tolist())
+                        for j in js.tolist():
+                            partners.setdefault(j, [])
+                out += [(key, u, v, int(doc[lo + i]), int(c[i]), p) for i, p in partners.items()]
+            cols = list(zip(*out, strict=True)) or [[]] * len(kinds)
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds.values(), strict=True)], names=list(kinds))
+
+        groups: list[list[tuple]] = []
+        held = 0
+        for group in _runs(batches, 3):
+            if any(r[4] != group[0][4] for r in group):
+                groups.append(group)
+                held += len(group)
+            if held > CHUNK_ROWS:
+                yield solve(groups)
+                groups, held = [], 0
+        if groups:
+            yield solve(groups)
 
     ordered = rows.repartition("key", "u", "v").sortWithinPartitions("key", "u", "v")
     return ordered.select("key", "u", "v", "doc", "comp", "block", "sig").mapInArrow(run, "key long, u int, v int, doc long, comp long, partners array<long>")
@@ -316,7 +331,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, share: int = 80) -> DataFram
     pairs = scratch.save(close_pairs(pairs, 2 * chunks - 1), "pairs")
 
     def sets_for(ids: DataFrame, name: str) -> DataFrame:
-        there = slim.join(ids.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi")
+        # Few ids are sent to the texts; beyond BROADCAST_IDS the texts are shuffled to them.
+        ids = scratch.save(ids.withColumnRenamed("doc", "doc_id"), f"{name}-ids")
+        there = slim.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
         return scratch.save(sets_of(there, size).dropDuplicates(["doc"]), name)
 
     sets = sets_for(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct(), "sets")
@@ -330,9 +347,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, share: int = 80) -> DataFram
     rows = rows.withColumn("__j", F.explode(F.sequence(F.lit(0), blocks - 1))).select("key", "doc", "comp", "block", F.least("block", "__j").alias("u"), F.greatest("block", "__j").alias("v"))
     units = scratch.save(cross_units(rows.join(sig, "doc"), chunks), "units")
     more = units.select("doc").distinct().join(sets, "doc", "left_anti")
-    more = scratch.save(more, "more")
-    if more.limit(1).count():
-        sets = sets.unionByName(sets_for(more, "sets2"))
+    sets = sets.unionByName(sets_for(more, "more"))
     links = links.unionByName(scratch.save(cross_links(units, sets, share), "cross"))
     comp = components(links, scratch, "all")
 
