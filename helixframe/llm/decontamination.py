@@ -18,6 +18,8 @@ table on either side gives no rows.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,62 +34,63 @@ UNITS = ("g", "kg", "mg", "m", "km", "cm", "mm", "mi", "ft", "in", "l", "ml", "s
 NUM, UNIT, NAME = "<num>", "<unit>", "<name>"
 
 
-def _core(x: Column) -> Column:
-    return F.btrim(x, F.lit(PUNCTUATION))
-
-
-def _is_number(core: Column) -> Column:
-    return F.ascii(core).between(48, 57) & core.rlike(NUMBER)
+_PUNCT = "[" + re.escape(PUNCTUATION) + "]*"
+_WS = "\\x20\\x09-\\x0D"
+_NAME = f"(?<=[^.!?{_WS}])([{_WS}]+){_PUNCT}\\p{{Lu}}[^{_WS}]*"
+_NUMBER = f"(?<![^{_WS}]){_PUNCT}[0-9][0-9.,:/-]*{_PUNCT}(?![^{_WS}])"
+_UNIT = f"\x01([{_WS}]+){_PUNCT}(?i:{'|'.join(map(re.escape, UNITS))}){_PUNCT}(?![^{_WS}])"
 
 
-def template(w: Column, c: Column) -> Column:
-    """Template tokens of the words w, whose cores are c."""
+def template(text: Column) -> Column:
+    """The text, word for word, with names, numbers and units after numbers as placeholders and A-Z in lower case.
 
-    def token(x, i):
-        before = F.get(w, i - 1)
-        starts = (i == 0) | F.substring(before, -1, 1).isin(".", "!", "?")
-        first = F.substring(x, 1, 1)
-        unit = (i > 0) & F.coalesce(_is_number(F.get(c, i - 1)), F.lit(False)) & F.lower(x).isin(*UNITS)
-        name = ~starts & (first != F.lower(first))
-        return F.when(_is_number(x), NUM).when(unit, UNIT).when(name, NAME).otherwise(ascii_lower(x))
+    One pass of a pattern over the whole text is far cheaper than rules on each word.
+    """
+    filled = F.coalesce(text, F.lit(""))
+    names = F.regexp_replace(filled, _NAME, "$1\x02")
+    numbers = F.when(filled.rlike("[0-9]"), F.regexp_replace(F.regexp_replace(names, _NUMBER, "\x01"), _UNIT, "\x01$1\x03")).otherwise(names)
+    return ascii_lower(numbers)
 
-    return F.transform(c, token)
 
+def _core(x: Column) -> Column:
+    return F.btrim(x, F.lit(PUNCTUATION))
 
-def _windows(df: DataFrame, ids: list[str], size: int | None) -> DataFrame:
-    """ids, __t, __c (template tokens and cores), __pos and __h of each window; size None: the whole text."""
-    n = F.lit(size) if size else F.size("__t")
-    spots = F.when(F.size("__t") >= n, F.sequence(F.lit(0), F.size("__t") - n)).otherwise(F.array().cast("array<int>"))
-
-    def at(i):
-        return F.xxhash64(*[F.get(F.col("__th"), i + k) for k in range(size)]) if size else F.xxhash64("__th")
 
-    return df.select(*ids, "__t", "__c", F.posexplode(F.transform(spots, at)).alias("__pos", "__h"))
+def _prepared(df: DataFrame, ids: list[str]) -> DataFrame:
+    """ids, text and __th, the hashes of the template tokens."""
+    out = df.select(*ids, "text", template(F.col("text")).alias("__template"))
+    return out.select(*ids, "text", F.transform(words(F.col("__template")), lambda x: F.xxhash64(_core(x))).alias("__th"))
 
 
-def _prepared(df: DataFrame, ids: list[str]) -> DataFrame:
-    out = df.select(*ids, words(F.col("text")).alias("__w"))
-    out = out.select(*ids, "__w", F.transform("__w", _core).alias("__c"))
-    out = out.select(*ids, template(F.col("__w"), F.col("__c")).alias("__t"), "__c")
-    return out.select(*ids, "__t", "__c", F.transform("__t", lambda x: F.xxhash64(x)).alias("__th"))
+def _spots(df: DataFrame, kept: list[str], size: int) -> DataFrame:
+    """A row for each window of `size` tokens: its place and a hash of its first tokens."""
+    n = F.size("__th") - size + 1
+    lead = lambda i: F.xxhash64(*[F.get(F.col("__th"), i + k) for k in range(min(size, 2))])
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    return df.select(*kept, "__th", F.posexplode(F.transform(places, lead)).alias("__pos", "__lead"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_percent: int = MIN_PERCENT) -> DataFrame:
-    """doc_id, __th (hash of the text), item_id, matched_windows, item_windows of each contaminated document and item."""
+    """doc_id, __text (hash of the text), item_id, matched_windows, item_windows of each contaminated document and item."""
     scratch = Scratch(docs.sparkSession, "decontamination")
-    items = scratch.save(_prepared(benchmark.select("item_id", "text"), ["item_id"]).filter("size(__t) > 0"), "items")
+    items = scratch.save(_prepared(benchmark.select("item_id", "text"), ["item_id"]).filter("size(__th) > 0"), "items")
     texts = _prepared(docs.select("doc_id", F.xxhash64("text").alias("__text"), "text"), ["doc_id", "__text"])
+    kinds = {"\x01": NUM, "\x02": NAME, "\x03": UNIT}
     hits = None
-    short = [r[0] for r in items.filter(F.size("__t") < window).select(F.size("__t")).distinct().collect()]  # fewer than `window` values
+    short = [r[0] for r in items.filter(F.size("__th") < window).select(F.size("__th")).distinct().collect()]  # fewer than `window` values
     for size in [window, *sorted(short)]:
-        own = items.filter(F.size("__t") >= window) if size == window else items.filter(F.size("__t") == size)
-        t, c = F.slice("__t", F.col("__pos") + 1, size), F.slice("__c", F.col("__pos") + 1, size)
-        side = _windows(own, ["item_id"], size).select("item_id", F.col("__pos").alias("__ipos"), "__h", t.alias("__it"), c.alias("__ic"))
-        side = side.filter(2 * F.size(F.filter("__it", lambda x: ~x.isin(NUM, UNIT, NAME))) >= size)
+        own = items.filter(F.size("__th") >= window) if size == window else items.filter(F.size("__th") == size)
+        spots = _spots(own, ["item_id", "text"], size)
+        cut = lambda a: F.slice(a, F.col("__pos") + 1, size)
+        marks = F.transform(cut(words(template(F.col("text")))), lambda x: F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in kinds.items() for v in kv]), _core(x)), F.lit("")))
+        side = spots.select("item_id", F.col("__pos").alias("__ipos"), "__lead", cut("__th").alias("__ih"), marks.alias("__it"), F.transform(cut(words(F.col("text"))), _core).alias("__ic"))
+        side = side.filter(2 * F.size(F.filter("__it", lambda x: x == "")) >= size).withColumn("__slots", F.exists("__it", lambda x: x != ""))
         side = scratch.save(side, f"windows{size}")
         small = side.count() <= BROADCAST_WINDOWS
-        found = _windows(texts, ["doc_id", "__text"], size).join(F.broadcast(side) if small else side, "__h").filter(t == F.col("__it"))
-        found = found.select("doc_id", "__text", "item_id", "__ipos", (F.col("__pos") - F.col("__ipos")).alias("__shift"), "__it", "__ic", c.alias("__dc"))
+        found = _spots(texts, ["doc_id", "__text", "text"], size).join(F.broadcast(side) if small else side, "__lead").filter(cut("__th") == F.col("__ih"))
+        # Only windows with slots look at the document's own words.
+        own_words = F.when(F.col("__slots"), F.transform(cut(words(F.col("text"))), _core))
+        found = found.select("doc_id", "__text", "item_id", "__ipos", (F.col("__pos") - F.col("__ipos")).alias("__shift"), F.when(F.col("__slots"), F.col("__it")).otherwise(F.array().cast("array<string>")).alias("__it"), F.when(F.col("__slots"), F.col("__ic")).otherwise(F.array().cast("array<string>")).alias("__ic"), F.coalesce(own_words, F.array().cast("array<string>")).alias("__dc"))
         hits = found if hits is None else hits.unionByName(found)
     slots = F.filter(F.arrays_zip("__it", "__ic", "__dc"), lambda s: s["__it"].isin(NUM, UNIT, NAME))
     hits = hits.select("doc_id", "__text", "item_id", "__ipos", "__shift", F.transform(slots, lambda s: F.concat_ws("\x01", s["__it"], ascii_lower(s["__ic"]))).alias("__from"), F.transform(slots, lambda s: F.concat_ws("\x01", s["__it"], ascii_lower(s["__ic"]), ascii_lower(s["__dc"]))).alias("__to"))
@@ -98,7 +101,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, mi
     )
     consistent = aligned.filter(F.size("__from") == F.size("__to"))
     share = consistent.groupBy("doc_id", "__text", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("__spots")))).cast("long").alias("matched_windows"))
-    lengths = items.select("item_id", F.greatest(F.size("__t") - window + 1, F.lit(1)).cast("long").alias("item_windows")).groupBy("item_id").agg(F.min("item_windows").alias("item_windows"))
+    lengths = items.select("item_id", F.greatest(F.size("__th") - window + 1, F.lit(1)).cast("long").alias("item_windows")).groupBy("item_id").agg(F.min("item_windows").alias("item_windows"))
     return share.join(lengths, "item_id").filter(100 * F.col("matched_windows") >= min_percent * F.col("item_windows"))
 
 
