@@ -215,11 +215,27 @@ def build_tree(depth: np.ndarray, context: np.ndarray, symbol: np.ndarray, n: np
     return Tree(classes, after, logp, len(kept))
 
 
+def fitted(nodes: DataFrame) -> Tree:
+    """The automaton, built in one task (P_MIN bounds its contexts); the driver gets its arrays only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)] for b in batches]
+        columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 4
+        tree = build_tree(*columns)
+        yield pa.RecordBatch.from_arrays([pa.array([tree.classes.astype(np.int16).tobytes()], pa.binary()), pa.array([tree.after.tobytes()], pa.binary()), pa.array([tree.logp.tobytes()], pa.binary()), pa.array([tree.after.shape[1]], pa.int32()), pa.array([tree.kept], pa.int32())], names=["classes", "after", "logp", "width", "kept"])
+
+    got = nodes.select("depth", "context", "symbol", "n").repartition(1).mapInArrow(run, "classes binary, after binary, logp binary, width int, kept int").first()
+    if got is None:
+        return build_tree(*[np.zeros(0, np.int64)] * 4)
+    shape = (-1, got["width"])
+    return Tree(np.frombuffer(got["classes"], np.int16), np.frombuffer(got["after"], np.int32).reshape(shape), np.frombuffer(got["logp"], np.float32).reshape(shape), got["kept"])
+
+
 def text_scores(tree: Tree, texts: Texts) -> np.ndarray:
     s, starts = symbols(texts)
     if not texts.n:
         return np.zeros(0)
-    c = tree.classes[s]
+    c = tree.classes[s].astype(np.int32)
     at = _scored(starts)
     state = np.zeros(len(at), np.int32)
     width = tree.after.shape[1]
@@ -290,8 +306,7 @@ def scored(docs: DataFrame, train: Column) -> DataFrame:
     heavy = np.sort(heavy)
     grams = counts.filter("kind = 0").select("key", "n")
     positions = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    nodes = tree_nodes(grams, positions).toPandas()
-    tree = build_tree(*[nodes[c].to_numpy(np.int64) for c in ("depth", "context", "symbol", "n")])
+    tree = fitted(tree_nodes(grams, positions))
 
     light = scratch.save(_light(rows, heavy), "light")
     found = light.filter("train = 2").groupBy("word").agg(F.sum("tf").alias("n")).toPandas()
