@@ -84,6 +84,12 @@ class LineRuns:
             self.levels[level] = []
             level += 1
 
+    def drop(self) -> None:
+        for level in self.levels:
+            for name, _ in level:
+                self.scratch.drop(name)
+        self.levels = []
+
 
 def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, batches: int = 4, fanout: int = 2) -> DataFrame:
     """docs (doc_id, text, ...) plus __n_lines, __n_dropped and __kept, the text without the lines
@@ -108,6 +114,8 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, batches: int = 4, f
     heavy_from = max(min_docs, -(-total // HEAVY_KEYS))
     heavy = spool.groupBy(*KEY).agg(F.sum("__n").alias("__n")).filter(F.col("__n") >= heavy_from).select(*KEY)
     heavy = scratch.save(heavy, "heavy")
+    runs.drop()
+    scratch.drop("spool")
     light = frequent.join(heavy, KEY, "left_anti")
 
     lines = slim.select("doc_id", "__th", F.posexplode(line_keys(F.col("text"))).alias("__i", "__k")).filter("__k <> ''")

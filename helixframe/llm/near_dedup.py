@@ -350,6 +350,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, share: int = 80) -> DataFram
     sets = sets.unionByName(sets_for(more, "more"))
     links = links.unionByName(scratch.save(cross_links(units, sets, share), "cross"))
     comp = components(links, scratch, "all")
+    for name in ("reps", "buckets", "pairs", "sets", "more", "units"):
+        scratch.drop(name)
 
     found = members.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select(F.col("doc_id").alias("__id"), F.coalesce("component", "rep").alias("__c")).groupBy("__id").agg(F.min("__c").alias("__c"))
     out = sigs.select("doc_id", F.col("n").alias("n_shingles")).join(found, F.col("doc_id") == F.col("__id"), "left")
