@@ -30,24 +30,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytescan import U64, Texts, halves, mix
+from .bytescan import BASE, INVERSE, TABLE, U64, Texts, halves, mix, powers
 from .common import Scratch, documents
 
 LENGTH, K, SEED = 50, 16, 32
 PART_BYTES = 1 << 22
-BATCH_BYTES = 1 << 22
+BATCH_BYTES = 1 << 20
+SIDE = (LENGTH - K) // 2
+BROADCAST_IDS = 1_000_000
 HOT_ROWS = 64
 HOT_SEGMENTS = 2_000
 MARK = -(1 << 63)
 SEPARATOR = 255  # no byte of UTF-8
 
 
-def _segments(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of the selected K-gram, text number, first window and number of windows of each segment."""
+def _segments(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of the selected K-gram, text number and place of each segment (see packed)."""
     m = len(texts.data)
     none = np.zeros(0, np.int64)
     if m < LENGTH:
-        return none.astype(U64), none, none, none
+        return none.astype(U64), none, none
     total, back = texts.prefix()
     x = mix((total[K:] - total[:-K]) * back[: m - K + 1])
     a = ((x >> U64(28)) << U64(28)) | np.arange(len(x), dtype=U64)
@@ -59,19 +61,28 @@ def _segments(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     chosen = (a[starts] & U64((1 << 28) - 1)).astype(np.int64)
     first = np.flatnonzero(np.append(True, chosen[1:] != chosen[:-1])) if len(chosen) else none
     doc = np.searchsorted(texts.offsets, starts[first], side="right") - 1
-    return x[chosen[first]], doc, starts[first] - texts.offsets[doc], np.diff(np.append(first, len(chosen)))
+    lo, windows = starts[first], np.diff(np.append(first, len(chosen)))
+    return x[chosen[first]], doc, packed(lo - texts.offsets[doc], chosen[first] - lo, windows)
+
+
+def packed(lo: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """First window, place of the K-gram after it (6 bits) and number of windows (6 bits) in one value."""
+    return (lo << 12) | (at << 6) | n
+
+
+def unpacked(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return place >> 12, (place >> 6) & 63, place & 63
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """h, salt, doc, lo, n of each segment. K-grams that a part holds HOT_ROWS times go on under many salts,
-    with one mark under salt 0 that tells their other rows that they are repeated."""
+    """h, doc, place of each segment. K-grams that a part holds HOT_ROWS times go on under many salts (above bit 52 of
+    place), with one mark without a salt that tells their other rows that they are repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in halves(whole, 1, PART_BYTES):
-                h, doc, lo, n = _segments(Texts(b.column(1)))
+                h, doc, place = _segments(Texts(b.column(1)))
                 ids = b.column(0).to_numpy(zero_copy_only=False)[doc] if len(doc) else doc
-                salt = np.zeros(len(h), np.int32)
                 u, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
                 hot = count >= HOT_ROWS
                 if hot.any():
@@ -80,13 +91,12 @@ def anchors(docs: DataFrame) -> DataFrame:
                     np.maximum.at(high, inverse, ids)
                     hot &= low < high
                     rows = np.flatnonzero(hot[inverse])
-                    salt[rows] = 1 + rows % 1000
+                    place[rows] |= (1 + rows % 1000) << 52
                     marks = u[hot]
-                    h, ids = np.concatenate([h, marks]), np.concatenate([ids, np.full(len(marks), MARK)])
-                    salt, lo, n = (np.concatenate([c, np.zeros(len(marks), c.dtype)]) for c in (salt, lo, n))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(salt), pa.array(ids), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32))], names=["h", "salt", "doc", "lo", "n"])
+                    h, ids, place = np.concatenate([h, marks]), np.concatenate([ids, np.full(len(marks), MARK)]), np.concatenate([place, np.zeros(len(marks), np.int64)])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids), pa.array(place)], names=["h", "doc", "place"])
 
-    return docs.select("doc", "text").mapInArrow(run, "h long, salt int, doc long, lo int, n int")
+    return docs.select("doc", "text").mapInArrow(run, "h long, doc long, place long")
 
 
 def repeated(rows: DataFrame) -> DataFrame:
@@ -96,31 +106,29 @@ def repeated(rows: DataFrame) -> DataFrame:
         held: list[np.ndarray] | None = None
         known = None  # a K-gram already known to be repeated
         for b in batches:
-            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            h, salt, doc = cols[:3]
+            h, doc, place = cols
             if not len(h):
                 continue
             first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-            low, high, top = np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first), np.maximum.reduceat(salt, first)
-            again = (low < high) | (top > 0)
+            again = (np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first)) | (np.maximum.reduceat(place, first) >> 52 > 0)
             if known is not None and h[0] == known:
                 again[0] = True
-            sizes = np.diff(np.append(first, len(h)))
-            keep = np.repeat(again, sizes)
+            keep = np.repeat(again, np.diff(np.append(first, len(h))))
             held, known = None, h[-1] if again[-1] else None
             if not again[-1]:
                 held = [c[first[-1] :] for c in cols]
             keep &= doc != MARK
-            out = [pa.array(c[keep]) for c in (cols[0], cols[2], cols[3], cols[4])]
-            yield pa.RecordBatch.from_arrays(out, names=["h", "doc", "lo", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(doc[keep]), pa.array(place[keep] & ((1 << 52) - 1))], names=["h", "doc", "place"])
 
-    return rows.repartition("h", "salt").sortWithinPartitions("h", "salt").mapInArrow(run, "h long, doc long, lo int, n int")
+    salt = F.shiftright("place", 52)
+    return rows.repartition("h", salt).sortWithinPartitions("h").mapInArrow(run, "h long, doc long, place long")
 
 
 def cut_out(rows: DataFrame) -> DataFrame:
-    """rows (doc, text, segments) -> h, segment, doc, lo, n."""
+    """rows (doc, text, segments) -> h, segment, doc, place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -128,25 +136,48 @@ def cut_out(rows: DataFrame) -> DataFrame:
                 texts = b.column(1).cast(pa.binary()).to_pylist()
                 lists = b.column(2)
                 sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
-                at = np.repeat(np.arange(b.num_rows), sizes)
-                h, lo, n = (lists.flatten().field(i) for i in range(3))
-                seg = [texts[i][p : p + m + LENGTH - 1] for i, p, m in zip(at.tolist(), lo.to_pylist(), n.to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([h, pa.array(seg, pa.binary()), b.column(0).take(pa.array(at)), lo, n], names=["h", "segment", "doc", "lo", "n"])
+                text = np.repeat(np.arange(b.num_rows), sizes)
+                h, place = (lists.flatten().field(i) for i in range(2))
+                lo, _, n = unpacked(place.to_numpy(zero_copy_only=False))
+                seg = [texts[i][p : p + m + LENGTH - 1] for i, p, m in zip(text.tolist(), lo.tolist(), n.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([h, pa.array(seg, pa.binary()), b.column(0).take(pa.array(text)), place], names=["h", "segment", "doc", "place"])
 
-    return rows.select("doc", "text", "segments").mapInArrow(run, "h long, segment binary, doc long, lo int, n int")
+    return rows.select("doc", "text", "segments").mapInArrow(run, "h long, segment binary, doc long, place long")
 
 
 def _ranks(first: np.ndarray, second: np.ndarray | None = None) -> np.ndarray:
-    key = first if second is None else first.astype(U64) * U64(len(first) + 1) + second.astype(U64)
-    return np.unique(key, return_inverse=True)[1]
+    key = first if second is None else first.astype(np.int64) * (len(first) + 1) + second
+    order = np.argsort(key)
+    sorted_ = key[order]
+    out = np.empty(len(key), np.int32)
+    out[order] = np.cumsum(np.append(False, sorted_[1:] != sorted_[:-1]), dtype=np.int32)
+    return out
 
 
 def _later(rank: np.ndarray, by: int) -> np.ndarray:
-    out = np.zeros(len(rank), rank.dtype)
+    out = np.zeros(len(rank), np.int32)
     out[:-by] = rank[by:] + 1
     return out
 
 
+def may_repeat(groups: np.ndarray, segments: list[bytes], at: np.ndarray) -> np.ndarray:
+    """Which segments can share a window with another of their group: a window holds the K-gram and SIDE bytes on
+    one side of it at least, so one of the two sides must be shared."""
+    size = np.array([len(s) for s in segments])
+    text = np.frombuffer(b"".join(segments), np.uint8)
+    total = np.zeros(len(text) + 1, U64)
+    np.cumsum(TABLE[text] * powers(BASE, len(text)), out=total[1:])
+    back = powers(INVERSE, len(text) + 1)
+    anchor = np.cumsum(size) - size + at
+    out = np.zeros(len(segments), bool)
+    for there, start in ((at >= SIDE, anchor - SIDE), (size - at - K >= SIDE, anchor + K)):
+        rows = np.flatnonzero(there)
+        side = mix((total[start[rows] + SIDE] - total[start[rows]]) * back[start[rows]])
+        _, inverse, count = np.unique(mix(side + groups[rows].view(U64)), return_inverse=True, return_counts=True)
+        out[rows] |= count[inverse] > 1
+    return out
+
+
 def smallest_documents(segments: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Segment number, window and smallest document of every window of LENGTH bytes that two segments hold."""
     sep = bytes([SEPARATOR])
@@ -154,15 +185,15 @@ def smallest_documents(segments: list[bytes], docs: np.ndarray) -> tuple[np.ndar
     size = np.array([len(s) for s in segments])
     begin = 1 + np.cumsum(size + 1) - (size + 1)
     n = len(text)
-    packed = np.zeros(n, U64)
+    word = np.zeros(n, U64)
     for k in range(8):
-        packed[: n - k] |= text[k:].astype(U64) << U64(56 - 8 * k)
-    rank = _ranks(packed)
+        word[: n - k] |= text[k:].astype(U64) << U64(56 - 8 * k)
+    rank = _ranks(word)
     rank = _ranks(rank, _later(rank, 8))
     rank = _ranks(rank, _later(rank, 16))  # SEED bytes
-    order = np.lexsort((_later(rank, LENGTH - SEED), rank))  # by LENGTH bytes
-    spot = np.empty(n, np.int64)
-    spot[order] = np.arange(n)
+    order = np.argsort(rank.astype(np.int64) * (n + 1) + _later(rank, LENGTH - SEED))  # by LENGTH bytes
+    spot = np.empty(n, np.int32)
+    spot[order] = np.arange(n, dtype=np.int32)
     bwt = text[order - 1]
     before = spot[order - 1]
     seg = np.repeat(np.arange(len(segments)), size + 1)
@@ -197,13 +228,17 @@ def smallest_documents(segments: list[bytes], docs: np.ndarray) -> tuple[np.ndar
 
 
 def solved(rows: DataFrame) -> DataFrame:
-    """rows (h, segment, doc, lo, n) -> doc, a, b: spans of removed bytes."""
+    """rows (h, segment, doc, place) -> doc, a, b: spans of removed bytes."""
 
     def spans(found: list[tuple[int, bytes, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        docs = np.array([f[2] for f in found])
-        seg, window, least = smallest_documents([f[1] for f in found], docs)
+        h, docs, place = (np.array([f[i] for f in found], np.int64) for i in (0, 2, 3))
+        lo, at, _ = unpacked(place)
+        some = np.flatnonzero(may_repeat(h, [f[1] for f in found], at))
+        if not len(some):
+            return docs[:0], lo[:0], lo[:0]
+        docs, lo = docs[some], lo[some]
+        seg, window, least = smallest_documents([found[i][1] for i in some.tolist()], docs)
         hit = least < docs[seg]
-        lo = np.array([f[3] for f in found])
         start = lo[seg[hit]] + window[hit]
         doc = docs[seg[hit]]
         order = np.lexsort((start, doc))
@@ -224,7 +259,7 @@ def solved(rows: DataFrame) -> DataFrame:
 
         last, seen_segment = None, None
         for b in batches:
-            for h, segment, doc, lo, n in zip(*[b.column(i).to_pylist() for i in range(5)], strict=True):
+            for h, segment, doc, place in zip(*[b.column(i).to_pylist() for i in range(4)], strict=True):
                 if h != last:
                     if len(group) > 1:
                         pending += group
@@ -232,11 +267,11 @@ def solved(rows: DataFrame) -> DataFrame:
                     group, last, seen_segment = [], h, None
                 if segment != seen_segment:
                     seen_segment, holder = segment, doc
-                    group.append((h, segment, doc, lo))
+                    group.append((h, segment, doc, place))
                 elif doc > holder:
-                    whole.append((doc, lo, lo + n + LENGTH - 1))
+                    whole.append((doc, place >> 12, (place >> 12) + len(segment)))
                 else:
-                    group.append((h, segment, doc, lo))  # the same segment again in the first document
+                    group.append((h, segment, doc, place))  # the same segment again in the first document
             parts = []
             if whole:
                 parts.append(list(zip(*whole, strict=True)))
@@ -254,13 +289,14 @@ def solved(rows: DataFrame) -> DataFrame:
         if parts:
             yield out(parts)
 
-    ordered = rows.repartition("h").sortWithinPartitions("h", "segment", "doc", "lo")
-    return ordered.select("h", "segment", "doc", "lo", "n").mapInArrow(run, "doc long, a long, b long")
+    ordered = rows.repartition("h").sortWithinPartitions("h", "segment", "doc", "place")
+    return ordered.select("h", "segment", "doc", "place").mapInArrow(run, "doc long, a long, b long")
 
 
 def solved_hot(rows: DataFrame) -> DataFrame:
     """The same for groups of any size: the smallest document of each window by a shuffled sum."""
-    windows = rows.select("h", "doc", "lo", "segment", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("o"))
+    n = F.col("place").bitwiseAND(F.lit(63)).cast("int")
+    windows = rows.select("h", "doc", F.shiftright("place", 12).alias("lo"), "segment", F.explode(F.sequence(F.lit(0), n - 1)).alias("o"))
     windows = windows.select("h", "doc", (F.col("lo") + F.col("o")).cast("long").alias("a"), F.substring("segment", F.col("o") + 1, F.lit(LENGTH)).alias("w"))
     least = windows.groupBy("h", "w").agg(F.min("doc").alias("least"))
     return windows.join(least, ["h", "w"]).filter("least < doc").select("doc", "a", (F.col("a") + LENGTH).alias("b"))
@@ -301,9 +337,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     firsts = slim.groupBy("t1", "t2", "m").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).filter("c > 1")
     copies = scratch.save(slim.join(firsts, ["t1", "t2", "m"]).filter("doc_id > first").select(F.col("doc_id").alias("doc"), "t1").distinct(), "copies")
 
-    named = texts.filter("doc_id is not null").withColumnRenamed("doc_id", "doc")
+    # Few ids of copies are sent to the texts; beyond BROADCAST_IDS the texts are shuffled to them.
+    gone = copies.select("doc").distinct()
+    gone = F.broadcast(gone) if copies.count() <= BROADCAST_IDS else gone
+    named = texts.filter("doc_id is not null").withColumnRenamed("doc_id", "doc").join(gone, "doc", "left_anti")
     again = scratch.save(repeated(anchors(named)), "repeated")
-    lists = again.join(copies.select("doc").distinct(), "doc", "left_anti").groupBy("doc").agg(F.collect_set(F.struct("h", "lo", "n")).alias("segments"))
+    lists = again.groupBy("doc").agg(F.collect_set(F.struct("h", "place")).alias("segments"))
     segments = scratch.save(cut_out(named.join(lists, "doc")), "segments")
     scratch.drop("repeated")
     sizes = segments.groupBy("h").agg(F.count("*").alias("c"), F.min("doc").alias("x"), F.max("doc").alias("y")).filter("x < y")
