@@ -71,7 +71,7 @@ def sliding_windows(df: DataFrame, position: str, size: int, step: int, first: i
     """One row for each window [start, start + size) that holds the row; starts are first + k * step, k >= 0."""
     p = F.col(position) - first
     low = F.greatest(F.lit(0), F.floor((p - size) / step) + 1)
-    return df.withColumn("window_start", F.explode(F.sequence(low, F.floor(p / step))) * step + first)
+    return df.withColumn("window_start", F.explode(F.transform(F.sequence(low, F.floor(p / step)), lambda k: k * step + first)))
 
 
 def tiles_closed(df: DataFrame, start: str, end: str, size: int) -> DataFrame:

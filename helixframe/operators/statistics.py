@@ -88,11 +88,11 @@ def silhouette(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
     dims = base.select(label, "__q", F.posexplode(vector).alias("__i", "__x"))
     sums = dims.groupBy(label, "__i").agg(F.sum(F.col("__x").cast("double")).alias("__s"))
     centre = sums.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("__i", "__s"))), lambda r: r["__s"]).alias("__sum"))
-    size = base.groupBy(label).agg(F.count("*").alias("__n"), F.sum("__q").alias("__Q"))
-    clusters = centre.join(size, label).select(F.col(label).alias("__c"), "__sum", "__n", "__Q")
+    size = base.groupBy(label).agg(F.count("*").alias("__n"), F.sum("__q").alias("__total"))
+    clusters = centre.join(size, label).select(F.col(label).alias("__c"), "__sum", "__n", "__total")
     pairs = base.crossJoin(F.broadcast(clusters))
     dot = F.aggregate(F.zip_with(vector, "__sum", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda acc, x: acc + x)
-    total = F.col("__n") * F.col("__q") - 2 * dot + F.col("__Q")
+    total = F.col("__n") * F.col("__q") - 2 * dot + F.col("__total")
     own = F.col("__c") == F.col(label)
     mean = F.when(own, F.try_divide(total, F.col("__n") - 1)).otherwise(total / F.col("__n"))
     out = pairs.select(key, label, own.alias("__own"), mean.alias("__mean")).groupBy(key, label).agg(F.max(F.when(F.col("__own"), F.col("__mean"))).alias("a"), F.min(F.when(~F.col("__own"), F.col("__mean"))).alias("b"))
