@@ -130,10 +130,10 @@ def accuracy(spark, d):
     return rows.groupBy("target").agg(r6(F.avg((F.col("y") == F.col("yhat")).cast("double")), "accuracy"), r6(F.sqrt(F.avg((F.col("y") - F.col("yhat")) * (F.col("y") - F.col("yhat")))), "rmse"), F.count("*").alias("n"))
 
 
-@query("m43_m45_copy_features", "SELECT l_orderkey, l_linenumber, round(l_extendedprice / (l_quantity * 700 / 2) * 2, 3) AS copies, greatest(l_linenumber - 1, 0) AS extra, round(l_quantity / ((l_quantity + l_linenumber) * 2), 6) AS support FROM lineitem")
+@query("m43_m45_copy_features", "SELECT l_orderkey, l_linenumber, round(l_extendedprice / (l_quantity * 730 / 2) * 2, 3) AS copies, greatest(l_linenumber - 1, 0) AS extra, round(l_quantity / ((l_quantity + l_linenumber) * 2), 6) AS support FROM lineitem")
 def copy_features(spark, d):
     q, price, n = F.col("l_quantity"), F.col("l_extendedprice"), F.col("l_linenumber")
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(price / (q * 700 / 2) * 2, 3).alias("copies"), F.greatest(n - 1, F.lit(0)).alias("extra"), r6(q / ((q + n) * 2), "support"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(price / (q * 730 / 2) * 2, 3).alias("copies"), F.greatest(n - 1, F.lit(0)).alias("extra"), r6(q / ((q + n) * 2), "support"))
 
 
 @query("m44_informative_weight", "WITH g AS (SELECT l_orderkey, list(l_discount * 10) AS gf FROM lineitem GROUP BY 1) SELECT l_orderkey, round(list_avg(gf) / len(gf), 9) AS weight, len(list_filter(gf, lambda x: round(x, 6) >= 0.7)) AS kept FROM g")
