@@ -126,10 +126,12 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, batches: int = 4, f
     hits = hits.groupBy("doc_id", "__th").agg(F.collect_set("__i").alias("__drop"))
     hits = hits.select(F.col("doc_id").alias("__id"), F.col("__th").alias("__th2"), "__drop")
 
-    wide = docs.withColumn("__th", F.xxhash64("text"))
-    joined = wide.join(hits, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__th2")), "left")
-    lines_of = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
-    out = joined.withColumn("__drop", F.coalesce("__drop", F.array().cast("array<int>"))).withColumn(
+    # The caller's columns travel as one struct, so that no name can clash.
+    wide = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"))
+    same = F.col("__row.doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("__row.text") == F.col("__th2"))
+    joined = wide.join(hits, same, "left").withColumn("__drop", F.coalesce("__drop", F.array().cast("array<int>")))
+    lines_of = F.split(F.coalesce(F.col("__row.text"), F.lit("")), "\n")
+    out = joined.withColumn(
         "__x",
         let(
             F.struct(lines_of.alias("l"), F.col("__drop").alias("d")),
@@ -139,12 +141,7 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, batches: int = 4, f
             ),
         ),
     )
-    return out.select(
-        *[docs[c] for c in docs.columns],
-        F.col("__x.n").alias("__n_lines"),
-        F.size("__drop").cast("long").alias("__n_dropped"),
-        F.col("__x.kept").alias("__kept"),
-    )
+    return out.select("__row.*", F.col("__x.n").alias("__n_lines"), F.size("__drop").cast("long").alias("__n_dropped"), F.col("__x.kept").alias("__kept"))
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:

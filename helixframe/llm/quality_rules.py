@@ -132,16 +132,17 @@ def verdict(order: list[Rule], m: dict[str, Column]) -> Column:
 def cascade(docs: DataFrame, rules=RULES) -> DataFrame:
     """docs plus __rejected_by, the first rule in cascade order that rejects the text (null: kept)."""
     order = [r for r, _, _ in plan(docs, rules)]
-    worded = docs.withColumn("__w", words(F.col("text")))
-    return worded.withColumn("__rejected_by", verdict(order, measures(F.col("text"), F.col("__w")))).drop("__w")
+    worded = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), words(docs["text"]).alias("__w"))
+    return worded.select("__row.*", verdict(order, measures(F.col("__row.text"), F.col("__w"))).alias("__rejected_by"))
 
 
 def measured(docs: DataFrame, rules=RULES) -> DataFrame:
     """docs plus every measure and __rejected_by; the rules read the measures that are there."""
     order = [r for r, _, _ in plan(docs, rules)]
-    m = measures(F.col("text"), F.col("__w"))
-    out = docs.withColumn("__w", words(F.col("text"))).withColumns({f"__{k}": c for k, c in m.items()})
-    return out.withColumn("__rejected_by", verdict(order, {k: F.col(f"__{k}") for k in m})).drop("__w")
+    m = measures(F.col("__row.text"), F.col("__w"))
+    worded = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), words(docs["text"]).alias("__w"))
+    out = worded.select("__row", *[c.alias(f"__m_{k}") for k, c in m.items()])
+    return out.select("__row.*", *[F.col(f"__m_{k}").alias(f"__{k}") for k in m], verdict(order, {k: F.col(f"__m_{k}") for k in m}).alias("__rejected_by"))
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:

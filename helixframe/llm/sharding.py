@@ -99,7 +99,7 @@ def shard(docs: DataFrame, n_shards: int | None = None, target_bytes: int | None
     names = [c for c in sized.columns if c.startswith("__d")]
     facts = sized.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total"), *[f(c).alias(f"{n}{c}") for c in names for n, f in (("lo", F.min), ("hi", F.max))]).first()
     if n_shards is None:
-        n_shards = max(1, -(-facts["total"] // target_bytes))
+        n_shards = max(1, -(-int(facts["total"]) // int(target_bytes)))
     tie = F.xxhash64("doc_id", "text_crc32", "size").bitwiseAND(F.lit((1 << HASH_BITS) - 1))
     keys = {}
     for c in names:
@@ -120,8 +120,9 @@ def shard(docs: DataFrame, n_shards: int | None = None, target_bytes: int | None
 def write_shards(docs: DataFrame, path: str, **how) -> None:
     """The documents themselves, one folder for each shard, in slot order."""
     placed = shard(docs, **how).select(F.col("doc_id").alias("__id"), F.col("text_crc32").alias("__crc"), "shard", "slot").dropDuplicates(["__id", "__crc"])
-    crc = F.crc32(F.coalesce(docs["text"], F.lit("")))
-    joined = docs.join(placed, docs["doc_id"].eqNullSafe(F.col("__id")) & (crc == F.col("__crc"))).drop("__id", "__crc")
+    wide = docs.drop("shard", "slot").select(F.struct("*").alias("__row"))
+    crc = F.crc32(F.coalesce(F.col("__row.text"), F.lit("")))
+    joined = wide.join(placed, F.col("__row.doc_id").eqNullSafe(F.col("__id")) & (crc == F.col("__crc"))).select("__row.*", "shard", "slot")
     joined.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
