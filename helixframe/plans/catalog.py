@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import filters_joins, grouping, ordering, reading, science, statistics, texts  # noqa: F401
+from . import composites, filters_joins, grouping, ordering, reading, science, statistics, texts  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
