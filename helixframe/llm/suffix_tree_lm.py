@@ -170,7 +170,7 @@ def build_tree(depth: np.ndarray, context: np.ndarray, symbol: np.ndarray, n: np
     order = np.lexsort((symbol, context, depth))
     depth, context, symbol, n = depth[order], context[order], symbol[order], n[order]
     edge = np.flatnonzero(np.append(True, (depth[1:] != depth[:-1]) | (context[1:] != context[:-1]))) if len(depth) else np.zeros(0, int)
-    for lo, hi in zip(edge, np.append(edge[1:], len(depth)), strict=True):
+    for lo, hi in zip(edge, [*edge[1:], len(depth)][: len(edge)], strict=True):
         node = (int(depth[lo]), int(context[lo]))
         if not node[0]:
             continue
