@@ -36,7 +36,7 @@ from .common import Scratch, documents
 LENGTH, K, SEED = 50, 16, 32
 PART_BYTES = 1 << 22
 BATCH_BYTES = 1 << 20
-SIDE = (LENGTH - K) // 2
+SIDE, SIDE_BITS = (LENGTH - K) // 2, 4
 BROADCAST_IDS = 1_000_000
 HOT_ROWS = 64
 HOT_SEGMENTS = 2_000
@@ -62,16 +62,40 @@ def _segments(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     first = np.flatnonzero(np.append(True, chosen[1:] != chosen[:-1])) if len(chosen) else none
     doc = np.searchsorted(texts.offsets, starts[first], side="right") - 1
     lo, windows = starts[first], np.diff(np.append(first, len(chosen)))
-    return x[chosen[first]], doc, packed(lo - texts.offsets[doc], chosen[first] - lo, windows)
+    spot = chosen[first]
+    sides = []
+    for begin in (spot - SIDE, spot + K):
+        begin = np.clip(begin, 0, m - SIDE)
+        sides.append((mix((total[begin + SIDE] - total[begin]) * back[begin]) >> U64(64 - SIDE_BITS)).astype(np.int64))
+    return x[spot], doc, packed(lo - texts.offsets[doc], spot - lo, windows, *sides)
 
 
-def packed(lo: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """First window, place of the K-gram after it (6 bits) and number of windows (6 bits) in one value."""
-    return (lo << 12) | (at << 6) | n
+def packed(lo: np.ndarray, at: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """In one value: SIDE_BITS of a hash of the bytes on either side of the K-gram, the first window (31 bits), the place of
+    the K-gram after it and the number of windows (6 bits each). The salt stands above bit 52."""
+    return (left << (43 + SIDE_BITS)) | (right << 43) | (lo << 12) | (at << 6) | n
 
 
 def unpacked(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return place >> 12, (place >> 6) & 63, place & 63
+    return (place >> 12) & ((1 << 31) - 1), (place >> 6) & 63, place & 63
+
+
+def _shared_side(h: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Rows that agree with a row of another document in their K-gram and in one of its sides: a window holds the
+    K-gram and SIDE bytes on one side of it at least, so other rows share no window."""
+    _, at, n = unpacked(place)
+    out = np.zeros(len(h), bool)
+    for there, shift in ((at >= SIDE, 43 + SIDE_BITS), (n + LENGTH - 1 - at - K >= SIDE, 43)):
+        rows = np.flatnonzero(there)
+        side = (place[rows] >> shift) & ((1 << SIDE_BITS) - 1)
+        order = np.lexsort((side, h[rows]))
+        rows, side = rows[order], side[order]
+        if not len(rows):
+            continue
+        first = np.flatnonzero(np.append(True, (h[rows][1:] != h[rows][:-1]) | (side[1:] != side[:-1])))
+        some = np.minimum.reduceat(doc[rows], first) < np.maximum.reduceat(doc[rows], first)
+        out[rows] |= np.repeat(some, np.diff(np.append(first, len(rows))))
+    return out
 
 
 def anchors(docs: DataFrame) -> DataFrame:
@@ -91,7 +115,7 @@ def anchors(docs: DataFrame) -> DataFrame:
                     np.maximum.at(high, inverse, ids)
                     hot &= low < high
                     rows = np.flatnonzero(hot[inverse])
-                    place[rows] |= (1 + rows % 1000) << 52
+                    place[rows] |= (1 + rows % 1000) << 52  # 10 bits
                     marks = u[hot]
                     h, ids, place = np.concatenate([h, marks]), np.concatenate([ids, np.full(len(marks), MARK)]), np.concatenate([place, np.zeros(len(marks), np.int64)])
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids), pa.array(place)], names=["h", "doc", "place"])
@@ -113,15 +137,27 @@ def repeated(rows: DataFrame) -> DataFrame:
             if not len(h):
                 continue
             first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-            again = (np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first)) | (np.maximum.reduceat(place, first) >> 52 > 0)
+            low, high, top = np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first), np.maximum.reduceat(place, first)
+            # Rows with a mark or a salt have partners in other tasks; of the rest, some side must be shared.
+            sure = (low == MARK) | (top >> 52 > 0)
+            again = low < high
             if known is not None and h[0] == known:
-                again[0] = True
-            keep = np.repeat(again, np.diff(np.append(first, len(h))))
-            held, known = None, h[-1] if again[-1] else None
-            if not again[-1]:
-                held = [c[first[-1] :] for c in cols]
+                sure[0] = True
+            sizes = np.diff(np.append(first, len(h)))
+            last = first[-1]
+            whole_batch = len(first) == 1 and again[0]  # a group longer than a batch goes on as it is
+            if whole_batch:
+                sure[0] = True
+            held, known = None, h[-1] if sure[-1] else None
+            keep = np.repeat(sure, sizes)
+            keep[:last] |= np.repeat(again, sizes)[:last] & _shared_side(h[:last], doc[:last], place[:last]) if last else False
+            if not sure[-1]:
+                held = [c[last:] for c in cols]
             keep &= doc != MARK
             yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(doc[keep]), pa.array(place[keep] & ((1 << 52) - 1))], names=["h", "doc", "place"])
+        if held is not None and len(held[0]):
+            keep = _shared_side(*held) & (held[1] != MARK)
+            yield pa.RecordBatch.from_arrays([pa.array(held[0][keep]), pa.array(held[1][keep]), pa.array(held[2][keep] & ((1 << 52) - 1))], names=["h", "doc", "place"])
 
     salt = F.shiftright("place", 52)
     return rows.repartition("h", salt).sortWithinPartitions("h").mapInArrow(run, "h long, doc long, place long")
@@ -269,7 +305,8 @@ def solved(rows: DataFrame) -> DataFrame:
                     seen_segment, holder = segment, doc
                     group.append((h, segment, doc, place))
                 elif doc > holder:
-                    whole.append((doc, place >> 12, (place >> 12) + len(segment)))
+                    lo = (place >> 12) & ((1 << 31) - 1)
+                    whole.append((doc, lo, lo + len(segment)))
                 else:
                     group.append((h, segment, doc, place))  # the same segment again in the first document
             parts = []
@@ -296,7 +333,7 @@ def solved(rows: DataFrame) -> DataFrame:
 def solved_hot(rows: DataFrame) -> DataFrame:
     """The same for groups of any size: the smallest document of each window by a shuffled sum."""
     n = F.col("place").bitwiseAND(F.lit(63)).cast("int")
-    windows = rows.select("h", "doc", F.shiftright("place", 12).alias("lo"), "segment", F.explode(F.sequence(F.lit(0), n - 1)).alias("o"))
+    windows = rows.select("h", "doc", F.shiftright("place", 12).bitwiseAND(F.lit((1 << 31) - 1)).alias("lo"), "segment", F.explode(F.sequence(F.lit(0), n - 1)).alias("o"))
     windows = windows.select("h", "doc", (F.col("lo") + F.col("o")).cast("long").alias("a"), F.substring("segment", F.col("o") + 1, F.lit(LENGTH)).alias("w"))
     least = windows.groupBy("h", "w").agg(F.min("doc").alias("least"))
     return windows.join(least, ["h", "w"]).filter("least < doc").select("doc", "a", (F.col("a") + LENGTH).alias("b"))
@@ -342,15 +379,21 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     gone = F.broadcast(gone) if copies.count() <= BROADCAST_IDS else gone
     named = texts.filter("doc_id is not null").withColumnRenamed("doc_id", "doc").join(gone, "doc", "left_anti")
     again = scratch.save(repeated(anchors(named)), "repeated")
-    lists = again.groupBy("doc").agg(F.collect_set(F.struct("h", "place")).alias("segments"))
-    segments = scratch.save(cut_out(named.join(lists, "doc")), "segments")
-    scratch.drop("repeated")
-    sizes = segments.groupBy("h").agg(F.count("*").alias("c"), F.min("doc").alias("x"), F.max("doc").alias("y")).filter("x < y")
-    sizes = scratch.save(sizes.select("h", (F.col("c") > HOT_SEGMENTS).alias("hot")), "sizes")
-    joined = segments.join(sizes, "h")
-    spans = solved(joined.filter("not hot")).unionByName(solved_hot(joined.filter("hot")))
+    # Groups too long for one task are few (their number is checked before they are broadcast).
+    hot = scratch.save(again.groupBy("h").agg(F.count("*").alias("c")).filter(F.col("c") > HOT_SEGMENTS).select("h"), "hot")
+    n_hot = hot.count()
+    hot = F.broadcast(hot) if n_hot <= BROADCAST_IDS else hot
+
+    def segments(rows: DataFrame) -> DataFrame:
+        lists = rows.groupBy("doc").agg(F.collect_set(F.struct("h", "place")).alias("segments"))
+        return cut_out(named.join(lists, "doc"))
+
+    if n_hot:
+        spans = solved(segments(again.join(hot, "h", "left_anti"))).unionByName(solved_hot(segments(again.join(hot, "h", "left_semi"))))
+    else:
+        spans = solved(segments(again))
     spans = scratch.save(spans, "spans")
-    scratch.drop("segments")
+    scratch.drop("repeated")
 
     per = spans.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     marks = copies.groupBy("doc", "t1").agg(F.lit(True).alias("copy"))
