@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 import uuid
 
@@ -43,7 +45,9 @@ class Scratch:
         if not base:
             base = spark.sparkContext.getCheckpointDir()
         if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="helixframe-")
+            own = tempfile.mkdtemp(prefix="helixframe-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            base = f"file://{own}"
             spark.sparkContext.setCheckpointDir(base)
         self.root = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
