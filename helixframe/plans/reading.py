@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,7 +18,11 @@ from .registry import query
 
 def place(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, or in a temporary one where none is set (local runs)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="helixframe-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        own = tempfile.mkdtemp(prefix="helixframe-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        base = f"file://{own}"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -147,8 +153,8 @@ def families(spark, d):
 
 @query("s35_copy_table", "SELECT p_partkey, p_size::BIGINT AS x, (p_size * 2)::BIGINT AS y, (p_size * 3)::BIGINT AS total FROM part")
 def copy_table(spark, d):
-    t = table(spark, d, "part").select("p_partkey", F.col("p_size").alias("PGA_X"), (F.col("p_size") * 2).alias("pga_y"), (F.col("p_size") * 3).alias("All"))
-    return R.copy_table(t, "p_partkey", {"x": ["x", "pga_x"], "y": ["pga_y"]}, ["all"])
+    t = table(spark, d, "part").select("p_partkey", F.col("p_size").alias("New_X"), (F.col("p_size") * 2).alias("new_y"), (F.col("p_size") * 3).alias("All"))
+    return R.copy_table(t, "p_partkey", {"x": ["x", "new_x"], "y": ["new_y"]}, ["all"])
 
 
 @query("s36_truth", "SELECT l_orderkey, sum(l_quantity)::BIGINT AS q, sum(l_quantity)::BIGINT AS total FROM lineitem GROUP BY 1 HAVING count(*) = 2")
