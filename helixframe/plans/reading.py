@@ -175,3 +175,87 @@ def fan_out(spark, d):
     W.fan_out(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), {"kept": (big, f"{base}/kept"), "rejected": (~big, f"{base}/rejected")})
     parts = [spark.read.parquet(f"{base}/{s}").select(F.lit(s).alias("sink")) for s in ("kept", "rejected")]
     return parts[0].unionByName(parts[1]).groupBy("sink").agg(F.count("*").alias("n"))
+
+
+@query("s13_aligned_fasta", "SELECT i::INT AS pos, count(DISTINCT b) AS bases FROM (SELECT unnest(range(1, 9)) AS i, unnest(list_transform(range(1, 9), lambda i: substr(rpad(upper(n_name), 8, 'X'), i, 1))) AS b FROM nation) GROUP BY 1")
+def aligned_fasta(spark, d):
+    records = table(spark, d, "nation").select(F.concat(F.lit(">g#"), F.col("n_nationkey").cast("string"), F.lit("\n"), F.rpad(F.upper("n_name"), 8, "X")).alias("value"))
+    seqs = R.aligned_fasta(spark, written(records, "aligned"))
+    cells = seqs.select(F.posexplode(F.split("seq", "")).alias("p", "b")).filter("b <> ''")
+    return cells.groupBy((F.col("p") + 1).alias("pos")).agg(F.count_distinct("b").alias("bases"))
+
+
+@query("s16_eigenstrat", "SELECT 'rs' || s_suppkey AS snp, unnest(['x', 'y']) AS sample, unnest([CASE s_suppkey % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 WHEN 2 THEN 0.0 END, 0.5]) AS dosage FROM supplier")
+def eigenstrat(spark, d):
+    s = table(spark, d, "supplier").orderBy("s_suppkey").coalesce(1)
+    code = F.when(F.col("s_suppkey") % 4 == 3, "9").otherwise((F.col("s_suppkey") % 4).cast("string"))
+    geno, snp = place(spark, "geno"), place(spark, "snp")
+    s.select(F.concat(code, F.lit("1"))).write.text(geno)
+    s.select(F.concat(F.lit("rs"), F.col("s_suppkey").cast("string"), F.lit(" 1 0 1 A C"))).write.text(snp)
+    ind = written(spark.createDataFrame([("x U p",), ("y U p",)], "value string").coalesce(1), "ind")
+    return R.eigenstrat(spark, geno, snp, ind)
+
+
+@query("s19_untangle", "SELECT 'sp#' || s_suppkey AS query, s_suppkey + 1 AS ref_start, round(s_acctbal, 2) AS score FROM supplier WHERE s_suppkey % 3 <> 0")
+def untangle(spark, d):
+    k = F.col("s_suppkey")
+    end = F.when(k % 3 == 0, "bad").otherwise((k + 9).cast("string"))
+    line = F.concat_ws("\t", F.concat(F.lit("sp#"), k.cast("string")), k.cast("string"), end, F.lit("ref"), (k + 1).cast("string"), (k + 10).cast("string"), F.round("s_acctbal", 2).cast("string"), F.lit("+"), F.lit("1"), F.lit("1"))
+    other = spark.createDataFrame([("xx#1\t1\t2\tref\t1\t2\t0.5\t+\t1\t1",)], "value string")
+    path = written(table(spark, d, "supplier").select(line.alias("value")).unionByName(other), "untangle")
+    return R.untangle(spark, path, species=["sp"]).select("query", "ref_start", "score")
+
+
+@query("s22_association", "SELECT p_partkey::VARCHAR AS snp, round(p_retailprice, 2) AS beta, CASE WHEN p_partkey % 5 <> 0 THEN p_size / 100.0 END AS p FROM part WHERE p_partkey % 2 = 0")
+def association(spark, d):
+    k = F.col("p_partkey")
+    p = F.when(k % 5 == 0, "NA").otherwise((F.col("p_size") / 100).cast("string"))
+    test = F.when(k % 2 == 0, "ADD").otherwise("COV1")
+    line = F.concat_ws("  ", F.lit("1"), k.cast("string"), F.lit("10"), F.lit("A"), test, F.lit("99"), F.round("p_retailprice", 2).cast("string"), F.lit("1.0"), p)
+    head = spark.createDataFrame([("CHR SNP BP A1 TEST NMISS BETA STAT P",)], "value string")
+    path = written(head.unionByName(table(spark, d, "part").select(line.alias("value"))), "assoc")
+    return R.association(spark, [path]).select(F.col("SNP").alias("snp"), F.col("BETA").alias("beta"), F.col("P").alias("p"))
+
+
+@query("s24_s29_manifest", "SELECT 'h' || n_regionkey AS hap, n_name AS gene, n_nationkey::BIGINT AS cn FROM nation WHERE n_regionkey < 2")
+def manifest(spark, d):
+    base = place(spark, "haps")
+    rows = []
+    for r in (0, 1):
+        table(spark, d, "nation").filter(F.col("n_regionkey") == r).select("n_name", "n_nationkey").coalesce(1).write.option("sep", "\t").csv(f"{base}/{r}")
+        found = spark.read.option("pathGlobFilter", "part-*").text(f"{base}/{r}").select(F.input_file_name().alias("f")).distinct().first()["f"]
+        rows.append((f"h{r}", found))
+    listed_ = spark.createDataFrame(rows, "hap string, path string")
+    return R.from_manifest(spark, listed_, "path", "hap", "gene string, cn long").select("hap", "gene", "cn")
+
+
+@query("s26_single_metadata", "SELECT s_name, round(s_acctbal, 2) AS base_count FROM supplier WHERE s_suppkey = 17")
+def single_metadata(spark, d):
+    from ..functions import contracts as C
+
+    s = table(spark, d, "supplier").filter("s_suppkey = 17").select("s_name", F.round("s_acctbal", 2).alias("base_count"))
+    C.exactly_one(s, "metadata")
+    return s
+
+
+@query("s31_whitelist", "SELECT DISTINCT n_name AS value FROM nation WHERE n_nationkey < 5 UNION SELECT r_name FROM region")
+def whitelist_files(spark, d):
+    ids, regions = place(spark, "ids"), place(spark, "tab")
+    W.lines(table(spark, d, "nation").filter("n_nationkey < 5"), ids, "n_name")
+    W.tsv(table(spark, d, "region"), regions)
+    return R.whitelist(spark, [ids], {regions: ["gene_label", "r_name"]})
+
+
+@query("s33_site_manifest", "SELECT 'chr' || p_size AS chrom, p_partkey AS pos, (p_partkey % 2)::INT AS state, 0.8 AS weight, 2 AS shared FROM part WHERE p_partkey % 3 = 0")
+def site_manifest(spark, d):
+    k = F.col("p_partkey")
+    m = table(spark, d, "part").select(F.concat(F.lit("chr"), F.col("p_size").cast("string")).alias("CHROM"), k.alias("POS"), F.when(k % 3 == 0, "X|Y").when(k % 3 == 1, "Y").otherwise("X,Y").alias("SPECIFIC"), F.lit(0.8).alias("GF_SPECIFICITY"), F.concat(F.when(k % 3 == 2, ".").otherwise((k % 2).cast("string")), F.lit(":0.9")).alias("X"))
+    return R.site_manifest(m, "X")
+
+
+@query("s34_cohort_loader", "SELECT c_custkey, trim(c_mktsegment) AS panel FROM customer WHERE c_mktsegment = 'BUILDING' AND NOT starts_with(c_name, 'Customer#0000000')")
+def cohort_loader(spark, d):
+    from ..functions import contracts as C
+
+    c = table(spark, d, "customer").filter((F.trim("c_mktsegment") == "BUILDING") & ~F.startswith("c_name", F.lit("Customer#0000000")))
+    return C.require_unique(c, ["c_custkey"], "cohort").select("c_custkey", F.trim("c_mktsegment").alias("panel"))
