@@ -176,3 +176,58 @@ def clades(spark, d):
     return P.disjoint_clades(c, "grp", "clade", "s_suppkey", 2)
 
 
+
+
+@query("f30_localised", f"WITH i AS ({INTERVALS}), w AS (SELECT min(s) AS lo, max(e) AS hi FROM i WHERE grp = 7) SELECT id, line FROM i, w WHERE s >= lo AND e <= hi AND grp <= 20")
+def localised(spark, d):
+    i = shipments(spark, d)
+    lo, hi = i.filter("grp = 7").agg(F.min("s"), F.max("e")).first()
+    return i.filter((F.col("grp") <= 20) & (F.col("s") >= lo) & (F.col("e") <= hi)).select("id", "line")
+
+
+@query("f31_attachable", f"WITH i AS (SELECT * FROM ({INTERVALS}) WHERE grp % 25 = 0), p AS (SELECT a.id AS id, a.line AS line, b.id AS id2, b.line AS line2, least(a.e, b.e) - greatest(a.s, b.s) AS o, a.e - a.s AS la, b.e - b.s AS lb FROM i a JOIN i b ON a.grp = b.grp AND a.s < b.e AND b.s < a.e AND (a.id, a.line) < (b.id, b.line)) SELECT id, line, id2, line2, o >= 0.5 * la OR o >= 0.5 * lb AS attachable, la > 3 * lb OR lb > 3 * la AS stretched FROM p")
+def attachable(spark, d):
+    i = shipments(spark, d).filter("grp % 25 = 0")
+    b = i.select(F.col("id").alias("id2"), F.col("line").alias("line2"), "grp", F.col("s").alias("s2"), F.col("e").alias("e2"))
+    p = I.overlap_join_half_open(i, b, ("s", "e"), ("s2", "e2"), ["grp"], 64).filter("id < id2 or (id = id2 and line < line2)")
+    la, lb, o = F.col("e") - F.col("s"), F.col("e2") - F.col("s2"), F.col("overlap")
+    return p.select("id", "line", "id2", "line2", ((o >= 0.5 * la) | (o >= 0.5 * lb)).alias("attachable"), ((la > 3 * lb) | (lb > 3 * la)).alias("stretched"))
+
+
+@query("w21_frames", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY floor(value) RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS near FROM events")
+def frames(spark, d):
+    w = Window.partitionBy("user_id").orderBy("v").rangeBetween(-5, 5)
+    return table(spark, d, "events").withColumn("v", F.floor("value")).select("event_id", F.count("*").over(w).alias("near"))
+
+
+@query("x24_natural_key", "SELECT p_brand, regexp_extract(p_brand, '^(\\D*)', 1) || lpad(regexp_extract(p_brand, '(\\d+)', 1), 20, '0') AS key FROM (SELECT DISTINCT p_brand FROM part)")
+def natural_keys(spark, d):
+    from ..functions.expressions import natural_key
+
+    return table(spark, d, "part").select("p_brand").distinct().select("p_brand", natural_key(F.col("p_brand")).alias("key"))
+
+
+@query("m07_x28_number_text")
+def number_text(spark, d):
+    rows = table(spark, d, "region").orderBy("r_regionkey").collect()  # five rows
+    return spark.createDataFrame([(r["r_name"], P.stable_seed(r["r_name"]), P.short_number(r["r_regionkey"] / 3e7)) for r in rows], "name string, seed long, text string")
+
+
+@query("m18_m57_trend")
+def trend(spark, d):
+    """Slope toward the present of the daily mean of each event type, its p and 95 % limits; null for fewer than three days."""
+    from ..functions import numeric as N
+
+    days = table(spark, d, "events").groupBy("event_type", F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).alias("day")).agg(F.avg("value").alias("v"))
+    g = days.groupBy("event_type").agg(F.count("*").alias("n"), F.regr_slope("v", -F.col("day")).alias("slope"), F.regr_sxx("v", -F.col("day")).alias("sxx"), F.regr_r2("v", -F.col("day")).alias("r2"), F.regr_syy("v", -F.col("day")).alias("syy"))
+
+    def tests(batches):
+        for p in batches:
+            df = p["n"] - 2
+            se = ((p["syy"] * (1 - p["r2"]) / df) / p["sxx"]) ** 0.5
+            t = p["slope"] / se
+            ok = p["n"] >= 3
+            half = [N.t_quantile(0.975, k) * s if good else None for k, s, good in zip(df, se, ok, strict=True)]
+            yield p.assign(p=[N.t_two_sided(a, k) if good else None for a, k, good in zip(t, df, ok, strict=True)], low=p["slope"] - half, high=p["slope"] + half)[["event_type", "n", "slope", "p", "low", "high"]]
+
+    return g.mapInPandas(tests, "event_type string, n long, slope double, p double, low double, high double")
