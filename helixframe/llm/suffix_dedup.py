@@ -39,7 +39,7 @@ BATCH_BYTES = 1 << 20
 SIDE, SIDE_BITS = (LENGTH - K) // 2, 4
 BROADCAST_IDS = 1_000_000
 HOT_ROWS = 64
-HOT_SEGMENTS = 2_000
+HOT_SEGMENTS = 50_000  # about 4 MB of segments, one batch of a task
 MARK = -(1 << 63)
 SEPARATOR = 255  # no byte of UTF-8
 
