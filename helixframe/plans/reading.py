@@ -229,11 +229,11 @@ def manifest(spark, d):
     return R.from_manifest(spark, listed_, "path", "hap", "gene string, cn long").select("hap", "gene", "cn")
 
 
-@query("s26_single_metadata", "SELECT s_name, round(s_acctbal, 2) AS base_count FROM supplier WHERE s_suppkey = 17")
+@query("s26_single_metadata", "SELECT s_name, round(s_acctbal, 2) AS base_count FROM supplier WHERE s_suppkey = 7")
 def single_metadata(spark, d):
     from ..functions import contracts as C
 
-    s = table(spark, d, "supplier").filter("s_suppkey = 17").select("s_name", F.round("s_acctbal", 2).alias("base_count"))
+    s = table(spark, d, "supplier").filter("s_suppkey = 7").select("s_name", F.round("s_acctbal", 2).alias("base_count"))
     C.exactly_one(s, "metadata")
     return s
 
