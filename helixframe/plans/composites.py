@@ -10,7 +10,7 @@ from ..operators import intervals as I
 from ..session import table
 from .filters_joins import INTERVALS, shipments
 from .grouping import r6
-from .registry import query
+from .registry import query, whole
 
 
 @query("a12_mean_depth", f"WITH i AS ({INTERVALS}), w AS (SELECT unnest(range(8000, 11000, 100)) AS ws), c AS (SELECT grp, ws, sum(greatest(0, least(e, ws + 100) - greatest(s, ws))) AS bp FROM i JOIN w ON s < ws + 100 AND e > ws GROUP BY 1, 2) SELECT grp, ws::BIGINT AS ws, round(bp / 100.0, 6) AS depth FROM c")
@@ -32,11 +32,14 @@ def minority(spark, d):
 
 
 @query("a39_units_from_seeds", f"WITH i AS (SELECT * FROM ({INTERVALS}) WHERE grp % 10 = 0), m AS (SELECT *, max(e) OVER (PARTITION BY grp ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM i), f AS (SELECT *, sum(CASE WHEN pm IS NULL OR s > pm THEN 1 ELSE 0 END) OVER (PARTITION BY grp ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM m), u AS (SELECT grp, k, min(s) AS s, max(e) AS e FROM f GROUP BY 1, 2) SELECT grp, min(s) AS s, max(e) AS e, count(*) AS exons, sum(e - s)::BIGINT AS bp FROM u GROUP BY 1")
-def units(spark, d):
-    u = I.union_touching(shipments(spark, d).filter("grp % 10 = 0"), ["grp"], "s", "e")
+def units(spark, d, groups="grp % 10 = 0"):
+    u = I.union_touching(shipments(spark, d).filter(groups), ["grp"], "s", "e")
     return u.groupBy("grp").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.count("*").alias("exons"), F.sum(F.col("e") - F.col("s")).alias("bp"))
 
 
+whole("a39_units_from_seeds", " WHERE grp % 10 = 0", groups="true")
+
+
 @query("m02_logs", "SELECT event_id, CASE WHEN value > 0 THEN round(log10(value), 6) END AS l10 FROM events")
 def logs(spark, d):
     return table(spark, d, "events").select("event_id", F.when(F.col("value") > 0, F.round(F.log10("value"), 6)).alias("l10"))
@@ -86,12 +89,15 @@ def qc_summary(spark, d):
 
 
 @query("p12_p28_endpoint_hits", f"WITH i AS ({INTERVALS}), p AS (SELECT p_partkey, p_partkey % 100 + 1 AS grp, 9000 + p_partkey AS pos FROM part WHERE p_partkey % 10 = 0) SELECT p_partkey, count(id) AS hits, count(id) > 0 AS te_hit FROM p LEFT JOIN i ON i.grp = p.grp AND pos BETWEEN s - 5 AND e + 5 GROUP BY 1")
-def endpoint_hits(spark, d):
-    p = table(spark, d, "part").filter("p_partkey % 10 = 0").select("p_partkey", (F.col("p_partkey") % 100 + 1).alias("grp"), (F.col("p_partkey") + 9000).alias("pos"))
+def endpoint_hits(spark, d, parts="p_partkey % 10 = 0"):
+    p = table(spark, d, "part").filter(parts).select("p_partkey", (F.col("p_partkey") % 100 + 1).alias("grp"), (F.col("p_partkey") + 9000).alias("pos"))
     hits = I.point_join_closed(p, shipments(spark, d), "pos", ("s", "e"), ["grp"], 5, 64)
     return hits.groupBy("p_partkey").agg(F.count("id").alias("hits"), (F.count("id") > 0).alias("te_hit"))
 
 
+whole("p12_p28_endpoint_hits", " WHERE p_partkey % 10 = 0", parts="true")
+
+
 @query("p14_endpoint_statistics", "SELECT l_suppkey, count_if(a AND b) AS both_ends, count_if(a OR b) AS any_end, count_if(NOT a AND NOT b) AS no_end FROM (SELECT l_suppkey, l_discount > 0.05 AS a, l_tax > 0.04 AS b FROM lineitem) GROUP BY 1")
 def endpoint_statistics(spark, d):
     a, b = F.col("l_discount") > 0.05, F.col("l_tax") > 0.04
@@ -156,7 +162,7 @@ def site_filters(spark, d):
 
 @query("j15_greedy_assignment")
 def greedy(spark, d):
-    i = shipments(spark, d).filter("grp % 10 = 0")
+    i = shipments(spark, d)
     a = i.filter("line = 1").select("grp", F.col("id").alias("a"), "s", "e")
     b = i.filter("line > 1").select("grp", (F.col("id") * 10 + F.col("line")).alias("b"), F.col("s").alias("s2"), F.col("e").alias("e2"))
     pairs = I.overlap_join_half_open(a, b, ("s", "e"), ("s2", "e2"), ["grp"], 64).withColumn("share", F.col("overlap") / (F.col("e") - F.col("s")))
@@ -166,7 +172,7 @@ def greedy(spark, d):
 
 @query("p10_merged_blocks")
 def merged_blocks(spark, d):
-    i = shipments(spark, d).filter("grp % 20 = 0 and line = 1").select("grp", F.col("s").alias("qs"), F.col("e").alias("qe"), (F.col("s") + F.col("id") % 3).alias("ts"), (F.col("e") + F.col("id") % 3).alias("te"))
+    i = shipments(spark, d).filter("line = 1").select("grp", F.col("s").alias("qs"), F.col("e").alias("qe"), (F.col("s") + F.col("id") % 3).alias("ts"), (F.col("e") + F.col("id") % 3).alias("te"))
     return P.merged_to_fixpoint(i, ["grp"], 5, 2)
 
 
@@ -179,21 +185,27 @@ def clades(spark, d):
 
 
 @query("f30_localised", f"WITH i AS ({INTERVALS}), w AS (SELECT min(s) AS lo, max(e) AS hi FROM i WHERE grp = 7) SELECT id, line FROM i, w WHERE s >= lo AND e <= hi AND grp <= 20")
-def localised(spark, d):
+def localised(spark, d, groups="grp <= 20"):
     i = shipments(spark, d)
     lo, hi = i.filter("grp = 7").agg(F.min("s"), F.max("e")).first()
-    return i.filter((F.col("grp") <= 20) & (F.col("s") >= lo) & (F.col("e") <= hi)).select("id", "line")
+    return i.filter(groups).filter((F.col("s") >= lo) & (F.col("e") <= hi)).select("id", "line")
+
+
+whole("f30_localised", " AND grp <= 20", groups="true")
 
 
 @query("f31_attachable", f"WITH i AS (SELECT * FROM ({INTERVALS}) WHERE grp % 25 = 0), p AS (SELECT a.id AS id, a.line AS line, b.id AS id2, b.line AS line2, least(a.e, b.e) - greatest(a.s, b.s) AS o, a.e - a.s AS la, b.e - b.s AS lb FROM i a JOIN i b ON a.grp = b.grp AND a.s < b.e AND b.s < a.e AND (a.id, a.line) < (b.id, b.line)) SELECT id, line, id2, line2, o >= 0.5 * la OR o >= 0.5 * lb AS attachable, la > 3 * lb OR lb > 3 * la AS stretched FROM p")
-def attachable(spark, d):
-    i = shipments(spark, d).filter("grp % 25 = 0")
+def attachable(spark, d, groups="grp % 25 = 0"):
+    i = shipments(spark, d).filter(groups)
     b = i.select(F.col("id").alias("id2"), F.col("line").alias("line2"), "grp", F.col("s").alias("s2"), F.col("e").alias("e2"))
     p = I.overlap_join_half_open(i, b, ("s", "e"), ("s2", "e2"), ["grp"], 64).filter("id < id2 or (id = id2 and line < line2)")
     la, lb, o = F.col("e") - F.col("s"), F.col("e2") - F.col("s2"), F.col("overlap")
     return p.select("id", "line", "id2", "line2", ((o >= 0.5 * la) | (o >= 0.5 * lb)).alias("attachable"), ((la > 3 * lb) | (lb > 3 * la)).alias("stretched"))
 
 
+whole("f31_attachable", " WHERE grp % 25 = 0", groups="true")
+
+
 @query("w21_frames", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY floor(value) RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS near FROM events")
 def frames(spark, d):
     w = Window.partitionBy("user_id").orderBy("v").rangeBetween(-5, 5)

@@ -15,7 +15,7 @@ from ..operators import trees as T
 from ..session import table
 from ..streaming import windows as SW
 from .grouping import r6
-from .registry import query
+from .registry import query, whole
 
 
 @query("g01_connected_components", "WITH RECURSIVE e AS (SELECT a.l_suppkey AS a, b.l_suppkey AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey <> b.l_suppkey WHERE a.l_quantity = 50 AND b.l_quantity = 50), r AS (SELECT a AS node, a AS reach FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.reach = e.a) SELECT node, min(reach) AS component FROM r GROUP BY node")
@@ -119,13 +119,16 @@ def anchor_interval(spark, d):
 
 
 @query("p21_panel", "SELECT p_partkey AS site, s AS sample, coalesce(g, '.|.') AS gt FROM part, (SELECT unnest([1, 2, 3]) AS s) LEFT JOIN (SELECT l_partkey, l_suppkey, max(CASE WHEN l_quantity > 25 THEN '1|0' ELSE '0|0' END) AS g FROM lineitem GROUP BY 1, 2) ON l_partkey = p_partkey AND l_suppkey = s WHERE p_partkey % 20 = 0")
-def panel(spark, d):
-    sites = table(spark, d, "part").filter("p_partkey % 20 = 0").select(F.col("p_partkey").alias("site"))
+def panel(spark, d, parts="p_partkey % 20 = 0"):
+    sites = table(spark, d, "part").filter(parts).select(F.col("p_partkey").alias("site"))
     spine = sites.select("site", F.explode(F.array(*[F.lit(k) for k in (1, 2, 3)])).alias("sample"))
     g = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("site"), F.col("l_suppkey").cast("int").alias("sample")).agg(F.max(F.when(F.col("l_quantity") > 25, "1|0").otherwise("0|0")).alias("g"))
     return spine.join(g, ["site", "sample"], "left").select("site", "sample", F.coalesce("g", F.lit(".|.")).alias("gt"))
 
 
+whole("p21_panel", " WHERE p_partkey % 20 = 0", parts="true")
+
+
 @query("p23_representative", "SELECT c_nationkey, c_custkey FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC NULLS LAST, c_custkey) AS rn FROM customer) WHERE rn = 1")
 def representative(spark, d):
     return O.best_record(table(spark, d, "customer"), ["c_nationkey"], [F.desc_nulls_last("c_acctbal"), F.asc("c_custkey")]).select("c_nationkey", "c_custkey")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..session import table
-from .registry import query
+from .registry import query, whole
 
 
 @query("x01_split_limit", "SELECT s_suppkey, p[1] AS chrom, p[2]::BIGINT AS pos, p[3] AS ref, p[4] AS alt FROM (SELECT s_suppkey, string_split('chr' || s_nationkey || ':' || s_suppkey || ':A:' || s_name, ':') AS p FROM supplier) WHERE len(p) = 4")
@@ -152,13 +152,16 @@ def json_props(spark, d):
 
 
 @query("x27_path_join", "SELECT l_orderkey, l_linenumber, string_agg(l_suppkey::VARCHAR, '+') OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS path FROM lineitem WHERE l_orderkey % 10 = 3")
-def path_join(spark, d):
-    li = table(spark, d, "lineitem").filter("l_orderkey % 10 = 3")
+def path_join(spark, d, orders="l_orderkey % 10 = 3"):
+    li = table(spark, d, "lineitem").filter(orders)
     ordered = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey")))
     paths = li.groupBy("l_orderkey").agg(F.array_join(F.transform(ordered, lambda x: x["l_suppkey"].cast("string")), "+").alias("path"))
     return li.select("l_orderkey", "l_linenumber").join(paths, "l_orderkey")
 
 
+whole("x27_path_join", " WHERE l_orderkey % 10 = 3", orders="true")
+
+
 @query("x29_date_functions", "SELECT o_orderkey, year(o_orderdate)::INT AS y, quarter(o_orderdate)::INT AS q, strftime(o_orderdate, '%Y-%m') AS m, date_diff('day', DATE '1992-01-01', o_orderdate::DATE)::INT AS days FROM orders")
 def dates(spark, d):
     t = F.col("o_orderdate")
