@@ -44,9 +44,10 @@ def patched(df: DataFrame, patches: DataFrame, key: str, seq: str, pos: str, bas
     return joined.withColumn("patched", F.coalesce(F.array_join(chars, ""), F.col(seq))).drop("__p")
 
 
-def columns_of(df: DataFrame, key: str, group: str, seq: str, width: int) -> DataFrame:
-    """key, group, pos (1-based), base of the first `width` letters of aligned sequences."""
-    return df.select(key, group, F.posexplode(F.split(F.substring(seq, 1, width), "")).alias("p", "base")).filter("base <> ''").select(key, group, (F.col("p") + 1).alias("pos"), "base")
+def columns_of(df: DataFrame, key: str, group: str, seq: str, width: int | None = None) -> DataFrame:
+    """key, group, pos (1-based), base of all letters of aligned sequences, or of the first `width`; shorter ones lack the later columns."""
+    letters = F.col(seq) if width is None else F.substring(seq, 1, width)
+    return df.select(key, group, F.posexplode(F.split(letters, "")).alias("p", "base")).filter("base <> ''").select(key, group, (F.col("p") + 1).alias("pos"), "base")
 
 
 def variable_sites(columns: DataFrame, group: str, reference: Column, gap: str = "-") -> DataFrame:

@@ -67,7 +67,16 @@ def blocks(spark, d):
 @query("p04_informative_sites", "WITH c AS (SELECT doc_id, unnest(range(1, 61)) AS pos, unnest(list_transform(range(1, 61), lambda i: substr(text, i, 1))) AS b FROM documents WHERE length(text) >= 60 AND doc_id < 200), p AS (SELECT pos, max(CASE WHEN doc_id = 0 THEN b END) AS pa, max(CASE WHEN doc_id = 1 THEN b END) AS pb FROM c GROUP BY 1) SELECT doc_id, count_if(b = pa) AS from_a, count_if(b = pb) AS from_b FROM c JOIN p USING (pos) WHERE pa <> pb AND doc_id > 1 AND (b = pa OR b = pb) AND b NOT IN ('-', 'N') GROUP BY 1")
 def informative(spark, d):
     docs = table(spark, d, "documents").filter("length(text) >= 60 and doc_id < 200")
-    c = docs.select("doc_id", F.posexplode(F.split(F.substring("text", 1, 60), "")).alias("pos", "b")).filter("pos < 60")
+    return informative_sites(docs.select("doc_id", F.posexplode(F.split(F.substring("text", 1, 60), "")).alias("pos", "b")).filter("pos < 60"))
+
+
+@query("p04_informative_sites_whole")
+def informative_whole(spark, d):
+    """All places of all documents."""
+    return informative_sites(table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "")).alias("pos", "b")).filter("b <> ''"))
+
+
+def informative_sites(c):
     side = lambda k, name: F.max(F.when(F.col("doc_id") == k, F.col("b"))).alias(name)
     p = c.groupBy("pos").agg(side(0, "pa"), side(1, "pb")).filter("pa <> pb")
     rows = c.filter("doc_id > 1").join(F.broadcast(p), "pos").filter("(b = pa or b = pb) and b not in ('-', 'N')")

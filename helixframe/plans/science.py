@@ -81,24 +81,37 @@ def monophyly(spark, d):
 _COLS = "c AS (SELECT doc_id, source AS grp, unnest(range(1, 41)) AS pos, unnest(list_transform(range(1, 41), lambda i: substr(text, i, 1))) AS base FROM documents WHERE length(text) >= 40)"
 
 
-def columns(spark, d):
-    return Q.columns_of(table(spark, d, "documents").filter(F.length("text") >= 40), "doc_id", "source", "text", 40)
+def columns(spark, d, width=40):
+    docs = table(spark, d, "documents")
+    return Q.columns_of(docs.filter(F.length("text") >= width) if width else docs, "doc_id", "source", "text", width)
 
 
 @query("p18_a22_variable_sites", f"WITH {_COLS}, r AS (SELECT pos, max(base) AS ref FROM c WHERE doc_id = 0 GROUP BY 1), n AS (SELECT pos, base, count(*) AS k FROM c GROUP BY 1, 2), t AS (SELECT pos, sum(k)::BIGINT AS n FROM n GROUP BY 1), b AS (SELECT n.pos, ref, base, k, row_number() OVER (PARTITION BY n.pos ORDER BY k DESC, base) AS rn FROM n JOIN r ON n.pos = r.pos WHERE base <> ref AND base <> '-') SELECT b.pos::INT AS pos, ref, base AS alt, k AS alt_count, n FROM b JOIN t ON b.pos = t.pos WHERE rn = 1")
-def variable(spark, d):
-    return Q.variable_sites(columns(spark, d), "source", F.col("doc_id") == 0)
+def variable(spark, d, width=40):
+    return Q.variable_sites(columns(spark, d, width), "source", F.col("doc_id") == 0)
+
+
+@query("p18_a22_variable_sites_whole")
+def variable_whole(spark, d):
+    """All places of all documents."""
+    return variable(spark, d, None)
 
 
 @query("p05_focal_states", f"WITH {_COLS}, r AS (SELECT pos, max(CASE WHEN doc_id = 0 THEN base END) AS l, max(CASE WHEN doc_id = 1 THEN base END) AS r FROM c GROUP BY 1) SELECT doc_id, count_if(base = l AND base <> r) AS left_n, count_if(base = r AND base <> l) AS right_n, count_if(base <> l AND base <> r) AS other_n FROM c JOIN r USING (pos) WHERE l <> r GROUP BY 1")
-def focal(spark, d):
-    c = columns(spark, d)
+def focal(spark, d, width=40):
+    c = columns(spark, d, width)
     side = lambda k, name: F.max(F.when(F.col("doc_id") == k, F.col("base"))).alias(name)
     flank = c.groupBy("pos").agg(side(0, "l"), side(1, "r")).filter("l <> r")
     b, left, right = F.col("base"), F.col("l"), F.col("r")
     return c.join(F.broadcast(flank), "pos").groupBy("doc_id").agg(F.count_if(b == left).alias("left_n"), F.count_if(b == right).alias("right_n"), F.count_if((b != left) & (b != right)).alias("other_n"))
 
 
+@query("p05_focal_states_whole")
+def focal_whole(spark, d):
+    """All places of all documents."""
+    return focal(spark, d, None)
+
+
 @query("p11_p13_transitions", "WITH i AS (SELECT user_id, event_id, ts, event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nt, epoch(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) - epoch(ts) AS gap FROM events) SELECT event_id, event_type || '>' || nt AS kind, gap <= 5000 AS joined FROM i WHERE nt IS NOT NULL")
 def transitions(spark, d):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")

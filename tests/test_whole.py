@@ -5,7 +5,7 @@ import pytest
 from helixframe.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-WHOLE = sorted(n for n in catalog.QUERIES if n.endswith("_whole"))
+WHOLE = sorted(n for n in catalog.SQL if n.endswith("_whole"))
 
 
 @pytest.mark.parametrize("name", WHOLE)
@@ -26,3 +26,43 @@ def test_unregistered_restrictions_are_gone(spark):
     assert {r[0] for r in catalog.QUERIES["p10_merged_blocks"](spark, SF).select("grp").distinct().collect()} == groups
     got = {r[0] for r in catalog.QUERIES["j15_greedy_assignment"](spark, SF).select("grp").distinct().collect()}
     assert any(g % 10 for g in got)
+
+
+@pytest.fixture(scope="module")
+def texts(spark, tmp_path_factory):
+    """Aligned texts longer than 60 letters, with short ones and ids from 200 on."""
+    import random
+
+    draw = random.Random(3)
+    rows = [(i, "".join(draw.choice("ACGé-N") for _ in range(n))) for i, n in ((0, 150), (1, 130), (2, 160), (3, 20), (4, 0), (250, 140), (999, 7))]
+    path = tmp_path_factory.mktemp("texts")
+    spark.createDataFrame([(i, t, "s") for i, t in rows] + [(5, None, "s")], "doc_id long, text string, source string").write.parquet(f"{path}/documents.parquet")
+    return str(path), dict(rows)
+
+
+def test_variable_sites_of_all_places(spark, texts):
+    path, rows = texts
+    want = set()
+    for pos, ref in enumerate(rows[0]):
+        column = [t[pos] for t in rows.values() if len(t) > pos]
+        other = [(-column.count(b), b) for b in set(column) - {ref, "-"}]
+        if other:
+            n, alt = min(other)
+            want.add((pos + 1, ref, alt, -n, len(column)))
+    assert {tuple(r) for r in catalog.QUERIES["p18_a22_variable_sites_whole"](spark, path).collect()} == want
+
+
+def test_states_of_all_places(spark, texts):
+    path, rows = texts
+    sites = [(k, a, b) for k, (a, b) in enumerate(zip(rows[0], rows[1])) if a != b]
+    focal, informative = {}, {}
+    for i, t in rows.items():
+        at = [(t[k], a, b) for k, a, b in sites if k < len(t)]
+        if at:
+            left, right = sum(x == a for x, a, _ in at), sum(x == b for x, _, b in at)
+            focal[i] = (left, right, len(at) - left - right)
+        at = [x for x in at if x[0] not in "-N" and x[0] in x[1:]]
+        if i > 1 and at:
+            informative[i] = (sum(x == a for x, a, _ in at), sum(x == b for x, _, b in at))
+    assert {r[0]: tuple(r)[1:] for r in catalog.QUERIES["p05_focal_states_whole"](spark, path).collect()} == focal
+    assert {r[0]: tuple(r)[1:] for r in catalog.QUERIES["p04_informative_sites_whole"](spark, path).collect()} == informative
