@@ -74,16 +74,21 @@ def pruned(rows: list[tuple], tips: set[str]) -> list[tuple[int, int | None, flo
     return out
 
 
-def ancestors(edges: DataFrame, child: str = "node", parent: str = "parent", max_depth: int = 64) -> DataFrame:
-    """(node, ancestor, steps) for every node and each ancestor, itself at 0 steps; doubling keeps it to log(depth) joins."""
+def ancestors(edges: DataFrame, child: str = "node", parent: str = "parent") -> DataFrame:
+    """(node, ancestor, steps) for every node and each ancestor, itself at 0 steps; doubling keeps it to log(depth) joins
+    and ends when no node has an ancestor further up. A cycle raises ValueError."""
     up = edges.filter(F.col(parent).isNotNull()).select(F.col(child).alias("node"), F.col(parent).alias("ancestor"), F.lit(1).alias("steps"))
     nodes = edges.select(F.col(child).alias("node")).union(edges.filter(F.col(parent).isNotNull()).select(parent)).distinct()
     known = nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("steps"))
-    jump, reach = up, 1
-    while reach < max_depth:
+    durable = edges.sparkSession.sparkContext.getCheckpointDir() or edges.sparkSession.conf.get("spark.checkpoint.dir", None)
+    keep = (lambda df: df.checkpoint()) if durable else (lambda df: df.persist())
+    jump, reach, size = keep(up), 1, nodes.count()
+    while not jump.isEmpty():
+        if reach >= size:
+            raise ValueError("the tree has a cycle")
         more = known.join(jump.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("__a"), F.col("steps").alias("__s")), "ancestor")
         known = known.unionByName(more.select("node", F.col("__a").alias("ancestor"), (F.col("steps") + F.col("__s")).alias("steps"))).distinct()
-        jump = jump.join(jump.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("__a"), F.col("steps").alias("__s")), "ancestor").select("node", F.col("__a").alias("ancestor"), (F.col("steps") + F.col("__s")).alias("steps"))
+        jump = keep(jump.join(jump.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("__a"), F.col("steps").alias("__s")), "ancestor").select("node", F.col("__a").alias("ancestor"), (F.col("steps") + F.col("__s")).alias("steps")))
         reach *= 2
     return known
 

@@ -14,7 +14,7 @@ from ..operators import sequence as Q
 from ..operators import trees as T
 from ..session import table
 from .reading import written
-from .registry import query
+from .registry import query, whole
 from .science import item_kmers, order_tree
 
 
@@ -139,14 +139,17 @@ _TREE = "t AS (SELECT o_orderkey AS node, nullif(o_orderkey // 2, 0) AS parent,
 
 
 @query("p24_episodes", f"WITH RECURSIVE {_TREE}, g AS (SELECT node FROM t WHERE status = 'F'), top AS (SELECT g.node AS node, arg_max(r.anc, r.steps) AS root FROM g JOIN r ON r.node = g.node WHERE r.anc IN (SELECT node FROM g) GROUP BY 1) SELECT root, count(*) AS branches FROM top GROUP BY 1")
-def episodes(spark, d):
+def episodes(spark, d, **rows):
     """Gain branches grouped under the topmost gain branch above them."""
-    tree = order_tree(spark, d)
+    tree = order_tree(spark, d, **rows)
     gains = tree.filter("status = 'F'").select("node")
-    up = T.ancestors(tree, max_depth=16).join(gains, "node").join(gains.select(F.col("node").alias("ancestor")), "ancestor")
+    up = T.ancestors(tree).join(gains, "node").join(gains.select(F.col("node").alias("ancestor")), "ancestor")
     return up.groupBy("node").agg(F.max_by("ancestor", "steps").alias("root")).groupBy("root").agg(F.count("*").alias("branches"))
 
 
+whole("p24_episodes", " WHERE o_orderkey BETWEEN 1 AND 1000", orders="true")
+
+
 @query("p17_pseudo_reference", "SELECT n_nationkey, substr(n_name, 1, 1) || 'Z' || substr(n_name, 3) AS patched, translate('0101', '01', '10') AS flipped FROM nation")
 def pseudo_reference(spark, d):
     from ..functions.expressions import flipped

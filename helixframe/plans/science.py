@@ -47,26 +47,32 @@ def mash(spark, d):
 _TREE = "t AS (SELECT o_orderkey AS node, nullif(o_orderkey // 2, 0) AS parent, o_orderstatus AS status FROM orders WHERE o_orderkey BETWEEN 1 AND 1000), r AS (SELECT node, node AS anc, 0 AS steps FROM t UNION ALL SELECT r.node, t.parent, r.steps + 1 FROM r JOIN t ON r.anc = t.node WHERE t.parent IS NOT NULL)"
 
 
-def order_tree(spark, d):
-    o = table(spark, d, "orders").filter("o_orderkey between 1 and 1000")
+def order_tree(spark, d, orders="o_orderkey between 1 and 1000"):
+    o = table(spark, d, "orders").filter(orders)
     return o.select(F.col("o_orderkey").alias("node"), F.nullif(F.floor(F.col("o_orderkey") / 2), F.lit(0).cast("long")).alias("parent"), F.col("o_orderstatus").alias("status"))
 
 
 @query("j24_nearest_ancestor", f"WITH RECURSIVE {_TREE} SELECT t.node AS node, (SELECT arg_min(anc, steps) FROM r JOIN t u ON r.anc = u.node WHERE r.node = t.node AND steps > 0 AND u.status = 'F') AS nearest FROM t")
-def nearest_ancestor(spark, d):
-    tree = order_tree(spark, d)
-    return T.nearest_ancestor(T.ancestors(tree, max_depth=16), tree.filter("status = 'F'").select("node"))
+def nearest_ancestor(spark, d, **rows):
+    tree = order_tree(spark, d, **rows)
+    return T.nearest_ancestor(T.ancestors(tree), tree.filter("status = 'F'").select("node"))
+
+
+whole("j24_nearest_ancestor", " WHERE o_orderkey BETWEEN 1 AND 1000", orders="true")
 
 
 @query("j25_descendant_closure", f"WITH RECURSIVE {_TREE} SELECT anc AS ancestor, count(*) AS members, max(steps) AS depth FROM r GROUP BY 1")
-def descendants(spark, d):
-    return T.ancestors(order_tree(spark, d), max_depth=16).groupBy("ancestor").agg(F.count("*").alias("members"), F.max("steps").alias("depth"))
+def descendants(spark, d, **rows):
+    return T.ancestors(order_tree(spark, d, **rows)).groupBy("ancestor").agg(F.count("*").alias("members"), F.max("steps").alias("depth"))
+
+
+whole("j25_descendant_closure", " WHERE o_orderkey BETWEEN 1 AND 1000", orders="true")
 
 
 @query("g11_patristic", "WITH RECURSIVE t AS (SELECT i AS node, nullif(i // 2, 0) AS parent, i % 3 + 1.0 AS len FROM range(1, 64) x(i)), r AS (SELECT node, node AS anc FROM t UNION ALL SELECT r.node, t.parent FROM r JOIN t ON r.anc = t.node WHERE t.parent IS NOT NULL), d AS (SELECT node, sum(len) AS depth FROM (SELECT r.node, t.len FROM r JOIN t ON r.anc = t.node) GROUP BY 1), l AS (SELECT a.node AS a, b.node AS b, max(d.depth) AS lca FROM r a JOIN r b ON a.anc = b.anc AND a.node < b.node JOIN d ON d.node = a.anc WHERE a.node >= 32 AND b.node >= 32 GROUP BY 1, 2) SELECT a, b, (x.depth + y.depth - 2 * lca)::DOUBLE AS distance FROM l JOIN d x ON x.node = a JOIN d y ON y.node = b")
 def patristic(spark, d):
     edges = spark.range(1, 64).select(F.col("id").alias("node"), F.nullif(F.floor(F.col("id") / 2), F.lit(0).cast("long")).alias("parent"), (F.col("id") % 3 + 1.0).cast("double").alias("len"))
-    closure = T.ancestors(edges, max_depth=8)
+    closure = T.ancestors(edges)
     depth = closure.join(edges.select(F.col("node").alias("ancestor"), "len"), "ancestor").groupBy("node").agg(F.sum("len").alias("depth"))
     return T.patristic(closure, depth, edges.filter("node >= 32").select("node"))
 
@@ -75,7 +81,7 @@ def patristic(spark, d):
 def monophyly(spark, d):
     edges = spark.range(1, 64).select(F.col("id").alias("node"), F.nullif(F.floor(F.col("id") / 2), F.lit(0).cast("long")).alias("parent"))
     cluster = F.when(F.col("id") < 40, "a").when(F.col("id") < 48, "b").when(F.col("id") % 2 == 0, "c").otherwise("d")
-    return T.monophyletic(T.ancestors(edges, max_depth=8), spark.range(32, 64).select(F.col("id").alias("node"), cluster.alias("cluster")))
+    return T.monophyletic(T.ancestors(edges), spark.range(32, 64).select(F.col("id").alias("node"), cluster.alias("cluster")))
 
 
 _COLS = "c AS (SELECT doc_id, source AS grp, unnest(range(1, 41)) AS pos, unnest(list_transform(range(1, 41), lambda i: substr(text, i, 1))) AS base FROM documents WHERE length(text) >= 40)"

@@ -12,8 +12,10 @@ WHOLE = sorted(n for n in catalog.SQL if n.endswith("_whole"))
 def test_whole_has_more_rows(spark, name):
     sf = SF if name != "f30_localised_whole" else "/root/testdata/sf0.01"  # sf0.001 has fewer than 20 suppliers
     whole, part = (catalog.QUERIES[n](spark, sf) for n in (name, name.removesuffix("_whole")))
-    if name != "j13_exon_overlap_whole":  # its sums run over groups
+    if name not in ("j13_exon_overlap_whole", "j25_descendant_closure_whole", "p24_episodes_whole"):  # totals that grow with the rows
         assert part.exceptAll(whole).count() == 0
+    if name == "p24_episodes_whole":  # more branches under the roots
+        whole, part = (x.selectExpr("explode(sequence(1, branches))") for x in (whole, part))
     assert whole.count() > part.count()
 
 
@@ -66,3 +68,12 @@ def test_states_of_all_places(spark, texts):
             informative[i] = (sum(x == a for x, a, _ in at), sum(x == b for x, _, b in at))
     assert {r[0]: tuple(r)[1:] for r in catalog.QUERIES["p05_focal_states_whole"](spark, path).collect()} == focal
     assert {r[0]: tuple(r)[1:] for r in catalog.QUERIES["p04_informative_sites_whole"](spark, path).collect()} == informative
+
+
+def test_ancestors_of_a_deep_tree(spark):
+    from helixframe.operators import trees
+
+    chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(150)], "node int, parent int")
+    assert trees.ancestors(chain).count() == 150 * 151 // 2
+    with pytest.raises(ValueError):
+        trees.ancestors(spark.createDataFrame([(1, 2), (2, 1)], "node int, parent int"))
