@@ -77,3 +77,21 @@ def test_ancestors_of_a_deep_tree(spark):
     assert trees.ancestors(chain).count() == 150 * 151 // 2
     with pytest.raises(ValueError):
         trees.ancestors(spark.createDataFrame([(1, 2), (2, 1)], "node int, parent int"))
+
+
+def test_count_model_of_all_customers(spark, tmp_path):
+    import numpy as np
+
+    from helixframe.functions import numeric as N
+
+    rng = np.random.default_rng(1)
+    n = 6000
+    late = np.arange(n) >= 5000
+    high, price = rng.random(n) < 0.5, rng.integers(50_000, 150_000, n).astype(float)
+    done = rng.random(n) < np.where(late & high, 0.9, 0.3)
+    rows = [(i, "F" if f else "O", p, "1-URGENT" if h else "5-LOW") for i, (f, p, h) in enumerate(zip(done.tolist(), price.tolist(), high.tolist()))]
+    spark.createDataFrame(rows, "o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    want = N.chosen_count_model(high[:, None].astype(float), done.astype(float), price / 1e5)
+    got = catalog.QUERIES["m29_m31_count_models"](spark, str(tmp_path)).first()
+    assert got["rate_ratio"] == pytest.approx(float(np.exp(want["beta"][1])), rel=1e-9)
+    assert got["dispersion"] == pytest.approx(want["dispersion"], rel=1e-9)
