@@ -54,7 +54,7 @@ def shingles(texts: Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
     doc = np.repeat(np.arange(texts.n), per)
     n = len(word)
     h = np.full(max(0, n - size + 1), U64(size), U64)
-    for k in range(size):
+    for k in range(size if n >= size else 0):
         h = mix(h * U64(0x9E3779B97F4A7C15) + word[k : n - size + 1 + k])
     inside = doc[: n - size + 1] == doc[size - 1 :] if n >= size else np.zeros(0, bool)
     h, at = h[inside], doc[: max(0, n - size + 1)][inside]
