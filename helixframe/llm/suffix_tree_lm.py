@@ -1,22 +1,29 @@
 """Language-model scoring with a probabilistic suffix tree.
 
-A text is read as its words (A-Z lower-cased), each closed by a space, and an end symbol; the
-symbols are bytes, so every text has a probability. Counting takes whole texts: one pass counts
-the windows of DEPTH + 1 bytes (exact 48-bit keys, summed in each task before the shuffle);
-the counts of all shorter contexts are sums of those. A context of 1 to DEPTH bytes is kept if it
-makes up P_MIN of all positions or more and the distribution of the next byte diverges from
-that of its suffix by DIVERGENCE nats or more. P_MIN bounds the tree: there can be at most
-1 / P_MIN contexts of each length, however large the corpus is, so the tree may be sent to all tasks.
-Next-byte distributions are smoothed towards those of the suffix. For scoring the tree is closed
-under substrings, which makes it an automaton: from the last DEPTH bytes it reaches the longest
-state that is a suffix of the text so far.
-
-The word-unigram base counts every word of the training texts. Words that may hold 1/HEAVY of all
-tokens or more (at most HEAVY of them, as they hold as much of some part) are looked up in each task;
-all other words meet their counts in a shuffled join.
-
-Cases: null, empty and blank texts are the end token alone; without training texts all counts
-are 0; rows with null ids belong to the training texts; repeated rows count as often as they occur.
+A text is read as its words (A-Z lower-cased), each closed by a space, and an end symbol; the symbols are
+bytes (255, no byte of UTF-8, is the end and what stands before a text), so every text has a probability.
+
+Counting: one pass over the training texts counts all windows of DEPTH + 1 symbols (exact keys,
+summed in each task before the shuffle); the counts of shorter contexts are sums of those.
+Growing: windows are brought together by the last three symbols of their context. A context that occurs
+MIN_COUNT times or more is kept if the code length it saves (its count times the divergence of its
+next-symbol distribution from that of its suffix, in nats) exceeds what its parameters cost: half the log
+of its count for each symbol that follows it, and PENALTY. Suffixes of kept contexts are kept, and so are all
+contexts of one or two symbols. Distributions are smoothed towards those of the suffix. The thresholds are counts, so
+the tree grows with the corpus.
+Scoring: the longest kept suffix of what was read gives the next symbol's probability. The most frequent contexts, as
+many as fit HOT_CELLS cells, go to all tasks as a trie. A position whose next longer suffix is kept but not among them
+goes to the task that holds the subtree below that suffix: such a suffix is rare, so no task gets many. Positions travel as
+arrays, grouped by destination.
+
+The word-unigram base: about HEAVY_ROWS sampled texts name the words that may be frequent; they are counted in each
+task of the counting pass. All other words travel to the task that counts them, and only the sums of their documents
+come back. The sample decides where a word is counted, never what its count is.
+
+Cases: null, empty and blank texts are the end token alone; without training texts all counts are 0 and
+every symbol has the same probability; rows with null ids belong to the training texts; repeated rows count as often as they
+occur; an empty table gives no rows. docs is read three times and must give the same rows in the same
+order each time (a table does); otherwise the run fails with an error.
 """
 
 from __future__ import annotations
@@ -27,6 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,13 +42,18 @@ from .bytescan import SPACE, U64, Texts, halves, mix
 from .common import Scratch, documents
 
 DEPTH = 6
-P_MIN = 1e-5
-DIVERGENCE = 0.002
-PRIOR = 24.0
-HEAVY = 50_000
-PART_BYTES = 1 << 22
-END_WORD = np.uint64(0)
-NO_ID = -(1 << 63)
+MIN_COUNT = 20
+PENALTY = 12.0
+PRIOR = 5.0
+HOT_CELLS = 6_000_000
+HEAVY, HEAVY_ROWS = 20_000, 4_000
+PART_BYTES = 1 << 19
+HELD_KEYS = 1_500_000
+GROUP_WORDS, GROUP_DOCS = 2_000_000, 32_000
+BUCKET_TOKENS = 3_000_000
+END = 255
+SHORT = 2  # contexts up to this length are all kept
+TRAIN_BIT = np.uint16(1 << 15)
 
 
 def word_hashes(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -50,7 +63,7 @@ def word_hashes(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
 
 
 def symbols(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
-    """The symbols of all texts, DEPTH zeros before each, and where each text's symbols begin (and the end)."""
+    """The symbols of all texts, DEPTH ends before each, and where each text's symbols begin (and the end)."""
     begins, ends, per = texts.words()
     n_docs = texts.n
     lengths = ends - begins
@@ -58,7 +71,7 @@ def symbols(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     chars = np.concatenate([[0], np.cumsum(lengths)])
     doc_of_word = np.repeat(np.arange(n_docs), per)
     starts = chars[first[:-1]] + first[:-1] + np.arange(n_docs) * (DEPTH + 1) + DEPTH
-    out = np.zeros(chars[-1] + len(begins) + n_docs * (DEPTH + 1), np.uint8)
+    out = np.full(chars[-1] + len(begins) + n_docs * (DEPTH + 1), END, np.uint8)
     keep = ~SPACE[texts.data]
     word_at = chars[:-1] + np.arange(len(begins)) + doc_of_word * (DEPTH + 1) + DEPTH
     place = np.repeat(word_at - chars[:-1], lengths) + np.arange(chars[-1])
@@ -73,264 +86,579 @@ def _scored(starts: np.ndarray) -> np.ndarray:
     return np.repeat(starts[:-1] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
 
 
+def windows(s: np.ndarray, at: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+    """The symbol at each position and the `depth` symbols before it, oldest in the highest byte."""
+    key = np.zeros(len(at), U64)
+    for k in range(depth, -1, -1):
+        key <<= U64(8)
+        key |= s[at - k]
+    return key
+
+
 def is_held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(5)) == 1
 
 
-def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    k, c = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(k, kind="stable")
-    k, c = k[order], c[order]
+def _sums(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and the sum of n of each."""
+    order = np.argsort(key, kind="stable")
+    k, c = key[order], n[order]
     first = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, int)
     return k[first], np.add.reduceat(c, first) if len(k) else c
 
 
-def corpus_counts(docs: DataFrame) -> DataFrame:
-    """docs (text, train) -> kind, key, n. kind 0: windows of the training texts; kind 1: words that hold
-    1/HEAVY of some part of the texts; kind 2: all tokens and training tokens (keys 0 and 1)."""
+def heavy_words(docs: DataFrame) -> np.ndarray:
+    """Hashes of the words that make up 1/HEAVY of the sampled texts' words or more, at least two of them (at most HEAVY words)."""
+    total = docs.count()
+    if not total:
+        return np.zeros(0, U64)
+    sample = docs.select("text").sample(fraction=min(1.0, HEAVY_ROWS / total), seed=5).repartition(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams: list[list[np.ndarray]] = [[], []]
-        held, tokens = 0, np.zeros(2, np.int64)
+        keys, counts, tokens = [np.zeros(0, U64)], [np.zeros(0, np.int64)], 0
+        for whole in batches:
+            for b in halves(whole, 0, PART_BYTES):
+                words, _ = word_hashes(Texts(b.column(0), lower=True))
+                tokens += len(words)
+                u, c = np.unique(words, return_counts=True)
+                keys, counts = ([x] for x in _sums(np.concatenate([*keys, u]), np.concatenate([*counts, c])))
+        yield pa.RecordBatch.from_arrays([pa.array(keys[0][(counts[0] * HEAVY >= tokens) & (counts[0] > 1)].view(np.int64))], names=["word"])
+
+    found = sample.mapInArrow(run, "word long").toPandas()["word"]
+    return np.sort(found.to_numpy(np.int64).view(U64))
 
-        def rows(kind, k, c):
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.astype(np.uint64).view(np.int64)), pa.array(c.astype(np.int64))], names=["kind", "key", "n"])
 
+def _spots(sorted_: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each value stands in the sorted array, and whether it is there."""
+    if not len(sorted_):
+        return np.zeros(len(values), np.int64), np.zeros(len(values), bool)
+    spot = np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)
+    return spot, sorted_[spot] == values
+
+
+def corpus_counts(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
+    """docs (text, train) -> kind, key, n. kind 0: windows of the training texts; kind 1: the heavy words in training
+    texts; kind 2: all tokens, training tokens and training texts (keys 0 to 2)."""
+
+    def rows(kind, k, c):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.astype(U64).view(np.int64)), pa.array(c.astype(np.int64))], names=["kind", "key", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+        held, facts, frequent = 0, np.zeros(3, np.int64), np.zeros(len(heavy), np.int64)
         for whole in batches:
             for b in halves(whole, 0, PART_BYTES):
-                texts = Texts(b.column(0), lower=True)
-                words, per = word_hashes(texts)
                 train = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
-                tokens += [len(words) + texts.n, (per[train] + 1).sum()]
-                u, c = np.unique(words, return_counts=True)
-                big = c * HEAVY >= len(words)
-                yield rows(1, u[big], c[big])
+                _, _, per = Texts(b.column(0)).words()
                 learn = Texts(b.column(0).filter(b.column(1)), lower=True)
+                words, _ = word_hashes(learn)
+                facts += [per.sum() + len(per), len(words) + learn.n, train.sum()]
+                spot, hit = _spots(heavy, words)
+                frequent += np.bincount(spot[hit], minlength=len(heavy))
                 s, starts = symbols(learn)
-                at = _scored(starts)
-                key = np.zeros(len(at), U64)
-                for k in range(DEPTH + 1):
-                    key = (key << U64(8)) | s[at - DEPTH + k].astype(U64)
+                key = windows(s, _scored(starts))
                 key.sort()
                 first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, int)
-                grams[0].append(key[first])
-                grams[1].append(np.diff(np.append(first, len(key))))
+                keys.append(key[first])
+                counts.append(np.diff(np.append(first, len(key))).astype(np.int32))
                 held += len(first)
-                if held > 4_000_000:
-                    k, c = _merge(*grams)
-                    grams, held = [[k], [c]], len(k)
-                    if held > 2_000_000:
+                if held > HELD_KEYS:
+                    k, c = _sums(np.concatenate(keys), np.concatenate(counts))
+                    keys, counts, held = [k], [c], len(k)
+                    if 2 * held > HELD_KEYS:
                         yield rows(0, k, c)
-                        grams, held = [[], []], 0
-        if grams[0]:
-            yield rows(0, *_merge(*grams))
-        yield rows(2, np.array([0, 1]), tokens)
+                        keys, counts, held = [], [], 0
+        if keys:
+            yield rows(0, *_sums(np.concatenate(keys), np.concatenate(counts)))
+        yield rows(1, heavy[frequent > 0], frequent[frequent > 0])
+        yield rows(2, np.arange(3), facts)
 
     return docs.select("text", "train").mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
+def _mask(length: int) -> np.uint64:
+    return U64((1 << (8 * length)) - 1)
+
+
 @dataclass
-class Tree:
-    """The automaton: classes maps bytes to columns; after[state, class] and logp[state, class]."""
+class Top:
+    """The contexts of up to SHORT symbols: keys (context and symbol), smoothed probabilities, context keys and counts by length."""
+
+    root: np.ndarray
+    pairs: list[np.ndarray]
+    p: list[np.ndarray]
+    contexts: list[np.ndarray]
+    counts: list[np.ndarray]
+
+
+def top_of(key: np.ndarray, n: np.ndarray) -> Top:
+    """key: SHORT context symbols and the next symbol. There are at most 256 ** (SHORT + 1) keys, whatever the corpus."""
+    last = np.bincount((key & U64(255)).astype(np.int64), n, 256) + 0.5
+    root = last / last.sum()
+    pairs, p, contexts, counts = [np.arange(256, dtype=U64)], [root], [np.zeros(1, U64)], [np.array([n.sum()])]
+    for k in range(1, SHORT + 1):
+        pair, c = _sums(key & _mask(k + 1), n)
+        context, total = _sums(pair >> U64(8), c)
+        each = total[np.searchsorted(context, pair >> U64(8))]
+        above = p[-1][np.searchsorted(pairs[-1], pair & _mask(k))]
+        pairs.append(pair)
+        p.append((c + PRIOR * above) / (each + PRIOR))
+        contexts.append(context)
+        counts.append(total)
+    return Top(root, pairs, p, contexts, counts)
+
+
+NODES = "depth int, context long, c long, above array<long>, symbols binary, logp binary"
+
+
+def grown(key: np.ndarray, n: np.ndarray, top: Top, min_count: int, penalty: float) -> list[tuple]:
+    """Kept contexts longer than SHORT among windows with whole groups of equal last SHORT + 1 context symbols: for each depth
+    (depth, contexts, counts, counts of the suffixes by length, symbols in each, all symbols, all log10 probabilities)."""
+    levels = []
+    above_pairs, above_p = top.pairs[SHORT], top.p[SHORT]
+    for k in range(SHORT + 1, DEPTH + 1):
+        pair, c = _sums(key & _mask(k + 1), n)
+        start = np.flatnonzero(np.append(True, (pair[1:] >> U64(8)) != (pair[:-1] >> U64(8)))) if len(pair) else np.zeros(0, int)
+        size = np.diff(np.append(start, len(pair)))
+        context, total = pair[start] >> U64(8), np.add.reduceat(c, start) if len(pair) else c
+        each = np.repeat(total, size)
+        above = above_p[np.searchsorted(above_pairs, pair & _mask(k))]
+        p = (c + PRIOR * above) / (each + PRIOR)
+        saved = np.add.reduceat(c * np.log(c / each / above), start) if len(pair) else np.zeros(0)
+        keep = (total >= min_count) & (saved > 0.5 * size * np.log(total) + penalty)
+        levels.append([k, context, total, size, pair, p, keep])
+        above_pairs, above_p = pair, p
+    for shorter, longer in zip(levels[-2::-1], levels[:0:-1], strict=True):
+        shorter[6][np.searchsorted(shorter[1], longer[1][longer[6]] & _mask(shorter[0]))] = True
+    out = []
+    for i, (k, context, total, size, pair, p, keep) in enumerate(levels):
+        if not keep.any():
+            break
+        kept = context[keep]
+        above = np.stack([*[top.counts[j][np.searchsorted(top.contexts[j], kept & _mask(j))] for j in range(1, SHORT + 1)], *[b[2][np.searchsorted(b[1], kept & _mask(b[0]))] for b in levels[: i + 1]]], 1)
+        rows = np.repeat(keep, size)
+        out.append((k, kept, total[keep], above, size[keep], (pair[rows] & U64(255)).astype(np.uint8), np.log10(p[rows]).astype(np.float32)))
+    return out
+
+
+def tree_nodes(grams: DataFrame, top: Top, min_count: int = MIN_COUNT, penalty: float = PENALTY) -> DataFrame:
+    """The kept contexts longer than SHORT, a row each."""
+
+    def batch(k, context, c, above, size, symbol, logp):
+        ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+        binary = lambda data, width: pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((ends * width).astype(np.int32)), pa.py_buffer(data)])
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * k), pa.array(above.ravel()))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(size), k, np.int32)), pa.array(context.view(np.int64)), pa.array(c), lists, binary(symbol, 1), binary(logp, 4)], names=["depth", "context", "c", "above", "symbols", "logp"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, U64), np.zeros(0, np.int64)]
+        for b in batches:
+            held = [np.concatenate([held[0], b.column(0).to_numpy().view(U64)]), np.concatenate([held[1], b.column(1).to_numpy()])]
+            group = (held[0] >> U64(8)) & _mask(SHORT + 1)
+            if len(group) > 400_000 and group[0] != group[-1]:
+                cut = np.flatnonzero(group != group[-1])[-1] + 1
+                for found in grown(held[0][:cut], held[1][:cut], top, min_count, penalty):
+                    yield batch(*found)
+                held = [x[cut:] for x in held]
+        for found in grown(*held, top, min_count, penalty):
+            yield batch(*found)
+
+    group = F.shiftright("key", 8).bitwiseAND(F.lit(int(_mask(SHORT + 1))))
+    return grams.select("key", "n", group.alias("g")).repartition("g").sortWithinPartitions("g").select("key", "n").mapInArrow(run, NODES)
+
+
+@dataclass
+class Trie:
+    """The most frequent contexts. Row 0 is empty, row 1 the root; child[node, class] is the node of the context with one
+    older symbol, 0 (not kept) or -1 (kept, but not in the trie). two[class, class] starts after two symbols."""
 
     classes: np.ndarray
-    after: np.ndarray
+    child: np.ndarray
     logp: np.ndarray
-    kept: int
-
-
-def tree_nodes(grams: DataFrame, total: int, p_min: float = P_MIN) -> DataFrame:
-    """depth, context, symbol, n for every context of at least p_min of all positions."""
-    least = max(2, math.ceil(p_min * total))
-    out = None
-    for depth in range(DEPTH + 1):
-        context = F.shiftright("key", 8).bitwiseAND(F.lit((1 << (8 * depth)) - 1))
-        each = grams.groupBy(context.alias("context"), F.col("key").bitwiseAND(F.lit(255)).alias("symbol")).agg(F.sum("n").alias("n"))
-        if depth:
-            common = each.groupBy("context").agg(F.sum("n").alias("c")).filter(F.col("c") >= least)
-            each = each.join(common, "context").drop("c")
-        each = each.select(F.lit(depth).alias("depth"), "context", "symbol", "n")
-        out = each if out is None else out.unionByName(each)
-    return out
 
+    def __post_init__(self):
+        w = self.child.shape[1]
+        one = self.child[1]
+        self.two = np.where((one > 0)[:, None], self.child[np.maximum(one, 0)], 0).ravel()
+        self.two_best = np.where(self.two > 0, self.two, np.repeat(np.where(one > 0, one, 1), w)).astype(np.int32)
 
-def build_tree(depth: np.ndarray, context: np.ndarray, symbol: np.ndarray, n: np.ndarray, divergence: float = DIVERGENCE, prior: float = PRIOR) -> Tree:
-    seen = np.unique(symbol[depth == 0])
-    width = len(seen) + 1  # one column stands for every byte that never occurred
-    classes = np.full(256, width - 1, np.uint8 if width <= 256 else np.int16)
+
+def build_trie(top: Top, nodes: list[tuple], tail_roots: list[tuple[int, np.ndarray]], min_count: int = MIN_COUNT) -> Trie:
+    """nodes as from grown(), each depth once; tail_roots: (depth, contexts) of kept contexts right below the trie."""
+    seen = np.flatnonzero(top.root > top.root.min())
+    width = len(seen) + 1  # the last class stands for all symbols that never occurred
+    classes = np.full(256, width - 1, np.int32)
     classes[seen] = np.arange(len(seen))
-    total = n[depth == 0].sum()
-    p = np.full(width, 0.5)
-    np.add.at(p, classes[symbol[depth == 0]], n[depth == 0].astype(float))
-    rows = [p / (total + 0.5 * 256)]
-    index: dict[tuple[int, int], int] = {(0, 0): 0}
-    own: dict[tuple[int, int], np.ndarray] = {}
-    kept: set[tuple[int, int]] = set()
-    smooth = {(0, 0): rows[0]}
-    order = np.lexsort((symbol, context, depth))
-    depth, context, symbol, n = depth[order], context[order], symbol[order], n[order]
-    edge = np.flatnonzero(np.append(True, (depth[1:] != depth[:-1]) | (context[1:] != context[:-1]))) if len(depth) else np.zeros(0, int)
-    for lo, hi in zip(edge, [*edge[1:], len(depth)][: len(edge)], strict=True):
-        node = (int(depth[lo]), int(context[lo]))
-        if not node[0]:
-            continue
-        parent = smooth[(node[0] - 1, node[1] & ((1 << (8 * (node[0] - 1))) - 1))]
-        counts = np.zeros(width)
-        counts[classes[symbol[lo:hi]]] = n[lo:hi]
-        c = counts.sum()
-        there = counts > 0
-        share = counts[there] / c
-        if (share * np.log(share / parent[there])).sum() >= divergence:
-            kept.add(node)
-        own[node] = smooth[node] = ((counts + prior * parent) / (c + prior)).astype(np.float32)
-    need = set()
-    for k, v in kept:
-        for start in range(k):
-            for end in range(start + 1, k + 1):
-                # bytes start..end of the context, oldest first
-                need.add((end - start, (v >> (8 * (k - end))) & ((1 << (8 * (end - start))) - 1)))
-    nodes = sorted(need)
-    for node in nodes:
-        index[node] = len(index)
-    logp = np.zeros((len(index), width), np.float32)
-    after = np.zeros((len(index), width), np.int32)
-    logp[0] = np.log10(rows[0])
-    byte = [*seen.tolist()]
-    for k, b in enumerate(byte):
-        after[0, k] = index.get((1, b), 0)
-    for node in nodes:
-        i, up = index[node], index[(node[0] - 1, node[1] & ((1 << (8 * (node[0] - 1))) - 1))]
-        logp[i] = np.log10(own[node]) if node in kept else logp[up]
-        after[i] = after[up]
-    # A state of the form (context, byte) is reached from its context and from all states that end in it.
-    by_context: dict[int, list[tuple[int, int]]] = {}
-    for k, v in nodes:
-        if k > 1:
-            by_context.setdefault(index[(k - 1, v >> 8)], []).append((int(classes[v & 255]), index[(k, v)]))
-    for node in nodes:
-        i, up = index[node], index[(node[0] - 1, node[1] & ((1 << (8 * (node[0] - 1))) - 1))]
-        after[i] = after[up]
-        for c, to in by_context.get(i, ()):
-            after[i, c] = to
-    return Tree(classes, after, logp, len(kept))
-
-
-def fitted(nodes: DataFrame) -> Tree:
-    """The automaton, built in one task (P_MIN bounds its contexts); the driver gets its arrays only."""
+    some = np.setdiff1d(np.arange(256), seen)[:1]
+    levels = [(0, np.zeros(1, U64), top.counts[0], np.array([width]), None, None)]
+    for k in range(1, SHORT + 1):
+        keep = top.counts[k] >= min_count
+        size = np.bincount(np.searchsorted(top.contexts[k], top.pairs[k] >> U64(8)), minlength=len(keep))
+        rows = np.repeat(keep, size)
+        levels.append((k, top.contexts[k][keep], top.counts[k][keep], size[keep], (top.pairs[k][rows] & U64(255)).astype(np.uint8), np.log10(top.p[k][rows]).astype(np.float32)))
+    levels += [(k, context, c, size, symbol, lp) for k, context, c, _, size, symbol, lp in nodes]
+    n = 1 + sum(len(x[1]) for x in levels)
+    child, logp = np.zeros((n, width), np.int32), np.zeros((n, width), np.float32)
+    base = np.log10(top.root)
+    logp[1, : len(seen)], logp[1, width - 1] = base[seen], base[some[0]] if len(some) else base.min()
+    tails = dict(tail_roots)
+    at, ids, above = 2, {0: np.array([1])}, {0: np.zeros(1, U64)}
+    for k, context, c, size, symbol, lp in levels[1:]:
+        order = np.argsort(context)
+        own = np.empty(len(context), np.int64)
+        own[order] = at + np.arange(len(context))
+        up = ids[k - 1][np.searchsorted(above[k - 1], context & _mask(k - 1))]
+        logp[own] = logp[up] + np.log10(PRIOR / (c + PRIOR)).astype(np.float32)[:, None]
+        logp[np.repeat(own, size), classes[symbol]] = lp
+        child[up, classes[(context >> U64(8 * (k - 1))).astype(np.int64)]] = own
+        ids[k], above[k] = own[order], context[order]
+        at += len(context)
+    for k, context in tails.items():
+        if len(context):
+            up = ids[k - 1][np.searchsorted(above[k - 1], context & _mask(k - 1))]
+            child[up, classes[(context >> U64(8 * (k - 1))).astype(np.int64)]] = -1
+    return Trie(classes, child, logp)
+
+
+def _unpacked(rows) -> list[tuple]:
+    """Rows of NODES as grown() gives them, by depth."""
+    out = []
+    for k in sorted({r[0] for r in rows}):
+        own = [r for r in rows if r[0] == k]
+        out.append((k, np.array([r[1] for r in own], np.int64).view(U64), np.array([r[2] for r in own]), None, np.array([len(r[4]) for r in own]), np.frombuffer(b"".join(r[4] for r in own), np.uint8), np.frombuffer(b"".join(r[5] for r in own), np.float32)))
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [[b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)] for b in batches]
-        columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 4
-        tree = build_tree(*columns)
-        yield pa.RecordBatch.from_arrays([pa.array([tree.classes.astype(np.int16).tobytes()], pa.binary()), pa.array([tree.after.tobytes()], pa.binary()), pa.array([tree.logp.tobytes()], pa.binary()), pa.array([tree.after.shape[1]], pa.int32()), pa.array([tree.kept], pa.int32())], names=["classes", "after", "logp", "width", "kept"])
 
-    got = nodes.select("depth", "context", "symbol", "n").repartition(1).mapInArrow(run, "classes binary, after binary, logp binary, width int, kept int").first()
+def fitted(tree: DataFrame, top: Top, least: int, min_count: int = MIN_COUNT) -> Trie:
+    """The trie of the contexts that occur `least` times or more, built in one task (HOT_CELLS bounds it)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, tails = [], {}
+        for b in batches:
+            for r in zip(*[b.column(i).to_pylist() for i in range(6)], strict=True):
+                if r[2] >= least:
+                    rows.append(r)
+                else:
+                    tails.setdefault(r[0], []).append(r[1])
+        trie = build_trie(top, _unpacked(rows), [(k, np.array(v, np.int64).view(U64)) for k, v in tails.items()], min_count)
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (trie.classes, trie.child, trie.logp)] + [pa.array([trie.child.shape[1]], pa.int32())], names=["classes", "child", "logp", "width"])
+
+    near = tree.filter((F.col("c") >= least) | (F.col("depth") == SHORT + 1) | (F.try_element_at("above", F.col("depth") - 1) >= least))
+    slim = near.select("depth", "context", "c", F.lit(None).cast("int"), *[F.when(F.col("c") >= least, F.col(x)).alias(x) for x in ("symbols", "logp")])
+    got = slim.repartition(1).mapInArrow(run, "classes binary, child binary, logp binary, width int").first()
     if got is None:
-        return build_tree(*[np.zeros(0, np.int64)] * 4)
+        return build_trie(top, [], [], min_count)
     shape = (-1, got["width"])
-    return Tree(np.frombuffer(got["classes"], np.int16), np.frombuffer(got["after"], np.int32).reshape(shape), np.frombuffer(got["logp"], np.float32).reshape(shape), got["kept"])
+    return Trie(np.frombuffer(got["classes"], np.int32), np.frombuffer(got["child"], np.int32).reshape(shape), np.frombuffer(got["logp"], np.float32).reshape(shape))
+
+
+def read_positions(trie: Trie, s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """log10 probability of each position by the trie, and the positions (as numbers) whose next longer suffix is kept
+    outside the trie, with that suffix's length."""
+    w = trie.child.shape[1]
+    child = trie.child.ravel()
+    c = trie.classes[s]
+    spot = c[at - 1] * w + c[at - 2]
+    best, node = trie.two_best[spot], trie.two[spot]
+    rows = np.flatnonzero(node > 0)
+    node = node[rows]
+    tails, depths = [], []
+    for k in range(SHORT + 1, DEPTH + 1):
+        node = child[node * w + c[at[rows] - k]]
+        out = node < 0
+        if out.any():
+            tails.append(rows[out])
+            depths.append(np.full(len(tails[-1]), k, np.uint8))
+        on = np.flatnonzero(node > 0)
+        rows, node = rows[on], node[on]
+        best[rows] = node
+    none = [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)]
+    return trie.logp.ravel()[best.astype(np.int64) * w + c[at]], np.concatenate(tails or none[0]), np.concatenate(depths or none[1])
+
+
+def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(key + U64(0x5851F42D)) % U64(buckets)).astype(np.int32)
+
+
+def _root(key: np.ndarray, depth: np.ndarray) -> np.ndarray:
+    """The last `depth` context symbols of a window, with their number above them."""
+    shift = depth.astype(U64) * U64(8)
+    return ((key >> U64(8)) & ((U64(1) << shift) - U64(1))) | (depth.astype(U64) << U64(56))
+
+
+HOME, NODE, TAIL, WORDS, SUMS, TYPES = range(6)
+PARCEL = "dest int, kind int, grp long, data binary"
+_PARCEL = [pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+
+
+def _parcels(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [[]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, _PARCEL, strict=True)], names=["dest", "kind", "grp", "data"])
+
+
+def _dealt(dest: np.ndarray, kind: int, grp: int, *columns: np.ndarray) -> list[tuple]:
+    """One parcel for each destination, with its part of the columns one after the other."""
+    order = np.argsort(dest, kind="stable")
+    first = np.flatnonzero(np.append(True, dest[order][1:] != dest[order][:-1])) if len(dest) else []
+    columns = tuple(c[order] for c in columns)
+    ends = np.append(first, len(dest))
+    return [(int(dest[order[lo]]), kind, grp, b"".join(c[lo:hi].tobytes() for c in columns)) for lo, hi in zip(ends[:-1], ends[1:], strict=True)] if len(dest) else []
+
+
+def _opened(data: bytes, *kinds) -> list[np.ndarray]:
+    n = len(data) // sum(np.dtype(k).itemsize for k in kinds)
+    out, at = [], 0
+    for k in kinds:
+        out.append(np.frombuffer(data, k, n, at))
+        at += n * np.dtype(k).itemsize
+    return out
 
 
-def text_scores(tree: Tree, texts: Texts) -> np.ndarray:
-    s, starts = symbols(texts)
-    if not texts.n:
-        return np.zeros(0)
-    c = tree.classes[s].astype(np.int32)
-    at = _scored(starts)
-    state = np.zeros(len(at), np.int32)
-    width = tree.after.shape[1]
-    after, logp = tree.after.ravel(), tree.logp.ravel()
-    for k in range(DEPTH, 0, -1):
-        state = after[state * width + c[at - k]]
-    return np.add.reduceat(logp[state * width + c[at]].astype(np.float64), np.concatenate([[0], np.cumsum(np.diff(starts) - DEPTH)[:-1]]))
+HOME_KINDS = (np.int64, np.uint8, np.int64, np.int64, np.float64, np.float64)
 
 
-def _light(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
-    """(word, doc, th, tf, train) of the words that are not heavy; for heavy words (word, tf) of the training texts."""
+def read_texts(docs: DataFrame, trie, heavy: np.ndarray, counts: np.ndarray, buckets: int) -> DataFrame:
+    """Parcels of each group of texts: HOME with ids, tokens and the sums known here, WORDS and TAIL for what others know.
+    trie: a broadcast Trie."""
+    known = np.log10(counts + 0.5)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(heavy), np.int64)
+        model, task, seq = trie.value, TaskContext.get().partitionId(), 0
+        home, words_, tail = [], [], []
+        n_docs = held = 0
+
+        def flush() -> pa.RecordBatch:
+            columns = [np.concatenate(x) for x in zip(*home, strict=True)]
+            # The name of a group holds a checksum, so a group that was read in another order is noticed.
+            check = int(mix(np.add.reduce(mix(columns[0].view(U64) + np.arange(len(columns[0]), dtype=U64)), keepdims=True))[0] >> U64(52))
+            grp = (task << 32) | (seq << 12) | check
+            rows = [(int(_bucket(np.array([grp], U64), buckets)[0]), HOME, grp, b"".join(c.astype(k).tobytes() for c, k in zip(columns, HOME_KINDS, strict=True)))]
+            for kind, parts in ((WORDS, words_), (TAIL, tail)):
+                if parts:
+                    dest, *data = (np.concatenate(x) for x in zip(*parts, strict=True))
+                    rows += _dealt(dest, kind, grp, *data)
+            return _parcels(rows)
+
         for whole in batches:
-            for b in halves(whole, 2, PART_BYTES):
-                texts = Texts(b.column(2), lower=True)
-                words, per = word_hashes(texts)
-                doc = np.repeat(np.arange(texts.n), per)
-                train = b.column(3).to_numpy(zero_copy_only=False).astype(bool)
-                spot = np.minimum(np.searchsorted(heavy, words), max(len(heavy) - 1, 0))
-                is_heavy = heavy[spot] == words if len(heavy) else np.zeros(len(words), bool)
-                total += np.bincount(spot[is_heavy & train[doc]], minlength=len(heavy)) if len(heavy) else 0
-                words, doc = words[~is_heavy], doc[~is_heavy]
-                order = np.lexsort((words, doc))
-                words, doc = words[order], doc[order]
-                first = np.flatnonzero(np.append(True, (words[1:] != words[:-1]) | (doc[1:] != doc[:-1]))) if len(words) else np.zeros(0, int)
-                tf, d = np.diff(np.append(first, len(words))), doc[first]
-                take = pa.array(d)
-                yield pa.RecordBatch.from_arrays([pa.array(words[first].view(np.int64)), b.column(0).take(take), b.column(1).take(take), pa.array(tf.astype(np.int32)), pa.array(train[d].astype(np.int8))], names=["word", "doc", "th", "tf", "train"])
-        some = np.flatnonzero(total)
-        # Heavy counts of this task, in rows of at most 2^30
-        blank = pa.nulls(len(some), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(heavy[some].view(np.int64)), blank, blank, pa.array(total[some].astype(np.int32)), pa.array(np.full(len(some), 2, np.int8))], names=["word", "doc", "th", "tf", "train"])
-
-    return docs.select("__k", "__th", "text", "train").mapInArrow(run, "word long, doc long, th long, tf int, train byte")
-
-
-def _whole(docs: DataFrame, tree: Tree, heavy: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """n_tokens, the heavy words' share of n_known and of the base score, and the tree's score of each row."""
-    known = np.log10(counts + 0.5)
+            for b in halves(whole, 1, PART_BYTES):
+                for lo in range(0, b.num_rows, GROUP_DOCS):
+                    part = b.slice(lo, GROUP_DOCS)
+                    if home and (held >= GROUP_WORDS or n_docs + part.num_rows > GROUP_DOCS):
+                        yield flush()
+                        home, words_, tail, n_docs, held, seq = [], [], [], 0, 0, seq + 1
+                    texts = Texts(part.column(1), lower=True)
+                    words, per = word_hashes(texts)
+                    doc = np.repeat(np.arange(texts.n), per)
+                    train = part.column(2).to_numpy(zero_copy_only=False).astype(bool)
+                    spot, hit = _spots(heavy, words)
+                    base = np.bincount(doc[hit], known[spot[hit]], texts.n) if len(heavy) else np.zeros(texts.n)
+                    there = np.bincount(doc[hit], counts[spot[hit]] > 0, texts.n) if len(heavy) else np.zeros(texts.n)
+                    light, light_doc = words[~hit], doc[~hit]
+                    mark = (light_doc + n_docs).astype(np.uint16) | np.where(train[light_doc], TRAIN_BIT, np.uint16(0))
+                    words_.append((_bucket(light, buckets), light, mark))
+                    s, starts = symbols(texts)
+                    at = _scored(starts)
+                    lp, rows, depth = read_positions(model, s, at)
+                    first = np.concatenate([[0], np.cumsum(np.diff(starts) - DEPTH)]).astype(np.int64)
+                    score = np.add.reduceat(lp.astype(np.float64), first[:-1]) if texts.n else np.zeros(0)
+                    if len(rows):
+                        key = windows(s, at[rows])
+                        owner = np.searchsorted(first, rows, side="right") - 1 + n_docs
+                        tail.append((_bucket(_root(key, depth), buckets), key | (depth.astype(U64) << U64(56)), lp[rows], owner.astype(np.uint16)))
+                    ids = part.column(0)
+                    home.append((ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False), per + 1, there, base, score))
+                    n_docs += texts.n
+                    held += len(light) + len(rows)
+        if home:
+            yield flush()
+
+    return docs.select("doc_id", "text", "train").mapInArrow(run, PARCEL)
+
+
+def tail_nodes(tree: DataFrame, least: int, buckets: int) -> DataFrame:
+    """A parcel for each kept context outside the trie, for the task of its shortest suffix outside."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in halves(whole, 2, PART_BYTES):
-                texts = Texts(b.column(2), lower=True)
-                words, per = word_hashes(texts)
-                doc = np.repeat(np.arange(texts.n), per)
-                n_known, base = np.zeros(texts.n, np.int64), np.zeros(texts.n)
-                if len(heavy) and len(words):
-                    spot = np.minimum(np.searchsorted(heavy, words), len(heavy) - 1)
-                    hit = heavy[spot] == words
-                    base = np.bincount(doc[hit], known[spot[hit]], texts.n)
-                    n_known = np.bincount(doc[hit], counts[spot[hit]] > 0, texts.n).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(per.astype(np.int64) + 1), pa.array(n_known), pa.array(base), pa.array(text_scores(tree, texts))], names=["__k", "__th", "n_tokens", "__known", "__base", "score"])
-
-    return docs.select("__k", "__th", "text").mapInArrow(run, "__k long, __th long, n_tokens long, __known long, __base double, score double")
-
-
-def scored(docs: DataFrame, train: Column) -> DataFrame:
+        for b in batches:
+            depth, context, c = (b.column(i).to_numpy() for i in (0, 1, 2))
+            root = np.full(len(depth), DEPTH + 1)
+            for i, counts in enumerate(b.column(3).to_pylist()):
+                root[i] = next(k for k, x in enumerate(counts, 1) if k > SHORT and x < least)
+            dest = _bucket(_root(context.view(U64) << U64(8), root), buckets)
+            lead = np.stack([depth.astype(np.int64), context, c], 1)
+            rows = [(d, NODE, -1, head.tobytes() + s + p) for d, head, s, p in zip(dest.tolist(), lead, b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)]
+            yield _parcels(rows)
+
+    return tree.filter(F.col("c") < least).select("depth", "context", "c", "above", "symbols", "logp").mapInArrow(run, PARCEL)
+
+
+class Subtrees:
+    """The kept contexts of one destination."""
+
+    def __init__(self, rows: list[bytes]):
+        lead = np.array([np.frombuffer(r, np.int64, 3) for r in rows], np.int64).reshape(-1, 3)
+        key = lead[:, 1].view(U64) | (lead[:, 0].astype(U64) << U64(56))
+        order = np.argsort(key)
+        self.keys = key[order]
+        self.escape = np.log10(PRIOR / (lead[order, 2] + PRIOR))
+        sizes = np.array([(len(rows[i]) - 24) // 5 for i in order], np.int64)
+        symbol = np.frombuffer(b"".join(rows[i][24 : 24 + n] for i, n in zip(order, sizes, strict=True)), np.uint8)
+        self.logp = np.frombuffer(b"".join(rows[i][24 + n :] for i, n in zip(order, sizes, strict=True)), np.float32)
+        self.pairs = np.repeat(np.arange(len(order)), sizes) * 256 + symbol
+
+    def scores(self, key: np.ndarray, lp: np.ndarray) -> np.ndarray:
+        """log10 probabilities: key is a window with the length of its shortest suffix outside the trie on top."""
+        depth, value = (key >> U64(56)).astype(np.int64), lp.astype(np.float64)
+        symbol, context = (key & U64(255)).astype(np.int64), (key >> U64(8)) & _mask(DEPTH)
+        for k in range(SHORT + 1, DEPTH + 1):
+            rows = np.flatnonzero(depth == k)
+            spot, hit = _spots(self.keys, (context[rows] & _mask(k)) | U64(k << 56))
+            rows, spot = rows[hit], spot[hit]
+            pair, seen = _spots(self.pairs, spot * 256 + symbol[rows])
+            value[rows] = np.where(seen, self.logp[pair], self.escape[spot] + value[rows])
+            depth[rows] = k + 1
+        return value
+
+
+def resolved(parcels: DataFrame) -> DataFrame:
+    """HOME as it was; SUMS (text number, known words, base, score) for WORDS and TAIL; TYPES: number of distinct training words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dest, nodes, words, tail, held = None, [], [], [], 0
+
+        def sums(group, doc, there, base, score):
+            n = int(doc.max()) + 1
+            number = np.bincount(doc, minlength=n)
+            some = np.flatnonzero(number)
+            per = [np.bincount(doc, x, n)[some] for x in (there, base, score)]
+            return (0, SUMS, group, b"".join(x.tobytes() for x in (some.astype(np.uint16), per[0].astype(np.int64), per[1], per[2])))
+
+        def words_done():
+            opened = [(g, *_opened(x, U64, np.uint16)) for g, x in words]
+            every = np.concatenate([x[1] for x in opened])
+            mark = np.concatenate([x[2] for x in opened])
+            _, number = np.unique(every, return_inverse=True)
+            c = np.bincount(number, (mark & TRAIN_BIT) > 0)
+            base, there, at, rows = np.log10(c + 0.5)[number], (c > 0)[number], 0, []
+            for g, w, m in opened:
+                own = slice(at, at + len(w))
+                rows.append(sums(g, (m & ~TRAIN_BIT).astype(np.int64), there[own], base[own], np.zeros(len(w))))
+                at += len(w)
+            return [*rows, (0, TYPES, -1, np.int64((c > 0).sum()).tobytes())]
+
+        def tail_done():
+            tree, rows = Subtrees(nodes), []
+            opened = [(g, *_opened(x, U64, np.float32, np.uint16)) for g, x in tail]
+            gain = tree.scores(np.concatenate([x[1] for x in opened]), np.concatenate([x[2] for x in opened])) - np.concatenate([x[2] for x in opened])
+            at = 0
+            for g, _, lp, doc in opened:
+                zero = np.zeros(len(lp))
+                rows.append(sums(g, doc.astype(np.int64), zero, zero, gain[at : at + len(lp)]))
+                at += len(lp)
+            return rows
+
+        for b in batches:
+            for d, kind, grp, data in zip(*[b.column(i).to_pylist() for i in range(4)], strict=True):
+                if d != dest or (held > PART_BYTES * 8 and kind == TAIL):
+                    if tail:
+                        yield _parcels(tail_done())
+                    tail, held = [], 0
+                if d != dest:
+                    if words:
+                        yield _parcels(words_done())
+                    dest, nodes, words = d, [], []
+                if kind == HOME:
+                    yield _parcels([(0, HOME, grp, data)])
+                elif kind == NODE:
+                    nodes.append(data)
+                elif kind == TAIL:
+                    tail.append((grp, data))
+                    held += len(data)
+                else:
+                    words.append((grp, data))
+        if tail:
+            yield _parcels(tail_done())
+        if words:
+            yield _parcels(words_done())
+
+    return parcels.repartition("dest").sortWithinPartitions("dest", "kind", "grp").mapInArrow(run, PARCEL)
+
+
+def assembled(parcels: DataFrame) -> DataFrame:
+    """A row for each text; rows with `types` alone count distinct training words."""
+    names = ["doc_id", "n_tokens", "n_known", "base", "score", "types"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, home = None, None
+
+        def texts() -> pa.RecordBatch:
+            ids, null, tokens, there, base, score = home
+            return pa.RecordBatch.from_arrays([pa.array(ids, mask=null.astype(bool)), pa.array(tokens), pa.array(there), pa.array(base), pa.array(score), pa.nulls(len(ids), pa.int64())], names=names)
+
+        for b in batches:
+            for kind, grp, data in zip(*[b.column(i).to_pylist() for i in (1, 2, 3)], strict=True):
+                if kind == TYPES:
+                    yield pa.RecordBatch.from_arrays([*[pa.nulls(1, k) for k in kinds[:-1]], pa.array(np.frombuffer(data, np.int64))], names=names)
+                    continue
+                if grp != current:
+                    if home is not None:
+                        yield texts()
+                    if kind != HOME:
+                        raise RuntimeError("the texts came in another order when they were read again")
+                    current, home = grp, [x.copy() for x in _opened(data, *HOME_KINDS)]
+                    continue
+                doc, *more = _opened(data, np.uint16, np.int64, np.float64, np.float64)
+                for column, x in zip(home[3:], more, strict=True):
+                    column[doc] += x
+        if home is not None:
+            yield texts()
+
+    schema = "doc_id long, n_tokens long, n_known long, base double, score double, types long"
+    return parcels.repartition("grp").sortWithinPartitions("grp", "kind").mapInArrow(run, schema)
+
+
+def scored(docs: DataFrame, train: Column, min_count: int = MIN_COUNT, penalty: float = PENALTY) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row; `train` marks the rows to learn from."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "suffix-tree")
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__k"), F.xxhash64("text").alias("__th"), F.col("text").cast("string").alias("text"), train.alias("train"))
-    counts = scratch.save(corpus_counts(rows), "counts", "kind")
-    totals = {r["key"]: r["n"] for r in counts.filter("kind = 2").collect()}
-    tokens, train_tokens = totals.get(0, 0), totals.get(1, 0)
-    heavy = counts.filter("kind = 1").filter(F.col("n") * HEAVY >= tokens).select("key").toPandas()["key"].to_numpy(np.int64).view(U64)
-    heavy = np.sort(heavy)
-    grams = counts.filter("kind = 0").select("key", "n")
-    positions = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    tree = fitted(tree_nodes(grams, positions))
-
-    light = scratch.save(_light(rows, heavy), "light")
-    found = light.filter("train = 2").groupBy("word").agg(F.sum("tf").alias("n")).toPandas()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+    heavy = heavy_words(rows)
+    counts = scratch.save(corpus_counts(rows, heavy), "counts", "kind")
+    facts = {r["key"]: r["n"] for r in counts.filter("kind = 2").collect()}
+    tokens, train_tokens, train_texts = (facts.get(k, 0) for k in range(3))
+    found = counts.filter("kind = 1").select("key", "n").toPandas()  # at most HEAVY rows
     heavy_counts = np.zeros(len(heavy), np.int64)
-    heavy_counts[np.searchsorted(heavy, found["word"].to_numpy(np.int64).view(U64))] = found["n"].to_numpy(np.int64)
+    heavy_counts[np.searchsorted(heavy, found["key"].to_numpy(np.int64).view(U64))] = found["n"].to_numpy(np.int64)
 
-    pairs = light.filter("train < 2")
-    by_word = scratch.save(pairs.groupBy("word").agg(F.sum(F.when(F.col("train") == 1, F.col("tf")).otherwise(0)).alias("c")), "words")
-    types = by_word.filter("c > 0").count() + int((heavy_counts > 0).sum()) + (1 if train_tokens else 0)
+    grams = counts.filter("kind = 0").select("key", "n")
+    short = grams.groupBy(F.col("key").bitwiseAND(F.lit(int(_mask(SHORT + 1)))).alias("key")).agg(F.sum("n").alias("n")).toPandas()
+    top = top_of(short["key"].to_numpy(np.int64).view(U64), short["n"].to_numpy(np.int64))
+    tree = scratch.save(tree_nodes(grams, top, min_count, penalty), "tree")
+    # The trie takes the contexts above a count that so many contexts reach.
+    room = HOT_CELLS // (1 + int((top.root > top.root.min()).sum())) - sum(int((c >= min_count).sum()) for c in top.counts[1:])
+    least = 1 << 62
+    for r in sorted(tree.groupBy(F.floor(8 * F.log2("c")).cast("int").alias("b")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        room -= r["n"]
+        if room < 0:
+            break
+        least = math.ceil(2 ** (r["b"] / 8))
+    trie = spark.sparkContext.broadcast(fitted(tree, top, least, min_count))
+    scratch.drop("counts")
+
+    buckets = max(1, -(-tokens // BUCKET_TOKENS))
+    parcels = read_texts(rows, trie, heavy, heavy_counts, buckets).unionByName(tail_nodes(tree, least, buckets))
+    out = scratch.save(assembled(resolved(parcels)), "rows")
+    trie.destroy()
+    scratch.drop("tree")
+    types = (out.agg(F.sum("types")).first()[0] or 0) + int((heavy_counts > 0).sum()) + (1 if train_texts else 0)
     norm = math.log10(train_tokens + 0.5 * (types + 1))
-    ends = docs.select(F.count_if(train)).first()[0]
-    of_light = pairs.join(by_word, "word").groupBy("doc", "th").agg(F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("__lk"), F.sum(F.col("tf") * F.log10(F.col("c") + 0.5)).alias("__lb"))
-
-    whole = scratch.save(_whole(rows, tree, heavy, heavy_counts), "whole")
-    times = whole.groupBy("__k", "__th").agg(F.count("*").alias("__m"))
-    light_sums = of_light.join(times, (F.col("doc") == F.col("__k")) & (F.col("th") == F.col("__th"))).select("doc", "th", (F.col("__lk") / F.col("__m")).cast("long").alias("__lk"), (F.col("__lb") / F.col("__m")).alias("__lb"))
-    out = whole.join(light_sums, (F.col("__k") == F.col("doc")) & (F.col("__th") == F.col("th")), "left")
-    end_score = math.log10(ends + 0.5)
-    return out.select(
-        F.when(F.col("__k") != NO_ID, F.col("__k")).alias("doc_id"),
+    return out.filter("types is null").select(
+        "doc_id",
         "n_tokens",
-        (F.col("__known") + F.coalesce("__lk", F.lit(0)) + F.lit(1 if ends else 0)).cast("long").alias("n_known"),
+        (F.col("n_known") + F.lit(1 if train_texts else 0)).cast("long").alias("n_known"),
         F.lit(train_tokens).cast("long").alias("train_tokens"),
-        (F.col("__base") + F.coalesce("__lb", F.lit(0.0)) + F.lit(end_score) - F.col("n_tokens") * F.lit(norm)).alias("base_score"),
+        (F.col("base") + F.lit(math.log10(train_texts + 0.5)) - F.col("n_tokens") * F.lit(norm)).alias("base_score"),
         "score",
     )
 

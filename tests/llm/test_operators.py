@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from helixframe.llm import bytescan, chat_format, components, decontamination, line_dedup, near_dedup, packing, quality_rules, sharding, suffix_dedup, suffix_tree_lm, toxicity
+from helixframe.llm import bytescan, chat_format, components, decontamination, line_dedup, near_dedup, packing, quality_rules, sharding, suffix_dedup, toxicity
 from helixframe.llm.common import Scratch
 
 from . import brute
@@ -180,46 +180,6 @@ def test_suffix_dedup_of_hot_groups(frame, corpus, monkeypatch):
     assert got == brute.repeats(corpus)
 
 
-def test_suffix_tree_base(frame, corpus, empty):
-    out = {r["doc_id"]: r for r in suffix_tree_lm.scored(frame, ~suffix_tree_lm.is_held_out(F.col("doc_id"))).collect()}
-    words = {i: brute.WORD.findall((t or "").translate(brute.LOWER)) + [None] for i, t in corpus}
-    c = Counter(w for i, ws in words.items() if zlib.crc32(str(i).encode()) % 5 != 1 for w in ws)
-    n, v = sum(c.values()), len(c)
-    for i, ws in words.items():
-        r = out[i]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(ws), sum(c[w] > 0 for w in ws), n)
-        assert r["base_score"] == pytest.approx(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws))
-        assert -1e6 < r["score"] < 0
-    assert suffix_tree_lm.scored(empty, F.lit(True)).count() == 0
-
-
-def test_suffix_tree_is_a_distribution_and_an_automaton():
-    column = pa.array(["the cat sat on the mat", "the cat ate the rat", None, "a"] * 5)
-    s, starts = suffix_tree_lm.symbols(bytescan.Texts(column, lower=True))
-    at, depth = suffix_tree_lm._scored(starts), suffix_tree_lm.DEPTH
-    rows = Counter()
-    for p in at.tolist():
-        for k in range(depth + 1):
-            rows[k, int.from_bytes(bytes(s[p - k : p].tolist()), "big"), int(s[p])] += 1
-    cols = [np.array(x, np.int64) for x in zip(*[(*key, n) for key, n in rows.items()])]
-    tree = suffix_tree_lm.build_tree(*cols)
-    unseen = 256 - (tree.logp.shape[1] - 1)
-    p = 10.0 ** tree.logp.astype(float)
-    assert (p[:, :-1].sum(1) + p[:, -1] * unseen) == pytest.approx(np.ones(len(p)), abs=1e-4)
-    # The state after each text prefix, walked byte by byte, scores the same as the vectorised reading.
-    scores = suffix_tree_lm.text_scores(tree, bytescan.Texts(column, lower=True))
-    walked = []
-    for i in range(len(column)):
-        state, total = 0, 0.0
-        for b in s[starts[i] - depth : starts[i]]:
-            state = tree.after[state, tree.classes[b]]
-        for b in s[starts[i] : starts[i + 1] - depth]:
-            total += float(tree.logp[state, tree.classes[b]])
-            state = tree.after[state, tree.classes[b]]
-        walked.append(total)
-    assert scores == pytest.approx(walked, rel=1e-5)
-
-
 QUESTION = "A train leaves the northern station at 9 km from the old bridge and meets young Alice after 15 minutes of slow riding along the river"
 
 
