@@ -3,9 +3,9 @@
 A text is read as its words (A-Z lower-cased), each closed by a space, and an end symbol; the symbols are
 bytes (255, no byte of UTF-8, is the end and what stands before a text), so every text has a probability.
 
-Counting: one pass over the training texts counts all windows of DEPTH + 1 symbols (exact keys,
-summed in each task before the shuffle); the counts of shorter contexts are sums of those.
-Growing: windows are brought together by the last three symbols of their context. A context that occurs
+Counting: one pass over the training texts counts all windows of DEPTH + 1 symbols (exact keys, summed in each task and
+packed by destination); the counts of shorter contexts are sums of those.
+Growing: windows meet by the last three symbols of their context and are summed as they come. A context that occurs
 MIN_COUNT times or more is kept if the code length it saves (its count times the divergence of its
 next-symbol distribution from that of its suffix, in nats) exceeds what its parameters cost: half the log
 of its count for each symbol that follows it, and PENALTY. Suffixes of kept contexts are kept, and so are all
@@ -47,9 +47,10 @@ PENALTY = 12.0
 PRIOR = 5.0
 HOT_CELLS = 6_000_000
 HEAVY, HEAVY_ROWS = 20_000, 4_000
-PART_BYTES = 1 << 19
-HELD_KEYS = 1_500_000
-GROUP_WORDS, GROUP_DOCS = 2_000_000, 32_000
+PART_BYTES = 1 << 18
+HELD_KEYS = 1_000_000
+WINDOW_BYTES, TAIL_BYTES = 1 << 23, 1 << 22
+GROUP_WORDS, GROUP_DOCS = 1_000_000, 32_000
 BUCKET_TOKENS = 3_000_000
 END = 255
 SHORT = 2  # contexts up to this length are all kept
@@ -107,25 +108,28 @@ def _sums(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return k[first], np.add.reduceat(c, first) if len(k) else c
 
 
-def heavy_words(docs: DataFrame) -> np.ndarray:
-    """Hashes of the words that make up 1/HEAVY of the sampled texts' words or more, at least two of them (at most HEAVY words)."""
+def heavy_words(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """Hashes of the words that make up 1/HEAVY of the sampled texts' words or more, at least two of them (at most HEAVY words);
+    and about how many bytes all texts have, which sets numbers of tasks only."""
     total = docs.count()
     if not total:
-        return np.zeros(0, U64)
+        return np.zeros(0, U64), 0
     sample = docs.select("text").sample(fraction=min(1.0, HEAVY_ROWS / total), seed=5).repartition(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, tokens = [np.zeros(0, U64)], [np.zeros(0, np.int64)], 0
+        keys, counts, tokens, rows, size = [np.zeros(0, U64)], [np.zeros(0, np.int64)], 0, 0, 0
         for whole in batches:
             for b in halves(whole, 0, PART_BYTES):
-                words, _ = word_hashes(Texts(b.column(0), lower=True))
-                tokens += len(words)
+                texts = Texts(b.column(0), lower=True)
+                words, _ = word_hashes(texts)
+                tokens, rows, size = tokens + len(words), rows + texts.n, size + len(texts.data)
                 u, c = np.unique(words, return_counts=True)
                 keys, counts = ([x] for x in _sums(np.concatenate([*keys, u]), np.concatenate([*counts, c])))
-        yield pa.RecordBatch.from_arrays([pa.array(keys[0][(counts[0] * HEAVY >= tokens) & (counts[0] > 1)].view(np.int64))], names=["word"])
+        heavy = keys[0][(counts[0] * HEAVY >= tokens) & (counts[0] > 1)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(heavy.view(np.int64), size * total // max(rows, 1)))], names=["word"])
 
-    found = sample.mapInArrow(run, "word long").toPandas()["word"]
-    return np.sort(found.to_numpy(np.int64).view(U64))
+    found = sample.mapInArrow(run, "word long").toPandas()["word"].to_numpy(np.int64)
+    return (np.sort(found[:-1].view(U64)), int(found[-1])) if len(found) else (np.zeros(0, U64), 0)
 
 
 def _spots(sorted_: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,17 +140,47 @@ def _spots(sorted_: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndar
     return spot, sorted_[spot] == values
 
 
-def corpus_counts(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
-    """docs (text, train) -> kind, key, n. kind 0: windows of the training texts; kind 1: the heavy words in training
-    texts; kind 2: all tokens, training tokens and training texts (keys 0 to 2)."""
+def _pack(key: np.ndarray, n: np.ndarray) -> bytes:
+    """Ascending keys and their counts; differences are stored by byte, so they compress well."""
+    gaps = np.diff(key, prepend=U64(0))
+    return gaps.view(np.uint8).reshape(-1, 8).T.tobytes() + n.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
 
-    def rows(kind, k, c):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.astype(U64).view(np.int64)), pa.array(c.astype(np.int64))], names=["kind", "key", "n"])
+
+def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(data, np.uint8).reshape(12, -1)
+    gaps, n = (np.ascontiguousarray(x.T).view(kind).ravel() for x, kind in ((planes[:8], U64), (planes[8:], np.uint32)))
+    return np.cumsum(gaps, dtype=U64), n.astype(np.int64)
+
+
+WINDOWS, SHORTS, FREQUENT, FACTS = range(4)
+
+
+def _window_group(key: np.ndarray, tasks: int) -> np.ndarray:
+    """The task of a window: that of the last SHORT + 1 symbols of its context."""
+    return (mix((key >> U64(8)) & _mask(SHORT + 1)) % U64(tasks)).astype(np.int32)
+
+
+def corpus_counts(docs: DataFrame, heavy: np.ndarray, tasks: int) -> DataFrame:
+    """docs (text, train) -> WINDOWS of the training texts (packed, for one of `tasks` tasks); and by key and number the ends of the
+    windows (SHORTS), the heavy words in training texts (FREQUENT), and all tokens, training tokens and training texts (FACTS 0 to 2)."""
+
+    def numbers(kind, k, c):
+        blank = pa.nulls(len(k), pa.int32()), pa.nulls(len(k), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), blank[0], pa.array(k.astype(U64).view(np.int64)), pa.array(c.astype(np.int64)), blank[1]], names=["kind", "dest", "key", "n", "data"])
+
+    def windows_of(k, c):
+        dest = _window_group(k, tasks)
+        order = np.argsort(dest, kind="stable")
+        first = np.flatnonzero(np.append(True, np.diff(dest[order]) > 0))
+        rows = [order[lo:hi] for lo, hi in zip(first, np.append(first[1:], len(k)), strict=True)]
+        blank = pa.nulls(len(rows), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([WINDOWS] * len(rows), pa.int32()), pa.array(dest[order][first]), blank, blank, pa.array([_pack(k[r], c[r]) for r in rows], pa.binary())], names=["kind", "dest", "key", "n", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[np.ndarray] = []
         counts: list[np.ndarray] = []
         held, facts, frequent = 0, np.zeros(3, np.int64), np.zeros(len(heavy), np.int64)
+        short = [np.zeros(0, U64), np.zeros(0, np.int64)]
         for whole in batches:
             for b in halves(whole, 0, PART_BYTES):
                 train = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
@@ -159,22 +193,27 @@ def corpus_counts(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
                 s, starts = symbols(learn)
                 key = windows(s, _scored(starts))
                 key.sort()
-                first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, int)
+                if not len(key):
+                    continue
+                first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
                 keys.append(key[first])
                 counts.append(np.diff(np.append(first, len(key))).astype(np.int32))
+                ends = _sums(keys[-1] & _mask(SHORT + 1), counts[-1])
+                short = _sums(*(np.concatenate(x) for x in zip(short, ends, strict=True)))
                 held += len(first)
                 if held > HELD_KEYS:
                     k, c = _sums(np.concatenate(keys), np.concatenate(counts))
                     keys, counts, held = [k], [c], len(k)
                     if 2 * held > HELD_KEYS:
-                        yield rows(0, k, c)
+                        yield windows_of(k, c)
                         keys, counts, held = [], [], 0
         if keys:
-            yield rows(0, *_sums(np.concatenate(keys), np.concatenate(counts)))
-        yield rows(1, heavy[frequent > 0], frequent[frequent > 0])
-        yield rows(2, np.arange(3), facts)
+            yield windows_of(*_sums(np.concatenate(keys), np.concatenate(counts)))
+        yield numbers(SHORTS, *short)
+        yield numbers(FREQUENT, heavy[frequent > 0], frequent[frequent > 0])
+        yield numbers(FACTS, np.arange(3), facts)
 
-    return docs.select("text", "train").mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return docs.select("text", "train").mapInArrow(run, "kind int, dest int, key long, n long, data binary")
 
 
 def _mask(length: int) -> np.uint64:
@@ -252,20 +291,28 @@ def tree_nodes(grams: DataFrame, top: Top, min_count: int = MIN_COUNT, penalty:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(size), k, np.int32)), pa.array(context.view(np.int64)), pa.array(c), lists, binary(symbol, 1), binary(logp, 4)], names=["depth", "context", "c", "above", "symbols", "logp"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, U64), np.zeros(0, np.int64)]
-        for b in batches:
-            held = [np.concatenate([held[0], b.column(0).to_numpy().view(U64)]), np.concatenate([held[1], b.column(1).to_numpy()])]
-            group = (held[0] >> U64(8)) & _mask(SHORT + 1)
-            if len(group) > 400_000 and group[0] != group[-1]:
-                cut = np.flatnonzero(group != group[-1])[-1] + 1
-                for found in grown(held[0][:cut], held[1][:cut], top, min_count, penalty):
-                    yield batch(*found)
-                held = [x[cut:] for x in held]
-        for found in grown(*held, top, min_count, penalty):
-            yield batch(*found)
+        dest, parts, held, known = None, [], 0, 0
+
+        def summed():
+            return [_sums(*(np.concatenate(x) for x in zip(*parts, strict=True)))]
 
-    group = F.shiftright("key", 8).bitwiseAND(F.lit(int(_mask(SHORT + 1))))
-    return grams.select("key", "n", group.alias("g")).repartition("g").sortWithinPartitions("g").select("key", "n").mapInArrow(run, NODES)
+        for b in batches:
+            for d, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if d != dest and parts:
+                    for found in grown(*summed()[0], top, min_count, penalty):
+                        yield batch(*found)
+                    parts, held, known = [], 0, 0
+                dest = d
+                parts.append(_unpack(data.as_py()))
+                held += len(parts[-1][0])
+                if held > 2 * known + HELD_KEYS // 2:
+                    parts = summed()
+                    held = known = len(parts[0][0])
+        if parts:
+            for found in grown(*summed()[0], top, min_count, penalty):
+                yield batch(*found)
+
+    return grams.select("dest", "data").repartition("dest").sortWithinPartitions("dest").mapInArrow(run, NODES)
 
 
 @dataclass
@@ -560,7 +607,7 @@ def resolved(parcels: DataFrame) -> DataFrame:
 
         for b in batches:
             for d, kind, grp, data in zip(*[b.column(i).to_pylist() for i in range(4)], strict=True):
-                if d != dest or (held > PART_BYTES * 8 and kind == TAIL):
+                if d != dest or (held > TAIL_BYTES and kind == TAIL):
                     if tail:
                         yield _parcels(tail_done())
                     tail, held = [], 0
@@ -623,17 +670,19 @@ def scored(docs: DataFrame, train: Column, min_count: int = MIN_COUNT, penalty:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row; `train` marks the rows to learn from."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "suffix-tree")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    heavy = heavy_words(rows)
-    counts = scratch.save(corpus_counts(rows, heavy), "counts", "kind")
-    facts = {r["key"]: r["n"] for r in counts.filter("kind = 2").collect()}
+    heavy, size = heavy_words(rows)
+    counts = scratch.save(corpus_counts(rows, heavy, 1 + size // WINDOW_BYTES), "counts", "kind")
+    numbers = counts.filter(F.col("kind") != WINDOWS).groupBy("kind", "key").agg(F.sum("n").alias("n")).toPandas()  # by symbols and HEAVY
+    by_kind = {k: (x["key"].to_numpy(np.int64).view(U64), x["n"].to_numpy(np.int64)) for k, x in numbers.groupby("kind")}
+    none = np.zeros(0, U64), np.zeros(0, np.int64)
+    facts = dict(zip(*(x.tolist() for x in by_kind.get(FACTS, none)), strict=True))
     tokens, train_tokens, train_texts = (facts.get(k, 0) for k in range(3))
-    found = counts.filter("kind = 1").select("key", "n").toPandas()  # at most HEAVY rows
     heavy_counts = np.zeros(len(heavy), np.int64)
-    heavy_counts[np.searchsorted(heavy, found["key"].to_numpy(np.int64).view(U64))] = found["n"].to_numpy(np.int64)
+    found, n = by_kind.get(FREQUENT, none)
+    heavy_counts[np.searchsorted(heavy, found)] = n
 
-    grams = counts.filter("kind = 0").select("key", "n")
-    short = grams.groupBy(F.col("key").bitwiseAND(F.lit(int(_mask(SHORT + 1)))).alias("key")).agg(F.sum("n").alias("n")).toPandas()
-    top = top_of(short["key"].to_numpy(np.int64).view(U64), short["n"].to_numpy(np.int64))
+    grams = counts.filter(F.col("kind") == WINDOWS)
+    top = top_of(*by_kind.get(SHORTS, none))
     tree = scratch.save(tree_nodes(grams, top, min_count, penalty), "tree")
     # The trie takes the contexts above a count that so many contexts reach.
     room = HOT_CELLS // (1 + int((top.root > top.root.min()).sum())) - sum(int((c >= min_count).sum()) for c in top.counts[1:])
