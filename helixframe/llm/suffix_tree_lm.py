@@ -4,8 +4,9 @@ A text is read as its words (A-Z lower-cased), each closed by a space, and an en
 bytes (255, no byte of UTF-8, is the end and what stands before a text), so every text has a probability.
 
 Counting: one pass over the training texts counts all windows of DEPTH + 1 symbols (exact keys, summed in each task and
-packed by destination); the counts of shorter contexts are sums of those.
-Growing: windows meet by the last three symbols of their context and are summed as they come. A context that occurs
+packed by the last three symbols of their context, by which they meet and are summed as they come); the counts of shorter
+contexts are sums of those.
+Growing: a context that occurs
 MIN_COUNT times or more is kept if the code length it saves (its count times the divergence of its
 next-symbol distribution from that of its suffix, in nats) exceeds what its parameters cost: half the log
 of its count for each symbol that follows it, and PENALTY. Suffixes of kept contexts are kept, and so are all
@@ -39,15 +40,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytescan import SPACE, U64, Texts, halves, mix
-from .common import Scratch, documents
+from .common import Scratch, documents, small_batches
 
 DEPTH = 6
 MIN_COUNT = 20
 PENALTY = 12.0
 PRIOR = 5.0
-HOT_CELLS = 6_000_000
+HOT_CELLS = 3_000_000
 HEAVY, HEAVY_ROWS = 20_000, 4_000
-PART_BYTES = 1 << 18
+BATCH_ROWS, PART_BYTES = 500, 1 << 18
 HELD_KEYS = 1_000_000
 WINDOW_BYTES, TAIL_BYTES = 1 << 23, 1 << 22
 GROUP_WORDS, GROUP_DOCS = 1_000_000, 32_000
@@ -143,38 +144,37 @@ def _spots(sorted_: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndar
 def _pack(key: np.ndarray, n: np.ndarray) -> bytes:
     """Ascending keys and their counts; differences are stored by byte, so they compress well."""
     gaps = np.diff(key, prepend=U64(0))
-    return gaps.view(np.uint8).reshape(-1, 8).T.tobytes() + n.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+    planes = gaps.view(np.uint8).reshape(-1, 8).T.tobytes() + n.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
 
 
 def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    planes = np.frombuffer(data, np.uint8).reshape(12, -1)
+    planes = np.frombuffer(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd"), np.uint8).reshape(12, -1)
     gaps, n = (np.ascontiguousarray(x.T).view(kind).ravel() for x, kind in ((planes[:8], U64), (planes[8:], np.uint32)))
     return np.cumsum(gaps, dtype=U64), n.astype(np.int64)
 
 
 WINDOWS, SHORTS, FREQUENT, FACTS = range(4)
+COUNTS = "kind int, dest int, data binary"
 
 
-def _window_group(key: np.ndarray, tasks: int) -> np.ndarray:
-    """The task of a window: that of the last SHORT + 1 symbols of its context."""
-    return (mix((key >> U64(8)) & _mask(SHORT + 1)) % U64(tasks)).astype(np.int32)
+def _counts(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [[]] * 3
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["kind", "dest", "data"])
 
 
-def corpus_counts(docs: DataFrame, heavy: np.ndarray, tasks: int) -> DataFrame:
-    """docs (text, train) -> WINDOWS of the training texts (packed, for one of `tasks` tasks); and by key and number the ends of the
-    windows (SHORTS), the heavy words in training texts (FREQUENT), and all tokens, training tokens and training texts (FACTS 0 to 2)."""
+def _by_task(kind: int, key: np.ndarray, n: np.ndarray, tasks: int) -> list[tuple]:
+    """Counts for the tasks that sum them. Windows go by the last SHORT + 1 symbols of their context."""
+    dest = (mix(((key >> U64(8)) & _mask(SHORT + 1)) if kind == WINDOWS else key + U64(kind)) % U64(tasks)).astype(np.int32)
+    order = np.argsort(dest, kind="stable")
+    first = np.flatnonzero(np.append(True, np.diff(dest[order]) > 0)) if len(key) else []
+    parts = (order[lo:hi] for lo, hi in zip(first, [*first[1:], len(key)], strict=False))
+    return [(kind, int(dest[rows[0]]), _pack(key[rows], n[rows])) for rows in parts]
 
-    def numbers(kind, k, c):
-        blank = pa.nulls(len(k), pa.int32()), pa.nulls(len(k), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), blank[0], pa.array(k.astype(U64).view(np.int64)), pa.array(c.astype(np.int64)), blank[1]], names=["kind", "dest", "key", "n", "data"])
 
-    def windows_of(k, c):
-        dest = _window_group(k, tasks)
-        order = np.argsort(dest, kind="stable")
-        first = np.flatnonzero(np.append(True, np.diff(dest[order]) > 0))
-        rows = [order[lo:hi] for lo, hi in zip(first, np.append(first[1:], len(k)), strict=True)]
-        blank = pa.nulls(len(rows), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array([WINDOWS] * len(rows), pa.int32()), pa.array(dest[order][first]), blank, blank, pa.array([_pack(k[r], c[r]) for r in rows], pa.binary())], names=["kind", "dest", "key", "n", "data"])
+def corpus_counts(docs: DataFrame, heavy: np.ndarray, tasks: int) -> DataFrame:
+    """docs (text, train) -> packed keys and counts, a row for each kind and task: WINDOWS of the training texts, their ends (SHORTS),
+    the heavy words in training texts (FREQUENT), and all tokens, training tokens and training texts (FACTS 0 to 2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[np.ndarray] = []
@@ -205,15 +205,36 @@ def corpus_counts(docs: DataFrame, heavy: np.ndarray, tasks: int) -> DataFrame:
                     k, c = _sums(np.concatenate(keys), np.concatenate(counts))
                     keys, counts, held = [k], [c], len(k)
                     if 2 * held > HELD_KEYS:
-                        yield windows_of(k, c)
+                        yield _counts(_by_task(WINDOWS, k, c, tasks))
                         keys, counts, held = [], [], 0
         if keys:
-            yield windows_of(*_sums(np.concatenate(keys), np.concatenate(counts)))
-        yield numbers(SHORTS, *short)
-        yield numbers(FREQUENT, heavy[frequent > 0], frequent[frequent > 0])
-        yield numbers(FACTS, np.arange(3), facts)
+            yield _counts(_by_task(WINDOWS, *_sums(np.concatenate(keys), np.concatenate(counts)), tasks))
+        there = frequent > 0
+        rows = _by_task(SHORTS, *short, tasks) + _by_task(FREQUENT, heavy[there], frequent[there], tasks) + _by_task(FACTS, np.arange(3, dtype=U64), facts, tasks)
+        yield _counts(rows)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, parts, held, known = None, [], 0, 0
+
+        def summed():
+            return [_sums(*(np.concatenate(x) for x in zip(*parts, strict=True)))]
 
-    return docs.select("text", "train").mapInArrow(run, "kind int, dest int, key long, n long, data binary")
+        for b in batches:
+            for kind, dest, data in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
+                if (kind, dest) != current and parts:
+                    yield _counts([(*current, _pack(*summed()[0]))])
+                    parts, held, known = [], 0, 0
+                current = kind, dest
+                parts.append(_unpack(data))
+                held += len(parts[-1][0])
+                if held > 2 * known + HELD_KEYS // 2:
+                    parts = summed()
+                    held = known = len(parts[0][0])
+        if parts:
+            yield _counts([(*current, _pack(*summed()[0]))])
+
+    own = docs.select("text", "train").mapInArrow(run, COUNTS)
+    return own.repartition("dest").sortWithinPartitions("dest", "kind").mapInArrow(sums, COUNTS)
 
 
 def _mask(length: int) -> np.uint64:
@@ -282,7 +303,7 @@ def grown(key: np.ndarray, n: np.ndarray, top: Top, min_count: int, penalty: flo
 
 
 def tree_nodes(grams: DataFrame, top: Top, min_count: int = MIN_COUNT, penalty: float = PENALTY) -> DataFrame:
-    """The kept contexts longer than SHORT, a row each."""
+    """The kept contexts longer than SHORT, a row each; a row of grams has all windows with the ends it has."""
 
     def batch(k, context, c, above, size, symbol, logp):
         ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
@@ -291,28 +312,12 @@ def tree_nodes(grams: DataFrame, top: Top, min_count: int = MIN_COUNT, penalty:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(size), k, np.int32)), pa.array(context.view(np.int64)), pa.array(c), lists, binary(symbol, 1), binary(logp, 4)], names=["depth", "context", "c", "above", "symbols", "logp"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dest, parts, held, known = None, [], 0, 0
-
-        def summed():
-            return [_sums(*(np.concatenate(x) for x in zip(*parts, strict=True)))]
-
         for b in batches:
-            for d, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                if d != dest and parts:
-                    for found in grown(*summed()[0], top, min_count, penalty):
-                        yield batch(*found)
-                    parts, held, known = [], 0, 0
-                dest = d
-                parts.append(_unpack(data.as_py()))
-                held += len(parts[-1][0])
-                if held > 2 * known + HELD_KEYS // 2:
-                    parts = summed()
-                    held = known = len(parts[0][0])
-        if parts:
-            for found in grown(*summed()[0], top, min_count, penalty):
-                yield batch(*found)
+            for data in b.column(0):
+                for found in grown(*_unpack(data.as_py()), top, min_count, penalty):
+                    yield batch(*found)
 
-    return grams.select("dest", "data").repartition("dest").sortWithinPartitions("dest").mapInArrow(run, NODES)
+    return grams.select("data").mapInArrow(run, NODES)
 
 
 @dataclass
@@ -668,12 +673,19 @@ def assembled(parcels: DataFrame) -> DataFrame:
 
 def scored(docs: DataFrame, train: Column, min_count: int = MIN_COUNT, penalty: float = PENALTY) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row; `train` marks the rows to learn from."""
+    with small_batches(docs.sparkSession, BATCH_ROWS):
+        return _scores(docs, train, min_count, penalty)
+
+
+def _scores(docs: DataFrame, train: Column, min_count: int, penalty: float) -> DataFrame:
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "suffix-tree")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     heavy, size = heavy_words(rows)
-    counts = scratch.save(corpus_counts(rows, heavy, 1 + size // WINDOW_BYTES), "counts", "kind")
-    numbers = counts.filter(F.col("kind") != WINDOWS).groupBy("kind", "key").agg(F.sum("n").alias("n")).toPandas()  # by symbols and HEAVY
-    by_kind = {k: (x["key"].to_numpy(np.int64).view(U64), x["n"].to_numpy(np.int64)) for k, x in numbers.groupby("kind")}
+    counts = scratch.save(corpus_counts(rows, heavy, 1 + size // WINDOW_BYTES), "counts")
+    by_kind = {}
+    for r in counts.filter(F.col("kind") != WINDOWS).collect():  # bounded by the numbers of symbols and of heavy words
+        by_kind.setdefault(r["kind"], []).append(_unpack(r["data"]))
+    by_kind = {k: _sums(*(np.concatenate(x) for x in zip(*parts, strict=True))) for k, parts in by_kind.items()}
     none = np.zeros(0, U64), np.zeros(0, np.int64)
     facts = dict(zip(*(x.tolist() for x in by_kind.get(FACTS, none)), strict=True))
     tokens, train_tokens, train_texts = (facts.get(k, 0) for k in range(3))
