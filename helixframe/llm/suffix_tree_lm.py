@@ -6,16 +6,15 @@ bytes (255, no byte of UTF-8, is the end and what stands before a text), so ever
 Counting: one pass over the training texts counts all windows of DEPTH + 1 symbols (exact keys, summed in each task and
 packed by the last three symbols of their context, by which they meet and are summed as they come); the counts of shorter
 contexts are sums of those.
-Growing: a context that occurs
-MIN_COUNT times or more is kept if the code length it saves (its count times the divergence of its
+Growing: a context that occurs MIN_COUNT times or more is kept if the code length it saves (its count times the divergence of its
 next-symbol distribution from that of its suffix, in nats) exceeds what its parameters cost: half the log
 of its count for each symbol that follows it, and PENALTY. Suffixes of kept contexts are kept, and so are all
 contexts of one or two symbols. Distributions are smoothed towards those of the suffix. The thresholds are counts, so
 the tree grows with the corpus.
 Scoring: the longest kept suffix of what was read gives the next symbol's probability. The most frequent contexts, as
-many as fit HOT_CELLS cells, go to all tasks as a trie. A position whose next longer suffix is kept but not among them
-goes to the task that holds the subtree below that suffix: such a suffix is rare, so no task gets many. Positions travel as
-arrays, grouped by destination.
+many as fit HOT_CELLS cells, go to all tasks as a trie, the next ones, as many as fit MIDDLE_BYTES, in sparse form. A position
+whose next longer suffix is kept but in neither goes to the task that holds the subtree below that suffix: such a suffix is
+rare, so no task gets many. Positions travel as arrays, grouped by destination.
 
 The word-unigram base: about HEAVY_ROWS sampled texts name the words that may be frequent; they are counted in each
 task of the counting pass. All other words travel to the task that counts them, and only the sums of their documents
@@ -47,6 +46,7 @@ MIN_COUNT = 20
 PENALTY = 12.0
 PRIOR = 5.0
 HOT_CELLS = 3_000_000
+MIDDLE_BYTES, MIDDLE_NODE = 48_000_000, 84
 HEAVY, HEAVY_ROWS = 20_000, 4_000
 BATCH_ROWS, PART_BYTES = 500, 1 << 18
 HELD_KEYS = 1_000_000
@@ -323,7 +323,7 @@ def tree_nodes(grams: DataFrame, top: Top, min_count: int = MIN_COUNT, penalty:
 @dataclass
 class Trie:
     """The most frequent contexts. Row 0 is empty, row 1 the root; child[node, class] is the node of the context with one
-    older symbol, 0 (not kept) or -1 (kept, but not in the trie). two[class, class] starts after two symbols."""
+    older symbol, 0 (not kept), -1 (kept in the middle) or -2 (kept elsewhere). two[class, class] starts after two symbols."""
 
     classes: np.ndarray
     child: np.ndarray
@@ -336,8 +336,8 @@ class Trie:
         self.two_best = np.where(self.two > 0, self.two, np.repeat(np.where(one > 0, one, 1), w)).astype(np.int32)
 
 
-def build_trie(top: Top, nodes: list[tuple], tail_roots: list[tuple[int, np.ndarray]], min_count: int = MIN_COUNT) -> Trie:
-    """nodes as from grown(), each depth once; tail_roots: (depth, contexts) of kept contexts right below the trie."""
+def build_trie(top: Top, nodes: list[tuple], outside: list[tuple[int, np.ndarray, int]], min_count: int = MIN_COUNT) -> Trie:
+    """nodes as from grown(), each depth once; outside: (depth, contexts, mark) of kept contexts right below the trie."""
     seen = np.flatnonzero(top.root > top.root.min())
     width = len(seen) + 1  # the last class stands for all symbols that never occurred
     classes = np.full(256, width - 1, np.int32)
@@ -354,7 +354,6 @@ def build_trie(top: Top, nodes: list[tuple], tail_roots: list[tuple[int, np.ndar
     child, logp = np.zeros((n, width), np.int32), np.zeros((n, width), np.float32)
     base = np.log10(top.root)
     logp[1, : len(seen)], logp[1, width - 1] = base[seen], base[some[0]] if len(some) else base.min()
-    tails = dict(tail_roots)
     at, ids, above = 2, {0: np.array([1])}, {0: np.zeros(1, U64)}
     for k, context, c, size, symbol, lp in levels[1:]:
         order = np.argsort(context)
@@ -366,48 +365,130 @@ def build_trie(top: Top, nodes: list[tuple], tail_roots: list[tuple[int, np.ndar
         child[up, classes[(context >> U64(8 * (k - 1))).astype(np.int64)]] = own
         ids[k], above[k] = own[order], context[order]
         at += len(context)
-    for k, context in tails.items():
-        if len(context):
-            up = ids[k - 1][np.searchsorted(above[k - 1], context & _mask(k - 1))]
-            child[up, classes[(context >> U64(8 * (k - 1))).astype(np.int64)]] = -1
+    for k, context, mark in outside:
+        up = ids[k - 1][np.searchsorted(above[k - 1], context & _mask(k - 1))]
+        child[up, classes[(context >> U64(8 * (k - 1))).astype(np.int64)]] = mark
     return Trie(classes, child, logp)
 
 
-def _unpacked(rows) -> list[tuple]:
-    """Rows of NODES as grown() gives them, by depth."""
-    out = []
-    for k in sorted({r[0] for r in rows}):
-        own = [r for r in rows if r[0] == k]
-        out.append((k, np.array([r[1] for r in own], np.int64).view(U64), np.array([r[2] for r in own]), None, np.array([len(r[4]) for r in own]), np.frombuffer(b"".join(r[4] for r in own), np.uint8), np.frombuffer(b"".join(r[5] for r in own), np.float32)))
-    return out
-
-
-def fitted(tree: DataFrame, top: Top, least: int, min_count: int = MIN_COUNT) -> Trie:
-    """The trie of the contexts that occur `least` times or more, built in one task (HOT_CELLS bounds it)."""
+@dataclass
+class Middle:
+    """Contexts less frequent than those of the trie, by key (depth and context): seen[node] has a bit for each symbol that follows,
+    logp the values of all of them from start[node] on, rank[node] how many are in earlier words of seen; far[node] has a bit
+    for each older symbol whose context is kept elsewhere."""
+
+    keys: np.ndarray
+    escape: np.ndarray
+    seen: np.ndarray
+    rank: np.ndarray
+    start: np.ndarray
+    logp: np.ndarray
+    far: np.ndarray
+
+    def continued(self, key: np.ndarray, depth: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Values of windows whose suffix of length `depth` is here, and the rows that go on elsewhere with the length there."""
+        value, depth = value.copy(), depth.copy()
+        symbol = key & U64(255)
+        word, bit = (symbol >> U64(6)).astype(np.int64), symbol & U64(63)
+        rows_far, depth_far = [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)]
+        for k in range(SHORT + 1, DEPTH + 1):
+            rows = np.flatnonzero(depth == k)
+            spot, hit = _spots(self.keys, _node_key((key[rows] >> U64(8)) & _mask(k), k))
+            rows, spot = rows[hit], spot[hit]
+            bits, b = self.seen[spot, word[rows]], bit[rows]
+            place = self.start[spot] + self.rank[spot, word[rows]] + np.bitwise_count(bits & ((U64(1) << b) - U64(1)))
+            there = (bits >> b) & U64(1) > 0
+            value[rows] = np.where(there, self.logp[np.minimum(place, len(self.logp) - 1)], self.escape[spot] + value[rows])
+            if k < DEPTH:
+                older = (key[rows] >> U64(8 * (k + 1))) & U64(255)
+                out = (self.far[spot, (older >> U64(6)).astype(np.int64)] >> (older & U64(63))) & U64(1) > 0
+                rows_far.append(rows[out])
+                depth_far.append(np.full(int(out.sum()), k + 1, np.uint8))
+                depth[rows[~out]] = k + 1
+        return value, np.concatenate(rows_far), np.concatenate(depth_far)
+
+
+def _node_key(context: np.ndarray, depth) -> np.ndarray:
+    return context | (np.asarray(depth).astype(U64) << U64(56))
+
+
+def build_middle(nodes: list[tuple], outside: list[tuple[int, np.ndarray]]) -> Middle:
+    """nodes as from grown(), each depth once; outside: (depth, contexts) of kept contexts right below these."""
+    none = np.zeros(0, np.int64)
+    keys = np.concatenate([none.astype(U64), *[_node_key(x[1], x[0]) for x in nodes]])
+    c, size = (np.concatenate([none, *[x[i] for x in nodes]]) for i in (2, 4))
+    symbol, logp = (np.concatenate([none.astype(kind), *[x[i] for x in nodes]]) for i, kind in ((5, np.uint8), (6, np.float32)))
+    order = np.argsort(keys)
+    start = np.cumsum(size) - size
+    node, symbol = np.repeat(np.arange(len(keys)), size), symbol.astype(np.int64)
+
+    def bits(rows, value):
+        out = np.zeros((len(keys), 4), U64)
+        np.bitwise_or.at(out, (rows, value >> 6), U64(1) << (value & 63).astype(U64))
+        return out
+
+    seen = bits(node, symbol)
+    rank = np.bitwise_count(seen)
+    rank = (np.cumsum(rank, 1) - rank).astype(np.uint8)
+    rows_far, older = [none], [none]
+    for k, context in outside:
+        spot, hit = _spots(keys[order], _node_key(context & _mask(k - 1), k - 1))
+        rows_far.append(order[spot[hit]])
+        older.append((context[hit] >> U64(8 * (k - 1))).astype(np.int64))
+    far = bits(np.concatenate(rows_far), np.concatenate(older))
+    escape = np.log10(PRIOR / (c + PRIOR)).astype(np.float32)
+    return Middle(keys[order], escape[order], seen[order], rank[order], start[order].astype(np.int32), logp.astype(np.float32), far[order])
+
+
+def fitted(tree: DataFrame, top: Top, least: int, middle: int, min_count: int = MIN_COUNT) -> tuple[Trie, Middle]:
+    """The trie of the contexts that occur `least` times or more and the middle of those that occur `middle` times or more, built in
+    one task (HOT_CELLS and MIDDLE_BYTES bound them)."""
+    names = ["classes", "child", "trie_logp", "keys", "escape", "seen", "rank", "start", "logp", "far"]
+    kinds = [np.int32, np.int32, np.float32, U64, np.float32, U64, np.uint8, np.int32, np.float32, U64]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, tails = [], {}
-        for b in batches:
-            for r in zip(*[b.column(i).to_pylist() for i in range(6)], strict=True):
-                if r[2] >= least:
-                    rows.append(r)
-                else:
-                    tails.setdefault(r[0], []).append(r[1])
-        trie = build_trie(top, _unpacked(rows), [(k, np.array(v, np.int64).view(U64)) for k, v in tails.items()], min_count)
-        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (trie.classes, trie.child, trie.logp)] + [pa.array([trie.child.shape[1]], pa.int32())], names=["classes", "child", "logp", "width"])
+        def data(column, kind):
+            ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+            return np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].view(kind), np.diff(ends)
 
-    near = tree.filter((F.col("c") >= least) | (F.col("depth") == SHORT + 1) | (F.try_element_at("above", F.col("depth") - 1) >= least))
-    slim = near.select("depth", "context", "c", F.lit(None).cast("int"), *[F.when(F.col("c") >= least, F.col(x)).alias(x) for x in ("symbols", "logp")])
-    got = slim.repartition(1).mapInArrow(run, "classes binary, child binary, logp binary, width int").first()
+        parts = []
+        for b in batches:
+            symbol, size = data(b.column(4), np.uint8)
+            parts.append([b.column(0).to_numpy(), b.column(1).to_numpy().view(U64), b.column(2).to_numpy(), b.column(3).to_numpy(), size.astype(np.int64), symbol, data(b.column(5), np.float32)[0]])
+        blank = [np.zeros(0, kind) for kind in (np.int64, U64, np.int64, np.int64, np.int64, np.uint8, np.float32)]
+        depth, context, c, above, size, symbol, logp = (np.concatenate(x) for x in zip(blank, *parts, strict=True))
+        hot, mid = c >= least, (c >= middle) & (c < least)
+
+        def nodes(chosen):
+            out = []
+            for k in np.unique(depth[chosen]).tolist():
+                own = chosen & (depth == k)
+                each = np.repeat(own, size)
+                out.append((k, context[own], c[own], None, size[own], symbol[each], logp[each]))
+            return out
+
+        below_trie = (above >= least) | (depth == SHORT + 1)
+        outside = [(k, context[(depth == k) & which & below_trie], mark) for k in range(SHORT + 1, DEPTH + 1) for which, mark in ((mid, -1), (c < middle, -2))]
+        trie = build_trie(top, nodes(hot), [x for x in outside if len(x[1])], min_count)
+        rest = build_middle(nodes(mid), [(k, context[(depth == k) & (c < middle) & ~below_trie]) for k in range(SHORT + 2, DEPTH + 1)])
+        arrays = (trie.classes, trie.child, trie.logp, rest.keys, rest.escape, rest.seen, rest.rank, rest.start, rest.logp, rest.far)
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in arrays], names=names)
+
+    above = F.coalesce(F.try_element_at("above", F.col("depth") - 1), F.lit(0))
+    near = tree.filter((F.col("c") >= middle) | (F.col("depth") == SHORT + 1) | (above >= middle))
+    slim = near.select(F.col("depth").cast("long"), "context", "c", above.cast("long"), *[F.when(F.col("c") >= middle, F.col(x)).alias(x) for x in ("symbols", "logp")])
+    got = slim.repartition(1).mapInArrow(run, ", ".join(f"{n} binary" for n in names)).first()
     if got is None:
-        return build_trie(top, [], [], min_count)
-    shape = (-1, got["width"])
-    return Trie(np.frombuffer(got["classes"], np.int32), np.frombuffer(got["child"], np.int32).reshape(shape), np.frombuffer(got["logp"], np.float32).reshape(shape))
+        return build_trie(top, [], [], min_count), build_middle([], [])
+    classes, child, trie_logp, *rest = (np.frombuffer(got[n], kind) for n, kind in zip(names, kinds, strict=True))
+    width = int(classes.max()) + 1
+    rest = [x.reshape(-1, 4) if n in ("seen", "rank", "far") else x for n, x in zip(names[3:], rest, strict=True)]
+    return Trie(classes, child.reshape(-1, width), trie_logp.reshape(-1, width)), Middle(*rest)
 
 
-def read_positions(trie: Trie, s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """log10 probability of each position by the trie, and the positions (as numbers) whose next longer suffix is kept
-    outside the trie, with that suffix's length."""
+def read_positions(trie: Trie, middle: Middle, s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """log10 probability of each position by the trie and the middle; and the positions (as numbers) whose next longer suffix
+    is kept elsewhere, that suffix's length, and their windows."""
     w = trie.child.shape[1]
     child = trie.child.ravel()
     c = trie.classes[s]
@@ -415,18 +496,25 @@ def read_positions(trie: Trie, s: np.ndarray, at: np.ndarray) -> tuple[np.ndarra
     best, node = trie.two_best[spot], trie.two[spot]
     rows = np.flatnonzero(node > 0)
     node = node[rows]
-    tails, depths = [], []
+    left, depths, marks = [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)], [np.zeros(0, np.int32)]
     for k in range(SHORT + 1, DEPTH + 1):
         node = child[node * w + c[at[rows] - k]]
-        out = node < 0
-        if out.any():
-            tails.append(rows[out])
-            depths.append(np.full(len(tails[-1]), k, np.uint8))
+        out = np.flatnonzero(node < 0)
+        left.append(rows[out])
+        depths.append(np.full(len(out), k, np.uint8))
+        marks.append(node[out])
         on = np.flatnonzero(node > 0)
         rows, node = rows[on], node[on]
         best[rows] = node
-    none = [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)]
-    return trie.logp.ravel()[best.astype(np.int64) * w + c[at]], np.concatenate(tails or none[0]), np.concatenate(depths or none[1])
+    lp = trie.logp.ravel()[best.astype(np.int64) * w + c[at]]
+    rows, depth, mark = (np.concatenate(x) for x in (left, depths, marks))
+    key = windows(s, at[rows])
+    here = np.flatnonzero(mark == -1)
+    value, far, far_depth = middle.continued(key[here], depth[here], lp[rows[here]])
+    lp[rows[here]] = value
+    depth[here[far]] = far_depth
+    away = np.concatenate([np.flatnonzero(mark == -2), here[far]])
+    return lp, rows[away], depth[away], key[away]
 
 
 def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
@@ -470,13 +558,13 @@ def _opened(data: bytes, *kinds) -> list[np.ndarray]:
 HOME_KINDS = (np.int64, np.uint8, np.int64, np.int64, np.float64, np.float64)
 
 
-def read_texts(docs: DataFrame, trie, heavy: np.ndarray, counts: np.ndarray, buckets: int) -> DataFrame:
+def read_texts(docs: DataFrame, tree, heavy: np.ndarray, counts: np.ndarray, buckets: int) -> DataFrame:
     """Parcels of each group of texts: HOME with ids, tokens and the sums known here, WORDS and TAIL for what others know.
-    trie: a broadcast Trie."""
+    tree: a broadcast Trie and Middle."""
     known = np.log10(counts + 0.5)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, task, seq = trie.value, TaskContext.get().partitionId(), 0
+        (model, middle), task, seq = tree.value, TaskContext.get().partitionId(), 0
         home, words_, tail = [], [], []
         n_docs = held = 0
 
@@ -511,11 +599,10 @@ def read_texts(docs: DataFrame, trie, heavy: np.ndarray, counts: np.ndarray, buc
                     words_.append((_bucket(light, buckets), light, mark))
                     s, starts = symbols(texts)
                     at = _scored(starts)
-                    lp, rows, depth = read_positions(model, s, at)
+                    lp, rows, depth, key = read_positions(model, middle, s, at)
                     first = np.concatenate([[0], np.cumsum(np.diff(starts) - DEPTH)]).astype(np.int64)
                     score = np.add.reduceat(lp.astype(np.float64), first[:-1]) if texts.n else np.zeros(0)
                     if len(rows):
-                        key = windows(s, at[rows])
                         owner = np.searchsorted(first, rows, side="right") - 1 + n_docs
                         tail.append((_bucket(_root(key, depth), buckets), key | (depth.astype(U64) << U64(56)), lp[rows], owner.astype(np.uint16)))
                     ids = part.column(0)
@@ -529,7 +616,7 @@ def read_texts(docs: DataFrame, trie, heavy: np.ndarray, counts: np.ndarray, buc
 
 
 def tail_nodes(tree: DataFrame, least: int, buckets: int) -> DataFrame:
-    """A parcel for each kept context outside the trie, for the task of its shortest suffix outside."""
+    """A parcel for each kept context that occurs less than `least` times, for the task of its shortest suffix that does."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -696,21 +783,25 @@ def _scores(docs: DataFrame, train: Column, min_count: int, penalty: float) -> D
     grams = counts.filter(F.col("kind") == WINDOWS)
     top = top_of(*by_kind.get(SHORTS, none))
     tree = scratch.save(tree_nodes(grams, top, min_count, penalty), "tree")
-    # The trie takes the contexts above a count that so many contexts reach.
-    room = HOT_CELLS // (1 + int((top.root > top.root.min()).sum())) - sum(int((c >= min_count).sum()) for c in top.counts[1:])
-    least = 1 << 62
-    for r in sorted(tree.groupBy(F.floor(8 * F.log2("c")).cast("int").alias("b")).agg(F.count("*").alias("n")).collect(), reverse=True):
-        room -= r["n"]
-        if room < 0:
+    # The trie takes the contexts above a count that so many contexts reach, the middle those above a lower one.
+    room = [HOT_CELLS // (1 + int((top.root > top.root.min()).sum())) - sum(int((c >= min_count).sum()) for c in top.counts[1:]), MIDDLE_BYTES]
+    by_count = tree.groupBy(F.floor(8 * F.log2("c")).cast("int").alias("b")).agg(F.count("*").alias("n"), F.sum(MIDDLE_NODE + 4 * F.length("symbols")).alias("size")).collect()
+    least = [1 << 62, 1 << 62]
+    for r in sorted(by_count, reverse=True):
+        tier = 0 if room[0] >= r["n"] else 1
+        room[0] = room[0] - r["n"] if not tier else -1
+        room[1] -= r["size"] if tier else 0
+        if room[1] < 0:
             break
-        least = math.ceil(2 ** (r["b"] / 8))
-    trie = spark.sparkContext.broadcast(fitted(tree, top, least, min_count))
+        for i in range(tier, 2):
+            least[i] = math.ceil(2 ** (r["b"] / 8))
+    model = spark.sparkContext.broadcast(fitted(tree, top, *least, min_count))
     scratch.drop("counts")
 
     buckets = max(1, -(-tokens // BUCKET_TOKENS))
-    parcels = read_texts(rows, trie, heavy, heavy_counts, buckets).unionByName(tail_nodes(tree, least, buckets))
+    parcels = read_texts(rows, model, heavy, heavy_counts, buckets).unionByName(tail_nodes(tree, least[1], buckets))
     out = scratch.save(assembled(resolved(parcels)), "rows")
-    trie.destroy()
+    model.destroy()
     scratch.drop("tree")
     types = (out.agg(F.sum("types")).first()[0] or 0) + int((heavy_counts > 0).sum()) + (1 if train_texts else 0)
     norm = math.log10(train_tokens + 0.5 * (types + 1))

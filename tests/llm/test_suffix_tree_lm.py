@@ -51,10 +51,11 @@ class Tree:
         return total
 
 
-@pytest.mark.parametrize("cells", [0, 40_000, lm.HOT_CELLS])
-def test_scores(frame, corpus, monkeypatch, cells):
-    """With no room, some room and room for all kept contexts in the trie."""
+@pytest.mark.parametrize(("cells", "middle"), [(0, 0), (0, 15_000), (20_000, 15_000), (0, lm.MIDDLE_BYTES), (lm.HOT_CELLS, lm.MIDDLE_BYTES)])
+def test_scores(frame, corpus, monkeypatch, cells, middle):
+    """With no room, some room and room for all kept contexts in the trie and in the middle."""
     monkeypatch.setattr(lm, "HOT_CELLS", cells)
+    monkeypatch.setattr(lm, "MIDDLE_BYTES", middle)
     monkeypatch.setattr(lm, "GROUP_WORDS", 1500)
     monkeypatch.setattr(lm, "BUCKET_TOKENS", 2000)
     monkeypatch.setattr(lm, "HEAVY", 50)
