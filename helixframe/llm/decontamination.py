@@ -1,19 +1,22 @@
 """Benchmark decontamination by template canonicalisation (DataFrame functions only).
 
 Words lose surrounding punctuation and case; numbers, units after numbers and names (capitalised
-words inside a sentence) become typed placeholders. Windows of WINDOW template tokens of a
-document are hash-joined with those of the benchmark items. The windows of one document and item on
-one alignment must agree on the slots: everywhere an item's value stands, the document has one and the
-same value. A document is contaminated by an item if consistent alignments cover MIN_SHARE of the
-item's windows or more, so a question with other numbers or names is still found.
-
-The benchmark side is counted and broadcast up to BROADCAST_WINDOWS windows (about 100 bytes each);
-a larger one is joined by a shuffle.
+words inside a sentence) become typed placeholders. Of slots in a row only the first (or a number with its unit, or a
+name of two words) is a placeholder, the others keep their value: so tables of numbers and lists of names are compared by value, and every
+window can be joined. Windows of WINDOW template tokens of a document are joined with those of the
+benchmark items by the hash of the whole window.
+The windows of one document and item on one alignment vote on the slots: the value that most places of an item's
+value have in the document (the first of equals) is its value there, and windows that hold another one are not
+counted. A document is contaminated by an item if MIN_PERCENT of the item's windows or more are matched, so a question with
+other numbers or names is still found.
+
+The benchmark side is counted and broadcast up to BROADCAST_WINDOWS windows (under 100 bytes each);
+a larger one is joined by a shuffle of ids, places and hashes.
 
 Cases: null or empty texts have no windows; an item with fewer tokens than WINDOW is one window of its own
-length; windows with fewer than half plain words are not joined; equal items match as items
-of their own; rows with null ids take part like others; repeated rows of a document count once; an empty
-table on either side gives no rows.
+length, and is never found if more than half of it is placeholders; equal items match as items of their own; rows with null ids take part like others, on both sides; repeated rows of a
+document or item count once, and equal ids with unequal texts are documents or items of their own; an empty
+table on either side gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,82 +30,132 @@ from .common import Scratch, ascii_lower, documents
 from .quality_rules import words
 
 WINDOW, MIN_PERCENT = 8, 30
-BROADCAST_WINDOWS = 200_000
+BROADCAST_WINDOWS = 500_000
 PUNCTUATION = ".,;:!?()[]{}\"'`"
 NUMBER = "^[0-9][0-9.,:/-]*$"
 UNITS = ("g", "kg", "mg", "m", "km", "cm", "mm", "mi", "ft", "in", "l", "ml", "s", "ms", "min", "h", "hours", "minutes", "seconds", "days", "years", "%", "usd", "eur", "dollars", "euros", "percent", "mph", "kmh")
-NUM, UNIT, NAME = "<num>", "<unit>", "<name>"
-
+#: A slot begins with one of these characters; they stand for nothing else (see _marked).
+NUM, NAME, UNIT = 1, 2, 3
 
 _PUNCT = "[" + re.escape(PUNCTUATION) + "]*"
 _WS = "\\x20\\x09-\\x0D"
-_NAME = f"(?<=[^.!?{_WS}])([{_WS}]+){_PUNCT}\\p{{Lu}}[^{_WS}]*"
-_NUMBER = f"(?<![^{_WS}]){_PUNCT}[0-9][0-9.,:/-]*{_PUNCT}(?![^{_WS}])"
-_UNIT = f"\x01([{_WS}]+){_PUNCT}(?i:{'|'.join(map(re.escape, UNITS))}){_PUNCT}(?![^{_WS}])"
+_NAME = f"(?<=[^.!?{_WS}])([{_WS}]+{_PUNCT})(\\p{{Lu}}[^{_WS}]*)"
+_NUMBER = f"(?<![^{_WS}])({_PUNCT})([0-9][0-9.,:/-]*{_PUNCT})(?![^{_WS}])"
+_UNIT = f"(\x01[^{_WS}]*[{_WS}]+{_PUNCT})\x02?((?i:{'|'.join(map(re.escape, UNITS))}){_PUNCT})(?![^{_WS}])"
 
 
-def template(text: Column) -> Column:
-    """The text, word for word, with names, numbers and units after numbers as placeholders and A-Z in lower case.
+def _marked(text: Column) -> Column:
+    """The text with a mark before each name, number and unit after a number, and A-Z in lower case.
 
     One pass of a pattern over the whole text is far cheaper than rules on each word.
     """
     filled = F.coalesce(text, F.lit(""))
-    names = F.regexp_replace(filled, _NAME, "$1\x02")
-    numbers = F.when(filled.rlike("[0-9]"), F.regexp_replace(F.regexp_replace(names, _NUMBER, "\x01"), _UNIT, "\x01$1\x03")).otherwise(names)
+    filled = F.when(filled.rlike("[\x01-\x03]"), F.translate(filled, "\x01\x02\x03", "\x04\x04\x04")).otherwise(filled)
+    names = F.regexp_replace(filled, _NAME, "$1\x02$2")
+    numbers = F.when(filled.rlike("[0-9]"), F.regexp_replace(F.regexp_replace(names, _NUMBER, "$1\x01$2"), _UNIT, "$1\x03$2")).otherwise(names)
     return ascii_lower(numbers)
 
 
-def _core(x: Column) -> Column:
-    return F.btrim(x, F.lit(PUNCTUATION))
+def _kind(value: Column) -> Column:
+    """NUM, NAME or UNIT of a token's value, 0 for a plain word."""
+    return value.bitwiseAND(F.lit(3))
+
+
+def values(text: Column) -> Column:
+    """A hash of each word, with its kind in the lowest two bits."""
+
+    def one(word):
+        code = F.ascii(word)
+        return F.xxhash64(word).bitwiseAND(F.lit(~3)).bitwiseOR(F.when(code <= UNIT, code).otherwise(0).cast("long"))
+
+    return F.transform(F.transform(words(_marked(text)), lambda x: F.btrim(x, F.lit(PUNCTUATION))), one)
+
+
+def template(v: Column) -> Column:
+    """The tokens of a text by its values: those of plain words, the kinds of slots."""
+
+    def token(x, i):
+        before = lambda k: F.coalesce(_kind(F.get(v, i - k)), F.lit(0))
+        pair = (before(2) == 0) & (((before(1) == NUM) & (_kind(x) == UNIT)) | ((before(1) == NAME) & (_kind(x) == NAME)))
+        return F.when(_kind(x) == 0, x).when((before(1) == 0) | pair, _kind(x)).otherwise(x)
+
+    return F.transform(v, token)
 
 
 def _prepared(df: DataFrame, ids: list[str]) -> DataFrame:
-    """ids, text and __th, the hashes of the template tokens."""
-    out = df.select(*ids, "text", template(F.col("text")).alias("__template"))
-    return out.select(*ids, "text", F.transform(words(F.col("__template")), lambda x: F.xxhash64(_core(x))).alias("__th"))
+    """ids, __v (values) and __t (template tokens)."""
+    return df.select(*ids, values(F.col("text")).alias("__v")).select(*ids, "__v", template(F.col("__v")).alias("__t"))
 
 
-def _spots(df: DataFrame, kept: list[str], size: int) -> DataFrame:
-    """A row for each window of `size` tokens: its place and a hash of its first tokens."""
-    n = F.size("__th") - size + 1
-    lead = lambda i: F.xxhash64(*[F.get(F.col("__th"), i + k) for k in range(min(size, 2))])
+def _windows(tokens: Column, size: int) -> Column:
+    """Place and hash of each window of `size` tokens."""
+    n = F.size(tokens) - size + 1
     places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return df.select(*kept, "__th", F.posexplode(F.transform(places, lead)).alias("__pos", "__lead"))
+    return F.transform(places, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.lit(size), *[F.get(tokens, i + k) for k in range(size)]).alias("key")))
+
+
+def _item_windows(items: DataFrame, window: int) -> DataFrame:
+    """__key, item_id, __item, __ipos, __n (windows of the item) and __slots (place in the item and value) of each window.
+
+    An item shorter than a window of which more than half is placeholders says too little to be found.
+    """
+    out = None
+    for size in range(1, window + 1):
+        own = items.filter(F.size("__t") >= window if size == window else F.size("__t") == size)
+        each = own.select("item_id", "__item", "__v", "__t", F.explode(_windows(F.col("__t"), size)).alias("w"))
+        cut = F.sequence(F.col("w.pos"), F.col("w.pos") + size - 1)
+        slots = F.transform(F.filter(cut, lambda p: F.get(F.col("__t"), p).between(NUM, UNIT)), lambda p: F.struct(p.alias("p"), F.get(F.col("__v"), p).alias("a")))
+        if size < window:
+            each = each.filter(2 * F.size(F.filter("__t", lambda t: t.between(NUM, UNIT))) <= size)
+        each = each.select(F.col("w.key").alias("__key"), "item_id", "__item", F.col("w.pos").alias("__ipos"), F.lit(size).alias("__size"), (F.size("__t") - size + 1).cast("long").alias("__n"), slots.alias("__slots"))
+        out = each if out is None else out.unionByName(each)
+    return out
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_percent: int = MIN_PERCENT) -> DataFrame:
     """doc_id, __text (hash of the text), item_id, matched_windows, item_windows of each contaminated document and item."""
     scratch = Scratch(docs.sparkSession, "decontamination")
-    items = scratch.save(_prepared(benchmark.select("item_id", "text"), ["item_id"]).filter("size(__th) > 0"), "items")
-    texts = _prepared(docs.select("doc_id", F.xxhash64("text").alias("__text"), "text"), ["doc_id", "__text"])
-    kinds = {"\x01": NUM, "\x02": NAME, "\x03": UNIT}
-    hits = None
-    short = [r[0] for r in items.filter(F.size("__th") < window).select(F.size("__th")).distinct().collect()]  # fewer than `window` values
-    for size in [window, *sorted(short)]:
-        own = items.filter(F.size("__th") >= window) if size == window else items.filter(F.size("__th") == size)
-        spots = _spots(own, ["item_id", "text"], size)
-        cut = lambda a: F.slice(a, F.col("__pos") + 1, size)
-        marks = F.transform(cut(words(template(F.col("text")))), lambda x: F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in kinds.items() for v in kv]), _core(x)), F.lit("")))
-        side = spots.select("item_id", F.col("__pos").alias("__ipos"), "__lead", cut("__th").alias("__ih"), marks.alias("__it"), F.transform(cut(words(F.col("text"))), _core).alias("__ic"))
-        side = side.filter(2 * F.size(F.filter("__it", lambda x: x == "")) >= size).withColumn("__slots", F.exists("__it", lambda x: x != ""))
-        side = scratch.save(side, f"windows{size}")
-        small = side.count() <= BROADCAST_WINDOWS
-        found = _spots(texts, ["doc_id", "__text", "text"], size).join(F.broadcast(side) if small else side, "__lead").filter(cut("__th") == F.col("__ih"))
-        # Only windows with slots look at the document's own words.
-        own_words = F.when(F.col("__slots"), F.transform(cut(words(F.col("text"))), _core))
-        found = found.select("doc_id", "__text", "item_id", "__ipos", (F.col("__pos") - F.col("__ipos")).alias("__shift"), F.when(F.col("__slots"), F.col("__it")).otherwise(F.array().cast("array<string>")).alias("__it"), F.when(F.col("__slots"), F.col("__ic")).otherwise(F.array().cast("array<string>")).alias("__ic"), F.coalesce(own_words, F.array().cast("array<string>")).alias("__dc"))
-        hits = found if hits is None else hits.unionByName(found)
-    slots = F.filter(F.arrays_zip("__it", "__ic", "__dc"), lambda s: s["__it"].isin(NUM, UNIT, NAME))
-    hits = hits.select("doc_id", "__text", "item_id", "__ipos", "__shift", F.transform(slots, lambda s: F.concat_ws("\x01", s["__it"], ascii_lower(s["__ic"]))).alias("__from"), F.transform(slots, lambda s: F.concat_ws("\x01", s["__it"], ascii_lower(s["__ic"]), ascii_lower(s["__dc"]))).alias("__to"))
-    aligned = hits.groupBy("doc_id", "__text", "item_id", "__shift").agg(
-        F.collect_set("__ipos").alias("__spots"),
-        F.array_distinct(F.flatten(F.collect_list("__from"))).alias("__from"),
-        F.array_distinct(F.flatten(F.collect_list("__to"))).alias("__to"),
-    )
-    consistent = aligned.filter(F.size("__from") == F.size("__to"))
-    share = consistent.groupBy("doc_id", "__text", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("__spots")))).cast("long").alias("matched_windows"))
-    lengths = items.select("item_id", F.greatest(F.size("__th") - window + 1, F.lit(1)).cast("long").alias("item_windows")).groupBy("item_id").agg(F.min("item_windows").alias("item_windows"))
-    return share.join(lengths, "item_id").filter(100 * F.col("matched_windows") >= min_percent * F.col("item_windows"))
+    items = _prepared(benchmark.select("item_id", F.xxhash64("text").alias("__item"), "text").dropDuplicates(), ["item_id", "__item"])
+    side = scratch.save(_item_windows(scratch.save(items.filter("__t is not null and size(__t) > 0"), "items"), window), "windows")
+    facts = side.agg(F.count("*").alias("n"), F.collect_set("__size").alias("sizes")).first()
+    sizes, doc = sorted(facts["sizes"]) or [window], ["doc_id", "__text"]  # at most `window` sizes
+    side = side.drop("__size")
+
+    texts = _prepared(docs.select("doc_id", F.xxhash64("text").alias("__text"), "text"), doc)
+    spots = texts.select(*doc, "__v", F.explode(F.concat(*[_windows(F.col("__t"), n) for n in sizes])).alias("w")).select(*doc, "__v", F.col("w.pos").alias("__pos"), F.col("w.key").alias("__key"))
+    shift = F.col("__pos") - F.col("__ipos")
+    met = lambda v: F.transform("__slots", lambda s: F.struct(s["p"].alias("p"), s["a"].alias("a"), F.get(v, s["p"] + F.col("__shift")).alias("b")))
+    hit = [*doc, "item_id", "__item", "__n", "__ipos", "__shift"]
+    if facts["n"] <= BROADCAST_WINDOWS:
+        found = spots.join(F.broadcast(side), "__key").withColumn("__shift", shift).select(*hit, met(F.col("__v")).alias("__slots"))
+    else:
+        # Ids, places and hashes meet the windows; the values of slots are fetched for the hits.
+        found = spots.drop("__v").join(side, "__key").withColumn("__shift", shift).select(*hit, "__slots")
+        of = texts.select(F.col("doc_id").alias("__d"), F.col("__text").alias("__dt"), "__v").dropDuplicates(["__d", "__dt"])
+        found = found.join(of, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__text").eqNullSafe(F.col("__dt")))).select(*hit, met(F.col("__v")).alias("__slots"))
+
+    at = [*doc, "item_id", "__item", "__n", "__shift"]
+    aligned = found.groupBy(*at).agg(F.collect_set("__ipos").alias("__spots"), F.array_distinct(F.flatten(F.collect_list("__slots"))).alias("__slots"))
+    aligned = scratch.save(aligned, "aligned")
+    several = F.size(F.array_distinct(F.transform("__slots", lambda s: s["a"]))) < F.size(F.array_distinct(F.transform("__slots", lambda s: F.struct(s["a"], s["b"]))))
+    voters = aligned.filter(several).select(*at, F.explode("__slots").alias("s")).select(*at, "s.*")
+    votes = voters.groupBy(*at, "a", "b").agg(F.count("*").alias("n"), F.min("p").alias("first"), F.collect_set("p").alias("ps"))
+    best = votes.groupBy(*at, "a").agg(F.max_by("b", F.struct("n", -F.col("first"))).alias("best"), F.collect_list(F.struct("b", "ps")).alias("all"))
+    wrong = best.select(*at, F.flatten(F.transform(F.filter("all", lambda x: x["b"] != F.col("best")), lambda x: x["ps"])).alias("__wrong"))
+    wrong = wrong.groupBy(*at).agg(F.flatten(F.collect_list("__wrong")).alias("__wrong"))
+
+    def matched(df, spots):
+        return df.select(*[c for c in at if c != "__shift"], spots.alias("__spots"))
+
+    fits = F.filter("__spots", lambda p: ~F.exists("__wrong", lambda x: x.between(p, p + window - 1)))
+    same = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in at]
+    condition = same[0]
+    for c in same[1:]:
+        condition = condition & c
+    voted = aligned.filter(several).alias("x").join(wrong.alias("y"), condition).select(*[F.col(f"x.{c}").alias(c) for c in at], "__spots", "__wrong")
+    counted = matched(aligned.filter(~several), F.col("__spots")).unionByName(matched(voted, fits))
+    share = counted.groupBy(*doc, "item_id", "__item", "__n").agg(F.size(F.array_distinct(F.flatten(F.collect_list("__spots")))).cast("long").alias("matched_windows"))
+    return share.filter((F.col("matched_windows") > 0) & (100 * F.col("matched_windows") >= min_percent * F.col("__n"))).select(*doc, "item_id", "matched_windows", F.col("__n").alias("item_windows"))
 
 
 def op9_decontamination(spark, sf_dir: str) -> DataFrame:
@@ -124,20 +177,23 @@ def contaminated_sql(docs: str) -> str:
     def side(name: str, relation: str, key: str) -> str:
         number = f"regexp_matches({{}}, '{NUMBER}')"
         return f"""
- {name}_w AS (SELECT {key}, w, list_transform(w, lambda x: trim(x, '{_TRIM}')) AS c FROM (SELECT {key}, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM {relation}) WHERE len(w) > 0),
- {name}_t AS (SELECT {key}, c, list_transform(range(1, len(w) + 1), lambda i: CASE WHEN {number.format('c[i]')} THEN '{NUM}'
-   WHEN i > 1 AND {number.format('c[i - 1]')} AND lower(c[i]) IN ({_UNIT_LIST}) THEN '{UNIT}'
-   WHEN i > 1 AND right(w[i - 1], 1) NOT IN ('.', '!', '?') AND left(c[i], 1) <> lower(left(c[i], 1)) THEN '{NAME}' ELSE {_low('c[i]')} END) AS t FROM {name}_w)"""
+ {name}_w AS (SELECT {key}, w, list_transform(w, lambda x: trim(x, '{_TRIM}')) AS c FROM (SELECT {key}, regexp_extract_all(translate(coalesce(text, ''), chr(1) || chr(2) || chr(3), chr(4) || chr(4) || chr(4)), '[^\\x20\\x09-\\x0D]+') AS w FROM {relation}) WHERE len(w) > 0),
+ {name}_m AS (SELECT {key}, list_transform(c, lambda x: {_low('x')}) AS c, list_transform(range(1, len(w) + 1), lambda i: CASE WHEN {number.format('c[i]')} THEN {NUM}
+   WHEN i > 1 AND {number.format('c[i - 1]')} AND lower(c[i]) IN ({_UNIT_LIST}) THEN {UNIT}
+   WHEN i > 1 AND right(w[i - 1], 1) NOT IN ('.', '!', '?') AND left(c[i], 1) <> lower(left(c[i], 1)) THEN {NAME} ELSE 0 END) AS m FROM {name}_w),
+ {name}_t AS (SELECT {key}, list_transform(range(1, len(c) + 1), lambda i: chr(64 + m[i]) || c[i]) AS c, list_transform(range(1, len(c) + 1), lambda i: CASE WHEN m[i] > 0 AND (i = 1 OR m[i - 1] = 0
+   OR ((i = 2 OR m[i - 2] = 0) AND (m[i - 1] = {NUM} AND m[i] = {UNIT} OR m[i - 1] = {NAME} AND m[i] = {NAME}))) THEN chr(64 + m[i]) ELSE chr(64 + m[i]) || ' ' || c[i] END) AS t FROM {name}_m)"""
 
-    kinds = f"('{NUM}', '{UNIT}', '{NAME}')"
     return f"""{side('ditem', 'benchmark', 'item_id')},{side('ddoc', docs, 'doc_id')},
  ditem_n AS (SELECT *, least(len(t), {WINDOW}) AS n FROM ditem_t),
- ditem_x AS (SELECT item_id, n, p, t[p:p + n - 1] AS it, c[p:p + n - 1] AS ic FROM (SELECT *, unnest(range(1, len(t) - n + 2)) AS p FROM ditem_n) WHERE 2 * len(list_filter(t[p:p + n - 1], lambda x: x NOT IN {kinds})) >= n),
+ ditem_x AS (SELECT item_id, n, p, t[p:p + n - 1] AS it, c[p:p + n - 1] AS ic FROM (SELECT *, unnest(range(1, len(t) - n + 2)) AS p FROM ditem_n) WHERE n = {WINDOW} OR 2 * len(list_filter(t, lambda x: len(x) = 1)) <= n),
  ddoc_x AS (SELECT doc_id, n, p, t[p:p + n - 1] AS dt, c[p:p + n - 1] AS dc FROM (SELECT *, unnest(range(1, len(t) - n + 2)) AS p FROM ddoc_t, (SELECT DISTINCT n FROM ditem_n))),
- dhits AS (SELECT doc_id, item_id, i.p AS ip, d.p - i.p AS shift, it, ic, dc FROM ddoc_x d JOIN ditem_x i ON d.n = i.n AND d.dt = i.it),
- dslots AS (SELECT doc_id, item_id, shift, it[k] AS kind, {_low('ic[k]')} AS a, {_low('dc[k]')} AS b FROM (SELECT *, unnest(range(1, len(it) + 1)) AS k FROM dhits) WHERE it[k] IN {kinds}),
- dbad AS (SELECT DISTINCT doc_id, item_id, shift FROM (SELECT doc_id, item_id, shift FROM dslots GROUP BY doc_id, item_id, shift, kind, a HAVING count(DISTINCT b) > 1)),
- dgood AS (SELECT doc_id, item_id, count(DISTINCT ip) AS matched_windows FROM dhits ANTI JOIN dbad USING (doc_id, item_id, shift) GROUP BY doc_id, item_id),
+ dhits AS (SELECT doc_id, item_id, i.n AS n, i.p AS ip, d.p - i.p AS shift, it, ic, dc FROM ddoc_x d JOIN ditem_x i ON d.n = i.n AND d.dt = i.it),
+ dslots AS (SELECT DISTINCT doc_id, item_id, shift, ip + k AS p, ic[k] AS a, dc[k] AS b FROM (SELECT *, unnest(range(1, len(it) + 1)) AS k FROM dhits) WHERE len(it[k]) = 1),
+ dvotes AS (SELECT *, first_value(b) OVER (PARTITION BY doc_id, item_id, shift, a ORDER BY n DESC, f) AS best FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, item_id, shift, a, b) AS n, min(p) OVER (PARTITION BY doc_id, item_id, shift, a, b) AS f FROM dslots)),
+ dwrong AS (SELECT doc_id, item_id, shift, p FROM dvotes WHERE b <> best),
+ dbad AS (SELECT DISTINCT doc_id, item_id, shift, ip FROM dhits h JOIN dwrong x USING (doc_id, item_id, shift) WHERE x.p BETWEEN ip + 1 AND ip + n),
+ dgood AS (SELECT doc_id, item_id, count(DISTINCT ip) AS matched_windows FROM dhits ANTI JOIN dbad USING (doc_id, item_id, shift, ip) GROUP BY doc_id, item_id),
  leaks AS (SELECT doc_id, item_id, matched_windows, len(t) - n + 1 AS item_windows FROM dgood JOIN ditem_n USING (item_id) WHERE 100 * matched_windows >= {MIN_PERCENT} * (len(t) - n + 1))"""
 
 
