@@ -13,7 +13,8 @@ are broadcast, all others meet the lines in a shuffled join.
 
 Cases: a null or empty text is one empty line, and empty keys are never dropped; rows
 with a null doc_id are documents like any other; repeated rows count as documents of
-their own; an empty table gives an empty result; other columns are carried through.
+their own; an empty table gives an empty result; other columns are carried through, and a new column whose name is
+taken gets underscores after it.
 """
 
 from __future__ import annotations
@@ -21,10 +22,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS_CHARS, Scratch, ascii_lower, let
+from .common import WS_CHARS, Scratch, ascii_lower, free_name, let
 
 HEAVY_KEYS = 20_000
 KEY = ["__h1", "__h2"]
+KEPT = "__kept"
 
 
 def line_keys(text: Column) -> Column:
@@ -93,7 +95,7 @@ class LineRuns:
 
 def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, batches: int = 4, fanout: int = 2) -> DataFrame:
     """docs (doc_id, text, ...) plus __n_lines, __n_dropped and __kept, the text without the lines
-    whose key min_docs documents or more hold."""
+    whose key min_docs documents or more hold. New names are free_name() of these."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "line-dedup")
     slim = docs.select("doc_id", F.xxhash64("text").alias("__th"), "text")
@@ -141,7 +143,8 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, batches: int = 4, f
             ),
         ),
     )
-    return out.select("__row.*", F.col("__x.n").alias("__n_lines"), F.size("__drop").cast("long").alias("__n_dropped"), F.col("__x.kept").alias("__kept"))
+    new = {"__n_lines": F.col("__x.n"), "__n_dropped": F.size("__drop").cast("long"), KEPT: F.col("__x.kept")}
+    return out.select("__row.*", *[c.alias(free_name(docs, name)) for name, c in new.items()])
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
