@@ -12,11 +12,12 @@ by the deterministic parser and compared with its source; while that fails it is
 with more escapes (first only control strings and backslashes, then every character that
 can begin one). The loss mask covers the bodies of assistant turns.
 
-format_turns() works on each row alone. digests() reads the formatted turns of a conversation
-back in order as a stream with running hashes, so no conversation is held in memory.
+format_turns() works on each row alone. digests() renders each whole conversation as a stream, in which the
+parser finds the turns, and compares them with the sources; no conversation is held in memory. A turn ends with
+its closing mark, where the parser stops, so turns that read back alone do so one after the other.
 
 Cases: null texts are empty, a null role is the empty role, rows with a null conv_id form one
-conversation; equal turn numbers are ordered by role and text; repeated rows are turns of their
+conversation; a null turn comes first, equal turn numbers are ordered by role and text; repeated rows are turns of their
 own; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -24,7 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -92,14 +93,18 @@ def _escape(text: str, level: int) -> str:
     return ESCAPES[level].sub(lambda m: "\\" + m[0], text)
 
 
+def rendered(role: str, text: str, level: int) -> str:
+    """The turn in the template at one escape level."""
+    body = _escape(text, level)
+    if role in MARKS:
+        return MARKS[role][0] + body + MARKS[role][1]
+    return ROLE_OPEN + _escape(role, level) + ROLE_END + body + ROLE_CLOSE
+
+
 def render_turn(role: str, text: str) -> tuple[str, int]:
     """The turn in the template, at the lowest escape level that reads back as it was."""
     for level in range(len(ESCAPES)):
-        body = _escape(text, level)
-        if role in MARKS:
-            s = MARKS[role][0] + body + MARKS[role][1]
-        else:
-            s = ROLE_OPEN + _escape(role, level) + ROLE_END + body + ROLE_CLOSE
+        s = rendered(role, text, level)
         try:
             if parse_turn(s) == (role, text, len(s)):
                 return s, level
@@ -108,60 +113,109 @@ def render_turn(role: str, text: str) -> tuple[str, int]:
     raise Malformed(f"a turn of {role!r} can't be rendered")
 
 
+def render(turns: Iterable[tuple[str, str]]) -> str:
+    """A whole conversation in the template."""
+    return BEGIN + "".join(render_turn(role, text)[0] for role, text in turns)
+
+
+class Reader:
+    """The deterministic parser of a conversation that comes in pieces; it finds where turns end itself."""
+
+    def __init__(self):
+        self.held, self.begun, self.chars = "", False, 0
+
+    def feed(self, piece: str) -> Iterator[tuple[str, str, str | None]]:
+        """role, text and what the loss mask covers (None: nothing) of each turn that is complete."""
+        self.chars += len(piece)
+        self.held += piece
+        if not self.begun:
+            if len(self.held) < len(BEGIN):
+                return
+            if not self.held.startswith(BEGIN):
+                raise Malformed("no beginning")
+            self.held, self.begun = self.held[len(BEGIN) :], True
+        at = 0
+        while at < len(self.held):
+            try:
+                role, text, end = parse_turn(self.held, at)
+            except Malformed:
+                break  # perhaps not complete; close() tells
+            yield role, text, _body(self.held, at + len(MARKS[role][0]), MARKS[role][1])[0] if role == "assistant" else None
+            at = end
+        self.held = self.held[at:]
+
+    def close(self) -> None:
+        if self.held or not self.begun:
+            raise Malformed("the conversation ends inside a turn")
+
+
+def parse(conversation: str) -> list[tuple[str, str]]:
+    """The turns of a whole conversation."""
+    reader = Reader()
+    turns = [(role, text) for role, text, _ in reader.feed(conversation)]
+    reader.close()
+    return turns
+
+
 def format_turns(turns: DataFrame) -> DataFrame:
-    """conv_id, turn, formatted, escape_level, and the span of the loss mask inside formatted (0, 0: none)."""
+    """conv_id, turn, role, text, formatted, escape_level, and the span of the loss mask inside formatted (0, 0: none)."""
 
-    def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for role, text in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                s, level = render_turn(role or "", text or "")
+                s, level = render_turn(role, text)
                 loss = (len(MARKS[role][0]), len(s) - len(MARKS[role][1])) if role == "assistant" else (0, 0)
                 rows.append((s, level, *loss))
             cols = list(zip(*rows, strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cols[0], pa.string()), *[pa.array(c, pa.int32()) for c in cols[1:]]], names=["conv_id", "turn", "formatted", "escape_level", "loss_from", "loss_to"])
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(4)], pa.array(cols[0], pa.string()), *[pa.array(c, pa.int32()) for c in cols[1:]]], names=["conv_id", "turn", "role", "text", "formatted", "escape_level", "loss_from", "loss_to"])
 
-    slim = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
-    return slim.mapInArrow(render, "conv_id long, turn long, formatted string, escape_level int, loss_from int, loss_to int")
+    slim = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")])
+    return slim.mapInArrow(run, "conv_id long, turn long, role string, text string, formatted string, escape_level int, loss_from int, loss_to int")
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """What the formatted turns of each conversation read back as."""
+    """What each whole conversation, rendered in order of turn, role and text, reads back as.
+
+    The escape level of a turn is known, so only the sources travel. The rendered conversation is a stream; the
+    parser's turns are compared with the sources one by one, and another turn is an error.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-        state, current, begun = None, None, False
+        reader, current = None, None
+        done: list[tuple] = []
 
         def close():
-            n, turns, chars, loss, total = state
-            return (current, n, turns.hexdigest(), chars, loss.hexdigest(), total)
+            reader.close()
+            done.append((current, count[0], turns.hexdigest(), count[1], loss.hexdigest(), reader.chars))
 
-        done: list[tuple] = []
         for b in batches:
-            for conv, s, lo, hi in zip(*[b.column(i).to_pylist() for i in (0, 2, 4, 5)], strict=True):
-                if not begun or conv != current:
-                    if begun:
-                        done.append(close())
-                    state, current, begun = [0, hashlib.sha256(), 0, hashlib.sha256(), len(BEGIN)], conv, True
-                role, text, end = parse_turn(s)
-                if end != len(s):
-                    raise Malformed("text after the turn")
-                state[0] += 1
-                state[1].update(f"{role}\n{text}\n".encode())
-                if hi or lo:
-                    masked, at = _body(s, lo, MARKS["assistant"][1])
-                    if at != hi + len(MARKS["assistant"][1]):
-                        raise Malformed("the loss mask is not a body")
-                    state[2] += len(masked)
-                    state[3].update(masked.encode())
-                state[4] += len(s)
+            for conv, role, text, level in zip(*[b.column(i).to_pylist() for i in range(4)], strict=True):
+                piece = rendered(role, text, level)
+                if reader is None or conv != current:
+                    if reader:
+                        close()
+                    reader, current, count, turns, loss = Reader(), conv, [0, 0], hashlib.sha256(), hashlib.sha256()
+                    piece = BEGIN + piece
+                found = list(reader.feed(piece))
+                if [x[:2] for x in found] != [(role, text)]:
+                    raise Malformed(f"a turn of {role!r} reads back as {len(found)} other turns")
+                for own, said, masked in found:
+                    count[0] += 1
+                    turns.update(f"{own}\n{said}\n".encode())
+                    if masked is not None:
+                        count[1] += len(masked)
+                        loss.update(masked.encode())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)] if done else [pa.array([], k) for k in kinds], names=names)
             done = []
-        if begun:
-            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(close(), kinds, strict=True)], names=names)
+        if reader:
+            close()
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)], names=names)
 
-    ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "formatted")
+    slim = formatted.select("conv_id", "turn", "role", "text", "escape_level")
+    ordered = slim.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text", "escape_level")
     return ordered.mapInArrow(read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
