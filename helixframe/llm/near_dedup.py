@@ -11,10 +11,11 @@ No group is compared pair by pair:
  1. texts with equal shingle sets are one node (their smallest id);
  2. in every bucket of a key each node is compared with the smallest node of the bucket only; what is
     confirmed is contracted into components;
- 3. pairs that share a bucket but not a component are compared in blocks of BLOCK nodes; a unit of two
-    blocks returns at most a spanning forest of its links.
-Hot buckets are spread over many units, whatever their size; only components of the same bucket
-that step 2 couldn't join meet again.
+ 3. pairs that share a bucket but not a component are compared in blocks of BLOCK nodes: blocks of the bucket's largest
+    component with blocks of its other nodes, and these with each other; a unit of two blocks returns at most a spanning
+    forest of its links.
+Hot buckets are spread over many units, whatever their size, and a node is sent once for each block it must meet; only
+components of the same bucket that step 2 couldn't join meet again.
 
 Cases: null texts and texts without words have no shingles and no links; shorter texts than a
 shingle are one shingle; rows with a null doc_id are returned unlinked (component null, kept);
@@ -32,12 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytescan import U64, Texts, halves, mix
-from .common import Scratch, documents
+from .common import Scratch, documents, hot_join, if_small
 from .components import components
 
 VALUES = 64
 MISSED = 1e-6
-BLOCK = 512
+BLOCK = 256
 PART_BYTES = 1 << 19  # arrays of a part stay in the processor's cache
 CHUNK_ROWS = 8_192
 BROADCAST_IDS = 1_000_000
@@ -219,8 +220,25 @@ def star_links(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     return rows.repartition("b", "unit").sortWithinPartitions("b", "unit", "other").mapInArrow(run, "a long, b long")
 
 
+def paired_blocks(rows: DataFrame) -> DataFrame:
+    """rows (key, doc, comp, main, mains, others): the nodes of buckets with several components, the largest of them and the numbers of
+    blocks of its nodes and of the others -> (key, u, v, doc, comp, block), a row for each unit of two blocks a node takes part in.
+
+    Nodes of the largest component aren't compared with each other, so they meet the blocks of the others only (u, v >= 0); two
+    blocks of others meet in (-1 - u, v), u <= v. A bucket with few others grows with its size, not with its square.
+    """
+    is_main = F.col("comp") == F.col("main")
+    place = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
+    each = lambda n, f: F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)
+    unit = lambda u, v, block: F.struct(u.cast("int").alias("u"), v.cast("int").alias("v"), block.cast("int").alias("block"))
+    own = place("others")
+    of_main = each("others", lambda o: unit(place("mains"), o, F.lit(0)))
+    of_other = F.concat(each("mains", lambda b: unit(b, own, F.lit(1))), each("others", lambda o: unit(-1 - F.least(own, o), F.greatest(own, o), own)))
+    return rows.select("key", "doc", "comp", F.explode(F.when(is_main, of_main).otherwise(of_other)).alias("x")).select("key", "x.u", "x.v", "doc", "comp", "x.block")
+
+
 def cross_units(rows: DataFrame, chunks: int) -> DataFrame:
-    """rows (key, u, v, doc, comp, sig), the nodes of a bucket or of two of its blocks ->
+    """rows (key, u, v, doc, comp, block, sig), the nodes of one or two blocks of a bucket (see paired_blocks) ->
     (key, u, v, doc, comp, partners): the nodes that have a close partner in another component.
 
     A pair is handled in the first bucket that its signatures share.
@@ -249,7 +267,7 @@ def cross_units(rows: DataFrame, chunks: int) -> DataFrame:
                 for i in range(len(g)):
                     # the side whose component has fewer nodes here keeps the list
                     may = (c != c[i]) & ((weight[i] < weight) | ((weight[i] == weight) & (c[i] > c)))
-                    if u != v:
+                    if u != -1 - v:
                         may &= block[lo:end] != block[lo + i]
                     js = np.flatnonzero(may)
                     if len(js):
@@ -316,10 +334,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, share: int = 80) -> DataFram
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sigs = scratch.save(signed(slim, size), "sigs")
     full = sigs.filter("n > 0 and doc_id is not null")
-    same = full.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"))
-    members = scratch.save(full.select("doc_id", "n", "s1", "s2").join(same, ["s1", "s2", "n"]).select("doc_id", "n", "rep").distinct(), "members")
-    reps = full.join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "sig").dropDuplicates(["doc_id"])
-    reps = scratch.save(reps, "reps")
+    same = full.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("__c"))
+    same = scratch.save(same.filter("__c > 1"), "same")
+    members = hot_join(full.select("doc_id", "n", "s1", "s2"), same, ["s1", "s2", "n"], BLOCK, "left")
+    members = scratch.save(members.select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")).distinct(), "members")
+    copies = members.filter("doc_id <> rep").select("doc_id").join(members.filter("doc_id = rep").select("doc_id"), "doc_id", "left_anti")
+    copies = if_small(scratch.save(copies.distinct(), "copies"))
+    reps = scratch.save(full.join(copies, "doc_id", "left_anti").select("doc_id", "sig").dropDuplicates(["doc_id"]), "reps")
 
     keyed_reps = keyed(reps, chunks)
     shared = keyed_reps.groupBy("key").agg(F.count("*").alias("c"), F.min("doc").alias("lead")).filter("c > 1")
@@ -340,17 +361,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, share: int = 80) -> DataFram
     links = scratch.save(star_links(pairs, sets, share), "star")
     comp = scratch.save(components(links, scratch, "first"), "first")
 
-    joined = buckets.join(comp.select(F.col("node").alias("doc"), "component"), "doc", "left").select("key", "doc", "c", F.coalesce("component", "doc").alias("comp"))
-    mixed = joined.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    rows = joined.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("doc"), blocks).cast("int"))
-    rows = rows.withColumn("__j", F.explode(F.sequence(F.lit(0), blocks - 1))).select("key", "doc", "comp", "block", F.least("block", "__j").alias("u"), F.greatest("block", "__j").alias("v"))
+    joined = buckets.join(comp.select(F.col("node").alias("doc"), "component"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("comp"))
+    per = joined.groupBy("key", "comp").agg(F.count("*").alias("k"))
+    mixed = per.groupBy("key").agg(F.max_by("comp", F.struct("k", -F.col("comp"))).alias("main"), F.max("k").alias("m"), F.sum("k").alias("c")).filter("c > m")
+    mixed = scratch.save(mixed.select("key", "main", F.ceil(F.col("m") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("c") - F.col("m")) / BLOCK).cast("int").alias("others"), F.col("c").alias("__c")), "mixed")
+    rows = paired_blocks(hot_join(joined.select("key", "doc", "comp"), mixed, ["key"], 8 * BLOCK))
     units = scratch.save(cross_units(rows.join(sig, "doc"), chunks), "units")
     more = units.select("doc").distinct().join(sets, "doc", "left_anti")
     sets = sets.unionByName(sets_for(more, "more"))
     links = links.unionByName(scratch.save(cross_links(units, sets, share), "cross"))
     comp = components(links, scratch, "all")
-    for name in ("reps", "buckets", "pairs", "sets", "more", "units"):
+    for name in ("reps", "buckets", "pairs", "sets", "more", "units", "mixed", "same", "copies", "sets-ids", "more-ids"):
         scratch.drop(name)
 
     found = members.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select(F.col("doc_id").alias("__id"), F.coalesce("component", "rep").alias("__c")).groupBy("__id").agg(F.min("__c").alias("__c"))
