@@ -16,7 +16,7 @@ K-grams that a part of the texts holds often are spread over many tasks in step
 HOT_SEGMENTS segments are solved in step 2 by summing their windows in a shuffled aggregation instead.
 Exact copies of a text are settled by their hash and take part through their smallest id only.
 
-Cases: null and empty texts have no bytes; texts shorter than LENGTH lose nothing; rows with a null id are left as
+Cases: null and empty texts have no bytes; texts shorter than LENGTH lose nothing; a text of MOST_BYTES or more is an error; rows with a null id are left as
 they are; rows that share an id never remove bytes from each other; an empty table gives no rows.
 """
 
@@ -31,15 +31,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytescan import BASE, INVERSE, TABLE, U64, Texts, halves, mix, powers
-from .common import Scratch, documents
+from .common import Scratch, documents, hot_join
 
 LENGTH, K, SEED = 50, 16, 32
 PART_BYTES = 1 << 22
 BATCH_BYTES = 1 << 20
 SIDE, SIDE_BITS = (LENGTH - K) // 2, 4
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS, BROADCAST_TEXTS = 1_000_000, 200_000
 HOT_ROWS = 64
-HOT_SEGMENTS = 50_000  # about 4 MB of segments, one batch of a task
+HOT_SEGMENTS = 10_000
+MOST_BYTES = 1 << 28  # of a text
 MARK = -(1 << 63)
 SEPARATOR = 255  # no byte of UTF-8
 
@@ -48,6 +49,8 @@ def _segments(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash of the selected K-gram, text number and place of each segment (see packed)."""
     m = len(texts.data)
     none = np.zeros(0, np.int64)
+    if m >= MOST_BYTES:
+        raise ValueError(f"a text of {m} bytes; places have room for {MOST_BYTES}")
     if m < LENGTH:
         return none.astype(U64), none, none
     total, back = texts.prefix()
@@ -330,13 +333,21 @@ def solved(rows: DataFrame) -> DataFrame:
     return ordered.select("h", "segment", "doc", "place").mapInArrow(run, "doc long, a long, b long")
 
 
-def solved_hot(rows: DataFrame) -> DataFrame:
-    """The same for groups of any size: the smallest document of each window by a shuffled sum."""
+def solved_hot(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """The same for groups of any size. Equal segments go first, as in solved(); then the smallest document of each window is a
+    shuffled sum. Segments and windows that many rows share are looked up in each task (hot_join)."""
+    rows = scratch.save(rows, "hot-segments")
+    several = (F.min("doc") < F.max("doc")) | (F.count("*") > HOT_ROWS)
+    first = rows.groupBy("h", "segment").agg(F.min("doc").alias("holder"), F.count("*").alias("__c"), several.alias("several")).filter("several").drop("several")
+    rows = hot_join(rows, scratch.save(first, "hot-holders"), ["h", "segment"], HOT_ROWS, "left", BROADCAST_TEXTS)
+    rows = scratch.save(rows.withColumn("lo", F.shiftright("place", 12).bitwiseAND(F.lit((1 << 31) - 1))), "hot-held")
+    copies = rows.filter("doc > holder").select("doc", F.col("lo").alias("a"), (F.col("lo") + F.octet_length("segment")).alias("b"))
     n = F.col("place").bitwiseAND(F.lit(63)).cast("int")
-    windows = rows.select("h", "doc", F.shiftright("place", 12).bitwiseAND(F.lit((1 << 31) - 1)).alias("lo"), "segment", F.explode(F.sequence(F.lit(0), n - 1)).alias("o"))
+    windows = rows.filter("holder is null or doc = holder").select("h", "doc", "lo", "segment", F.explode(F.sequence(F.lit(0), n - 1)).alias("o"))
     windows = windows.select("h", "doc", (F.col("lo") + F.col("o")).cast("long").alias("a"), F.substring("segment", F.col("o") + 1, F.lit(LENGTH)).alias("w"))
-    least = windows.groupBy("h", "w").agg(F.min("doc").alias("least"))
-    return windows.join(least, ["h", "w"]).filter("least < doc").select("doc", "a", (F.col("a") + LENGTH).alias("b"))
+    least = windows.groupBy("h", "w").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count("*").alias("__c")).filter("least < most").drop("most")
+    hits = hot_join(windows, scratch.save(least, "hot-windows"), ["h", "w"], HOT_ROWS, most=BROADCAST_TEXTS).filter("least < doc").select("doc", "a", (F.col("a") + LENGTH).alias("b"))
+    return copies.unionByName(hits)
 
 
 def finished(rows: DataFrame) -> DataFrame:
@@ -389,11 +400,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         return cut_out(named.join(lists, "doc"))
 
     if n_hot:
-        spans = solved(segments(again.join(hot, "h", "left_anti"))).unionByName(solved_hot(segments(again.join(hot, "h", "left_semi"))))
+        spans = solved(segments(again.join(hot, "h", "left_anti"))).unionByName(solved_hot(segments(again.join(hot, "h", "left_semi")), scratch))
     else:
         spans = solved(segments(again))
     spans = scratch.save(spans, "spans")
-    scratch.drop("repeated")
+    for name in ("repeated", "hot", "hot-segments", "hot-holders", "hot-held", "hot-windows"):
+        scratch.drop(name)
 
     per = spans.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     marks = copies.groupBy("doc", "t1").agg(F.lit(True).alias("copy"))
