@@ -4,11 +4,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from helixframe.llm import bytescan, chat_format, components, decontamination, line_dedup, near_dedup, packing, quality_rules, sharding, suffix_dedup, toxicity
+from helixframe.llm import chat_format, components, decontamination, line_dedup, near_dedup, packing, quality_rules, sharding, suffix_dedup, toxicity
 from helixframe.llm.common import Scratch
 
 from . import brute
@@ -55,6 +56,11 @@ def test_line_dedup(frame, corpus, empty, with_null_ids):
     assert out[0]["__th"] == "clash"
     assert line_dedup.drop_frequent_lines(empty).count() == 0
     assert line_dedup.drop_frequent_lines(with_null_ids).filter("doc_id is null").count() == 2
+    # Repeated rows are documents of their own: five of one text twice make ten.
+    rows = [(i, f"line {i}\nshared") for i in range(5)]
+    five = frame.sparkSession.createDataFrame(rows, "doc_id long, text string")
+    assert {r["__kept"] for r in line_dedup.drop_frequent_lines(five).collect()} == {t for _, t in rows}
+    assert {r["__kept"] for r in line_dedup.drop_frequent_lines(five.unionByName(five)).collect()} == {f"line {i}" for i in range(5)}
 
 
 def test_line_runs_are_levelled(spark):
@@ -68,13 +74,37 @@ def test_line_runs_are_levelled(spark):
 def test_quality_rules(frame, corpus, empty, with_null_ids):
     got = {r["doc_id"]: r["__rejected_by"] is None for r in quality_rules.cascade(frame).collect()}
     assert got == {i: brute.quality_kept(t) for i, t in corpus}
-    assert {r["doc_id"]: r["__rejected_by"] is None for r in quality_rules.measured(frame).collect()} == got
+    assert {r["doc_id"]: r["__rejected_by"] is None for r in quality_rules.cascade(frame, report=quality_rules.REPORT).collect()} == got
     assert quality_rules.cascade(empty).count() == 0
     assert quality_rules.cascade(with_null_ids).filter("doc_id is null").count() == 2
+    twice = quality_rules.cascade(frame.unionByName(frame)).groupBy("doc_id").agg(F.count("*").alias("n"), F.count("__rejected_by").alias("bad")).collect()
+    assert {r["doc_id"]: (r["n"], r["bad"]) for r in twice} == {i: (2, 0 if kept else 2) for i, kept in got.items()}
     order = [r.name for r, _, _ in quality_rules.plan(frame)]
     assert sorted(order) == sorted(r.name for r in quality_rules.RULES)
 
 
+def test_quality_splits_each_text_once(frame):
+    for df in (quality_rules.cascade(frame).filter("__rejected_by is null").select(*frame.columns), quality_rules.cascade(frame, report=quality_rules.REPORT)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("split(trim") == 1 or plan.count("[\\x20\\x09-\\x0D]+") == 1
+
+
+def test_quality_later_rules_are_not_evaluated(spark):
+    """A rule that fails when it is evaluated does no harm to texts that an earlier rule rejects."""
+    bad = quality_rules.Rule("fails", lambda m: F.raise_error(F.concat(F.lit("evaluated"), m["n_words"].cast("string"))).cast("string") == "x")
+    df = spark.createDataFrame([("short text",)], "text string")
+    verdict = quality_rules.verdict([quality_rules.RULES[0], bad], quality_rules.Measures(F.col("text"), quality_rules.words(F.col("text"))))
+    assert df.select(verdict).first()[0] == "too_short"
+
+
+def test_output_names_that_are_taken(spark, frame):
+    df = frame.withColumn("__kept", F.lit(1)).withColumn("__rejected_by", F.lit(2)).withColumn("__judged", F.lit(3)).withColumn("__n_lines", F.lit(4))
+    out = quality_rules.cascade(df)
+    assert out.columns == [*df.columns, "__rejected_by_"] and out.filter("__rejected_by = 2 and __rejected_by_ is null").count() > 0
+    out = line_dedup.drop_frequent_lines(df)
+    assert out.columns == [*df.columns, "__n_lines_", "__n_dropped", "__kept_"] and out.filter("__kept = 1 and __kept_ <> ''").count() > 0
+
+
 def test_repeated_windows_by_both_ways(spark):
     text = " ".join(f"w{k % 40}" for k in range(300))
     rows = spark.createDataFrame([("a b c a b c",), (text,), ("a a a a",), ("a b",), (None,)], "text string")
@@ -158,7 +188,7 @@ def test_turns_read_back(role):
 
 def test_chat_digests(spark):
     turns = [(1, 1, "assistant", "</s>[INST] x", 0), (1, 0, "user", None, 0), (None, 0, "user", "hi", 0), (2, 5, None, "odd", 0), (1, 1, "assistant", "</s>[INST] x", 0)]
-    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, extra int")
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, formatted int")
     got = {r["conv_id"]: r for r in chat_format.digests(chat_format.format_turns(df)).collect()}
     own = "".join(f"{r}\n{t}\n" for r, t in [("user", ""), ("assistant", "</s>[INST] x"), ("assistant", "</s>[INST] x")])
     assert got[1]["turns_sha256"] == hashlib.sha256(own.encode()).hexdigest() and got[1]["n_turns"] == 3
@@ -166,6 +196,35 @@ def test_chat_digests(spark):
     assert set(got) == {1, 2, None} and chat_format.digests(chat_format.format_turns(df.limit(0))).count() == 0
 
 
+def test_chat_order_of_equal_turns(spark):
+    """Turn, role, text: not the order of the formatted turns, in which escapes and closing marks count."""
+    rows = [(1, 3, "user", "ab X"), (1, 3, "user", "ab"), (1, 3, "tool", "z"), (1, 3, "assistant", "<s>"), (1, 3, "assistant", "Z"), (1, None, "user", "first")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    want = [("user", "first"), ("assistant", "<s>"), ("assistant", "Z"), ("tool", "z"), ("user", "ab"), ("user", "ab X")]
+    got = chat_format.digests(chat_format.format_turns(df)).first()
+    assert got["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in want).encode()).hexdigest()
+    assert got["loss_sha256"] == hashlib.sha256(b"<s>Z").hexdigest()
+    assert got["formatted_chars"] == len(chat_format.render(want))
+
+
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "tool", "]", ""]), st.text("<>/s[]INSTOYR: \\a\n", max_size=20)), max_size=6), st.integers(1, 9))
+@settings(max_examples=300, deadline=None)
+def test_whole_conversations_read_back(turns, step):
+    whole = chat_format.render(turns)
+    assert chat_format.parse(whole) == turns
+    reader, got = chat_format.Reader(), []
+    for at in range(0, len(whole), step):
+        got += [x[:2] for x in reader.feed(whole[at : at + step])]
+    reader.close()
+    assert got == turns and reader.chars == len(whole)
+
+
+@pytest.mark.parametrize("broken", ["", "[INST] a [/INST]", "<s>[INST] a", "<s>text", "<s> a</s>[INST]", "<s> a<s></s>"])
+def test_broken_conversations_are_errors(broken):
+    with pytest.raises(chat_format.Malformed):
+        chat_format.parse(broken)
+
+
 def test_suffix_dedup(frame, corpus, empty, with_null_ids):
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.remove_repeats(frame).collect()}
     assert got == brute.repeats(corpus)
@@ -195,14 +254,48 @@ def test_decontamination_finds_other_numbers_and_names(spark):
     assert decontamination.contaminated(docs.limit(0), items).count() == 0
 
 
+ITEM = "first take 7 apples then give 7 pears then sell 7 plums then lose 7 figs then find 7 nuts then end"
+
+
+def leaks(spark, docs, items, **how):
+    docs = spark.createDataFrame(docs, "doc_id long, text string").withColumn("__t", F.lit("clash")).withColumn("item_id", F.lit(5)).withColumn("w", F.lit(1))
+    items = spark.createDataFrame(items, "item_id long, text string").withColumn("__n", F.lit(0)).withColumn("doc_id", F.lit(0))
+    return {(r["doc_id"], r["item_id"]): (r["matched_windows"], r["item_windows"]) for r in decontamination.contaminated(docs, items, **how).collect()}
+
+
 def test_decontamination_needs_consistent_slots(spark):
-    item = "first take 7 apples then give 7 pears then sell 7 plums then lose 7 figs then find 7 nuts then end"
-    steady, wild = item.replace("7", "31"), item
+    steady, wild = ITEM.replace("7", "31"), ITEM
     for n in ("3", "41", "5", "66", "8"):
         wild = wild.replace(" 7 ", f" {n} ", 1)
-    docs = spark.createDataFrame([(1, steady), (2, wild)], "doc_id long, text string")
-    got = {r["doc_id"] for r in decontamination.contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
-    assert got == {1}
+    assert leaks(spark, [(1, steady), (2, wild)], [(1, ITEM)]) == {(1, 1): (15, 15)}
+
+
+@pytest.mark.parametrize("most", [decontamination.BROADCAST_WINDOWS, 0])
+def test_decontamination_drops_only_windows_that_contradict(spark, monkeypatch, most):
+    """A verbatim copy with one edited number, and a question in which two slots merely shared a value; by broadcast and by shuffle."""
+    monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", most)
+    one = ITEM[::-1].replace("7", "9", 1)[::-1]
+    two = ITEM.replace("7 apples", "31 apples").replace("7 pears", "31 pears").replace(" 7 ", " 44 ")
+    got = leaks(spark, [(1, one), (2, two), (2, two), (None, ITEM)], [(1, ITEM), (None, ITEM)])
+    assert set(got) == {(d, i) for d in (1, 2, None) for i in (1, None)}
+    words = one.split()
+    assert got[1, 1] == (sum("9" not in words[k : k + 8] for k in range(15)), 15) and got[None, None] == (15, 15)
+
+
+def test_decontamination_of_slots_in_rows(spark):
+    """Tables of numbers and lists of names match by value."""
+    rng = np.random.default_rng(5)
+    table, other = (" ".join(map(str, rng.integers(100, 999, 40))) for _ in range(2))
+    names = "we met Alice Brown Carol Dave Edith Frank Grace Heidi Ivan Judy Mallory Niaj Olivia Peggy Rupert"
+    people = "we met " + " ".join(w[::-1].capitalize() for w in names.split()[2:])
+    got = leaks(spark, [(1, "x " + table), (2, other), (3, "so " + names), (4, people)], [(1, table), (2, names)])
+    assert {k: v[0] >= 0.8 * v[1] for k, v in got.items()} == {(1, 1): True, (3, 2): True}
+
+
+def test_decontamination_of_short_and_repeated_items(spark):
+    items = [(1, "Three small words"), (2, "4 km of road"), (3, None), (4, QUESTION), (4, QUESTION), (4, ITEM), (5, "42"), (6, "4 km")]
+    got = leaks(spark, [(1, "see three (small) words here"), (2, "about 5 km of road, 42"), (3, QUESTION + " " + ITEM), (4, "nothing")], items)
+    assert got[1, 1] == (1, 1) and got[2, 2] == (1, 1) and set(got) == {(1, 1), (2, 2), (3, 4)}
 
 
 def test_toxicity(spark):
