@@ -28,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents
+from .common import BROADCAST_ROWS, Scratch, documents
 
 CAPACITY, END_ID = 1024, 2
-RANK_GROUPS = 64
+RANK_ROWS = 50_000
 
 class Encoder:
     """ids of whole texts as the tokenizer file gives them.
@@ -174,12 +174,18 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """parts (doc_id, piece, start, length, ...) plus sequence_id and offset."""
     spark = parts.sparkSession
     counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    plan = spark.createDataFrame(segments(plan_bins(counts, capacity)), "length long, __r0 long, __r1 long, __s0 long, offset long")
-    grouped = parts.withColumn("__g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(RANK_GROUPS)).cast("int"))
+    plan = segments(plan_bins(counts, capacity)) or [(0, 0, 0, 0, 0)]
+    names = ("length", "__r0", "__r1", "__s0", "offset")
+    plan = spark.createDataFrame(pa.table({n: pa.array(x, pa.int64()) for n, x in zip(names, zip(*plan, strict=True), strict=True)}))
+    # A rank inside one of the groups of the length, of some RANK_ROWS pieces each, after the pieces of the groups before it.
+    sizes = {"length": list(counts) or [0], "__n": [-(-n // RANK_ROWS) for n in counts.values()] or [1]}
+    grouped = parts.join(F.broadcast(spark.createDataFrame(pa.table({k: pa.array(v, pa.int64()) for k, v in sizes.items()}))), "length")
+    grouped = grouped.withColumn("__g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("__n"))).drop("__n")
     before = Window.partitionBy("length").orderBy("__g").rowsBetween(Window.unboundedPreceding, -1)
     starts = grouped.groupBy("length", "__g").agg(F.count("*").alias("n")).select("length", "__g", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__from"))
     rank = F.row_number().over(Window.partitionBy("length", "__g").orderBy("doc_id", "piece", "start"))
-    ranked = grouped.join(F.broadcast(starts), ["length", "__g"]).withColumn("__r", F.col("__from") + rank - 1)
+    few = sum(sizes["__n"]) <= BROADCAST_ROWS
+    ranked = grouped.join(F.broadcast(starts) if few else starts, ["length", "__g"]).withColumn("__r", F.col("__from") + rank - 1)
     placed = ranked.join(F.broadcast(plan), (ranked["length"] == plan["length"]) & F.col("__r").between(F.col("__r0"), F.col("__r1"))).drop(plan["length"])
     return placed.withColumn("sequence_id", F.col("__s0") + F.col("__r") - F.col("__r0")).drop("__g", "__from", "__r", "__r0", "__r1", "__s0")
 
