@@ -7,7 +7,7 @@ occurs, keeps the FEATURES windows that tell most, scales each by its log-count
 a logistic regression. Scoring reads every whole text.
 
 Cases: null and empty texts have no windows and get the score of the intercept; rows
-without a label are not trained on; conflicting labels of one id count as toxic; with no
+without a label are not trained on; conflicting labels of one id count as toxic, and of several texts of one id the smallest is learnt from; with no
 labelled rows of both kinds every score is the smoothed share of toxic rows; repeated rows and
 null ids are scored like others.
 """
@@ -154,6 +154,8 @@ def op10_toxicity(spark, sf_dir: str) -> DataFrame:
     labels = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # The sample is chosen among the labels, so only its texts are joined.
     chosen = labels.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
-    model = train(docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]))
+    # Of rows that share an id the smallest text is learnt from.
+    one = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
+    model = train(one)
     out = score(docs, model)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= CUTOFF).cast("int").alias("predicted"))
