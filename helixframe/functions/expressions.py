@@ -77,7 +77,7 @@ def lookup_code(c: Column, codes: dict[str, str], strict: bool = False) -> Colum
 def dotted_code(c: Column) -> Column:
     """A diagnosis code without dots, with one after the third character."""
     bare = F.replace(c, F.lit("."), F.lit(""))
-    return F.when(F.length(bare) > 3, F.concat(F.left(bare, F.lit(3)), F.lit("."), F.substring(bare, 4, 1_000_000))).otherwise(bare)
+    return F.when(F.length(bare) > 3, F.concat(F.left(bare, F.lit(3)), F.lit("."), F.substring(bare, F.lit(4), F.length(bare)))).otherwise(bare)
 
 
 def attributes(c: Column, pair: str = ";", key: str = "=") -> Column:

@@ -212,9 +212,59 @@ def bootstrap_interval(x: np.ndarray, statistic: Callable[[np.ndarray], float],
     return tuple(np.quantile(draws, [(1 - level) / 2, (1 + level) / 2]).tolist())
 
 
-def fixed_mean_mixture(x: np.ndarray, states: np.ndarray, rounds: int = 200, floor: float = 0.05) -> dict[str, np.ndarray | float]:
+def line(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Intercept and slope of the least-squares line; slope 0 where x does not vary."""
+    spread = ((x - x.mean()) ** 2).sum()
+    slope = ((x - x.mean()) * (y - y.mean())).sum() / spread if spread > 0 else 0.0
+    return float(y.mean() - slope * x.mean()), float(slope)
+
+
+def smooth(x: np.ndarray, y: np.ndarray, share: float = 0.45) -> np.ndarray:
+    """Fitted values at x: locally weighted lines for four distinct places or more, a parabola for three of four points
+    or more, otherwise a line; nan for fewer than three points or two places, and at points that are not finite."""
+    fit, ok = np.full(len(y), np.nan), np.isfinite(x) & np.isfinite(y)
+    a, b = x[ok], y[ok]
+    places = len(np.unique(a))
+    if len(a) < 3 or places < 2:
+        return fit
+    if places >= 4:
+        order = np.argsort(a, kind="stable")
+        fit[ok] = np.interp(a, a[order], lowess(a[order], b[order], min(max(share, 0.2), 1.0)))
+    elif places == 3 and len(a) >= 4:
+        fit[ok] = np.polyval(np.polyfit(a, b, 2), a)
+    else:
+        start, slope = line(a, b)
+        fit[ok] = start + slope * a
+    return fit
+
+
+def pseudo_r2(y: np.ndarray, fit: np.ndarray) -> float:
+    """1 less the share of the variation around the mean that the fit leaves, within [0, 1]; nan for fewer than three points or no variation."""
+    ok = np.isfinite(y) & np.isfinite(fit)
+    total = ((y[ok] - y[ok].mean()) ** 2).sum() if ok.sum() >= 3 else 0.0
+    return float(np.clip(1 - ((y[ok] - fit[ok]) ** 2).sum() / total, 0.0, 1.0)) if total > 0 else math.nan
+
+
+def smooth_permutation(x: np.ndarray, y: np.ndarray, n: int, seed: int, share: float = 0.45) -> dict[str, float]:
+    """pseudo_r2 of the smooth fit, its plus-one permutation p, and the slope toward smaller x. Nothing for fewer than four
+    points or three places."""
+    ok = np.isfinite(x) & np.isfinite(y)
+    x, y = x[ok], y[ok]
+    out = {"r2": math.nan, "p": math.nan, "slope": math.nan, "points": len(x), "permutations": n}
+    seen = pseudo_r2(y, smooth(x, y, share)) if len(x) >= 4 and len(np.unique(x)) >= 3 else math.nan
+    if math.isnan(seen):
+        return out
+    rng = np.random.default_rng(seed)
+    null = np.array([pseudo_r2(z, smooth(x, z, share)) for z in (rng.permutation(y) for _ in range(n))])
+    null = null[np.isfinite(null)]
+    p = ((null >= seen - 1e-15).sum() + 1) / (len(null) + 1) if len(null) else math.nan
+    return out | {"r2": seen, "p": float(p), "slope": line(-x, y)[1], "permutations": len(null)}
+
+
+def fixed_mean_mixture(x: np.ndarray, states: np.ndarray, sigma: float | None = None, rounds: int = 100, floor: float = 0.05) -> dict[str, np.ndarray | float]:
     """Mixture of normals at fixed integer states with one offset and one sigma (expectation-maximisation)."""
-    offset, sigma, weight = 0.0, max(0.1, float(x.std() / 2) if len(x) > 1 else 0.1), np.full(len(states), 1 / len(states))
+    offset, weight = 0.0, np.full(len(states), 1 / len(states))
+    sigma = sigma or max(0.1, float(x.std() / 2) if len(x) > 1 else 0.1)
     for _ in range(rounds):
         logs = np.log(np.clip(weight, 1e-300, None)) - 0.5 * ((x[:, None] - states - offset) / sigma) ** 2 - math.log(sigma)
         top = logs.max(1, keepdims=True)
@@ -222,13 +272,42 @@ def fixed_mean_mixture(x: np.ndarray, states: np.ndarray, rounds: int = 200, flo
         part /= part.sum(1, keepdims=True)
         moved = float((part * (x[:, None] - states)).sum() / len(x))
         spread = math.sqrt(float((part * (x[:, None] - states - moved) ** 2).sum() / len(x)))
-        weight, done = part.mean(0), abs(moved - offset) < 1e-10 and abs(max(floor, spread) - sigma) < 1e-10
+        weight, done = part.mean(0), abs(moved - offset) < 1e-12 and abs(max(floor, spread) - sigma) < 1e-12
         offset, sigma = moved, max(floor, spread)
         if done:
             break
     return {"offset": offset, "sigma": sigma, "weight": weight, "state": states[part.argmax(1)]}
 
 
+def labelled_mixture(x: np.ndarray, y: np.ndarray, pool: np.ndarray | None = None) -> dict[str, np.ndarray | float]:
+    """fixed_mean_mixture of integer copies: a line from the labelled (x, y) scales the pool (the labelled x without one);
+    states reach from its floor (0 at least) to its ceiling and one; sigma starts from the labelled residuals (0.1 at least)."""
+    if not len(x):
+        raise ValueError("no labelled values")
+    intercept, slope = line(x, y)
+    scaled = intercept + slope * (x if pool is None or not len(pool) else pool)
+    states = np.arange(max(0, math.floor(scaled.min())), math.ceil(scaled.max()) + 2, dtype=float)
+    start = max(0.1, float((intercept + slope * x - y).std()))
+    return {"intercept": intercept, "slope": slope, "states": states} | fixed_mean_mixture(scaled, states, start)
+
+
+def logistic_fit(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> dict[str, np.ndarray]:
+    """Logistic regression with an intercept by reweighted least squares: beta, se, p (Wald); raises without convergence."""
+    design = np.column_stack([np.ones(len(y)), x])
+    beta = np.zeros(design.shape[1])
+    for _ in range(rounds):
+        mu = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
+        w = mu * (1 - mu)
+        step = np.linalg.solve(design.T @ (w[:, None] * design), design.T @ (y - mu))
+        beta = beta + step
+        if np.abs(step).max() < 1e-10:
+            break
+    else:
+        raise ValueError("no convergence: the outcome may be separated")
+    se = np.sqrt(np.diag(np.linalg.inv(design.T @ (w[:, None] * design))))
+    return {"beta": beta, "se": se, "p": np.array([2 * NORMAL.cdf(-abs(z)) for z in beta / se])}
+
+
 def count_model(x: np.ndarray, y: np.ndarray, exposure: np.ndarray, theta: float = math.inf, rounds: int = 100) -> dict[str, np.ndarray | float]:
     """Log-linear count regression with offset log(exposure), by reweighted least squares: Poisson, or negative binomial of a given theta."""
     design = np.column_stack([np.ones(len(y)), x])

@@ -94,6 +94,23 @@ def blocks_of_runs(df: DataFrame, group: list[str], order: list[str], unit: Colu
     return marked.withColumn("__n", new).withColumn("block", F.sum("__n").over(w)).drop("__u", "__n")
 
 
+def paired_blocks(letters: DataFrame, pairs: DataFrame) -> DataFrame:
+    """child, parent, kind, block, parent_blocks, child_blocks, sites: for each pair of haplotypes and kind of block with two parent blocks
+    or more, a row for each block of the child with its informative sites, where all parent blocks are aligned without gaps, differ, and
+    one has the child's base. letters (block, hap, kind, pos, base) are aligned; pairs (child, parent)."""
+    gap = F.col("base").isin("-", "N")
+    blocks = letters.select("hap", "kind", "block").distinct()
+    number = blocks.groupBy("hap", "kind").agg(F.count("*").alias("n"))
+    columns = letters.groupBy("hap", "kind", "pos").agg(F.count("*").alias("k"), F.collect_set("base").alias("bases"), F.max(gap).alias("gap"))
+    columns = columns.join(number, ["hap", "kind"]).filter("k = n and size(bases) > 1 and not gap").select(F.col("hap").alias("parent"), "kind", "pos", "bases")
+    child = letters.filter(~gap).select(F.col("hap").alias("child"), "kind", "block", "pos", "base")
+    sites = pairs.join(child, "child").join(columns, ["parent", "kind", "pos"]).filter(F.array_contains("bases", F.col("base")))
+    sites = sites.groupBy("child", "parent", "kind", "block").agg(F.count("*").alias("sites"))
+    rows = pairs.join(blocks.withColumnRenamed("hap", "child"), "child").join(number.select(F.col("hap").alias("child"), "kind", F.col("n").alias("child_blocks")), ["child", "kind"])
+    rows = rows.join(number.select(F.col("hap").alias("parent"), "kind", F.col("n").alias("parent_blocks")), ["parent", "kind"]).filter("parent_blocks >= 2")
+    return rows.join(sites, ["child", "parent", "kind", "block"], "left").select("child", "parent", "kind", "block", "parent_blocks", "child_blocks", F.coalesce("sites", F.lit(0).cast("long")).alias("sites"))
+
+
 def stable_seed(text: str) -> int:
     """A seed below 2^31 - 1 that depends on the text alone."""
     return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "big") % (2**31 - 1)

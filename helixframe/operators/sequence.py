@@ -44,9 +44,12 @@ def patched(df: DataFrame, patches: DataFrame, key: str, seq: str, pos: str, bas
     return joined.withColumn("patched", F.coalesce(F.array_join(chars, ""), F.col(seq))).drop("__p")
 
 
-def columns_of(df: DataFrame, key: str, group: str, seq: str, width: int | None = None) -> DataFrame:
-    """key, group, pos (1-based), base of all letters of aligned sequences, or of the first `width`; shorter ones lack the later columns."""
-    letters = F.col(seq) if width is None else F.substring(seq, 1, width)
+def columns_of(df: DataFrame, key: str, group: str, seq: str, references: list) -> DataFrame:
+    """key, group, pos (1-based), base of aligned sequences, of all columns that every reference sequence (by key) has; other columns
+    have no reference base and so no result. Sequences that are shorter lack the later columns."""
+    lengths = df.filter(F.col(key).isin(references)).groupBy(key).agg(F.max(F.length(seq)).alias("n")).collect()  # a row a reference
+    width = min((r["n"] or 0 for r in lengths), default=0) if len(lengths) == len(references) else 0
+    letters = F.substring(seq, 1, width)
     return df.select(key, group, F.posexplode(F.split(letters, "")).alias("p", "base")).filter("base <> ''").select(key, group, (F.col("p") + 1).alias("pos"), "base")
 
 

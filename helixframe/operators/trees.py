@@ -45,7 +45,11 @@ def parse_newick(text: str) -> list[tuple[int, int | None, float, str]]:
 
 
 def read_newick(spark: SparkSession, path: str) -> DataFrame:
-    text = "".join(r[0] for r in spark.read.text(path).limit(MAX_NODES).collect())
+    """The tree of a file of at most MAX_NODES lines; a longer one is an error."""
+    lines = spark.read.text(path).limit(MAX_NODES + 1).collect()
+    if len(lines) > MAX_NODES:
+        raise ValueError(f"{path} has more than {MAX_NODES} lines")
+    text = "".join(r[0] for r in lines)
     return spark.createDataFrame(parse_newick(text), "node int, parent int, length double, label string")
 
 
@@ -100,6 +104,26 @@ def nearest_ancestor(closure: DataFrame, marked: DataFrame) -> DataFrame:
     return closure.filter("steps = 0").select("node").join(best, "node", "left")
 
 
+def node_orders(closure: DataFrame, tips: DataFrame) -> DataFrame:
+    """node, order, order_set: the order of the tips (node, order) below a node; Mixed if they have several, Unknown if none is known."""
+    own = closure.join(tips.select("node", "order"), "node").groupBy("ancestor").agg(F.array_sort(F.collect_set("order")).alias("o"))
+    known = closure.filter("steps = 0").select("node").join(own.withColumnRenamed("ancestor", "node"), "node", "left").withColumn("o", F.coalesce("o", F.array().cast("array<string>")))
+    one = F.when(F.size("o") == 0, "Unknown").when(F.size("o") == 1, F.get("o", F.lit(0)))
+    return known.select("node", one.otherwise("Mixed").alias("order"), F.when(F.size("o") == 0, "Unknown").otherwise(F.array_join("o", ",")).alias("order_set"))
+
+
+def episodes(branches: DataFrame, closure: DataFrame, tips: DataFrame) -> DataFrame:
+    """Independent episodes of the branches (node, gain, ...) with a gain: a branch belongs to its nearest ancestor with a gain, or is a
+    root itself. root, branches, total_gain, most_gain, order, order_set, tips, member_orders."""
+    gains = branches.filter("gain > 0").select("node", "gain")
+    above = nearest_ancestor(closure, gains.select("node")).join(gains, "node")
+    orders = node_orders(closure, tips)
+    members = above.select(F.coalesce("nearest", "node").alias("root"), "node", "gain").join(orders.select("node", "order"), "node")
+    summed = members.groupBy("root").agg(F.count("*").alias("branches"), F.sum("gain").alias("total_gain"), F.max("gain").alias("most_gain"), F.array_join(F.array_sort(F.collect_set("order")), ",").alias("member_orders"))
+    below = clade_members(closure, tips).groupBy("ancestor").agg(F.count("*").alias("tips"))
+    return summed.join(orders.withColumnRenamed("node", "root"), "root").join(below.withColumnRenamed("ancestor", "root"), "root")
+
+
 def clade_members(closure: DataFrame, tips: DataFrame) -> DataFrame:
     """(ancestor, tip) for the tips (node) below each node."""
     return closure.join(tips.select("node"), "node").select("ancestor", F.col("node").alias("tip"))

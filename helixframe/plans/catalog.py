@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import composites, filters_joins, grouping, ordering, phylogeny, reading, science, statistics, texts  # noqa: F401
+from . import composites, copies, filters_joins, grouping, ordering, phylogeny, reading, science, statistics, texts, units  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

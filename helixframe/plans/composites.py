@@ -10,7 +10,8 @@ from ..operators import intervals as I
 from ..session import table
 from .filters_joins import INTERVALS, shipments
 from .grouping import r6
-from .registry import query, whole
+from .registry import query
+from .science import COLUMNS, columns
 
 
 @query("a12_mean_depth", f"WITH i AS ({INTERVALS}), w AS (SELECT unnest(range(8000, 11000, 100)) AS ws), c AS (SELECT grp, ws, sum(greatest(0, least(e, ws + 100) - greatest(s, ws))) AS bp FROM i JOIN w ON s < ws + 100 AND e > ws GROUP BY 1, 2) SELECT grp, ws::BIGINT AS ws, round(bp / 100.0, 6) AS depth FROM c")
@@ -31,14 +32,12 @@ def minority(spark, d):
     return c.select("site", F.when((na == 0) | (nr == 0), "-1").when(na < nr, text("a")).when(nr < na, text("r")).otherwise(F.concat_ws("|", text("r"), text("a"))).alias("minority"))
 
 
-@query("a39_units_from_seeds", f"WITH i AS (SELECT * FROM ({INTERVALS}) WHERE grp % 10 = 0), m AS (SELECT *, max(e) OVER (PARTITION BY grp ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM i), f AS (SELECT *, sum(CASE WHEN pm IS NULL OR s > pm THEN 1 ELSE 0 END) OVER (PARTITION BY grp ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM m), u AS (SELECT grp, k, min(s) AS s, max(e) AS e FROM f GROUP BY 1, 2) SELECT grp, min(s) AS s, max(e) AS e, count(*) AS exons, sum(e - s)::BIGINT AS bp FROM u GROUP BY 1")
-def units(spark, d, groups="grp % 10 = 0"):
-    u = I.union_touching(shipments(spark, d).filter(groups), ["grp"], "s", "e")
+@query("a39_units_from_seeds", f"WITH i AS (SELECT * FROM ({INTERVALS})), m AS (SELECT *, max(e) OVER (PARTITION BY grp ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM i), f AS (SELECT *, sum(CASE WHEN pm IS NULL OR s > pm THEN 1 ELSE 0 END) OVER (PARTITION BY grp ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM m), u AS (SELECT grp, k, min(s) AS s, max(e) AS e FROM f GROUP BY 1, 2) SELECT grp, min(s) AS s, max(e) AS e, count(*) AS exons, sum(e - s)::BIGINT AS bp FROM u GROUP BY 1")
+def units(spark, d):
+    u = I.union_touching(shipments(spark, d), ["grp"], "s", "e")
     return u.groupBy("grp").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.count("*").alias("exons"), F.sum(F.col("e") - F.col("s")).alias("bp"))
 
 
-whole("a39_units_from_seeds", " WHERE grp % 10 = 0", groups="true")
-
 
 @query("m02_logs", "SELECT event_id, CASE WHEN value > 0 THEN round(log10(value), 6) END AS l10 FROM events")
 def logs(spark, d):
@@ -64,23 +63,13 @@ def blocks(spark, d):
     return P.blocks_of_runs(e, ["user_id"], ["ts", "event_id"], F.col("event_type").isin("click", "view")).select("event_id", "block")
 
 
-@query("p04_informative_sites", "WITH c AS (SELECT doc_id, unnest(range(1, 61)) AS pos, unnest(list_transform(range(1, 61), lambda i: substr(text, i, 1))) AS b FROM documents WHERE length(text) >= 60 AND doc_id < 200), p AS (SELECT pos, max(CASE WHEN doc_id = 0 THEN b END) AS pa, max(CASE WHEN doc_id = 1 THEN b END) AS pb FROM c GROUP BY 1) SELECT doc_id, count_if(b = pa) AS from_a, count_if(b = pb) AS from_b FROM c JOIN p USING (pos) WHERE pa <> pb AND doc_id > 1 AND (b = pa OR b = pb) AND b NOT IN ('-', 'N') GROUP BY 1")
+@query("p04_informative_sites", f"WITH {COLUMNS}, p AS (SELECT pos, max(CASE WHEN doc_id = 0 THEN base END) AS pa, max(CASE WHEN doc_id = 1 THEN base END) AS pb FROM c GROUP BY 1) SELECT doc_id, count_if(base = pa) AS from_a, count_if(base = pb) AS from_b FROM c JOIN p USING (pos) WHERE pa <> pb AND doc_id > 1 AND (base = pa OR base = pb) AND base NOT IN ('-', 'N') GROUP BY 1")
 def informative(spark, d):
-    docs = table(spark, d, "documents").filter("length(text) >= 60 and doc_id < 200")
-    return informative_sites(docs.select("doc_id", F.posexplode(F.split(F.substring("text", 1, 60), "")).alias("pos", "b")).filter("pos < 60"))
-
-
-@query("p04_informative_sites_whole")
-def informative_whole(spark, d):
-    """All places of all documents."""
-    return informative_sites(table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "")).alias("pos", "b")).filter("b <> ''"))
-
-
-def informative_sites(c):
-    side = lambda k, name: F.max(F.when(F.col("doc_id") == k, F.col("b"))).alias(name)
+    c = columns(spark, d, 0, 1)
+    side = lambda k, name: F.max(F.when(F.col("doc_id") == k, F.col("base"))).alias(name)
     p = c.groupBy("pos").agg(side(0, "pa"), side(1, "pb")).filter("pa <> pb")
-    rows = c.filter("doc_id > 1").join(F.broadcast(p), "pos").filter("(b = pa or b = pb) and b not in ('-', 'N')")
-    return rows.groupBy("doc_id").agg(F.count_if(F.col("b") == F.col("pa")).alias("from_a"), F.count_if(F.col("b") == F.col("pb")).alias("from_b"))
+    rows = c.filter("doc_id > 1").join(F.broadcast(p), "pos").filter("(base = pa or base = pb) and base not in ('-', 'N')")
+    return rows.groupBy("doc_id").agg(F.count_if(F.col("base") == F.col("pa")).alias("from_a"), F.count_if(F.col("base") == F.col("pb")).alias("from_b"))
 
 
 @query("p06_trio_origin", "WITH b AS (SELECT user_id, event_id // 20 AS bin, event_type AS p, round(max(value), 0) AS v FROM events GROUP BY 1, 2, 3), m AS (SELECT user_id, bin, max(v) AS best FROM b GROUP BY 1, 2), w AS (SELECT user_id, bin, CASE WHEN count(*) = 1 AND max(best) > 0 THEN max(p) END AS w FROM b JOIN m USING (user_id, bin) WHERE v >= best - 1e-6 GROUP BY 1, 2) SELECT user_id, bin, coalesce(last_value(w IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY bin ROWS UNBOUNDED PRECEDING), 'Unknown') AS origin FROM w")
@@ -97,15 +86,13 @@ def qc_summary(spark, d):
     return g.select("l_suppkey", "n", all_reasons([("rare", F.col("n") < 590), ("small", F.col("few") > 25), ("discounted", F.col("cut") > 30)]).alias("reasons"))
 
 
-@query("p12_p28_endpoint_hits", f"WITH i AS ({INTERVALS}), p AS (SELECT p_partkey, p_partkey % 100 + 1 AS grp, 9000 + p_partkey AS pos FROM part WHERE p_partkey % 10 = 0) SELECT p_partkey, count(id) AS hits, count(id) > 0 AS te_hit FROM p LEFT JOIN i ON i.grp = p.grp AND pos BETWEEN s - 5 AND e + 5 GROUP BY 1")
-def endpoint_hits(spark, d, parts="p_partkey % 10 = 0"):
-    p = table(spark, d, "part").filter(parts).select("p_partkey", (F.col("p_partkey") % 100 + 1).alias("grp"), (F.col("p_partkey") + 9000).alias("pos"))
+@query("p12_p28_endpoint_hits", f"WITH i AS ({INTERVALS}), p AS (SELECT p_partkey, p_partkey % 100 + 1 AS grp, 9000 + p_partkey AS pos FROM part) SELECT p_partkey, count(id) AS hits, count(id) > 0 AS te_hit FROM p LEFT JOIN i ON i.grp = p.grp AND pos BETWEEN s - 5 AND e + 5 GROUP BY 1")
+def endpoint_hits(spark, d):
+    p = table(spark, d, "part").select("p_partkey", (F.col("p_partkey") % 100 + 1).alias("grp"), (F.col("p_partkey") + 9000).alias("pos"))
     hits = I.point_join_closed(p, shipments(spark, d), "pos", ("s", "e"), ["grp"], 5, 64)
     return hits.groupBy("p_partkey").agg(F.count("id").alias("hits"), (F.count("id") > 0).alias("te_hit"))
 
 
-whole("p12_p28_endpoint_hits", " WHERE p_partkey % 10 = 0", parts="true")
-
 
 @query("p14_endpoint_statistics", "SELECT l_suppkey, count_if(a AND b) AS both_ends, count_if(a OR b) AS any_end, count_if(NOT a AND NOT b) AS no_end FROM (SELECT l_suppkey, l_discount > 0.05 AS a, l_tax > 0.04 AS b FROM lineitem) GROUP BY 1")
 def endpoint_statistics(spark, d):
@@ -193,27 +180,23 @@ def clades(spark, d):
 
 
 
-@query("f30_localised", f"WITH i AS ({INTERVALS}), w AS (SELECT min(s) AS lo, max(e) AS hi FROM i WHERE grp = 7) SELECT id, line FROM i, w WHERE s >= lo AND e <= hi AND grp <= 20")
-def localised(spark, d, groups="grp <= 20"):
+@query("f30_localised", f"WITH i AS ({INTERVALS}), w AS (SELECT min(s) AS lo, max(e) AS hi FROM i WHERE grp = 7) SELECT id, line FROM i, w WHERE s >= lo AND e <= hi")
+def localised(spark, d):
     i = shipments(spark, d)
     lo, hi = i.filter("grp = 7").agg(F.min("s"), F.max("e")).first()
-    return i.filter(groups).filter((F.col("s") >= lo) & (F.col("e") <= hi)).select("id", "line")
-
+    return i.filter((F.col("s") >= lo) & (F.col("e") <= hi)).select("id", "line")
 
-whole("f30_localised", " AND grp <= 20", groups="true")
 
 
-@query("f31_attachable", f"WITH i AS (SELECT * FROM ({INTERVALS}) WHERE grp % 25 = 0), p AS (SELECT a.id AS id, a.line AS line, b.id AS id2, b.line AS line2, least(a.e, b.e) - greatest(a.s, b.s) AS o, a.e - a.s AS la, b.e - b.s AS lb FROM i a JOIN i b ON a.grp = b.grp AND a.s < b.e AND b.s < a.e AND (a.id, a.line) < (b.id, b.line)) SELECT id, line, id2, line2, o >= 0.5 * la OR o >= 0.5 * lb AS attachable, la > 3 * lb OR lb > 3 * la AS stretched FROM p")
-def attachable(spark, d, groups="grp % 25 = 0"):
-    i = shipments(spark, d).filter(groups)
+@query("f31_attachable", f"WITH i AS (SELECT * FROM ({INTERVALS})), p AS (SELECT a.id AS id, a.line AS line, b.id AS id2, b.line AS line2, least(a.e, b.e) - greatest(a.s, b.s) AS o, a.e - a.s AS la, b.e - b.s AS lb FROM i a JOIN i b ON a.grp = b.grp AND a.s < b.e AND b.s < a.e AND (a.id, a.line) < (b.id, b.line)) SELECT id, line, id2, line2, o >= 0.5 * la OR o >= 0.5 * lb AS attachable, la > 3 * lb OR lb > 3 * la AS stretched FROM p")
+def attachable(spark, d):
+    i = shipments(spark, d)
     b = i.select(F.col("id").alias("id2"), F.col("line").alias("line2"), "grp", F.col("s").alias("s2"), F.col("e").alias("e2"))
     p = I.overlap_join_half_open(i, b, ("s", "e"), ("s2", "e2"), ["grp"], 64).filter("id < id2 or (id = id2 and line < line2)")
     la, lb, o = F.col("e") - F.col("s"), F.col("e2") - F.col("s2"), F.col("overlap")
     return p.select("id", "line", "id2", "line2", ((o >= 0.5 * la) | (o >= 0.5 * lb)).alias("attachable"), ((la > 3 * lb) | (lb > 3 * la)).alias("stretched"))
 
 
-whole("f31_attachable", " WHERE grp % 25 = 0", groups="true")
-
 
 @query("w21_frames", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY floor(value) RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS near FROM events")
 def frames(spark, d):

@@ -10,7 +10,7 @@ from ..functions import expressions as X
 from ..operators import intervals as I
 from ..operators import ordered as O
 from ..session import table
-from .registry import query, whole
+from .registry import query
 
 
 @query("f01_required_columns", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'F'")
@@ -158,14 +158,22 @@ def shipments(spark, d):
     return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.col("l_suppkey").alias("grp"), day.alias("s"), (day + F.col("l_quantity").cast("long")).alias("e"))
 
 
-@query("f23_containment", f"WITH i AS ({INTERVALS}) SELECT id, line FROM i WHERE s >= 9000 AND e <= 9100")
+@query("f23_containment", f"WITH i AS ({INTERVALS}), b AS (SELECT min(s) AS lo, max(e) AS hi FROM i) SELECT id, line FROM i, b WHERE s >= lo + (hi - lo) // 3 AND e <= hi - (hi - lo) // 3")
 def containment(spark, d):
-    return shipments(spark, d).filter("s >= 9000 and e <= 9100").select("id", "line")
+    """Intervals inside the middle third of all days."""
+    i = shipments(spark, d)
+    lo, hi = i.agg(F.min("s"), F.max("e")).first()
+    third = (hi - lo) // 3
+    return i.filter((F.col("s") >= lo + third) & (F.col("e") <= hi - third)).select("id", "line")
 
 
-@query("f24_overlap", f"WITH i AS ({INTERVALS}) SELECT id, line FROM i WHERE e > 9000 AND s < 9010")
+@query("f24_overlap", f"WITH i AS ({INTERVALS}), b AS (SELECT (min(s) + max(e)) // 2 AS mid FROM i) SELECT id, line FROM i, b WHERE e > mid AND s < mid + 10")
 def overlap(spark, d):
-    return shipments(spark, d).filter("e > 9000 and s < 9010").select("id", "line")
+    """Intervals that overlap the ten days from the middle of all days on."""
+    i = shipments(spark, d)
+    lo, hi = i.agg(F.min("s"), F.max("e")).first()
+    mid = (lo + hi) // 2
+    return i.filter((F.col("e") > mid) & (F.col("s") < mid + 10)).select("id", "line")
 
 
 @query("f25_reorder_defaults", "SELECT r_name, r_regionkey, 'none' AS note FROM region")
@@ -246,9 +254,10 @@ def semi_site_key(spark, d):
     return li.join(li.filter("l_quantity >= 48").select(*keys), keys, "left_semi").select("l_orderkey", "l_linenumber")
 
 
-@query("j06_anti", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("j06_anti", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderpriority = '1-URGENT')")
 def anti(spark, d):
-    return table(spark, d, "customer").select("c_custkey").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    urgent = table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, d, "customer").select("c_custkey").join(urgent, "c_custkey", "left_anti")
 
 
 @query("j07_last_wins_lookup", "SELECT p_partkey, label FROM part LEFT JOIN (SELECT l_partkey, arg_max(l_returnflag || l_linestatus, l_orderkey * 10 + l_linenumber) AS label FROM lineitem GROUP BY 1) ON p_partkey = l_partkey")
@@ -267,61 +276,51 @@ def two_key_lookup(spark, d):
     return s.join(single, "k").select("s_suppkey", "region")
 
 
-@query("j09_interval_overlap", f"WITH i AS ({INTERVALS}) SELECT a.id AS id, a.line AS line, b.id AS id2, b.line AS line2, least(a.e, b.e) - greatest(a.s, b.s) AS overlap FROM i a JOIN i b ON a.grp = b.grp AND a.s < b.e AND b.s < a.e WHERE a.id * 10 + a.line < b.id * 10 + b.line AND a.id % 10 = 1")
-def interval_overlap(spark, d, left="id % 10 = 1"):
+@query("j09_interval_overlap", f"WITH i AS ({INTERVALS}) SELECT a.id AS id, a.line AS line, b.id AS id2, b.line AS line2, least(a.e, b.e) - greatest(a.s, b.s) AS overlap FROM i a JOIN i b ON a.grp = b.grp AND a.s < b.e AND b.s < a.e WHERE a.id * 10 + a.line < b.id * 10 + b.line")
+def interval_overlap(spark, d):
     i = shipments(spark, d)
     b = i.select(F.col("id").alias("id2"), F.col("line").alias("line2"), "grp", F.col("s").alias("s2"), F.col("e").alias("e2"))
-    pairs = I.overlap_join_half_open(i.filter(left), b, ("s", "e"), ("s2", "e2"), ["grp"], 64)
+    pairs = I.overlap_join_half_open(i, b, ("s", "e"), ("s2", "e2"), ["grp"], 64)
     return pairs.filter("id * 10 + line < id2 * 10 + line2").select("id", "line", "id2", "line2", "overlap")
 
 
-whole("j09_interval_overlap", " AND a.id % 10 = 1", left="true")
-
 
-@query("j10_point_in_interval", f"WITH i AS ({INTERVALS}), p AS (SELECT o_orderkey, o_orderkey % 100 + 1 AS grp, (epoch(o_orderdate) / 86400)::BIGINT AS pos FROM orders WHERE o_orderkey % 5 = 0) SELECT o_orderkey, pos, id, line, CASE WHEN id IS NOT NULL THEN greatest(s - pos, pos - e, 0) END AS distance FROM p LEFT JOIN i ON i.grp = p.grp AND pos BETWEEN s - 2 AND e + 2")
-def point_in_interval(spark, d, points="o_orderkey % 5 = 0"):
-    p = table(spark, d, "orders").filter(points).select("o_orderkey", (F.col("o_orderkey") % 100 + 1).alias("grp"), F.floor(F.unix_timestamp("o_orderdate") / 86400).cast("long").alias("pos"))
+@query("j10_point_in_interval", f"WITH i AS ({INTERVALS}), p AS (SELECT o_orderkey, o_orderkey % 100 + 1 AS grp, (epoch(o_orderdate) / 86400)::BIGINT AS pos FROM orders) SELECT o_orderkey, pos, id, line, CASE WHEN id IS NOT NULL THEN greatest(s - pos, pos - e, 0) END AS distance FROM p LEFT JOIN i ON i.grp = p.grp AND pos BETWEEN s - 2 AND e + 2")
+def point_in_interval(spark, d):
+    p = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 100 + 1).alias("grp"), F.floor(F.unix_timestamp("o_orderdate") / 86400).cast("long").alias("pos"))
     out = I.point_join_closed(p, shipments(spark, d), "pos", ("s", "e"), ["grp"], 2, 64)
     return out.select("o_orderkey", "pos", "id", "line", "distance")
 
 
-whole("j10_point_in_interval", " WHERE o_orderkey % 5 = 0", points="true")
 
-
-@query("j11_asof_prefix_sum", "WITH e AS (SELECT event_id, user_id, ts, value FROM events), p AS (SELECT *, sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM e) SELECT q.event_id, round(coalesce((SELECT arg_max(run, (ts, event_id)) FROM p WHERE p.user_id = q.user_id AND p.ts < q.ts), 0.0), 6) AS before_sum FROM e q WHERE q.event_id % 4 = 0")
-def asof_prefix_sum(spark, d, asked="event_id % 4 = 0"):
+@query("j11_asof_prefix_sum", "WITH e AS (SELECT event_id, user_id, ts, value FROM events), p AS (SELECT *, sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM e) SELECT q.event_id, round(coalesce((SELECT arg_max(run, (ts, event_id)) FROM p WHERE p.user_id = q.user_id AND p.ts < q.ts), 0.0), 6) AS before_sum FROM e q")
+def asof_prefix_sum(spark, d):
     e = table(spark, d, "events").select("event_id", "user_id", "ts", "value")
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     run = e.withColumn("run", F.sum("value").over(w))
     latest = run.groupBy("user_id", "ts").agg(F.max_by("run", "event_id").alias("run"))
-    out = O.asof_before(e.filter(asked), latest, ["user_id"], "ts", "run", "before_sum", strict=True)
+    out = O.asof_before(e, latest, ["user_id"], "ts", "run", "before_sum", strict=True)
     return out.select("event_id", F.round(F.coalesce("before_sum", F.lit(0.0)), 6).alias("before_sum"))
 
 
-whole("j11_asof_prefix_sum", " WHERE q.event_id % 4 = 0", asked="true")
-
 
-@query("j12_theta_self", f"WITH i AS ({INTERVALS}) SELECT a.id AS id, a.line AS line, b.id AS id2, b.line AS line2 FROM i a JOIN i b ON a.grp = b.grp AND a.s < b.e AND b.s < a.e AND (a.id, a.line) < (b.id, b.line) WHERE a.grp % 10 = 0 AND (least(a.e, b.e) - greatest(a.s, b.s)) >= 0.8 * least(a.e - a.s, b.e - b.s)")
-def theta_self(spark, d, groups="grp % 10 = 0"):
-    i = shipments(spark, d).filter(groups)
+@query("j12_theta_self", f"WITH i AS ({INTERVALS}) SELECT a.id AS id, a.line AS line, b.id AS id2, b.line AS line2 FROM i a JOIN i b ON a.grp = b.grp AND a.s < b.e AND b.s < a.e AND (a.id, a.line) < (b.id, b.line) WHERE (least(a.e, b.e) - greatest(a.s, b.s)) >= 0.8 * least(a.e - a.s, b.e - b.s)")
+def theta_self(spark, d):
+    i = shipments(spark, d)
     b = i.select(F.col("id").alias("id2"), F.col("line").alias("line2"), "grp", F.col("s").alias("s2"), F.col("e").alias("e2"))
     pairs = I.overlap_join_half_open(i, b, ("s", "e"), ("s2", "e2"), ["grp"], 64).filter("id < id2 or (id = id2 and line < line2)")
     return pairs.filter("overlap >= 0.8D * least(e - s, e2 - s2)").select("id", "line", "id2", "line2")
 
 
-whole("j12_theta_self", "a.grp % 10 = 0 AND ", groups="true")
-
 
-@query("j13_exon_overlap", f"WITH i AS ({INTERVALS}), g AS (SELECT * FROM i WHERE grp % 5 = 0) SELECT a.id AS id, b.id AS id2, sum(least(a.e, b.e) - greatest(a.s, b.s))::BIGINT AS bp, count(*) AS pairs FROM g a JOIN g b ON a.grp = b.grp AND a.s < b.e AND b.s < a.e AND a.id < b.id GROUP BY 1, 2")
-def exon_overlap(spark, d, groups="grp % 5 = 0"):
-    i = shipments(spark, d).filter(groups)
+@query("j13_exon_overlap", f"WITH i AS ({INTERVALS}) SELECT a.id AS id, b.id AS id2, sum(least(a.e, b.e) - greatest(a.s, b.s))::BIGINT AS bp, count(*) AS pairs FROM i a JOIN i b ON a.grp = b.grp AND a.s < b.e AND b.s < a.e AND a.id < b.id GROUP BY 1, 2")
+def exon_overlap(spark, d):
+    i = shipments(spark, d)
     b = i.select(F.col("id").alias("id2"), "grp", F.col("s").alias("s2"), F.col("e").alias("e2"))
     pairs = I.overlap_join_half_open(i, b, ("s", "e"), ("s2", "e2"), ["grp"], 64).filter("id < id2")
     return pairs.groupBy("id", "id2").agg(F.sum("overlap").alias("bp"), F.count("*").alias("pairs"))
 
 
-whole("j13_exon_overlap", " WHERE grp % 5 = 0", groups="true")
-
 
 @query("j14_best_match", "SELECT a AS p_partkey, b AS best, round(score, 6) AS score FROM (SELECT a.p_partkey AS a, b.p_partkey AS b, -abs(a.p_retailprice - b.p_retailprice) - abs(a.p_size - b.p_size) AS score, row_number() OVER (PARTITION BY a.p_partkey ORDER BY round(-abs(a.p_retailprice - b.p_retailprice) - abs(a.p_size - b.p_size), 6) DESC, b.p_partkey) AS rn FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey <> b.p_partkey) WHERE rn = 1")
 def best_match(spark, d):

@@ -11,7 +11,7 @@ from ..operators import ordered as O
 from ..session import table
 from .filters_joins import INTERVALS, shipments
 from .grouping import r6
-from .registry import query, whole
+from .registry import query
 
 EVENT_S = "floor(epoch(ts))::BIGINT"
 
@@ -92,32 +92,28 @@ def renumber(spark, d):
     return table(spark, d, "supplier").select("s_nationkey", "s_suppkey", F.format_string("unit%04d", F.row_number().over(w)).alias("unit"))
 
 
-STRANDED = f"SELECT *, CASE WHEN grp % 2 = 0 THEN '-' ELSE '+' END AS strand FROM ({INTERVALS}) WHERE grp % 5 = 0"
+STRANDED = f"SELECT *, CASE WHEN grp % 2 = 0 THEN '-' ELSE '+' END AS strand FROM ({INTERVALS})"
 
 
-def stranded(spark, d, groups):
-    return shipments(spark, d).filter(groups).withColumn("strand", F.when(F.col("grp") % 2 == 0, "-").otherwise("+"))
+def stranded(spark, d):
+    return shipments(spark, d).withColumn("strand", F.when(F.col("grp") % 2 == 0, "-").otherwise("+"))
 
 
 @query("w13_strand_order", f"SELECT id, line, row_number() OVER (PARTITION BY grp ORDER BY CASE WHEN strand = '-' THEN -s ELSE s END, id, line) AS place FROM ({STRANDED})")
-def strand_order(spark, d, groups="grp % 5 = 0"):
+def strand_order(spark, d):
     w = Window.partitionBy("grp").orderBy(F.when(F.col("strand") == "-", -F.col("s")).otherwise(F.col("s")), "id", "line")
-    return stranded(spark, d, groups).select("id", "line", F.row_number().over(w).alias("place"))
+    return stranded(spark, d).select("id", "line", F.row_number().over(w).alias("place"))
 
 
-whole("w13_strand_order", " WHERE grp % 5 = 0", groups="true")
-
 
 @query("w14_core_extension", f"SELECT id, line, e, CASE WHEN nxt > e THEN nxt ELSE e END AS extended, CASE WHEN nxt > e THEN nxt - e ELSE 0 END AS spacer FROM (SELECT *, lead(s) OVER (PARTITION BY grp ORDER BY s, id, line) AS nxt FROM ({STRANDED}))")
-def core_extension(spark, d, groups="grp % 5 = 0"):
+def core_extension(spark, d):
     nxt = F.lead("s").over(Window.partitionBy("grp").orderBy("s", "id", "line"))
-    i = stranded(spark, d, groups).withColumn("nxt", nxt)
+    i = stranded(spark, d).withColumn("nxt", nxt)
     more = F.col("nxt") > F.col("e")
     return i.select("id", "line", "e", F.when(more, F.col("nxt")).otherwise(F.col("e")).alias("extended"), F.when(more, F.col("nxt") - F.col("e")).otherwise(F.lit(0).cast("long")).alias("spacer"))
 
 
-whole("w14_core_extension", " WHERE grp % 5 = 0", groups="true")
-
 
 @query("w15_slice_min", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS rn FROM orders) WHERE rn = 1")
 def slice_min(spark, d):
@@ -185,10 +181,8 @@ def ntile_family(spark, d):
 
 
 @query("w26_oriented_coordinates", f"SELECT id, line, CASE WHEN strand = '-' THEN 20000 - e ELSE s END AS o_start, CASE WHEN strand = '-' THEN 20000 - s ELSE e END AS o_end, s + 1 AS start_1based FROM ({STRANDED})")
-def oriented(spark, d, groups="grp % 5 = 0"):
+def oriented(spark, d):
     n, strand = F.lit(20000).cast("long"), F.col("strand")
     a, b = X.oriented(F.col("s"), n, strand), X.oriented(F.col("e"), n, strand)
-    return stranded(spark, d, groups).select("id", "line", F.least(a, b).alias("o_start"), F.greatest(a, b).alias("o_end"), (F.col("s") + 1).alias("start_1based"))
-
+    return stranded(spark, d).select("id", "line", F.least(a, b).alias("o_start"), F.greatest(a, b).alias("o_end"), (F.col("s") + 1).alias("start_1based"))
 
-whole("w26_oriented_coordinates", " WHERE grp % 5 = 0", groups="true")

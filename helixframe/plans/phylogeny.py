@@ -14,8 +14,8 @@ from ..operators import sequence as Q
 from ..operators import trees as T
 from ..session import table
 from .reading import written
-from .registry import query, whole
-from .science import item_kmers, order_tree
+from .registry import query
+from .science import item_kmers
 
 
 def nation_tree(n: int = 25) -> tuple[str, list[tuple]]:
@@ -135,20 +135,19 @@ def simulated_states(spark, d):
     return spark.range(200).mapInPandas(run, "run long, share double")
 
 
-_TREE = "t AS (SELECT o_orderkey AS node, nullif(o_orderkey // 2, 0) AS parent, o_orderstatus AS status FROM orders WHERE o_orderkey BETWEEN 1 AND 1000), r AS (SELECT node, node AS anc, 0 AS steps FROM t UNION ALL SELECT r.node, t.parent, r.steps + 1 FROM r JOIN t ON r.anc = t.node WHERE t.parent IS NOT NULL)"
+_TREE = "t AS (SELECT o_orderkey AS node, nullif(o_orderkey // 2, 0) AS parent, CASE WHEN o_orderstatus = 'F' THEN o_custkey % 4 ELSE 0 END AS gain, nullif(o_orderpriority, '5-LOW') AS ord FROM orders), r AS (SELECT node, node AS anc, 0 AS steps FROM t UNION ALL SELECT r.node, t.parent, r.steps + 1 FROM r JOIN t ON r.anc = t.node WHERE t.parent IS NOT NULL)"
 
 
-@query("p24_episodes", f"WITH RECURSIVE {_TREE}, g AS (SELECT node FROM t WHERE status = 'F'), top AS (SELECT g.node AS node, arg_max(r.anc, r.steps) AS root FROM g JOIN r ON r.node = g.node WHERE r.anc IN (SELECT node FROM g) GROUP BY 1) SELECT root, count(*) AS branches FROM top GROUP BY 1")
-def episodes(spark, d, **rows):
-    """Gain branches grouped under the topmost gain branch above them."""
-    tree = order_tree(spark, d, **rows)
-    gains = tree.filter("status = 'F'").select("node")
-    up = T.ancestors(tree).join(gains, "node").join(gains.select(F.col("node").alias("ancestor")), "ancestor")
-    return up.groupBy("node").agg(F.max_by("ancestor", "steps").alias("root")).groupBy("root").agg(F.count("*").alias("branches"))
+@query("p24_episodes", f"WITH RECURSIVE {_TREE}, tips AS (SELECT node, ord FROM t WHERE node NOT IN (SELECT parent FROM t WHERE parent IS NOT NULL)), o AS (SELECT anc AS node, count(DISTINCT ord) AS k, count(*) AS tips, string_agg(DISTINCT ord, ',' ORDER BY ord) AS os FROM r JOIN tips USING (node) GROUP BY 1), n AS (SELECT node, CASE k WHEN 0 THEN 'Unknown' WHEN 1 THEN os ELSE 'Mixed' END AS ord, CASE k WHEN 0 THEN 'Unknown' ELSE os END AS os, tips FROM o), g AS (SELECT node, gain FROM t WHERE gain > 0), near AS (SELECT node, arg_min(anc, steps) AS root FROM r WHERE steps > 0 AND node IN (SELECT node FROM g) AND anc IN (SELECT node FROM g) GROUP BY 1), m AS (SELECT coalesce(near.root, g.node) AS root, g.node, g.gain, n.ord FROM g LEFT JOIN near USING (node) JOIN n ON n.node = g.node) SELECT root, count(*) AS branches, sum(gain)::BIGINT AS total_gain, max(gain)::BIGINT AS most_gain, string_agg(DISTINCT m.ord, ',' ORDER BY m.ord) AS member_orders, any_value(n.ord) AS \"order\", any_value(n.os) AS order_set, any_value(n.tips) AS tips FROM m JOIN n ON n.node = m.root GROUP BY 1")
+def episodes(spark, d):
+    """Gain branches by their nearest ancestor with a gain, with the orders of the tips below."""
+    o = table(spark, d, "orders")
+    parent = F.nullif(F.floor(F.col("o_orderkey") / 2), F.lit(0).cast("long"))
+    tree = o.select(F.col("o_orderkey").alias("node"), parent.alias("parent"), F.when(F.col("o_orderstatus") == "F", F.col("o_custkey") % 4).otherwise(0).cast("long").alias("gain"), F.nullif("o_orderpriority", F.lit("5-LOW")).alias("order"))
+    tips = tree.join(tree.select(F.col("parent").alias("node")), "node", "left_anti")
+    return T.episodes(tree, T.ancestors(tree), tips)
 
 
-whole("p24_episodes", " WHERE o_orderkey BETWEEN 1 AND 1000", orders="true")
-
 
 @query("p17_pseudo_reference", "SELECT n_nationkey, substr(n_name, 1, 1) || 'Z' || substr(n_name, 3) AS patched, translate('0101', '01', '10') AS flipped FROM nation")
 def pseudo_reference(spark, d):

@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 from ..session import table
 from ..sources import readers as R
 from ..sources import writers as W
-from .registry import query, whole
+from .registry import query
 
 
 def place(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, or in a temporary one where none is set (local runs)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A fresh path in the shared folder, or in a temporary one where none is set and Spark runs in local mode."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith(("local[", "local*")) and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         own = tempfile.mkdtemp(prefix="helixframe-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         base = f"file://{own}"
@@ -75,17 +77,15 @@ def listed(spark, d):
     return R.listed(spark, path)
 
 
-@query("s10_bed12", "SELECT 't' || p_partkey AS name, p_partkey AS s1, p_partkey + 10 AS e1, p_partkey + 20 AS s2, p_partkey + 25 AS e2 FROM part WHERE p_partkey % 10 = 0")
-def bed12(spark, d, parts="p_partkey % 10 = 0"):
+@query("s10_bed12", "SELECT 't' || p_partkey AS name, p_partkey AS s1, p_partkey + 10 AS e1, p_partkey + 20 AS s2, p_partkey + 25 AS e2 FROM part")
+def bed12(spark, d):
     k = F.col("p_partkey").cast("string")
     line = F.concat_ws("\t", F.lit("chr1"), k, (F.col("p_partkey") + 25).cast("string"), F.concat(F.lit("t"), k), F.lit("0"), F.lit("+"), k, k, F.lit("0"), F.lit("2"), F.lit("10,5,"), F.lit("0,20,"))
-    path = written(table(spark, d, "part").filter(parts).select(line.alias("value")).unionByName(spark.createDataFrame([("chr1\t5\tshort",)], "value string")), "bed12")
+    path = written(table(spark, d, "part").select(line.alias("value")).unionByName(spark.createDataFrame([("chr1\t5\tshort",)], "value string")), "bed12")
     e = F.col("exons")
     return R.bed12(spark, path).select("name", e[0]["s"].alias("s1"), e[0]["e"].alias("e1"), e[1]["s"].alias("s2"), e[1]["e"].alias("e2"))
 
 
-whole("s10_bed12", " WHERE p_partkey % 10 = 0", parts="true")
-
 
 @query("s11_gff3", "SELECT 'chr' || p_size AS chrom, p_partkey - 1 AS s, p_partkey + 9 AS e, p_name AS gene, 'a=b' AS note FROM part WHERE p_partkey > 0")
 def gff3(spark, d):

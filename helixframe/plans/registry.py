@@ -16,16 +16,3 @@ def query(name: str, sql: str | None = None):
         return f
 
     return add
-
-
-def whole(name: str, *cuts: str, **rows: str) -> None:
-    """Registers name + "_whole": the query without its restriction to some rows, and its SQL without the given pieces."""
-    f, sql = QUERIES[name], SQL[name]
-    for cut in cuts:
-        if cut not in sql:
-            raise ValueError(f"{name} has no {cut!r} in its SQL")
-        sql = sql.replace(cut, "")
-
-    @query(f"{name}_whole", sql)
-    def all_rows(spark, d):
-        return f(spark, d, **rows)

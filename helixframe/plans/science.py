@@ -15,7 +15,7 @@ from ..operators import trees as T
 from ..session import table
 from ..streaming import windows as SW
 from .grouping import r6
-from .registry import query, whole
+from .registry import query
 
 
 @query("g01_connected_components", "WITH RECURSIVE e AS (SELECT a.l_suppkey AS a, b.l_suppkey AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey <> b.l_suppkey WHERE a.l_quantity = 50 AND b.l_quantity = 50), r AS (SELECT a AS node, a AS reach FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.reach = e.a) SELECT node, min(reach) AS component FROM r GROUP BY node")
@@ -44,29 +44,25 @@ def mash(spark, d):
     return Q.mash_pairs(item_kmers(spark, d), "item_id", 8).select("a", "b", r6(F.col("jaccard"), "jaccard"), r6(F.col("mash"), "mash"))
 
 
-_TREE = "t AS (SELECT o_orderkey AS node, nullif(o_orderkey // 2, 0) AS parent, o_orderstatus AS status FROM orders WHERE o_orderkey BETWEEN 1 AND 1000), r AS (SELECT node, node AS anc, 0 AS steps FROM t UNION ALL SELECT r.node, t.parent, r.steps + 1 FROM r JOIN t ON r.anc = t.node WHERE t.parent IS NOT NULL)"
+_TREE = "t AS (SELECT o_orderkey AS node, nullif(o_orderkey // 2, 0) AS parent, o_orderstatus AS status FROM orders), r AS (SELECT node, node AS anc, 0 AS steps FROM t UNION ALL SELECT r.node, t.parent, r.steps + 1 FROM r JOIN t ON r.anc = t.node WHERE t.parent IS NOT NULL)"
 
 
-def order_tree(spark, d, orders="o_orderkey between 1 and 1000"):
-    o = table(spark, d, "orders").filter(orders)
+def order_tree(spark, d):
+    o = table(spark, d, "orders")
     return o.select(F.col("o_orderkey").alias("node"), F.nullif(F.floor(F.col("o_orderkey") / 2), F.lit(0).cast("long")).alias("parent"), F.col("o_orderstatus").alias("status"))
 
 
 @query("j24_nearest_ancestor", f"WITH RECURSIVE {_TREE} SELECT t.node AS node, (SELECT arg_min(anc, steps) FROM r JOIN t u ON r.anc = u.node WHERE r.node = t.node AND steps > 0 AND u.status = 'F') AS nearest FROM t")
-def nearest_ancestor(spark, d, **rows):
-    tree = order_tree(spark, d, **rows)
+def nearest_ancestor(spark, d):
+    tree = order_tree(spark, d)
     return T.nearest_ancestor(T.ancestors(tree), tree.filter("status = 'F'").select("node"))
 
 
-whole("j24_nearest_ancestor", " WHERE o_orderkey BETWEEN 1 AND 1000", orders="true")
-
 
 @query("j25_descendant_closure", f"WITH RECURSIVE {_TREE} SELECT anc AS ancestor, count(*) AS members, max(steps) AS depth FROM r GROUP BY 1")
-def descendants(spark, d, **rows):
-    return T.ancestors(order_tree(spark, d, **rows)).groupBy("ancestor").agg(F.count("*").alias("members"), F.max("steps").alias("depth"))
-
+def descendants(spark, d):
+    return T.ancestors(order_tree(spark, d)).groupBy("ancestor").agg(F.count("*").alias("members"), F.max("steps").alias("depth"))
 
-whole("j25_descendant_closure", " WHERE o_orderkey BETWEEN 1 AND 1000", orders="true")
 
 
 @query("g11_patristic", "WITH RECURSIVE t AS (SELECT i AS node, nullif(i // 2, 0) AS parent, i % 3 + 1.0 AS len FROM range(1, 64) x(i)), r AS (SELECT node, node AS anc FROM t UNION ALL SELECT r.node, t.parent FROM r JOIN t ON r.anc = t.node WHERE t.parent IS NOT NULL), d AS (SELECT node, sum(len) AS depth FROM (SELECT r.node, t.len FROM r JOIN t ON r.anc = t.node) GROUP BY 1), l AS (SELECT a.node AS a, b.node AS b, max(d.depth) AS lca FROM r a JOIN r b ON a.anc = b.anc AND a.node < b.node JOIN d ON d.node = a.anc WHERE a.node >= 32 AND b.node >= 32 GROUP BY 1, 2) SELECT a, b, (x.depth + y.depth - 2 * lca)::DOUBLE AS distance FROM l JOIN d x ON x.node = a JOIN d y ON y.node = b")
@@ -84,40 +80,27 @@ def monophyly(spark, d):
     return T.monophyletic(T.ancestors(edges), spark.range(32, 64).select(F.col("id").alias("node"), cluster.alias("cluster")))
 
 
-_COLS = "c AS (SELECT doc_id, source AS grp, unnest(range(1, 41)) AS pos, unnest(list_transform(range(1, 41), lambda i: substr(text, i, 1))) AS base FROM documents WHERE length(text) >= 40)"
-
+COLUMNS = "c AS (SELECT doc_id, source AS grp, unnest(range(1, length(text) + 1)) AS pos, unnest(string_split(text, '')) AS base FROM documents WHERE length(text) > 0)"
 
-def columns(spark, d, width=40):
-    docs = table(spark, d, "documents")
-    return Q.columns_of(docs.filter(F.length("text") >= width) if width else docs, "doc_id", "source", "text", width)
 
+def columns(spark, d, *references):
+    return Q.columns_of(table(spark, d, "documents"), "doc_id", "source", "text", list(references))
 
-@query("p18_a22_variable_sites", f"WITH {_COLS}, r AS (SELECT pos, max(base) AS ref FROM c WHERE doc_id = 0 GROUP BY 1), n AS (SELECT pos, base, count(*) AS k FROM c GROUP BY 1, 2), t AS (SELECT pos, sum(k)::BIGINT AS n FROM n GROUP BY 1), b AS (SELECT n.pos, ref, base, k, row_number() OVER (PARTITION BY n.pos ORDER BY k DESC, base) AS rn FROM n JOIN r ON n.pos = r.pos WHERE base <> ref AND base <> '-') SELECT b.pos::INT AS pos, ref, base AS alt, k AS alt_count, n FROM b JOIN t ON b.pos = t.pos WHERE rn = 1")
-def variable(spark, d, width=40):
-    return Q.variable_sites(columns(spark, d, width), "source", F.col("doc_id") == 0)
 
+@query("p18_a22_variable_sites", f"WITH {COLUMNS}, r AS (SELECT pos, max(base) AS ref FROM c WHERE doc_id = 0 GROUP BY 1), n AS (SELECT pos, base, count(*) AS k FROM c GROUP BY 1, 2), t AS (SELECT pos, sum(k)::BIGINT AS n FROM n GROUP BY 1), b AS (SELECT n.pos, ref, base, k, row_number() OVER (PARTITION BY n.pos ORDER BY k DESC, base) AS rn FROM n JOIN r ON n.pos = r.pos WHERE base <> ref AND base <> '-') SELECT b.pos::INT AS pos, ref, base AS alt, k AS alt_count, n FROM b JOIN t ON b.pos = t.pos WHERE rn = 1")
+def variable(spark, d):
+    return Q.variable_sites(columns(spark, d, 0), "source", F.col("doc_id") == 0)
 
-@query("p18_a22_variable_sites_whole")
-def variable_whole(spark, d):
-    """All places of all documents."""
-    return variable(spark, d, None)
 
-
-@query("p05_focal_states", f"WITH {_COLS}, r AS (SELECT pos, max(CASE WHEN doc_id = 0 THEN base END) AS l, max(CASE WHEN doc_id = 1 THEN base END) AS r FROM c GROUP BY 1) SELECT doc_id, count_if(base = l AND base <> r) AS left_n, count_if(base = r AND base <> l) AS right_n, count_if(base <> l AND base <> r) AS other_n FROM c JOIN r USING (pos) WHERE l <> r GROUP BY 1")
-def focal(spark, d, width=40):
-    c = columns(spark, d, width)
+@query("p05_focal_states", f"WITH {COLUMNS}, r AS (SELECT pos, max(CASE WHEN doc_id = 0 THEN base END) AS l, max(CASE WHEN doc_id = 1 THEN base END) AS r FROM c GROUP BY 1) SELECT doc_id, count_if(base = l AND base <> r) AS left_n, count_if(base = r AND base <> l) AS right_n, count_if(base <> l AND base <> r) AS other_n FROM c JOIN r USING (pos) WHERE l <> r GROUP BY 1")
+def focal(spark, d):
+    c = columns(spark, d, 0, 1)
     side = lambda k, name: F.max(F.when(F.col("doc_id") == k, F.col("base"))).alias(name)
     flank = c.groupBy("pos").agg(side(0, "l"), side(1, "r")).filter("l <> r")
     b, left, right = F.col("base"), F.col("l"), F.col("r")
     return c.join(F.broadcast(flank), "pos").groupBy("doc_id").agg(F.count_if(b == left).alias("left_n"), F.count_if(b == right).alias("right_n"), F.count_if((b != left) & (b != right)).alias("other_n"))
 
 
-@query("p05_focal_states_whole")
-def focal_whole(spark, d):
-    """All places of all documents."""
-    return focal(spark, d, None)
-
-
 @query("p11_p13_transitions", "WITH i AS (SELECT user_id, event_id, ts, event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nt, epoch(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) - epoch(ts) AS gap FROM events) SELECT event_id, event_type || '>' || nt AS kind, gap <= 5000 AS joined FROM i WHERE nt IS NOT NULL")
 def transitions(spark, d):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
@@ -137,16 +120,14 @@ def anchor_interval(spark, d):
     return table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.max(F.when(flag == "A", k)).alias("s"), F.min(F.when(flag == "R", k)).alias("e"), F.count_distinct("l_linestatus").alias("contigs"))
 
 
-@query("p21_panel", "SELECT p_partkey AS site, s AS sample, coalesce(g, '.|.') AS gt FROM part, (SELECT unnest([1, 2, 3]) AS s) LEFT JOIN (SELECT l_partkey, l_suppkey, max(CASE WHEN l_quantity > 25 THEN '1|0' ELSE '0|0' END) AS g FROM lineitem GROUP BY 1, 2) ON l_partkey = p_partkey AND l_suppkey = s WHERE p_partkey % 20 = 0")
-def panel(spark, d, parts="p_partkey % 20 = 0"):
-    sites = table(spark, d, "part").filter(parts).select(F.col("p_partkey").alias("site"))
+@query("p21_panel", "SELECT p_partkey AS site, s AS sample, coalesce(g, '.|.') AS gt FROM part, (SELECT unnest([1, 2, 3]) AS s) LEFT JOIN (SELECT l_partkey, l_suppkey, max(CASE WHEN l_quantity > 25 THEN '1|0' ELSE '0|0' END) AS g FROM lineitem GROUP BY 1, 2) ON l_partkey = p_partkey AND l_suppkey = s")
+def panel(spark, d):
+    sites = table(spark, d, "part").select(F.col("p_partkey").alias("site"))
     spine = sites.select("site", F.explode(F.array(*[F.lit(k) for k in (1, 2, 3)])).alias("sample"))
     g = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("site"), F.col("l_suppkey").cast("int").alias("sample")).agg(F.max(F.when(F.col("l_quantity") > 25, "1|0").otherwise("0|0")).alias("g"))
     return spine.join(g, ["site", "sample"], "left").select("site", "sample", F.coalesce("g", F.lit(".|.")).alias("gt"))
 
 
-whole("p21_panel", " WHERE p_partkey % 20 = 0", parts="true")
-
 
 @query("p23_representative", "SELECT c_nationkey, c_custkey FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC NULLS LAST, c_custkey) AS rn FROM customer) WHERE rn = 1")
 def representative(spark, d):
@@ -231,16 +212,6 @@ def bootstrap(spark, d):
     return summary_frame(spark, [(float(x.mean()), low, high)], "mean double, low double, high double")
 
 
-@query("m28_mixture")
-def mixture(spark, d):
-    def fit(p: pd.DataFrame) -> pd.DataFrame:
-        got = N.fixed_mean_mixture(p["x"].to_numpy(), np.arange(1, 6))
-        return pd.DataFrame({"grp": p["grp"], "x": p["x"], "state": got["state"], "offset": got["offset"], "sigma": got["sigma"]})
-
-    x = table(spark, d, "supplier").select((F.col("s_nationkey") % 3).alias("grp"), (F.col("s_suppkey") % 5 + 1 + F.col("s_acctbal") / 50000).alias("x"))
-    return x.groupBy("grp").applyInPandas(fit, "grp int, x double, state long, offset double, sigma double")
-
-
 @query("g04_g05_upgma")
 def upgma(spark, d):
     pairs = Q.mash_pairs(item_kmers(spark, d), "item_id", 8).toPandas()  # pairs of the benchmark's items
