@@ -41,7 +41,7 @@ MISSED = 1e-6
 BLOCK = 256
 PART_BYTES = 1 << 19  # arrays of a part stay in the processor's cache
 CHUNK_ROWS = 8_192
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS, BROADCAST_BUCKETS = 1_000_000, 500_000
 _rng = np.random.default_rng(7)
 SEEDS = _rng.integers(0, 2**64, VALUES, dtype=np.uint64)
 ODD = _rng.integers(0, 2**64, VALUES, dtype=np.uint64) | U64(1)
@@ -365,13 +365,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, share: int = 80) -> DataFram
     per = joined.groupBy("key", "comp").agg(F.count("*").alias("k"))
     mixed = per.groupBy("key").agg(F.max_by("comp", F.struct("k", -F.col("comp"))).alias("main"), F.max("k").alias("m"), F.sum("k").alias("c")).filter("c > m")
     mixed = scratch.save(mixed.select("key", "main", F.ceil(F.col("m") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("c") - F.col("m")) / BLOCK).cast("int").alias("others"), F.col("c").alias("__c")), "mixed")
-    rows = paired_blocks(hot_join(joined.select("key", "doc", "comp"), mixed, ["key"], 8 * BLOCK))
+    rows = joined.select("key", "doc", "comp")
+    if mixed.count() <= BROADCAST_BUCKETS:
+        rows = rows.join(F.broadcast(mixed.drop("__c")), "key")
+    else:
+        rows = hot_join(scratch.save(rows.join(mixed.select("key"), "key", "left_semi"), "mixed-rows"), mixed, ["key"], 8 * BLOCK)
+    rows = paired_blocks(rows)
     units = scratch.save(cross_units(rows.join(sig, "doc"), chunks), "units")
     more = units.select("doc").distinct().join(sets, "doc", "left_anti")
     sets = sets.unionByName(sets_for(more, "more"))
     links = links.unionByName(scratch.save(cross_links(units, sets, share), "cross"))
     comp = components(links, scratch, "all")
-    for name in ("reps", "buckets", "pairs", "sets", "more", "units", "mixed", "same", "copies", "sets-ids", "more-ids"):
+    for name in ("reps", "buckets", "pairs", "sets", "more", "units", "mixed", "same", "copies", "sets-ids", "more-ids", "mixed-rows"):
         scratch.drop(name)
 
     found = members.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select(F.col("doc_id").alias("__id"), F.coalesce("component", "rep").alias("__c")).groupBy("__id").agg(F.min("__c").alias("__c"))
