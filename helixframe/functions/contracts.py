@@ -24,6 +24,14 @@ def require_columns(df: DataFrame, names: Iterable[str], what: str = "table") ->
     return df
 
 
+def collected(df: DataFrame, most: int):
+    """The rows as a pandas frame on the driver; more than `most` rows are an error."""
+    out = df.limit(most + 1).toPandas()
+    if len(out) > most:
+        raise CardinalityError(f"more than {most} rows for the driver")
+    return out
+
+
 def _plain(name: str) -> str:
     return re.sub(r"[\s ]+", " ", name).strip().lower()
 

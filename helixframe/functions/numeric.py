@@ -212,6 +212,17 @@ def bootstrap_interval(x: np.ndarray, statistic: Callable[[np.ndarray], float],
     return tuple(np.quantile(draws, [(1 - level) / 2, (1 + level) / 2]).tolist())
 
 
+def silhouette_mean(distances: np.ndarray, labels: np.ndarray) -> float:
+    """Mean of (b - a) / max(a, b) over a full distance matrix, a the mean distance to the own cluster and b to the nearest other one;
+    0 for a cluster of one."""
+    own = labels[:, None] == np.unique(labels)[None]
+    size, total = own.sum(0), distances @ own
+    inside = total[own] / np.maximum(size[own.argmax(1)] - 1, 1)
+    outside = np.where(own, np.inf, total / size).min(1)
+    most = np.maximum(inside, outside)
+    return float(np.where((size[own.argmax(1)] > 1) & (most > 0), (outside - inside) / np.where(most > 0, most, 1), 0.0).mean())
+
+
 def line(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Intercept and slope of the least-squares line; slope 0 where x does not vary."""
     spread = ((x - x.mean()) ** 2).sum()

@@ -83,3 +83,26 @@ def right_closed_bin(value: Column, edges: list[float]) -> Column:
     for k, edge in enumerate(edges):
         out = F.when(value <= edge, k) if out is None else out.when(value <= edge, k)
     return F.when(value.isNotNull(), out.otherwise(len(edges)))
+
+
+def value_ranges(df: DataFrame, group: list[str], value: str, pieces: int = 64) -> DataFrame:
+    """df plus __range: which of up to `pieces` ranges of its group's values a row is in, 0 for the lowest. Groups are few (a
+    population, an event type); their approximate quantiles are fixed on the driver, so every use sees the same ranges."""
+    at = [i / pieces for i in range(1, pieces)]
+    rows = df.groupBy(*group).agg(F.percentile_approx(value, at, 10_000).alias("__cuts")).collect()
+    schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in group] + [f"__cuts array<{df.schema[value].dataType.simpleString()}>"])
+    cuts = F.broadcast(df.sparkSession.createDataFrame([tuple(r) for r in rows], schema))
+    joined = df.join(cuts, group) if group else df.crossJoin(cuts)
+    return joined.withColumn("__range", F.size(F.filter("__cuts", lambda c: c < F.col(value)))).drop("__cuts")
+
+
+def cumulative(df: DataFrame, group: list[str], value: str, ties: list[Column], amount: Column, descending: bool = False) -> DataFrame:
+    """df plus total: the sum of `amount` over the rows of the group up to each one, by value and then by ties. A task gets one range
+    of values, not a whole group; equal values stay together."""
+    ranged = value_ranges(df, group, value).withColumn("__amount", amount)
+    side = F.desc if descending else F.asc
+    sums = ranged.groupBy(*group, "__range").agg(F.sum("__amount").alias("__s"))
+    before = Window.partitionBy(*group).orderBy(side("__range")).rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    sums = sums.select(*group, "__range", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__before"))
+    w = Window.partitionBy(*group, "__range").orderBy(side(value), *ties).rowsBetween(Window.unboundedPreceding, 0)
+    return ranged.join(F.broadcast(sums), [*group, "__range"]).withColumn("total", F.col("__before") + F.sum("__amount").over(w)).drop("__range", "__amount", "__before")

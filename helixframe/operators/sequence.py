@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.expressions import reverse_complement
 
 
+MATRIX_SIZE = 20_000
+
+
 def canonical_kmers(df: DataFrame, key: str, seq: str, k: int) -> DataFrame:
     """key, kmer: distinct k-mers, each the smaller of itself and its reverse complement; windows with other letters are left out."""
     spots = F.when(F.length(seq) >= k, F.sequence(F.lit(1), F.length(seq) - k + 1)).otherwise(F.array().cast("array<int>"))
@@ -24,8 +27,11 @@ def drop_ubiquitous(kmers: DataFrame, key: str, share: float) -> DataFrame:
 
 
 def mash_pairs(kmers: DataFrame, key: str, k: int) -> DataFrame:
-    """a, b, jaccard, mash of all pairs of sequences; pairs without a shared k-mer get the largest finite distance."""
+    """a, b, jaccard, mash of all pairs of sequences (a distance matrix; more than MATRIX_SIZE sequences are an error); pairs
+    without a shared k-mer get the largest finite distance."""
     sizes = kmers.groupBy(key).agg(F.count("*").alias("n"))
+    if sizes.limit(MATRIX_SIZE + 1).count() > MATRIX_SIZE:
+        raise ValueError(f"a matrix of more than {MATRIX_SIZE} sequences")
     a, b = kmers.select(F.col(key).alias("a"), "kmer"), kmers.select(F.col(key).alias("b"), "kmer")
     shared = a.join(b, "kmer").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("both"))
     spine = sizes.select(F.col(key).alias("a"), F.col("n").alias("na")).join(sizes.select(F.col(key).alias("b"), F.col("n").alias("nb")), F.col("a") < F.col("b"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import cumulative
+
 
 def weighted_mean(v: Column, w: Column) -> Column:
     """Aggregate: mean of finite v by finite positive weights."""
@@ -29,10 +31,10 @@ def pair_differentiation(df: DataFrame, unit: str, group: str, value: str) -> Da
 def ranked_differentiation(pairs: DataFrame, unit: str) -> DataFrame:
     """Pairs with a vst and a difference, by vst * |diff|: rank and percentile."""
     kept = pairs.filter(F.col("vst").isNotNull() & (F.col("diff") != 0)).withColumn("metric", F.round(F.col("vst") * F.abs("diff"), 9))
-    # The order within one metric value needs a window; counts by value come first so that only distinct values share it.
-    w = Window.partitionBy("a", "b").orderBy(F.desc("metric"), F.asc(unit))
-    n = F.count("*").over(Window.partitionBy("a", "b"))
-    return kept.withColumn("rank", F.row_number().over(w)).withColumn("percentile", F.col("rank") / n)
+    # Ranks within ranges of the metric, after the counts of the ranges above: a task gets one range of a pair.
+    n = kept.groupBy("a", "b").agg(F.count("*").alias("__n"))  # pairs of groups are few
+    placed = cumulative(kept, ["a", "b"], "metric", [F.asc(unit)], F.lit(1), descending=True).join(F.broadcast(n), ["a", "b"])
+    return placed.withColumn("rank", F.col("total").cast("int")).withColumn("percentile", F.col("rank") / F.col("__n")).drop("total", "__n")
 
 
 def diversity(alt: Column, n: Column) -> Column:

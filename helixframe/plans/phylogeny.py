@@ -9,13 +9,14 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
+from ..functions.contracts import collected
 from ..operators import composites as P
 from ..operators import sequence as Q
 from ..operators import trees as T
 from ..session import table
 from .reading import written
 from .registry import query
-from .science import item_kmers
+from .science import MATRIX_PAIRS, item_kmers
 
 
 def nation_tree(n: int = 25) -> tuple[str, list[tuple]]:
@@ -46,7 +47,7 @@ def newick(spark, d):
 
 @query("k06_newick_writer")
 def newick_writer(spark, d):
-    pairs = Q.mash_pairs(item_kmers(spark, d), "item_id", 8).toPandas()  # pairs of the benchmark's items
+    pairs = collected(Q.mash_pairs(item_kmers(spark, d), "item_id", 8), MATRIX_PAIRS)
     m = pairs.pivot(index="a", columns="b", values="mash")
     ids = sorted(set(m.index) | set(m.columns))
     full = m.reindex(index=ids, columns=ids).fillna(0.0).to_numpy()
@@ -57,7 +58,7 @@ def newick_writer(spark, d):
 def threshold_clusters(spark, d):
     pairs = Q.mash_pairs(item_kmers(spark, d), "item_id", 8)
     height = pairs.filter("mash > 0").agg(F.percentile("mash", 0.2)).first()[0]
-    p = pairs.toPandas()  # pairs of the benchmark's items
+    p = collected(pairs, MATRIX_PAIRS)
     ids = sorted(set(p["a"]) | set(p["b"]))
     full = p.pivot(index="a", columns="b", values="mash").reindex(index=ids, columns=ids).fillna(0.0).to_numpy()
     labels = N.cut_clusters(N.average_linkage(full + full.T), len(ids), height=height)
@@ -67,7 +68,7 @@ def threshold_clusters(spark, d):
 @query("g15_grid_stability")
 def grid_stability(spark, d):
     """Mean adjusted Rand index of each number of clusters with its neighbours."""
-    p = Q.mash_pairs(item_kmers(spark, d), "item_id", 8).toPandas()  # pairs of the benchmark's items
+    p = collected(Q.mash_pairs(item_kmers(spark, d), "item_id", 8), MATRIX_PAIRS)
     ids = sorted(set(p["a"]) | set(p["b"]))
     full = p.pivot(index="a", columns="b", values="mash").reindex(index=ids, columns=ids).fillna(0.0).to_numpy()
     merges = N.average_linkage(full + full.T)
@@ -83,6 +84,19 @@ def grid_stability(spark, d):
     return spark.createDataFrame(rows, "clusters int, stability double")
 
 
+@query("g06_silhouette_scan")
+def silhouette_scan(spark, d):
+    """Mean silhouette over the distance matrix of the benchmark's items for each cut of their linkage; the first best one is marked."""
+    p = collected(Q.mash_pairs(item_kmers(spark, d), "item_id", 8), MATRIX_PAIRS)
+    ids = sorted(set(p["a"]) | set(p["b"]))
+    full = p.pivot(index="a", columns="b", values="mash").reindex(index=ids, columns=ids).fillna(0.0).to_numpy()
+    full = full + full.T
+    merges = N.average_linkage(full)
+    scores = [(k, N.silhouette_mean(full, np.asarray(N.cut_clusters(merges, len(ids), clusters=k)))) for k in range(2, min(60, len(ids) - 1) + 1)]
+    best = max(scores, key=lambda x: (x[1], -x[0]))[0]
+    return spark.createDataFrame([(k, s, k == best) for k, s in scores], "clusters int, silhouette double, best boolean")
+
+
 @query("m36_phylogenetic_regression")
 def phylogenetic_regression(spark, d):
     _, rows = nation_tree()
@@ -111,8 +125,8 @@ def ancestral_states(spark, d):
 
 @query("m39_m40_simulated_states")
 def simulated_states(spark, d):
-    """Two-state histories down the tree from the stationary root: share of time in state 1 in each of 200 runs, one run a row."""
-    _, rows = nation_tree()
+    """Two-state histories down the tree of all nations from the stationary root: share of time in state 1 in each of 200 runs, one run a row."""
+    _, rows = nation_tree(table(spark, d, "nation").count())
     gain, loss = 0.3, 0.5
     seed = P.stable_seed("simulated states")
 
@@ -158,11 +172,11 @@ def pseudo_reference(spark, d):
     return Q.patched(n, patches, "n_nationkey", "n_name", "pos", "base").select("n_nationkey", "patched", flipped(F.lit("0101")).alias("flipped"))
 
 
-@query("m52_site_associations")
+@query("m52_site_associations", "SELECT l_partkey % 50 AS site, count(*) AS n, round((covar_samp(l_quantity, l_discount) * var_samp(l_tax) - covar_samp(l_discount, l_tax) * covar_samp(l_quantity, l_tax)) / (var_samp(l_discount) * var_samp(l_tax) - covar_samp(l_discount, l_tax) * covar_samp(l_discount, l_tax)), 6) AS beta FROM lineitem GROUP BY 1")
 def site_associations(spark, d):
     """Slope of price on dosage with one covariate for every site, from sums of products: one aggregation for all sites."""
     li = table(spark, d, "lineitem").select((F.col("l_partkey") % 50).alias("site"), F.col("l_discount").alias("x"), F.col("l_tax").alias("z"), F.col("l_quantity").alias("y"))
     cov = lambda a, b: F.covar_samp(a, b)
     g = li.groupBy("site").agg(F.count("*").alias("n"), cov("x", "x").alias("xx"), cov("z", "z").alias("zz"), cov("x", "z").alias("xz"), cov("x", "y").alias("xy"), cov("z", "y").alias("zy"))
     det = F.col("xx") * F.col("zz") - F.col("xz") * F.col("xz")
-    return g.select("site", "n", ((F.col("xy") * F.col("zz") - F.col("xz") * F.col("zy")) / det).alias("beta"))
+    return g.select("site", "n", F.round((F.col("xy") * F.col("zz") - F.col("xz") * F.col("zy")) / det, 6).alias("beta"))

@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
+from ..functions.contracts import collected
 from ..operators import graphs as G
 from ..operators import ordered as O
 from ..operators import sequence as Q
@@ -65,20 +66,29 @@ def descendants(spark, d):
 
 
 
-@query("g11_patristic", "WITH RECURSIVE t AS (SELECT i AS node, nullif(i // 2, 0) AS parent, i % 3 + 1.0 AS len FROM range(1, 64) x(i)), r AS (SELECT node, node AS anc FROM t UNION ALL SELECT r.node, t.parent FROM r JOIN t ON r.anc = t.node WHERE t.parent IS NOT NULL), d AS (SELECT node, sum(len) AS depth FROM (SELECT r.node, t.len FROM r JOIN t ON r.anc = t.node) GROUP BY 1), l AS (SELECT a.node AS a, b.node AS b, max(d.depth) AS lca FROM r a JOIN r b ON a.anc = b.anc AND a.node < b.node JOIN d ON d.node = a.anc WHERE a.node >= 32 AND b.node >= 32 GROUP BY 1, 2) SELECT a, b, (x.depth + y.depth - 2 * lca)::DOUBLE AS distance FROM l JOIN d x ON x.node = a JOIN d y ON y.node = b")
+def numbered_nations(spark, d):
+    """Nations as the nodes 1 to 25 of a binary tree; the tips are those from 13 on."""
+    return table(spark, d, "nation").select((F.col("n_nationkey") + 1).cast("long").alias("id"))
+
+
+@query("g11_patristic", "WITH RECURSIVE t AS (SELECT i AS node, nullif(i // 2, 0) AS parent, i % 3 + 1.0 AS len FROM (SELECT n_nationkey + 1 AS i FROM nation)), r AS (SELECT node, node AS anc FROM t UNION ALL SELECT r.node, t.parent FROM r JOIN t ON r.anc = t.node WHERE t.parent IS NOT NULL), d AS (SELECT node, sum(len) AS depth FROM (SELECT r.node, t.len FROM r JOIN t ON r.anc = t.node) GROUP BY 1), l AS (SELECT a.node AS a, b.node AS b, max(d.depth) AS lca FROM r a JOIN r b ON a.anc = b.anc AND a.node < b.node JOIN d ON d.node = a.anc WHERE a.node >= 13 AND b.node >= 13 GROUP BY 1, 2) SELECT a, b, (x.depth + y.depth - 2 * lca)::DOUBLE AS distance FROM l JOIN d x ON x.node = a JOIN d y ON y.node = b")
 def patristic(spark, d):
-    edges = spark.range(1, 64).select(F.col("id").alias("node"), F.nullif(F.floor(F.col("id") / 2), F.lit(0).cast("long")).alias("parent"), (F.col("id") % 3 + 1.0).cast("double").alias("len"))
+    edges = numbered_nations(spark, d).select(F.col("id").alias("node"), F.nullif(F.floor(F.col("id") / 2), F.lit(0).cast("long")).alias("parent"), (F.col("id") % 3 + 1.0).cast("double").alias("len"))
     closure = T.ancestors(edges)
     depth = closure.join(edges.select(F.col("node").alias("ancestor"), "len"), "ancestor").groupBy("node").agg(F.sum("len").alias("depth"))
-    return T.patristic(closure, depth, edges.filter("node >= 32").select("node"))
+    return T.patristic(closure, depth, edges.filter("node >= 13").select("node"))
 
 
-@query("g12_monophyly", "WITH RECURSIVE t AS (SELECT i AS node, nullif(i // 2, 0) AS parent FROM range(1, 64) x(i)), r AS (SELECT node, node AS anc FROM t UNION ALL SELECT r.node, t.parent FROM r JOIN t ON r.anc = t.node WHERE t.parent IS NOT NULL), m AS (SELECT i AS node, CASE WHEN i < 40 THEN 'a' WHEN i < 48 THEN 'b' WHEN i % 2 = 0 THEN 'c' ELSE 'd' END AS cluster FROM range(32, 64) x(i)), s AS (SELECT cluster, count(*) AS size FROM m GROUP BY 1), c AS (SELECT anc, count(*) AS clade FROM r WHERE node >= 32 GROUP BY 1), h AS (SELECT cluster, anc, count(*) AS n FROM m JOIN r USING (node) GROUP BY 1, 2) SELECT h.cluster AS cluster, any_value(s.size) AS size, min(clade) AS clade_size, any_value(s.size) = min(clade) AS monophyletic FROM h JOIN s USING (cluster) JOIN c USING (anc) WHERE h.n = s.size GROUP BY 1")
+@query("g12_monophyly", "WITH RECURSIVE t AS (SELECT i AS node, nullif(i // 2, 0) AS parent FROM (SELECT n_nationkey + 1 AS i FROM nation)), r AS (SELECT node, node AS anc FROM t UNION ALL SELECT r.node, t.parent FROM r JOIN t ON r.anc = t.node WHERE t.parent IS NOT NULL), m AS (SELECT i AS node, CASE WHEN i < 16 THEN 'a' WHEN i < 20 THEN 'b' WHEN i % 2 = 0 THEN 'c' ELSE 'd' END AS cluster FROM (SELECT n_nationkey + 1 AS i FROM nation) WHERE i >= 13), s AS (SELECT cluster, count(*) AS size FROM m GROUP BY 1), c AS (SELECT anc, count(*) AS clade FROM r WHERE node >= 13 GROUP BY 1), h AS (SELECT cluster, anc, count(*) AS n FROM m JOIN r USING (node) GROUP BY 1, 2) SELECT h.cluster AS cluster, any_value(s.size) AS size, min(clade) AS clade_size, any_value(s.size) = min(clade) AS monophyletic FROM h JOIN s USING (cluster) JOIN c USING (anc) WHERE h.n = s.size GROUP BY 1")
 def monophyly(spark, d):
-    edges = spark.range(1, 64).select(F.col("id").alias("node"), F.nullif(F.floor(F.col("id") / 2), F.lit(0).cast("long")).alias("parent"))
-    cluster = F.when(F.col("id") < 40, "a").when(F.col("id") < 48, "b").when(F.col("id") % 2 == 0, "c").otherwise("d")
-    return T.monophyletic(T.ancestors(edges), spark.range(32, 64).select(F.col("id").alias("node"), cluster.alias("cluster")))
+    ids = numbered_nations(spark, d)
+    edges = ids.select(F.col("id").alias("node"), F.nullif(F.floor(F.col("id") / 2), F.lit(0).cast("long")).alias("parent"))
+    cluster = F.when(F.col("id") < 16, "a").when(F.col("id") < 20, "b").when(F.col("id") % 2 == 0, "c").otherwise("d")
+    return T.monophyletic(T.ancestors(edges), ids.filter("id >= 13").select(F.col("id").alias("node"), cluster.alias("cluster")))
+
 
+#: Pairs of 2,000 items, the largest matrix that is brought to the driver.
+MATRIX_PAIRS = 2_000_000
 
 COLUMNS = "c AS (SELECT doc_id, source AS grp, unnest(range(1, length(text) + 1)) AS pos, unnest(string_split(text, '')) AS base FROM documents WHERE length(text) > 0)"
 
@@ -207,14 +217,14 @@ def lowess_trend(spark, d):
 @query("m27_bootstrap_ci")
 def bootstrap(spark, d):
     means = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.avg("l_quantity").alias("v"))
-    x = np.sort(means.toPandas()["v"].to_numpy())  # one value for each supplier of the test table
+    x = np.sort(collected(means, 1_000_000)["v"].to_numpy())
     low, high = N.bootstrap_interval(x, np.mean, 1000, 42)
     return summary_frame(spark, [(float(x.mean()), low, high)], "mean double, low double, high double")
 
 
 @query("g04_g05_upgma")
 def upgma(spark, d):
-    pairs = Q.mash_pairs(item_kmers(spark, d), "item_id", 8).toPandas()  # pairs of the benchmark's items
+    pairs = collected(Q.mash_pairs(item_kmers(spark, d), "item_id", 8), MATRIX_PAIRS)
     ids = sorted(set(pairs["a"]) | set(pairs["b"]))
     spot = {v: k for k, v in enumerate(ids)}
     m = np.zeros((len(ids), len(ids)))
@@ -226,7 +236,8 @@ def upgma(spark, d):
 
 @query("m54_principal_coordinates")
 def pcoa(spark, d):
-    centres = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x")).toPandas()
+    centres = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x"))
+    centres = collected(centres, 100_000)  # labels x dimensions
     c = centres.pivot(index="label", columns="i", values="x").sort_index()
     m = np.sqrt(((c.to_numpy()[:, None] - c.to_numpy()[None]) ** 2).sum(-1))
     xy, share = N.principal_coordinates(m, 2)

@@ -169,7 +169,7 @@ def percentile_columns(spark, d):
     n = p.agg(F.count("*").alias("n"))
     out = p
     for c, name in (("p_size", "size_pct"), ("p_retailprice", "price_pct")):
-        below = p.groupBy(c).agg(F.count("*").alias("c")).withColumn(name, F.sum("c").over(Window.orderBy(c))).drop("c")
+        below = O.cumulative(p.groupBy(c).agg(F.count("*").alias("c")), [], c, [], F.col("c")).select(c, F.col("total").alias(name))
         out = out.join(below, c)
     return out.crossJoin(F.broadcast(n)).select("p_partkey", r6(F.col("size_pct") / F.col("n"), "size_pct"), r6(F.col("price_pct") / F.col("n"), "price_pct"))
 

@@ -110,13 +110,21 @@ def vcf(spark: SparkSession, path: str) -> DataFrame:
     return long.select("chrom", "pos", "id", "ref", "alt", "info", F.col("x.s").alias("sample"), F.map_from_arrays("__format", F.split("x.c", ":")).alias("call"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value and row (from 1) of a text file's lines: the place in the part of the file, after the lines of the parts before it."""
+    lines = spark.read.text(path).withColumn("__i", F.monotonically_increasing_id())
+    part = F.shiftright("__i", 33)
+    w = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # a row a part of the file
+    before = lines.groupBy(part.alias("__p")).agg(F.count("*").alias("n")).select("__p", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("__before"))
+    place = F.col("__i").bitwiseAND(F.lit((1 << 33) - 1))
+    return lines.join(F.broadcast(before), part == F.col("__p")).select("value", (F.col("__before") + place + 1).alias("row"))
+
+
 def eigenstrat(spark: SparkSession, geno: str, snp: str, ind: str) -> DataFrame:
     """snp, sample, dosage of the reference-counting codes 2, 1, 0 as 0, 0.5 and 1; 9 is missing, other codes are an error."""
-    numbered = lambda path: spark.read.text(path).withColumn("__i", F.monotonically_increasing_id())
-    order = lambda df: df.withColumn("row", F.row_number().over(Window.orderBy("__i"))).drop("__i")  # noqa: E731  site and sample lists
-    sites = order(numbered(snp)).select("row", F.split(F.trim("value"), "\\s+")[0].alias("snp"))
-    samples = order(numbered(ind)).select(F.col("row").alias("col"), F.split(F.trim("value"), "\\s+")[0].alias("sample"))
-    cells = order(numbered(geno)).select("row", F.posexplode(F.split("value", "")).alias("c", "code")).filter("code <> ''")
+    sites = numbered_lines(spark, snp).select("row", F.split(F.trim("value"), "\\s+")[0].alias("snp"))
+    samples = numbered_lines(spark, ind).select(F.col("row").alias("col"), F.split(F.trim("value"), "\\s+")[0].alias("sample"))
+    cells = numbered_lines(spark, geno).select("row", F.posexplode(F.split("value", "")).alias("c", "code")).filter("code <> ''")
     dosage = F.when(F.col("code") == "9", F.lit(None).cast("double")).when(F.col("code").isin("0", "1", "2"), (2 - F.col("code").try_cast("int")) / 2.0).otherwise(F.raise_error(F.concat(F.lit("bad genotype code "), F.col("code"))).cast("double"))
     return cells.join(sites, "row").join(samples, F.col("c") + 1 == F.col("col")).select("snp", "sample", dosage.alias("dosage"))
 

@@ -115,6 +115,39 @@ def test_leave_one_out_tests(spark):
         assert out[name]["fisher_p"] == pytest.approx(N.fisher_exact(len(b) - gains[1], gains[1], len(a) - gains[0], gains[0])["p"])
 
 
+def test_silhouette_of_a_matrix():
+    x = np.array([0.0, 1, 10, 11, 30])
+    d = np.abs(x[:, None] - x[None])
+    # The first point has a = 1 and b = the mean of 10 and 11.
+    s0, s1 = (10.5 - 1) / 10.5, (9.5 - 1) / 9.5
+    assert N.silhouette_mean(d, np.array([0, 0, 1, 1, 2])) == pytest.approx((s0 + s1 + s1 + s0 + 0) / 5)
+
+
+def test_ranks_by_ranges(spark):
+    from pyspark.sql import Window
+
+    from helixframe.operators import ordered as O
+
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(int(g), float(v), i) for i, (g, v) in enumerate(zip(rng.integers(0, 3, 900), rng.integers(0, 200, 900)))], "g int, v double, i int").repartition(5)
+    for down in (False, True):
+        got = O.cumulative(df, ["g"], "v", [F.asc("i")], F.lit(1), descending=down)
+        rank = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("v") if down else F.asc("v"), "i"))
+        assert got.withColumn("rank", rank).filter("rank <> total").count() == 0 and got.count() == 900
+    total = O.cumulative(df, [], "i", [], F.col("v")).orderBy("i").toPandas()
+    assert total["total"].tolist() == pytest.approx(np.cumsum(total["v"]).tolist())
+
+
+def test_numbered_lines(spark, tmp_path):
+    from helixframe.sources import readers
+
+    for k in range(3):
+        (tmp_path / f"part{k}.txt").write_text("".join(f"{k}-{i}\n" for i in range(50)))
+    got = readers.numbered_lines(spark, f"file://{tmp_path}").orderBy("row").toPandas()
+    assert got["row"].tolist() == list(range(1, 151))
+    assert all(g["value"].tolist() == sorted(g["value"], key=lambda v: int(v[2:])) for _, g in got.groupby(got["value"].str[0]))
+
+
 def test_compressed_text_and_long_files(spark, tmp_path):
     (tmp_path / "t.nwk").write_text("(A:1,\nB:2);\n")
     assert T.read_newick(spark, f"file://{tmp_path}/t.nwk").count() == 3
