@@ -137,6 +137,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, mi
     at = [*doc, "item_id", "__item", "__n", "__shift"]
     aligned = found.groupBy(*at).agg(F.collect_set("__ipos").alias("__spots"), F.array_distinct(F.flatten(F.collect_list("__slots"))).alias("__slots"))
     aligned = scratch.save(aligned, "aligned")
+    scratch.drop("items")
+    scratch.drop("windows")
     several = F.size(F.array_distinct(F.transform("__slots", lambda s: s["a"]))) < F.size(F.array_distinct(F.transform("__slots", lambda s: F.struct(s["a"], s["b"]))))
     voters = aligned.filter(several).select(*at, F.explode("__slots").alias("s")).select(*at, "s.*")
     votes = voters.groupBy(*at, "a", "b").agg(F.count("*").alias("n"), F.min("p").alias("first"), F.collect_set("p").alias("ps"))

@@ -124,7 +124,9 @@ def shard(docs: DataFrame, n_shards: int | None = None, target_bytes: int | None
     keys = order_keys(sized, names, facts)
     slim = scratch.save(sized.select("doc_id", "size", "text_crc32", *[k.alias(c) for c, k in keys.items()]), "slim")
     scratch.drop("sized")
-    placed, _ = shard_tree(slim, names, n_shards, scratch)
+    placed, levels = shard_tree(slim, names, n_shards, scratch)
+    if levels:
+        scratch.drop("slim")
     placed = placed.select("doc_id", "size", "text_crc32", F.col("__node").alias("shard"))
 
     # Slots: a rank inside one of the groups of the shard, of some SLOT_ROWS rows each, after the rows of the groups before it.

@@ -8,6 +8,15 @@ from . import brute
 SF = "/root/testdata/sf0.001"
 
 
+def test_registered_near_dedup_and_repeats(spark):
+    """The queries themselves against plain Python, over the whole table."""
+    docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in registry.QUERIES["op1_near_dedup"](spark, SF).collect()}
+    assert got == brute.near_components(docs, 3, 85)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in registry.QUERIES["op3_suffix_dedup"](spark, SF).collect()}
+    assert got == brute.repeats(docs)
+
+
 @pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_query_matches_sql(spark, name):
     agree(spark, duck(SF), SF, registry.QUERIES[name], registry.SQL[name])
