@@ -26,8 +26,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ascii_lower, documents
-from .quality_rules import words
+from .common import Scratch, ascii_lower, documents, let
 
 WINDOW, MIN_PERCENT = 8, 30
 BROADCAST_WINDOWS = 500_000
@@ -39,6 +38,7 @@ NUM, NAME, UNIT = 1, 2, 3
 
 _PUNCT = "[" + re.escape(PUNCTUATION) + "]*"
 _WS = "\\x20\\x09-\\x0D"
+_BETWEEN = f"(?:(?<!{_PUNCT[:-1]}){_PUNCT[:-1]}++)?[{_WS}]+{_PUNCT}"
 _NAME = f"(?<=[^.!?{_WS}])([{_WS}]+{_PUNCT})(\\p{{Lu}}[^{_WS}]*)"
 _NUMBER = f"(?<![^{_WS}])({_PUNCT})([0-9][0-9.,:/-]*{_PUNCT})(?![^{_WS}])"
 _UNIT = f"(\x01[^{_WS}]*[{_WS}]+{_PUNCT})\x02?((?i:{'|'.join(map(re.escape, UNITS))}){_PUNCT})(?![^{_WS}])"
@@ -62,13 +62,18 @@ def _kind(value: Column) -> Column:
 
 
 def values(text: Column) -> Column:
-    """A hash of each word, with its kind in the lowest two bits."""
+    """A hash of each word, with its kind in the lowest two bits.
+
+    One split removes white space and the punctuation beside it; the spaces added at both ends make the first and
+    the last part empty. Marks are told by comparing strings, which needs no decoding.
+    """
 
     def one(word):
-        code = F.ascii(word)
-        return F.xxhash64(word).bitwiseAND(F.lit(~3)).bitwiseOR(F.when(code <= UNIT, code).otherwise(0).cast("long"))
+        kind = F.when((word >= "\x04") | (word < "\x01"), 0).when(word < "\x02", NUM).when(word < "\x03", NAME).otherwise(UNIT)
+        return F.xxhash64(word).bitwiseAND(F.lit(~3)).bitwiseOR(kind.cast("long"))
 
-    return F.transform(F.transform(words(_marked(text)), lambda x: F.btrim(x, F.lit(PUNCTUATION))), one)
+    parts = F.split(F.concat(F.lit(" "), _marked(text), F.lit(" ")), _BETWEEN)
+    return let(parts, lambda p: F.transform(F.slice(p, 2, F.size(p) - 2), one))
 
 
 def template(v: Column) -> Column:
