@@ -166,24 +166,48 @@ def repeated(rows: DataFrame) -> DataFrame:
     return rows.repartition("h", salt).sortWithinPartitions("h").mapInArrow(run, "h long, doc long, place long")
 
 
+def _cut(rows: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[bytes], pa.Array, pa.Array]]:
+    """h, segment, doc, place of the rows (doc, text, segments), a part of the texts at a time."""
+    for b in halves(rows, 1, PART_BYTES):
+        texts = b.column(1).cast(pa.binary()).to_pylist()
+        lists = b.column(2)
+        sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+        text = np.repeat(np.arange(b.num_rows), sizes)
+        h, place = (lists.flatten().field(i) for i in range(2))
+        lo, _, n = unpacked(place.to_numpy(zero_copy_only=False))
+        seg = [texts[i][p : p + m + LENGTH - 1] for i, p, m in zip(text.tolist(), lo.tolist(), n.tolist(), strict=True)]
+        yield h, seg, b.column(0).take(pa.array(text)), place
+
+
 def cut_out(rows: DataFrame) -> DataFrame:
     """rows (doc, text, segments) -> h, segment, doc, place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in halves(whole, 1, PART_BYTES):
-                texts = b.column(1).cast(pa.binary()).to_pylist()
-                lists = b.column(2)
-                sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
-                text = np.repeat(np.arange(b.num_rows), sizes)
-                h, place = (lists.flatten().field(i) for i in range(2))
-                lo, _, n = unpacked(place.to_numpy(zero_copy_only=False))
-                seg = [texts[i][p : p + m + LENGTH - 1] for i, p, m in zip(text.tolist(), lo.tolist(), n.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([h, pa.array(seg, pa.binary()), b.column(0).take(pa.array(text)), place], names=["h", "segment", "doc", "place"])
+            for h, seg, doc, place in _cut(whole):
+                yield pa.RecordBatch.from_arrays([h, pa.array(seg, pa.binary()), doc, place], names=["h", "segment", "doc", "place"])
 
     return rows.select("doc", "text", "segments").mapInArrow(run, "h long, segment binary, doc long, place long")
 
 
+def cut_out_together(rows: DataFrame) -> DataFrame:
+    """rows (doc, text, segments) -> h, segment, members (doc, place): the rows of equal segments of a part of the texts are one row, so
+    a segment's bytes are shuffled and looked up once for each part that holds it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for h, seg, doc, place in _cut(whole):
+                found: dict[tuple[int, bytes], list[int]] = {}
+                for i, key in enumerate(zip(h.to_pylist(), seg, strict=True)):
+                    found.setdefault(key, []).append(i)
+                order = pa.array([i for same in found.values() for i in same], pa.int64())
+                ends = pa.array(np.cumsum([0, *map(len, found.values())]), pa.int32())
+                members = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([doc.take(order), place.take(order)], names=["doc", "place"]))
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.int64()), pa.array([k[1] for k in found], pa.binary()), members], names=["h", "segment", "members"])
+
+    return rows.select("doc", "text", "segments").mapInArrow(run, "h long, segment binary, members array<struct<doc:long,place:long>>")
+
+
 def _ranks(first: np.ndarray, second: np.ndarray | None = None) -> np.ndarray:
     key = first if second is None else first.astype(np.int64) * (len(first) + 1) + second
     order = np.argsort(key)
@@ -334,17 +358,19 @@ def solved(rows: DataFrame) -> DataFrame:
 
 
 def solved_hot(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """The same for groups of any size. Equal segments go first, as in solved(); then the smallest document of each window is a
-    shuffled sum. Segments and windows that many rows share are looked up in each task (hot_join)."""
+    """The same for groups of any size (rows of cut_out_together). Equal segments go first, as in solved(); then the smallest document of
+    each window is a shuffled sum. Segments and windows that many rows share are looked up in each task (hot_join)."""
     rows = scratch.save(rows, "hot-segments")
-    several = (F.min("doc") < F.max("doc")) | (F.count("*") > HOT_ROWS)
-    first = rows.groupBy("h", "segment").agg(F.min("doc").alias("holder"), F.count("*").alias("__c"), several.alias("several")).filter("several").drop("several")
-    rows = hot_join(rows, scratch.save(first, "hot-holders"), ["h", "segment"], HOT_ROWS, "left", BROADCAST_TEXTS)
-    rows = scratch.save(rows.withColumn("lo", F.shiftright("place", 12).bitwiseAND(F.lit((1 << 31) - 1))), "hot-held")
-    copies = rows.filter("doc > holder").select("doc", F.col("lo").alias("a"), (F.col("lo") + F.octet_length("segment")).alias("b"))
-    n = F.col("place").bitwiseAND(F.lit(63)).cast("int")
-    windows = rows.filter("holder is null or doc = holder").select("h", "doc", "lo", "segment", F.explode(F.sequence(F.lit(0), n - 1)).alias("o"))
-    windows = windows.select("h", "doc", (F.col("lo") + F.col("o")).cast("long").alias("a"), F.substring("segment", F.col("o") + 1, F.lit(LENGTH)).alias("w"))
+    ids, keys = F.col("members.doc"), ["h", "segment"]
+    first = rows.groupBy(*keys).agg(F.min(F.array_min(ids)).alias("holder"), F.max(F.array_max(ids)).alias("most"), F.count("*").alias("__c"))
+    first = first.filter((F.col("holder") < F.col("most")) | (F.col("__c") > HOT_ROWS)).drop("most")
+    rows = scratch.save(hot_join(rows, scratch.save(first, "hot-holders"), keys, HOT_ROWS, "left", BROADCAST_TEXTS), "hot-held")
+    lo = F.shiftright("m.place", 12).bitwiseAND(F.lit((1 << 31) - 1)).cast("long")
+    later = F.filter("members", lambda m: m["doc"] > F.col("holder"))
+    copies = rows.select("segment", F.explode(later).alias("m")).select("m.doc", lo.alias("a"), (lo + F.octet_length("segment")).alias("b"))
+    own = F.filter("members", lambda m: F.col("holder").isNull() | (m["doc"] == F.col("holder")))
+    windows = rows.select("h", "segment", F.explode(own).alias("m")).select("h", "segment", "m.doc", lo.alias("lo"), F.explode(F.sequence(F.lit(0), F.octet_length("segment") - LENGTH)).alias("o"))
+    windows = windows.select("h", "doc", (F.col("lo") + F.col("o")).alias("a"), F.substring("segment", F.col("o") + 1, F.lit(LENGTH)).alias("w"))
     least = windows.groupBy("h", "w").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count("*").alias("__c")).filter("least < most").drop("most")
     hits = hot_join(windows, scratch.save(least, "hot-windows"), ["h", "w"], HOT_ROWS, most=BROADCAST_TEXTS).filter("least < doc").select("doc", "a", (F.col("a") + LENGTH).alias("b"))
     return copies.unionByName(hits)
@@ -396,13 +422,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     hot = F.broadcast(hot) if n_hot <= BROADCAST_IDS else hot
 
     def segments(rows: DataFrame) -> DataFrame:
-        lists = rows.groupBy("doc").agg(F.collect_set(F.struct("h", "place")).alias("segments"))
-        return cut_out(named.join(lists, "doc"))
+        return named.join(rows.groupBy("doc").agg(F.collect_set(F.struct("h", "place")).alias("segments")), "doc")
 
     if n_hot:
-        spans = solved(segments(again.join(hot, "h", "left_anti"))).unionByName(solved_hot(segments(again.join(hot, "h", "left_semi")), scratch))
+        cold, hots = (segments(again.join(hot, "h", how)) for how in ("left_anti", "left_semi"))
+        spans = solved(cut_out(cold)).unionByName(solved_hot(cut_out_together(hots), scratch))
     else:
-        spans = solved(segments(again))
+        spans = solved(cut_out(segments(again)))
     spans = scratch.save(spans, "spans")
     for name in ("repeated", "hot", "hot-segments", "hot-holders", "hot-held", "hot-windows"):
         scratch.drop(name)
