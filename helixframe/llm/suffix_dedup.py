@@ -358,8 +358,9 @@ def solved(rows: DataFrame) -> DataFrame:
 
 
 def solved_hot(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """The same for groups of any size (rows of cut_out_together). Equal segments go first, as in solved(); then the smallest document of
-    each window is a shuffled sum. Segments and windows that many rows share are looked up in each task (hot_join)."""
+    """The same for groups of any size (rows of cut_out_together). Equal segments go first, as in solved(); halves of segments whose
+    K-gram and side (see may_repeat) no other document has go next; then the smallest document of each window is a shuffled sum.
+    Segments, sides and windows that many rows share are looked up in each task (hot_join)."""
     rows = scratch.save(rows, "hot-segments")
     ids, keys = F.col("members.doc"), ["h", "segment"]
     first = rows.groupBy(*keys).agg(F.min(F.array_min(ids)).alias("holder"), F.max(F.array_max(ids)).alias("most"), F.count("*").alias("__c"))
@@ -369,7 +370,17 @@ def solved_hot(rows: DataFrame, scratch: Scratch) -> DataFrame:
     later = F.filter("members", lambda m: m["doc"] > F.col("holder"))
     copies = rows.select("segment", F.explode(later).alias("m")).select("m.doc", lo.alias("a"), (lo + F.octet_length("segment")).alias("b"))
     own = F.filter("members", lambda m: F.col("holder").isNull() | (m["doc"] == F.col("holder")))
-    windows = rows.select("h", "segment", F.explode(own).alias("m")).select("h", "segment", "m.doc", lo.alias("lo"), F.explode(F.sequence(F.lit(0), F.octet_length("segment") - LENGTH)).alias("o"))
+    at = F.shiftright("m.place", 6).bitwiseAND(F.lit(63)).cast("int")
+    rest = rows.select("h", "segment", F.explode(own).alias("m")).select("h", "segment", "m.doc", lo.alias("lo"), at.alias("at"))
+    # Windows that begin SIDE bytes or more before the K-gram hold all of its left side, the others its right side.
+    last, side = F.octet_length("segment") - LENGTH, SIDE + K
+    left = F.struct(F.lit(0).alias("a"), F.least(last, F.col("at") - SIDE).alias("b"), F.xxhash64("h", F.lit(0), F.substring("segment", F.col("at") - SIDE + 1, F.lit(side))).alias("side"))
+    right = F.struct(F.greatest(F.lit(0), F.col("at") - SIDE + 1).alias("a"), last.alias("b"), F.xxhash64("h", F.lit(1), F.substring("segment", F.col("at") + 1, F.lit(side))).alias("side"))
+    halved = rest.select("*", F.explode(F.filter(F.array(left, right), lambda x: x["a"] <= x["b"])).alias("x")).select("h", "segment", "doc", "lo", "x.*")
+    halved = scratch.save(halved, "hot-halves")
+    shared = halved.groupBy("side").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count("*").alias("__c")).filter("least < most").select("side", "__c")
+    halved = hot_join(halved, scratch.save(shared, "hot-sides"), ["side"], HOT_ROWS)
+    windows = halved.select("h", "segment", "doc", "lo", F.explode(F.sequence("a", "b")).alias("o"))
     windows = windows.select("h", "doc", (F.col("lo") + F.col("o")).alias("a"), F.substring("segment", F.col("o") + 1, F.lit(LENGTH)).alias("w"))
     least = windows.groupBy("h", "w").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count("*").alias("__c")).filter("least < most").drop("most")
     hits = hot_join(windows, scratch.save(least, "hot-windows"), ["h", "w"], HOT_ROWS, most=BROADCAST_TEXTS).filter("least < doc").select("doc", "a", (F.col("a") + LENGTH).alias("b"))
@@ -425,12 +436,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         return named.join(rows.groupBy("doc").agg(F.collect_set(F.struct("h", "place")).alias("segments")), "doc")
 
     if n_hot:
-        cold, hots = (segments(again.join(hot, "h", how)) for how in ("left_anti", "left_semi"))
+        marked = again.join(hot.withColumn("hot", F.lit(1)), "h", "left").select("h", "doc", "place", F.coalesce("hot", F.lit(0)).alias("hot"))
+        marked = scratch.save(marked, "marked", partition_by="hot")
+        scratch.drop("repeated")
+        cold, hots = (segments(marked.filter(F.col("hot") == i)) for i in (0, 1))
         spans = solved(cut_out(cold)).unionByName(solved_hot(cut_out_together(hots), scratch))
     else:
         spans = solved(cut_out(segments(again)))
     spans = scratch.save(spans, "spans")
-    for name in ("repeated", "hot", "hot-segments", "hot-holders", "hot-held", "hot-windows"):
+    for name in ("repeated", "marked", "hot", "hot-segments", "hot-holders", "hot-held", "hot-halves", "hot-sides", "hot-windows"):
         scratch.drop(name)
 
     per = spans.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
