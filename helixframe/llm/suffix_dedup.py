@@ -34,7 +34,7 @@ from .bytescan import BASE, INVERSE, TABLE, U64, Texts, halves, mix, powers
 from .common import Scratch, documents, hot_join
 
 LENGTH, K, SEED = 50, 16, 32
-PART_BYTES = 1 << 22
+PART_BYTES = 1 << 21  # of texts at once; numpy holds some 80 bytes for each
 BATCH_BYTES = 1 << 20
 SIDE, SIDE_BITS = (LENGTH - K) // 2, 4
 BROADCAST_IDS, BROADCAST_TEXTS = 1_000_000, 200_000
@@ -437,7 +437,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     if n_hot:
         marked = again.join(hot.withColumn("hot", F.lit(1)), "h", "left").select("h", "doc", "place", F.coalesce("hot", F.lit(0)).alias("hot"))
-        marked = scratch.save(marked, "marked", partition_by="hot")
+        marked = scratch.save(marked, "marked")
         scratch.drop("repeated")
         cold, hots = (segments(marked.filter(F.col("hot") == i)) for i in (0, 1))
         spans = solved(cut_out(cold)).unionByName(solved_hot(cut_out_together(hots), scratch))
