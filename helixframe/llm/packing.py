@@ -70,16 +70,21 @@ def encoder(*files) -> Encoder:
     return _ENCODERS[files]
 
 
+def tokenizer_files(tokenizer: str | None = None) -> tuple:
+    """The arguments of encoder(): a tokenizer file, by default the public one with its rank file and pattern."""
+    if tokenizer is not None:
+        return (tokenizer,)
+    import public_tokenizers
+
+    return (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
     """One row for each piece of each document; keep_ids adds the ids themselves."""
-    files: tuple = (tokenizer,)
-    if tokenizer is None:
-        import public_tokenizers
-
-        files = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    files = tokenizer_files(tokenizer)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(*files).ids
