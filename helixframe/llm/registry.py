@@ -1,6 +1,6 @@
 """Queries and SQL of the corpus operators."""
 
-from . import chat_format, decontamination, line_dedup, near_dedup, packing, period_runs, quality_rules, sharding, suffix_dedup, suffix_tree_lm, token_files, toxicity
+from . import chat_format, decontamination, line_dedup, near_dedup, packing, period_runs, quality_rules, sharding, spelling, suffix_dedup, suffix_tree_lm, token_files, toxicity
 
 QUERIES = {
     "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op11_token_files": token_files.op11_token_files,
     "op12_periodic_runs": period_runs.op12_periodic_runs,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
 }
 SQL = {
     "op9_decontamination": decontamination.OP9_SQL,
