@@ -244,7 +244,10 @@ def read(manifest: DataFrame, root: str, keep_ids: bool = False) -> DataFrame:
                     rows["ids"] = pa.array([ids[a:b].astype(np.int64) for a, b in spans], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_pydict(rows)
 
-    return manifest.select("file", "n_bytes", "start").mapInArrow(load, DOCUMENTS + (", ids array<long>" if keep_ids else ""))
+    # Manifest rows are few and small, files are neither: a number of parts that adaptive execution doesn't merge.
+    spark = manifest.sparkSession
+    dealt = manifest.select("file", "n_bytes", "start").repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "file")
+    return dealt.mapInArrow(load, DOCUMENTS + (", ids array<long>" if keep_ids else ""))
 
 
 def tokens_at(manifest: DataFrame, root: str, places: DataFrame, at: str = "at", shard_ids: int = SHARD_IDS) -> DataFrame:
