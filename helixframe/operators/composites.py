@@ -86,6 +86,37 @@ def origin_by_bins(bins: DataFrame, group: list[str], order: str, label: str, id
     return winners.select(*group, order, F.coalesce(F.last(single, ignorenulls=True).over(w), F.lit("Unknown")).alias("origin"))
 
 
+def trio_origins(bins: DataFrame, group: list[str], order: str, label: str, identity: str, parents: dict[str, str], tolerance: float = 1e-6) -> DataFrame:
+    """Origin of each bin of a haplotype (group), the parent that transmitted the haplotype, and the origin within that parent.
+
+    parents names the parent of each label (parental haplotype). four_way: as in origin_by_bins. <parent>_bins: bins whose four-way origin is
+    the parent's; parent: the one with most of them, Unknown on a tie or without any. constrained: the label of that parent with the
+    best identity, Unknown on a tie within the tolerance or without a parent; constrained_carried keeps the last one before a tie instead.
+    A label without an identity in a bin has 0. One aggregation for the identities; a haplotype's bins are ordered in one task.
+    """
+    labels, sides = list(parents), sorted(set(parents.values()))
+    wide = bins.groupBy(*group, order).agg(*(F.coalesce(F.max(F.when(F.col(label) == x, F.col(identity))), F.lit(0.0)).alias(f"__i{k}") for k, x in enumerate(labels)))
+
+    def winner(among: list[int], above: float | None) -> Column:
+        best = F.greatest(*(F.col(f"__i{k}") for k in among)) if len(among) > 1 else F.col(f"__i{among[0]}")
+        near = F.array_compact(F.array(*(F.when(F.col(f"__i{k}") >= best - tolerance, labels[k]) for k in among)))
+        single = F.size(near) == 1
+        return F.when(single & (best > above) if above is not None else single, near[0])
+
+    whole = Window.partitionBy(*group)
+    so_far = whole.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    carried = lambda c: F.coalesce(F.last(c, ignorenulls=True).over(so_far), F.lit("Unknown"))
+    called = wide.withColumn("four_way", carried(winner(list(range(len(labels))), 0.0)))
+    of = {s: [x for x in labels if parents[x] == s] for s in sides}
+    called = called.withColumns({f"{s}_bins": F.count_if(F.col("four_way").isin(of[s])).over(whole) for s in sides})
+    most = F.greatest(*(F.col(f"{s}_bins") for s in sides)) if len(sides) > 1 else F.col(f"{sides[0]}_bins")
+    ahead = F.array_compact(F.array(*(F.when((F.col(f"{s}_bins") == most) & (most > 0), s) for s in sides)))
+    called = called.withColumn("parent", F.when(F.size(ahead) == 1, ahead[0]).otherwise("Unknown"))
+    own = F.coalesce(*(F.when(F.col("parent") == s, winner([labels.index(x) for x in of[s]], None)) for s in sides))
+    called = called.withColumn("__own", own)
+    return called.select(*group, order, "four_way", *(f"{s}_bins" for s in sides), "parent", F.coalesce("__own", F.lit("Unknown")).alias("constrained"), carried(F.col("__own")).alias("constrained_carried"))
+
+
 def blocks_of_runs(df: DataFrame, group: list[str], order: list[str], unit: Column) -> DataFrame:
     """Adds block: consecutive rows that are units share one, every other row has one of its own."""
     w = Window.partitionBy(*group).orderBy(*order)
