@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder and read from there, so a round doesn't carry the plans of those before it and a lost
-    executor costs no more than a round. Where no folder is set (single machine) it is kept in memory and on disk."""
+    """df written as a table to the checkpoint folder and read from there, so a round doesn't carry the plans of those before it, is
+    computed once, and a lost executor costs no more than a round. Where no folder is set (single machine) it is kept in memory and on disk."""
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None):
-        return df.checkpoint()
-    return df.persist()
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return df.persist()
+    path = f"{folder.rstrip('/')}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

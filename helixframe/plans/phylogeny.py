@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from ..functions import numeric as N
 from ..functions.contracts import collected
 from ..operators import composites as P
+from ..operators import messages as M
 from ..operators import sequence as Q
 from ..operators import trees as T
+from ..operators.rounds import settled
 from ..session import table
 from .reading import written
 from .registry import query
@@ -106,21 +108,74 @@ def phylogenetic_regression(spark, d):
     return spark.createDataFrame([(name, float(b), float(t), got["lambda"], float(got["aic"])) for name, b, t in zip(("intercept", "log_n"), got["beta"], got["t"], strict=True)], "term string, beta double, t double, lambda double, aic double")
 
 
+def nation_tips(spark, d, value):
+    """The nation tree as a table and a value for each of its tips that has customers (node, trait, v)."""
+    _, rows = nation_tree()
+    tree = spark.createDataFrame([r[:3] for r in rows], "node long, parent long, length double")
+    names = F.broadcast(spark.createDataFrame([(r[0], r[3]) for r in rows if r[3]], "node long, label string"))
+    sizes = table(spark, d, "customer").groupBy(F.concat(F.lit("N"), "c_nationkey").alias("label")).agg(F.count("*").alias("n"))
+    return tree, names.join(sizes, "label", "left").select("node", F.lit("size").alias("trait"), value.alias("v"))
+
+
 @query("m37_ancestral_counts")
 def ancestral_counts(spark, d):
     """Node values under Brownian motion, rounded half to even and not below 0, with the gains and losses of each branch."""
-    _, rows = nation_tree()
-    found = T.brownian_states(rows, {t: float(x[1] % 7) for t, x in nation_values(spark, d).items()})
-    count = {n: max(0, int(np.rint(x))) for n, x in found.items()}
-    out = [(n, p, count[p], count[n], max(0, count[n] - count[p]), max(0, count[p] - count[n])) for n, p, *_ in rows if p is not None]
-    return spark.createDataFrame(out, "node int, parent int, parent_count int, child_count int, gain int, loss int")
+    tree, tips = nation_tips(spark, d, (F.col("n") % 7).cast("double"))
+    found = settled(M.brownian(tree, tips, ["trait"], "v").select("node", F.greatest(F.lit(0), F.bround("value").cast("int")).alias("c")))
+    both = tree.filter("parent is not null").join(found, "node").join(found.select(F.col("node").alias("parent"), F.col("c").alias("p")), "parent")
+    gain, loss = F.greatest(F.lit(0), F.col("c") - F.col("p")), F.greatest(F.lit(0), F.col("p") - F.col("c"))
+    return both.select(F.col("node").cast("int").alias("node"), F.col("parent").cast("int").alias("parent"), F.col("p").alias("parent_count"), F.col("c").alias("child_count"), gain.alias("gain"), loss.alias("loss"))
 
 
 @query("m38_ancestral_states")
 def ancestral_states(spark, d):
-    _, rows = nation_tree()
-    rate, states = T.equal_rates_states(rows, {t: "many" if x[1] >= 60 else "few" for t, x in nation_values(spark, d).items()})
-    return spark.createDataFrame([(n, s, float(rate)) for n, s in states.items()], "node int, state string, rate double")
+    tree, tips = nation_tips(spark, d, F.when(F.col("n") >= 60, "many").when(F.col("n").isNotNull(), "few"))
+    out = M.discrete_states(tree, tips, "trait", "v", ["few", "many"])
+    return out.select(F.col("node").cast("int").alias("node"), "state", F.col("rates")[0].alias("rate"))
+
+
+_CUSTOMERS = "c AS (SELECT c_custkey, c_nationkey, n_regionkey, c_acctbal AS x, (1 + c_custkey % 3)::DOUBLE AS t, (1 + c_nationkey % 2)::DOUBLE AS tn, 1.0::DOUBLE AS tr FROM customer JOIN nation ON n_nationkey = c_nationkey)"
+
+
+def customer_tree(spark, d):
+    """World, regions, nations and customers as a tree; nodes are numbered by level: 0, 1 + region, 100 + nation, 1000 + customer."""
+    c, n = table(spark, d, "customer"), table(spark, d, "nation")
+    lived = n.join(c.select(F.col("c_nationkey").alias("n_nationkey")).distinct(), "n_nationkey", "left_semi")
+    node = lambda df, node, parent, length: df.select(node.cast("long").alias("node"), parent.cast("long").alias("parent"), length.cast("double").alias("length"))
+    root = node(spark.range(1), F.lit(0), F.lit(None), F.lit(0))
+    regions = node(lived.select("n_regionkey").distinct(), 1 + F.col("n_regionkey"), F.lit(0), F.lit(1))
+    nations = node(lived, 100 + F.col("n_nationkey"), 1 + F.col("n_regionkey"), 1 + F.col("n_nationkey") % 2)
+    return root.union(regions).union(nations).union(node(c, 1000 + F.col("c_custkey"), 100 + F.col("c_nationkey"), 1 + F.col("c_custkey") % 3))
+
+
+@query("m37_brownian_values", f"WITH {_CUSTOMERS}, n AS (SELECT c_nationkey, n_regionkey, any_value(tn) AS t, any_value(tr) AS tr, sum(x / t) / sum(1 / t) AS m, 1 / sum(1 / t) AS v FROM c GROUP BY 1, 2), r AS (SELECT n_regionkey, any_value(tr) AS t, sum(m / (t + v)) / sum(1 / (t + v)) AS m, 1 / sum(1 / (t + v)) AS v FROM n GROUP BY 1), w AS (SELECT sum(m / (t + v)) / sum(1 / (t + v)) AS x FROM r), rx AS (SELECT r.*, (m / v + w.x / t) / (1 / v + 1 / t) AS x FROM r, w), nx AS (SELECT n.*, (n.m / n.v + rx.x / n.t) / (1 / n.v + 1 / n.t) AS x FROM n JOIN rx USING (n_regionkey)) SELECT 0 AS node, round(x, 6) AS value FROM w UNION ALL SELECT 1 + n_regionkey, round(x, 6) FROM rx UNION ALL SELECT 100 + c_nationkey, round(x, 6) FROM nx UNION ALL SELECT 1000 + c_custkey, round(x, 6) FROM c")
+def brownian_values(spark, d):
+    """Balances of customers carried to their nations, regions and the world as the most likely ancestral values."""
+    tips = table(spark, d, "customer").select((1000 + F.col("c_custkey")).alias("node"), F.lit("balance").alias("trait"), F.col("c_acctbal").alias("v"))
+    return M.brownian(customer_tree(spark, d), tips, ["trait"], "v").select("node", F.round("value", 6).alias("value"))
+
+
+@query("m38_rates_by_direction")
+def rates_by_direction(spark, d):
+    """Two states with a rate for each direction, five traits of the customers' tree (a market segment or not) fitted in one run."""
+    c = table(spark, d, "customer").select((1000 + F.col("c_custkey")).alias("node"), "c_mktsegment")
+    tips = c.join(F.broadcast(c.select(F.col("c_mktsegment").alias("trait")).distinct())).select("node", "trait", F.when(F.col("c_mktsegment") == F.col("trait"), "in").otherwise("out").alias("s"))
+    out = M.discrete_states(customer_tree(spark, d), tips, "trait", "s", ["out", "in"], rates="different", tolerance=1e-3)
+    return out.select("trait", "node", "state", F.round("probability", 3).alias("probability"))
+
+
+@query("g10_bounded_clades", f"WITH {_CUSTOMERS}, n AS (SELECT c_nationkey, n_regionkey, any_value(tn) AS tn, any_value(tr) AS tr, count(*) AS k, max(t) AS far, max(t) + coalesce(max(t) FILTER (o > 1), 0) AS w FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY t DESC) AS o FROM c) GROUP BY 1, 2), r AS (SELECT n_regionkey, sum(k) AS k, max(far + tn) AS far, any_value(tr) AS tr, greatest(max(CASE WHEN k > 1 THEN w ELSE 0 END), CASE WHEN count(*) > 1 THEN max(far + tn) + max(far + tn) FILTER (o > 1) ELSE 0 END) AS w FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY far + tn DESC) AS o FROM n) GROUP BY 1), g AS (SELECT greatest(max(w), CASE WHEN count(*) > 1 THEN max(far + tr) + max(far + tr) FILTER (o > 1) ELSE 0 END) AS w FROM (SELECT *, row_number() OVER (ORDER BY far + tr DESC) AS o FROM r)) SELECT 1000 + c_custkey AS node, CASE WHEN g.w <= 6 THEN 0 WHEN r.w <= 6 THEN 1 + c.n_regionkey WHEN CASE WHEN n.k > 1 THEN n.w ELSE 0 END <= 6 THEN 100 + c.c_nationkey ELSE 1000 + c_custkey END AS cluster FROM c JOIN n USING (c_nationkey) JOIN r ON r.n_regionkey = c.n_regionkey, g")
+def bounded_clades(spark, d):
+    """Clades of the customers' tree in which no two are more than 6 apart."""
+    return M.bounded_clades(customer_tree(spark, d), 6.0)
+
+
+@query("g16_pruned_tree", "WITH RECURSIVE t AS (SELECT o_orderkey AS node, nullif(o_orderkey // 2, 0) AS parent, (1 + o_custkey % 3)::DOUBLE AS length, o_orderstatus AS s FROM orders), r AS (SELECT node, node AS anc, 0 AS steps, 0.0::DOUBLE AS way FROM t UNION ALL SELECT r.node, t.parent, r.steps + 1, r.way + t.length FROM r JOIN t ON r.anc = t.node WHERE t.parent IS NOT NULL), k AS (SELECT node FROM t WHERE s = 'F' AND node NOT IN (SELECT parent FROM t WHERE parent IS NOT NULL)), m AS (SELECT DISTINCT anc AS node FROM r JOIN k USING (node)), n AS (SELECT parent AS node, count(*) AS c FROM t JOIN m USING (node) WHERE parent IS NOT NULL GROUP BY 1), z AS (SELECT node FROM m LEFT JOIN n USING (node) WHERE coalesce(c, 0) <> 1), a AS (SELECT r.node, arg_min(anc, steps) AS parent, min(way) AS length FROM r JOIN z ON z.node = r.node JOIN z y ON y.node = r.anc WHERE steps > 0 GROUP BY 1) SELECT z.node, a.parent, coalesce(a.length, (SELECT max(way) FROM r WHERE r.node = z.node)) AS length FROM z LEFT JOIN a USING (node)")
+def pruned_tree(spark, d):
+    """The tree of orders (parent: half the number) cut down to the finished ones at its tips."""
+    o = table(spark, d, "orders")
+    tree = o.select(F.col("o_orderkey").alias("node"), F.nullif(F.floor(F.col("o_orderkey") / 2), F.lit(0).cast("long")).alias("parent"), (1 + F.col("o_custkey") % 3).cast("double").alias("length"))
+    return M.pruned(M.repaired_lengths(tree), o.filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("node")))
 
 
 @query("m39_m40_simulated_states")
