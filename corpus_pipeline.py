@@ -23,11 +23,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that ten documents or more hold; n_chars follows the text.
 
-    A null text becomes empty; repeated rows count as documents of their own, rows with null ids too.
+    A row with a null text stays as it is; repeated rows count as documents of their own, rows with null ids too.
     """
-    text = F.col(free_name(docs, line_dedup.KEPT))
+    text = F.when(F.col("text").isNotNull(), F.col(free_name(docs, line_dedup.KEPT)))
     kept = line_dedup.drop_frequent_lines(docs, min_docs=10)
-    changed = {"text": text, "n_chars": F.length(text).cast("long")}
+    changed = {"text": text, "n_chars": F.coalesce(F.length(text).cast("long"), "n_chars")}
     return kept.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
 
 
