@@ -72,6 +72,19 @@ def t_two_sided_many(t: np.ndarray, df: np.ndarray) -> np.ndarray:
     return np.where(t == 0, 1.0, np.where(np.isfinite(t), tail, 0.0))
 
 
+def polygamma(x: np.ndarray, order: int) -> np.ndarray:
+    """Digamma (order 0) or trigamma (1) of positive values: recurrence up to 10, then the asymptotic series."""
+    x, out = np.array(x, float), np.zeros(len(x))
+    for _ in range(10):
+        low = x < 10
+        out[low] += -1 / x[low] if order == 0 else 1 / x[low] ** 2
+        x[low] += 1
+    u = 1 / (x * x)
+    if order == 0:
+        return out + np.log(x) - 0.5 / x - u * (1 / 12 - u * (1 / 120 - u * (1 / 252 - u * (1 / 240 - u / 132))))
+    return out + 1 / x + u / 2 + u / x * (1 / 6 - u * (1 / 30 - u * (1 / 42 - u * (1 / 30 - u * 5 / 66))))
+
+
 def f_upper(f: float, d1: float, d2: float) -> float:
     return beta_cdf(d2 / 2, d1 / 2, d2 / (d2 + d1 * f))
 

@@ -106,3 +106,24 @@ def cumulative(df: DataFrame, group: list[str], value: str, ties: list[Column],
     sums = sums.select(*group, "__range", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__before"))
     w = Window.partitionBy(*group, "__range").orderBy(side(value), *ties).rowsBetween(Window.unboundedPreceding, 0)
     return ranged.join(F.broadcast(sums), [*group, "__range"]).withColumn("total", F.col("__before") + F.sum("__amount").over(w)).drop("__range", "__amount", "__before")
+
+
+def nearest_boundary(points: DataFrame, boundaries: DataFrame, keys: list[str], at: str, tolerance: float | None = None) -> DataFrame:
+    """points with boundary and distance: the nearest of the boundaries (keys, at) with the same keys; of two equally near ones the lower.
+
+    Points without a boundary, or with none within the tolerance if one is given, have no row. Two as-of lookups over one union, before and after; a
+    task gets one range of a key's values, and the ranges' first and last boundaries are handed on.
+    """
+    rows = points.withColumn("__b", F.lit(None).cast(points.schema[at].dataType))
+    marks = boundaries.select(*keys, F.col(at).cast(points.schema[at].dataType).alias(at)).distinct().withColumn("__b", F.col(at))
+    ranged = value_ranges(rows.unionByName(marks, allowMissingColumns=True), keys, at)
+    edges = ranged.groupBy(*keys, "__range").agg(F.min("__b").alias("__lo"), F.max("__b").alias("__hi"))
+    r = Window.partitionBy(*keys).orderBy("__range")  # a row a range
+    edges = edges.select(*keys, "__range", F.max("__hi").over(r.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"), F.min("__lo").over(r.rowsBetween(1, Window.unboundedFollowing)).alias("__after"))
+    w = Window.partitionBy(*keys, "__range").orderBy(at)  # equal values are peers, so a boundary at the point counts on both sides
+    near = ranged.withColumns({"__low": F.max("__b").over(w.rangeBetween(Window.unboundedPreceding, 0)), "__high": F.min("__b").over(w.rangeBetween(0, Window.unboundedFollowing))})
+    joined = near.filter("__b is null").join(edges, [*keys, "__range"])
+    low, high = F.coalesce("__low", "__before"), F.coalesce("__high", "__after")
+    boundary = F.when(low.isNull() | (high - F.col(at) < F.col(at) - low), high).otherwise(low)
+    found = joined.withColumn("boundary", boundary).withColumn("distance", F.abs(F.col(at) - F.col("boundary"))).filter("boundary is not null")
+    return (found if tolerance is None else found.filter(F.col("distance") <= tolerance)).select(*points.columns, "boundary", "distance")

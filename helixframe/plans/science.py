@@ -13,6 +13,7 @@ from ..operators import graphs as G
 from ..operators import ordered as O
 from ..operators import sequence as Q
 from ..operators import trees as T
+from ..operators.models import CountModel
 from ..session import table
 from ..streaming import windows as SW
 from .grouping import r6
@@ -259,12 +260,8 @@ def rank_permutation(spark, d):
 @query("m29_m31_count_models")
 def count_models(spark, d):
     g = table(spark, d, "orders").groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus") == "F").alias("y"), (F.sum("o_totalprice") / 1e5).alias("t"), F.avg(F.col("o_orderpriority").startswith("1").cast("double")).alias("x"))
-
-    def fit(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("o_custkey")
-        y, t = p["y"].to_numpy(float), p["t"].to_numpy()
-        full, null = N.chosen_count_model(p[["x"]].to_numpy(), y, t), N.count_model(np.zeros((len(p), 0)), y, t)
-        chi, pv = N.likelihood_ratio(null["loglik"], N.count_model(p[["x"]].to_numpy(), y, t)["loglik"], 1)
-        return pd.DataFrame({"family": [full["family"]], "rate_ratio": [float(np.exp(full["beta"][1]))], "dispersion": [full["dispersion"]], "chi2": [chi], "p": [pv]})
-
-    return g.groupBy(F.lit(1).alias("all")).applyInPandas(lambda p: fit(p), "family string, rate_ratio double, dispersion double, chi2 double, p double")
+    model, null = CountModel(g, "y", "t", ["x"]), CountModel(g, "y", "t", [])
+    poisson = model.poisson()
+    full = poisson if poisson["dispersion"] <= 1.5 else model.negative_binomial(poisson["beta"])
+    chi, p = N.likelihood_ratio(null.poisson()["loglik"], poisson["loglik"], 1)
+    return spark.createDataFrame([(full["family"], float(np.exp(full["beta"][1])), full["dispersion"], chi, p)], "family string, rate_ratio double, dispersion double, chi2 double, p double")
