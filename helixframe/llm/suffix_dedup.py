@@ -13,7 +13,7 @@ smaller id. A transform of the whole corpus fits no machine, so equal windows ar
     the expansion stops at LENGTH. The suffixes of an interval are equal windows; all but those in the interval's
     smallest document are repeats.
 K-grams that a part of the texts holds often are spread over many tasks in step 1, and groups of more than
-HOT_SEGMENTS segments are solved in step 2 by summing their windows in a shuffled aggregation instead.
+HOT_SEGMENTS segments are refined before step 3: their K-gram grows, level by level, until groups fit a task (see refined).
 Exact copies of a text are settled by their hash and take part through their smallest id only.
 
 Cases: null and empty texts have no bytes; texts shorter than LENGTH lose nothing; a text of MOST_BYTES or more is an error; rows with a null id are left as
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytescan import BASE, INVERSE, TABLE, U64, Texts, halves, mix, powers
@@ -357,34 +357,81 @@ def solved(rows: DataFrame) -> DataFrame:
     return ordered.select("h", "segment", "doc", "place").mapInArrow(run, "doc long, a long, b long")
 
 
-def solved_hot(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """The same for groups of any size (rows of cut_out_together). Equal segments go first, as in solved(); halves of segments whose
-    K-gram and side (see may_repeat) no other document has go next; then the smallest document of each window is a shuffled sum.
-    Segments, sides and windows that many rows share are looked up in each task (hot_join)."""
+def _halves() -> Column:
+    """The two parts of a segment whose windows hold, beside the core [at, at + size), the `side` bytes before it or after it."""
+    last, side, at, size = F.octet_length("segment") - LENGTH, F.col("side"), F.col("at"), F.col("size")
+    end = F.least(last, at - side)
+    left = F.struct(F.lit(0).alias("a"), end.alias("b"), (at - side).alias("at"), F.xxhash64("h", F.lit(0), F.substring("segment", at - side + 1, side)).alias("h"))
+    begin = F.greatest(F.lit(0), at - side + 1)
+    right = F.struct(begin.alias("a"), last.alias("b"), at.alias("at"), F.xxhash64("h", F.lit(1), F.substring("segment", at + size + 1, side)).alias("h"))
+    return F.filter(F.array(left, right), lambda x: x["a"] <= x["b"])
+
+
+def refined(rows: DataFrame, scratch: Scratch, hot_segments: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Groups of any size (rows of cut_out_together), cut down to groups that solved() takes: the rows left (h, segment, doc, place)
+    and the spans (doc, a, b) settled on the way.
+
+    Equal segments of a group are settled first: all but the smallest document lose them, and only that one's goes on. A window of LENGTH bytes
+    holds, beside what all of a group share (at first the K-gram), half of the missing bytes or more on one side; so the key of a group that is
+    still too long grows by that side, and keys that one document alone holds are dropped. The missing bytes halve from level to level, and with
+    none missing a group is one window, which is settled as equal segments are.
+    """
     rows = scratch.save(rows, "hot-segments")
     ids, keys = F.col("members.doc"), ["h", "segment"]
     first = rows.groupBy(*keys).agg(F.min(F.array_min(ids)).alias("holder"), F.max(F.array_max(ids)).alias("most"), F.count("*").alias("__c"))
-    first = first.filter((F.col("holder") < F.col("most")) | (F.col("__c") > HOT_ROWS)).drop("most")
-    rows = scratch.save(hot_join(rows, scratch.save(first, "hot-holders"), keys, HOT_ROWS, "left", BROADCAST_TEXTS), "hot-held")
-    lo = F.shiftright("m.place", 12).bitwiseAND(F.lit((1 << 31) - 1)).cast("long")
-    later = F.filter("members", lambda m: m["doc"] > F.col("holder"))
-    copies = rows.select("segment", F.explode(later).alias("m")).select("m.doc", lo.alias("a"), (lo + F.octet_length("segment")).alias("b"))
+    first = scratch.save(first.filter((F.col("holder") < F.col("most")) | (F.col("__c") > HOT_ROWS)).drop("most"), "hot-holders")
+    held = scratch.save(hot_join(rows, first, keys, HOT_ROWS, "left", BROADCAST_TEXTS).withColumn("n", F.octet_length("segment")), "hot-held")
+    scratch.drop("hot-segments")
+    scratch.drop("hot-holders")
+    spans = [scratch.save(later(held), "hot-spans")]
     own = F.filter("members", lambda m: F.col("holder").isNull() | (m["doc"] == F.col("holder")))
-    at = F.shiftright("m.place", 6).bitwiseAND(F.lit(63)).cast("int")
-    rest = rows.select("h", "segment", F.explode(own).alias("m")).select("h", "segment", "m.doc", lo.alias("lo"), at.alias("at"))
-    # Windows that begin SIDE bytes or more before the K-gram hold all of its left side, the others its right side.
-    last, side = F.octet_length("segment") - LENGTH, SIDE + K
-    left = F.struct(F.lit(0).alias("a"), F.least(last, F.col("at") - SIDE).alias("b"), F.xxhash64("h", F.lit(0), F.substring("segment", F.col("at") - SIDE + 1, F.lit(side))).alias("side"))
-    right = F.struct(F.greatest(F.lit(0), F.col("at") - SIDE + 1).alias("a"), last.alias("b"), F.xxhash64("h", F.lit(1), F.substring("segment", F.col("at") + 1, F.lit(side))).alias("side"))
-    halved = rest.select("*", F.explode(F.filter(F.array(left, right), lambda x: x["a"] <= x["b"])).alias("x")).select("h", "segment", "doc", "lo", "x.*")
-    halved = scratch.save(halved, "hot-halves")
-    shared = halved.groupBy("side").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count("*").alias("__c")).filter("least < most").select("side", "__c")
-    halved = hot_join(halved, scratch.save(shared, "hot-sides"), ["side"], HOT_ROWS)
-    windows = halved.select("h", "segment", "doc", "lo", F.explode(F.sequence("a", "b")).alias("o"))
-    windows = windows.select("h", "doc", (F.col("lo") + F.col("o")).alias("a"), F.substring("segment", F.col("o") + 1, F.lit(LENGTH)).alias("w"))
-    least = windows.groupBy("h", "w").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count("*").alias("__c")).filter("least < most").drop("most")
-    hits = hot_join(windows, scratch.save(least, "hot-windows"), ["h", "w"], HOT_ROWS, most=BROADCAST_TEXTS).filter("least < doc").select("doc", "a", (F.col("a") + LENGTH).alias("b"))
-    return copies.unionByName(hits)
+    lo, at = F.shiftright("m.place", 12).bitwiseAND(F.lit((1 << 31) - 1)).cast("long"), F.shiftright("m.place", 6).bitwiseAND(F.lit(63)).cast("int")
+    now = scratch.save(held.select("h", "segment", F.explode(own).alias("m")).select("h", "segment", "m.doc", lo.alias("lo"), at.alias("at"), at.alias("gram")), "hot-0")
+    scratch.drop("hot-held")
+    done, size, level = None, K, 0
+    while True:
+        missing = LENGTH - size
+        side = -(-missing // 2)
+        level += 1
+        parts = now.withColumns({"size": F.lit(size), "side": F.lit(side)})
+        parts = parts.select("segment", "doc", "lo", "gram", F.explode(_halves()).alias("x"))
+        start = F.col("x.a")
+        parts = parts.select("x.h", F.substring("segment", start + 1, F.col("x.b") - start + LENGTH).alias("segment"), "doc", (F.col("lo") + start).alias("lo"), (F.col("x.at") - start).cast("int").alias("at"), (F.col("gram") - start).cast("int").alias("gram"))
+        parts = scratch.save(parts, f"hot-parts-{level}")
+        scratch.drop(f"hot-{level - 1}")
+        same = scratch.save(parts.groupBy(*keys).agg(F.min("doc").alias("holder"), F.max("doc").alias("most"), F.count("*").alias("__c")), f"hot-same-{level}")
+        shared = same.groupBy("h").agg(F.min("holder").alias("low"), F.max("most").alias("high"), F.count("*").alias("n"), F.sum("__c").alias("__c")).filter("low < high")
+        shared = scratch.save(shared.select("h", (F.col("n") > hot_segments).alias("hot"), (F.col("n") > 1).alias("several"), "__c"), f"hot-shared-{level}")
+        again = same.filter("holder < most").drop("most")
+        parts = scratch.save(hot_join(hot_join(parts, again, keys, HOT_ROWS, "left", BROADCAST_TEXTS), shared, ["h"], HOT_ROWS), f"hot-known-{level}")
+        for name in ("parts", "same", "shared"):
+            scratch.drop(f"hot-{name}-{level}")
+        size += side
+        repeats = parts.filter("holder < doc")
+        spans.append(repeats.select("doc", F.col("lo").alias("a"), (F.col("lo") + F.octet_length("segment")).alias("b")))
+        rest = parts.filter("several and (holder is null or holder >= doc)")
+        place = F.shiftleft("lo", 12).bitwiseOR(F.shiftleft(F.col("gram").cast("long"), 6)).bitwiseOR((F.octet_length("segment") - LENGTH + 1).cast("long"))
+        small = rest.filter("not hot").select("h", "segment", "doc", place.alias("place"))
+        done = small if done is None else done.unionByName(small)
+        now = scratch.save(rest.filter("hot").select("h", "segment", "doc", "lo", "at", "gram"), f"hot-{level}") if size < LENGTH else None
+        if now is None or now.isEmpty():
+            return done, spans
+
+
+def later(held: DataFrame) -> DataFrame:
+    """doc, a, b of the members after the holder of their segment, without a row of its own for each of them before the cut: a batch at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(0)
+            sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+            doc, place = (lists.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(2))
+            holder, n = (np.repeat(b.column(i).to_numpy(zero_copy_only=False), sizes) for i in (1, 2))
+            lo = unpacked(place)[0]
+            gone = doc > holder
+            yield pa.RecordBatch.from_arrays([pa.array(x[gone].astype(np.int64)) for x in (doc, lo, lo + n)], names=["doc", "a", "b"])
+
+    return held.filter("holder is not null").select("members", "holder", "n").mapInArrow(run, "doc long, a long, b long")
 
 
 def finished(rows: DataFrame) -> DataFrame:
@@ -436,15 +483,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         return named.join(rows.groupBy("doc").agg(F.collect_set(F.struct("h", "place")).alias("segments")), "doc")
 
     if n_hot:
-        marked = again.join(hot.withColumn("hot", F.lit(1)), "h", "left").select("h", "doc", "place", F.coalesce("hot", F.lit(0)).alias("hot"))
-        marked = scratch.save(marked, "marked")
-        scratch.drop("repeated")
-        cold, hots = (segments(marked.filter(F.col("hot") == i)) for i in (0, 1))
-        spans = solved(cut_out(cold)).unionByName(solved_hot(cut_out_together(hots), scratch))
+        cold, hots = segments(again.join(hot, "h", "left_anti")), segments(again.join(hot, "h", "left_semi"))
+        small, parts = refined(cut_out_together(hots), scratch, HOT_SEGMENTS)
+        spans = solved(cut_out(cold)).unionByName(solved(small))
+        for part in parts:
+            spans = spans.unionByName(part)
     else:
         spans = solved(cut_out(segments(again)))
     spans = scratch.save(spans, "spans")
-    for name in ("repeated", "marked", "hot", "hot-segments", "hot-holders", "hot-held", "hot-halves", "hot-sides", "hot-windows"):
+    for name in ("repeated", "hot", "hot-spans", *(f"hot-known-{k}" for k in range(1, 9))):
         scratch.drop(name)
 
     per = spans.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))

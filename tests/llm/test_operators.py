@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -232,11 +233,20 @@ def test_suffix_dedup(frame, corpus, empty, with_null_ids):
     assert suffix_dedup.remove_repeats(with_null_ids).filter("doc_id is null").count() == 2
 
 
-def test_suffix_dedup_of_hot_groups(frame, corpus, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "HOT_SEGMENTS", 3)
+@pytest.mark.parametrize("most", [0, 3])
+def test_suffix_dedup_of_hot_groups(spark, frame, corpus, monkeypatch, most):
+    """Groups are refined, with 0 down to single windows; shared cores have varied surroundings, so that every level splits some."""
+    monkeypatch.setattr(suffix_dedup, "HOT_SEGMENTS", most)
     monkeypatch.setattr(suffix_dedup, "HOT_ROWS", 4)
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.remove_repeats(frame).collect()}
-    assert got == brute.repeats(corpus)
+    rng, docs = random.Random(7), list(corpus)
+    core = "".join(rng.choices("abcdefghij", k=120))
+    for k in range(60):
+        a = rng.randrange(70)
+        b = min(120, a + rng.randint(16, 60))
+        docs.append((1000 + k, "".join(rng.choices("xyz", k=rng.randint(0, 40))) + core[a:b] + "".join(rng.choices("xyz", k=rng.randint(0, 40))) + (core[a:b] if k % 5 == 0 else "")))
+    every = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.remove_repeats(every).collect()}
+    assert got == brute.repeats(docs)
 
 
 QUESTION = "A train leaves the northern station at 9 km from the old bridge and meets young Alice after 15 minutes of slow riding along the river"
