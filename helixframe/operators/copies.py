@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
+from .rounds import settled
 
 PARAMETERS = "intercept double, slope double, offset double, sigma double, states array<double>, weights array<double>"
 
@@ -132,36 +133,91 @@ def principal_bundles(raw: DataFrame, haplotype: str, order: str) -> DataFrame:
     return slim.groupBy(haplotype).applyInPandas(run, f"`{haplotype}` {kind}, place long, bundle string, kind string, s long, e long, label string, path string")
 
 
-def phenome_cells(records: DataFrame, people: DataFrame, code_map: DataFrame, exclusions: DataFrame, person: str) -> DataFrame:
-    """(person, phenotype, case): 1 for who has a code of the phenotype, 0 for all others but those with a code of its excluded
-    range. records (person, code), people (person), code_map (code, phenotype), exclusions (phenotype, excluded phenotype).
-    The map and the exclusions are code lists, of a size that doesn't depend on the people."""
-    own = records.join(F.broadcast(code_map), "code").select(person, "phenotype").distinct()
-    own = own.join(people.select(person), person, "left_semi")
-    barred = own.join(F.broadcast(exclusions.select(F.col("excluded").alias("phenotype"), F.col("phenotype").alias("of"))), "phenotype").select(person, F.col("of").alias("phenotype")).distinct()
-    cells = people.select(person).crossJoin(F.broadcast(code_map.select("phenotype").distinct()))
-    marked = cells.join(own.withColumn("__case", F.lit(1)), [person, "phenotype"], "left").join(barred.withColumn("__out", F.lit(1)), [person, "phenotype"], "left")
-    return marked.filter("__case is not null or __out is null").select(person, "phenotype", F.coalesce("__case", F.lit(0)).alias("case"))
+def phenome_marks(records: DataFrame, people: DataFrame, code_map: DataFrame, exclusions: DataFrame, person: str) -> DataFrame:
+    """(person, phenotype, case): 1 for who has a code of the phenotype, 0 for who has none but one of its excluded range and so is no
+    control either. Everybody else is a control and has no row: phenotypes times people is never built.
 
+    records (person, code), people (person), code_map (code, phenotype), exclusions (phenotype, excluded phenotype). Many may have one code, so
+    people's own codes are told apart before they meet the lists.
+    """
+    known = records.select(person, "code").distinct().join(people.select(person), person, "left_semi")
+    own = known.join(code_map, "code").select(person, "phenotype").distinct()
+    barred = own.join(exclusions.select(F.col("excluded").alias("phenotype"), F.col("phenotype").alias("of")), "phenotype").select(person, F.col("of").alias("phenotype"), F.lit(0).alias("case"))
+    return own.withColumn("case", F.lit(1)).unionByName(barred).groupBy(person, "phenotype").agg(F.max("case").alias("case"))
 
-def phenome_scan(cells: DataFrame, people: DataFrame, person: str, genotype: str, covariates: list[str], least: int = 20) -> DataFrame:
-    """phenotype, cases, controls, beta, se, p, p_bonferroni of logistic regressions on the genotype and covariates, for phenotypes with
-    `least` cases and controls or more. Cells are first added up by equal (genotype, covariates), so a task gets distinct rows only."""
-    x = [genotype, *covariates]
-    summed = cells.join(people.select(person, *[F.col(c).cast("double").alias(c) for c in x]), person).dropna(subset=x)
-    summed = summed.groupBy("phenotype", *x).agg(F.sum("case").alias("cases"), F.count("*").alias("n"))
 
-    def fit(p: pd.DataFrame) -> pd.DataFrame:
-        cases = int(p["cases"].sum())
-        controls = int(p["n"].sum()) - cases
-        row = {"phenotype": p["phenotype"].iloc[0], "cases": cases, "controls": controls, "beta": None, "se": None, "p": None}
-        if min(cases, controls) >= least:
-            each = np.concatenate([np.repeat(np.arange(len(p)), p["cases"]), np.repeat(np.arange(len(p)), p["n"] - p["cases"])])
-            m = N.logistic_fit(p[x].to_numpy(float)[each], np.repeat([1.0, 0.0], [cases, controls]))
-            row |= {k: float(m[k][1]) for k in ("beta", "se", "p")}
-        return pd.DataFrame([row])
-
-    out = summed.groupBy("phenotype").applyInPandas(fit, "phenotype string, cases long, controls long, beta double, se double, p double").filter("p is not null")
-    tests = out.agg(F.count("*").alias("__tests"))  # one number
-    return out.crossJoin(F.broadcast(tests)).withColumn("p_bonferroni", F.least(F.col("p") * F.col("__tests"), F.lit(1.0))).drop("__tests")
+def phenome_counts(marks: DataFrame, people: DataFrame, phenotypes: DataFrame) -> DataFrame:
+    """(phenotype, cases, controls) of all phenotypes: the controls are the people without a mark."""
+    total = people.agg(F.count("*").alias("__n"))  # one number
+    counted = marks.groupBy("phenotype").agg(F.sum("case").alias("cases"), F.count("*").alias("__marked"))
+    joined = phenotypes.select("phenotype").distinct().join(counted, "phenotype", "left").join(total)
+    return joined.select("phenotype", F.coalesce("cases", F.lit(0)).alias("cases"), (F.col("__n") - F.coalesce("__marked", F.lit(0))).alias("controls"))
+
 
+def phenome_scan(marks: DataFrame, people: DataFrame, person: str, genotype: str, covariates: list[str], least: int = 20, rounds: int = 50) -> DataFrame:
+    """phenotype, cases, controls, beta, se, p, p_bonferroni of logistic regressions on the genotype and covariates, for phenotypes with
+    `least` cases and controls or more.
+
+    All phenotypes are fitted at once. An iteration adds up the scores and informations of all people as if they were controls of every phenotype, a
+    product of matrices for each batch of people, and sets right the marked ones, who are few; the driver gets a vector and a matrix
+    of terms for each phenotype of the code list. Raises ArithmeticError without convergence (a separated outcome).
+    """
+    terms = [genotype, *covariates]
+    q = len(terms) + 1
+    rows = settled(people.select(person, *(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(terms))).dropna())
+    marked = settled(marks.join(rows, person).drop(person))
+    sizes = phenome_counts(marked, rows, marked).filter((F.col("cases") >= least) & (F.col("controls") >= least)).orderBy("phenotype").collect()
+    names = {r["phenotype"]: k for k, r in enumerate(sizes)}
+    width = q + q * q
+
+    def design(p: pd.DataFrame) -> np.ndarray:
+        return np.column_stack([np.ones(len(p)), *(p[f"x{i}"].to_numpy(float) for i in range(q - 1))])
+
+    def summed(of: DataFrame, part) -> np.ndarray:
+        """part: a frame and its terms -> sums by phenotype."""
+
+        def run(frames):
+            total = np.zeros((len(names), width))
+            for p in frames:
+                total += part(p, design(p))
+            yield pd.DataFrame({"k": np.repeat(np.arange(len(names)), width), "j": np.tile(np.arange(width), len(names)), "v": total.ravel()})
+
+        out = np.zeros((len(names), width))
+        got = of.mapInPandas(run, "k int, j int, v double").groupBy("k", "j").agg(F.sum("v").alias("v")).toPandas()
+        out[got["k"], got["j"]] = got["v"]
+        return out
+
+    beta = np.zeros((len(names), q))
+    beta[:, 0] = [np.log(r["cases"] / r["controls"]) for r in sizes]
+    for _ in range(rounds if names else 0):
+        now = beta.copy()
+
+        def everybody(p, x, now=now):
+            mu = 1 / (1 + np.exp(-np.clip(x @ now.T, -30, 30)))
+            w = mu * (1 - mu)
+            return np.column_stack([-(mu.T @ x), np.einsum("np,ni,nj->pij", w, x, x, optimize=True).reshape(len(names), -1)])
+
+        def those_marked(p, x, now=now):
+            k = p["phenotype"].map(names)
+            x, case, k = x[k.notna()], p["case"].to_numpy()[k.notna()] == 1, k.dropna().to_numpy(int)
+            mu = 1 / (1 + np.exp(-np.clip((x * now[k]).sum(axis=1), -30, 30)))
+            # A case has x more in its score than a control; who is neither gives back what a control has.
+            score = np.where(case, 1.0, mu)[:, None] * x
+            information = np.where(case, 0.0, -mu * (1 - mu))[:, None, None] * x[:, :, None] * x[:, None, :]
+            out = np.zeros((len(names), width))
+            np.add.at(out, k, np.column_stack([score, information.reshape(len(k), -1)]))
+            return out
+
+        sums = summed(rows, everybody) + summed(marked, those_marked)
+        information = sums[:, q:].reshape(-1, q, q)
+        step = np.linalg.solve(information, sums[:, :q, None])[:, :, 0]
+        beta = beta + step
+        if np.abs(step).max() < 1e-9:
+            break
+    else:
+        if names:
+            raise ArithmeticError("no convergence: an outcome may be separated")
+    se = np.sqrt(np.linalg.inv(information)[:, 1, 1]) if names else []
+    out = [(r["phenotype"], int(r["cases"]), int(r["controls"]), float(b), float(e), float(2 * N.NORMAL.cdf(-abs(b / e)))) for r, b, e in zip(sizes, beta[:, 1], se, strict=True)]
+    fitted = marks.sparkSession.createDataFrame(out, "phenotype string, cases long, controls long, beta double, se double, p double")
+    return fitted.withColumn("p_bonferroni", F.least(F.col("p") * len(out), F.lit(1.0)))

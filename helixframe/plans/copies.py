@@ -97,19 +97,18 @@ def phenome(spark, d):
     people = table(spark, d, "customer").select(F.col("c_custkey").alias("person"), (F.col("c_acctbal") / 1000).alias("dose"), (F.col("c_nationkey") % 2).alias("sex"))
     codes = records.select("code", F.col("code").alias("phenotype")).distinct()
     exclusions = codes.select("phenotype", F.date_format(F.add_months(F.to_date("phenotype", "yyyyMM"), -1), "yyyyMM").alias("excluded"))
-    return C.phenome_cells(records, people, codes, exclusions, "person"), people
+    return C.phenome_marks(records, people, codes, exclusions, "person"), people, codes
 
 
 @query("m51_phenome_cells", "WITH r AS (SELECT DISTINCT o_custkey AS person, strftime(o_orderdate, '%Y%m') AS p FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)), x AS (SELECT DISTINCT person, strftime(strptime(p || '01', '%Y%m%d') + INTERVAL 1 MONTH, '%Y%m') AS p FROM r), k AS (SELECT DISTINCT p FROM r) SELECT k.p AS phenotype, count(r.person) AS cases, count(*) FILTER (r.person IS NULL AND x.person IS NULL) AS controls FROM k CROSS JOIN customer c LEFT JOIN r ON r.person = c.c_custkey AND r.p = k.p LEFT JOIN x ON x.person = c.c_custkey AND x.p = k.p GROUP BY 1")
 def phenome_cells(spark, d):
-    cells, _ = phenome(spark, d)
-    return cells.groupBy("phenotype").agg(F.sum("case").alias("cases"), F.count_if(F.col("case") == 0).alias("controls"))
+    return C.phenome_counts(*phenome(spark, d))
 
 
 @query("m51_phenome_scan")
 def phenome_scan(spark, d):
-    cells, people = phenome(spark, d)
-    return C.phenome_scan(cells, people, "person", "dose", ["sex"])
+    marks, people, _ = phenome(spark, d)
+    return C.phenome_scan(marks, people, "person", "dose", ["sex"])
 
 
 @query("p25_leave_one_out_tests")

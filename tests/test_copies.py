@@ -86,9 +86,11 @@ def test_phenome_scan_equals_a_fit_on_all_people(spark):
     out = {r["phenotype"]: r for r in catalog.QUERIES["m51_phenome_scan"](spark, "/root/testdata/sf0.01").collect()}
     from helixframe.plans import copies
 
-    cells, people = copies.phenome(spark, "/root/testdata/sf0.01")
+    marks, people, _ = copies.phenome(spark, "/root/testdata/sf0.01")
     name = min(out)
-    p = cells.filter(F.col("phenotype") == name).join(people, "person").toPandas()
+    p = people.join(marks.filter(F.col("phenotype") == name), "person", "left").toPandas()
+    p = p[~(p["case"] == 0)].fillna({"case": 0})
+    assert (out[name]["cases"], out[name]["controls"]) == (p["case"].sum(), (p["case"] == 0).sum())
     m = N.logistic_fit(p[["dose", "sex"]].to_numpy(float), p["case"].to_numpy(float))
     assert out[name]["beta"] == pytest.approx(m["beta"][1], rel=1e-6) and out[name]["p"] == pytest.approx(m["p"][1], rel=1e-6)
     assert out[name]["p_bonferroni"] == pytest.approx(min(1, m["p"][1] * len(out))) and all(r["cases"] >= 20 for r in out.values())
