@@ -15,15 +15,15 @@ def greedy_assignment(pairs: DataFrame, group: list[str], left: str, right: str,
     best score (columns of `score`, larger first; the right item's name settles ties). Groups are one file's or species' items."""
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        used, rows = set(), []
-        for _, own in p.sort_values([*order, left], kind="stable").groupby([*order, left], sort=False):
-            own = own.sort_values([*score, right], ascending=[False] * len(score) + [True], kind="stable")
-            for r in own.itertuples(index=False):
-                if getattr(r, right) not in used:
-                    used.add(getattr(r, right))
-                    rows.append(r)
-                    break
-        return pd.DataFrame(rows, columns=p.columns)
+        own = [*order, left]
+        p = p.dropna(subset=own).sort_values([*own, *score, right], ascending=[True] * len(own) + [False] * len(score) + [True], kind="stable")
+        used, kept, settled_item = set(), [], None
+        for k, (item, other) in enumerate(zip(zip(*(p[c].tolist() for c in own), strict=True), p[right].tolist(), strict=True)):
+            if item != settled_item and other not in used:
+                used.add(other)
+                kept.append(k)
+                settled_item = item
+        return p.iloc[kept]
 
     return pairs.groupBy(*group).applyInPandas(run, pairs.schema)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordered import cumulative
+from .rounds import settled
 
 
 def weighted_mean(v: Column, w: Column) -> Column:
@@ -30,7 +31,8 @@ def pair_differentiation(df: DataFrame, unit: str, group: str, value: str) -> Da
 
 def ranked_differentiation(pairs: DataFrame, unit: str) -> DataFrame:
     """Pairs with a vst and a difference, by vst * |diff|: rank and percentile."""
-    kept = pairs.filter(F.col("vst").isNotNull() & (F.col("diff") != 0)).withColumn("metric", F.round(F.col("vst") * F.abs("diff"), 9))
+    # Saved once: the cuts, the sums and the ranks read it.
+    kept = settled(pairs.filter(F.col("vst").isNotNull() & (F.col("diff") != 0)).withColumn("metric", F.round(F.col("vst") * F.abs("diff"), 9)))
     # Ranks within ranges of the metric, after the counts of the ranges above: a task gets one range of a pair.
     n = kept.groupBy("a", "b").agg(F.count("*").alias("__n"))  # pairs of groups are few
     placed = cumulative(kept, ["a", "b"], "metric", [F.asc(unit)], F.lit(1), descending=True).join(F.broadcast(n), ["a", "b"])

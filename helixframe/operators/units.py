@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import overlap_join_half_open
+
 
 @dataclass(frozen=True)
 class UnitRules:
@@ -211,13 +213,13 @@ def core_of_gene(gene: tuple[int, int], neighbours: tuple[float | None, float |
     return best and (best[0], best[1], covers(best[0], best[1]) - 1e-9, identity(best), len(best[2]))
 
 
-def duplicated_cores(genes: DataFrame, spans: DataFrame, haplotype: str, least: float = 0.9, distance: int = 1000) -> DataFrame:
+def duplicated_cores(genes: DataFrame, spans: DataFrame, haplotype: str, least: float = 0.9, distance: int = 1000, bin_size: int = 10_000) -> DataFrame:
     """The duplicated core of each gene. genes (haplotype, gene, gs, ge), spans (haplotype, s, e, identity) ->
-    haplotype, gene, core, core_s, core_e, coverage, identity, spans; a task gets one gene's overlapping spans."""
+    haplotype, gene, core, core_s, core_e, coverage, identity, spans; genes meet spans in bins of their haplotype, a task gets one gene's overlapping spans."""
     kind = {c: genes.schema[c].dataType.simpleString() for c in (haplotype, "gene")}
     w = Window.partitionBy(haplotype).orderBy("gs", "ge", "gene")
     placed = genes.select(haplotype, "gene", "gs", "ge", F.lag("ge").over(w).alias("before"), F.lead("gs").over(w).alias("after"))
-    both = placed.join(spans.select(haplotype, "s", "e", "identity"), haplotype).filter("s < ge and e > gs")
+    both = overlap_join_half_open(placed, spans.select(haplotype, "s", "e", "identity"), ("gs", "ge"), ("s", "e"), [haplotype], bin_size).drop("overlap")
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         g = p.iloc[0]
