@@ -4,7 +4,7 @@ Words lose surrounding punctuation and case; numbers, units after numbers and na
 words inside a sentence) become typed placeholders. Of slots in a row only the first (or a number with its unit, or a
 name of two words) is a placeholder, the others keep their value: so tables of numbers and lists of names are compared by value, and every
 window can be joined. Windows of WINDOW template tokens of a document are joined with those of the
-benchmark items by the hash of the whole window.
+benchmark items by the hash of the whole window; windows with a token that no item has are not hashed.
 The windows of one document and item on one alignment vote on the slots: the value that most places of an item's
 value have in the document (the first of equals) is its value there, and windows that hold another one are not
 counted. A document is contaminated by an item if MIN_PERCENT of the item's windows or more are matched, so a question with
@@ -92,10 +92,38 @@ def _prepared(df: DataFrame, ids: list[str]) -> DataFrame:
     return df.select(*ids, values(F.col("text")).alias("__v")).select(*ids, "__v", template(F.col("__v")).alias("__t"))
 
 
-def _windows(tokens: Column, size: int) -> Column:
-    """Place and hash of each window of `size` tokens."""
+#: The vocabulary of the benchmark as a map of 64 * WORDS bits by token hash; full for a very large one, when it passes every token.
+WORDS = 4096
+
+
+def _spot(token: Column) -> tuple[Column, Column]:
+    """Word and bit of a token in the map; its lowest two bits are its kind."""
+    return F.shiftrightunsigned(token, 8).bitwiseAND(F.lit(WORDS - 1)).cast("int"), F.shiftrightunsigned(token, 2).bitwiseAND(F.lit(63)).cast("int")
+
+
+def _vocabulary(items: DataFrame) -> Column:
+    """The map of all tokens of the items, a constant of the plan."""
+    word, bit = _spot(F.col("t"))
+    tokens = items.select(F.explode("__t").alias("t")).select(word.alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("b"))
+    rows = {r["w"]: r["b"] for r in tokens.groupBy("w").agg(F.bit_or("b").alias("b")).collect()}  # WORDS rows at most
+    return F.split(F.lit(",".join(str(rows.get(w, 0)) for w in range(WORDS))), ",").cast("array<bigint>")
+
+
+def _windows(tokens: Column, size: int, known: Column | None = None) -> Column:
+    """Place and hash of each window of `size` tokens; with a map, of those whose tokens may all be in it."""
     n = F.size(tokens) - size + 1
     places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+    def possible(i: Column) -> Column:
+        # Most windows fail at once: both ends first, and nothing further is looked at after a token that isn't there.
+        there = None
+        for k in dict.fromkeys((0, size - 1, *range(size))):
+            word, bit = _spot(F.get(tokens, i + k))
+            one = F.getbit(F.get(known, word), bit) == 1
+            there = one if there is None else there & one
+        return there
+
+    places = places if known is None else F.filter(places, possible)
     return F.transform(places, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.lit(size), *[F.get(tokens, i + k) for k in range(size)]).alias("key")))
 
 
@@ -121,13 +149,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, mi
     """doc_id, __text (hash of the text), item_id, matched_windows, item_windows of each contaminated document and item."""
     scratch = Scratch(docs.sparkSession, "decontamination")
     items = _prepared(benchmark.select("item_id", F.xxhash64("text").alias("__item"), "text").dropDuplicates(), ["item_id", "__item"])
-    side = scratch.save(_item_windows(scratch.save(items.filter("__t is not null and size(__t) > 0"), "items"), window), "windows")
+    items = scratch.save(items.filter("__t is not null and size(__t) > 0"), "items")
+    side, known = scratch.save(_item_windows(items, window), "windows"), _vocabulary(items)
     facts = side.agg(F.count("*").alias("n"), F.collect_set("__size").alias("sizes")).first()
     sizes, doc = sorted(facts["sizes"]) or [window], ["doc_id", "__text"]  # at most `window` sizes
     side = side.drop("__size")
 
     texts = _prepared(docs.select("doc_id", F.xxhash64("text").alias("__text"), "text"), doc)
-    spots = texts.select(*doc, "__v", F.explode(F.concat(*[_windows(F.col("__t"), n) for n in sizes])).alias("w")).select(*doc, "__v", F.col("w.pos").alias("__pos"), F.col("w.key").alias("__key"))
+    spots = texts.select(*doc, "__v", F.explode(F.concat(*[_windows(F.col("__t"), n, known) for n in sizes])).alias("w")).select(*doc, "__v", F.col("w.pos").alias("__pos"), F.col("w.key").alias("__key"))
     shift = F.col("__pos") - F.col("__ipos")
     met = lambda v: F.transform("__slots", lambda s: F.struct(s["p"].alias("p"), s["a"].alias("a"), F.get(v, s["p"] + F.col("__shift")).alias("b")))
     hit = [*doc, "item_id", "__item", "__n", "__ipos", "__shift"]
