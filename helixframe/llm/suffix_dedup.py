@@ -419,7 +419,7 @@ def refined(rows: DataFrame, scratch: Scratch, hot_segments: int) -> tuple[DataF
 
 
 def later(held: DataFrame) -> DataFrame:
-    """doc, a, b of the members after the holder of their segment, without a row of its own for each of them before the cut: a batch at a time."""
+    """doc, a, b of the members after the holder of their segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -431,7 +431,10 @@ def later(held: DataFrame) -> DataFrame:
             gone = doc > holder
             yield pa.RecordBatch.from_arrays([pa.array(x[gone].astype(np.int64)) for x in (doc, lo, lo + n)], names=["doc", "a", "b"])
 
-    return held.filter("holder is not null").select("members", "holder", "n").mapInArrow(run, "doc long, a long, b long")
+    # Rows hold many members or few; dealt by their content, so that each task gets its share of copies.
+    rows = held.filter("holder is not null").select("members", "holder", "n")
+    parts = max(int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")), held.sparkSession.sparkContext.defaultParallelism)
+    return rows.repartition(parts, F.xxhash64("members")).mapInArrow(run, "doc long, a long, b long")
 
 
 def finished(rows: DataFrame) -> DataFrame:
