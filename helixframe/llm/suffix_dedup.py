@@ -488,13 +488,18 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     if n_hot:
         cold, hots = segments(again.join(hot, "h", "left_anti")), segments(again.join(hot, "h", "left_semi"))
         small, parts = refined(cut_out_together(hots), scratch, HOT_SEGMENTS)
-        spans = solved(cut_out(cold)).unionByName(solved(small))
+        # Cut out first and written, so the shuffled texts are gone when the segments are shuffled.
+        cold = scratch.save(cut_out(cold), "cold")
+        scratch.drop("repeated")
+        spans = solved(cold).unionByName(solved(small))
         for part in parts:
             spans = spans.unionByName(part)
     else:
-        spans = solved(cut_out(segments(again)))
+        cold = scratch.save(cut_out(segments(again)), "cold")
+        scratch.drop("repeated")
+        spans = solved(cold)
     spans = scratch.save(spans, "spans")
-    for name in ("repeated", "hot", "hot-spans", *(f"hot-known-{k}" for k in range(1, 9))):
+    for name in ("cold", "hot", "hot-spans", *(f"hot-known-{k}" for k in range(1, 9))):
         scratch.drop(name)
 
     per = spans.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
