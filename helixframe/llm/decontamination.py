@@ -16,7 +16,8 @@ a larger one is joined by a shuffle of ids, places and hashes.
 Cases: null or empty texts have no windows; an item with fewer tokens than WINDOW is one window of its own
 length, and is never found if more than half of it is placeholders; equal items match as items of their own; rows with null ids take part like others, on both sides; repeated rows of a
 document or item count once, and equal ids with unequal texts are documents or items of their own; an empty
-table on either side gives no rows; other columns are ignored.
+table on either side gives no rows; a very long text is one row and searched whole; of equally frequent values of a slot the first in the item counts; other
+columns are ignored and can't clash.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ are broadcast, all others meet the lines in a shuffled join.
 
 Cases: a null or empty text is one empty line, and empty keys are never dropped; rows
 with a null doc_id are documents like any other; repeated rows count as documents of
-their own; an empty table gives an empty result; other columns are carried through, and a new column whose name is
+their own; a very long text is split whole, row by row; ties can't arise, as all lines of a key stay or go; an empty table gives an empty result; other columns are carried through, and a new column whose name is
 taken gets underscores after it.
 """
 

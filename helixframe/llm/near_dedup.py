@@ -19,7 +19,8 @@ components of the same bucket that step 2 couldn't join meet again.
 
 Cases: null texts and texts without words have no shingles and no links; shorter texts than a
 shingle are one shingle; rows with a null doc_id are returned unlinked (component null, kept);
-repeated rows of one id are one node; an empty table gives no rows.
+repeated rows of one id are one node (of unequal texts of one id any one counts); ties: the smallest id of a group stands for it. A very long text is
+shingled whole in one task. Only doc_id and text are read, so other columns can't clash, and none is returned; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -12,7 +12,9 @@ The plan holds at most three bin classes for each length and `capacity` items in
 which bounds what is broadcast.
 
 Cases: a null or empty text is a document of the end id alone; rows with null ids are packed
-like others; repeated rows are packed as often as they occur; an empty table gives no rows.
+like others; repeated rows are packed as often as they occur; unequal texts of one id are documents of their own; pieces of equal length are ranked
+by doc_id, piece and start (a tie changes places, never lengths); a very long text is encoded whole in one task, then cut. Only doc_id and text are read, so
+other columns can't clash, and none is returned; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ compared by 64-bit hashes within one text.
 
 The text is split into words once for each row, and all rules and measures read that split.
 
-Cases: a null, empty or blank text has no words and fails the base rule; rows with
+Cases: a null, empty or blank text has no words and fails the base rule; a very long text is judged whole, in one row;
+of several rules that reject, the first in the order counts (kept is the same in any order); rows with
 null ids, repeated rows and extra columns pass through, and a new column whose name is taken gets underscores after it; an
 empty table gives an empty result with the rules in their written order.
 """

@@ -2,7 +2,7 @@
 
 A node of k shards is cut along its widest metadata dimension at the weighted median
 (the quantile floor(k/2)/k of bytes), until each leaf is one shard of about the target
-bytes. The median is found by distributed histograms: five rounds of BINS equal-width
+bytes. The median is found by distributed histograms: four rounds of BINS equal-width
 bins over (dimension value, hash) keys, each round zooming into the bin that holds
 the target weight; all nodes of a level share a job. What reaches the driver is one row
 for each node, and what is broadcast is one row for each cut: both are bounded by the
@@ -13,7 +13,8 @@ the corpus, so that widths compare. Equal values are told apart by a hash of the
 
 Cases: null texts have 16 bytes; null dimension values share one place and null ids count as 0; repeated rows
 have one key, so they share a shard; an empty table gives no rows;
-shards may be empty when there are fewer documents than shards.
+shards may be empty when there are fewer documents than shards. Ties of a cut go by the order keys, slots by doc_id, then text_crc32. Texts
+of any length count by their bytes alone. write_shards keeps all columns of the caller; its own get underscores where a name is taken.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents, if_small
+from .common import Scratch, documents, free_name, if_small
 
 BINS = 4096
 ROUNDS = 4
@@ -142,10 +143,11 @@ def shard(docs: DataFrame, n_shards: int | None = None, target_bytes: int | None
 def write_shards(docs: DataFrame, path: str, **how) -> None:
     """The documents themselves, one folder for each shard, in slot order."""
     placed = shard(docs, **how).select(F.col("doc_id").alias("__id"), F.col("text_crc32").alias("__crc"), "shard", "slot").dropDuplicates(["__id", "__crc"])
-    wide = docs.drop("shard", "slot").select(F.struct("*").alias("__row"))
+    shard_name, slot_name = free_name(docs, "shard"), free_name(docs, "slot")
+    wide = docs.select(F.struct("*").alias("__row"))
     crc = F.crc32(F.coalesce(F.col("__row.text"), F.lit("")))
-    joined = wide.join(placed, F.col("__row.doc_id").eqNullSafe(F.col("__id")) & (crc == F.col("__crc"))).select("__row.*", "shard", "slot")
-    joined.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    joined = wide.join(placed, F.col("__row.doc_id").eqNullSafe(F.col("__id")) & (crc == F.col("__crc"))).select("__row.*", F.col("shard").alias(shard_name), F.col("slot").alias(slot_name))
+    joined.repartition(shard_name).sortWithinPartitions(shard_name, slot_name).write.partitionBy(shard_name).parquet(path)
 
 
 def op2_sharding(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,8 @@ come back. The sample decides where a word is counted, never what its count is.
 
 Cases: null, empty and blank texts are the end token alone; without training texts all counts are 0 and
 every symbol has the same probability; rows with null ids belong to the training texts; repeated rows count as often as they
-occur; an empty table gives no rows. docs is read three times and must give the same rows in the same
+occur; a very long text is counted and scored whole in one task; equal counts make equal probabilities, so ties decide nothing; only doc_id and text are
+read, so other columns can't clash, and none is returned; an empty table gives no rows. docs is read three times and must give the same rows in the same
 order each time (a table does); otherwise the run fails with an error.
 """
 

@@ -9,7 +9,8 @@ a logistic regression. Scoring reads every whole text.
 Cases: null and empty texts have no windows and get the score of the intercept; rows
 without a label are not trained on; conflicting labels of one id count as toxic, and of several texts of one id the smallest is learnt from; with no
 labelled rows of both kinds every score is the smoothed share of toxic rows; repeated rows and
-null ids are scored like others.
+null ids are scored like others; a very long text is scored whole, in parts of its batch; features that tell equally much are taken in the order of their bucket; only
+the named columns are read, so others can't clash, and none is returned; an empty table gives no rows.
 """
 
 from __future__ import annotations

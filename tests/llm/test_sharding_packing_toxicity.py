@@ -158,3 +158,15 @@ def test_toxicity_query_on_odd_tables(spark, tmp_path):
     assert ((held["doc_id"] % 4 == 0) == (held["predicted"] == 1)).mean() > 0.9
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet", mode="overwrite")
     assert query(spark, f"file://{tmp_path}").select("score").distinct().count() == 1
+
+
+def test_written_shards_keep_the_callers_columns(spark, frame, tmp_path):
+    """Columns named as the operator's own stay; the written rows are in slot order inside their shard."""
+    mine = frame.withColumns({"slot": F.lit("mine"), "shard": F.lit("yours")})
+    sharding.write_shards(mine, f"file://{tmp_path}/out", n_shards=4)
+    out = spark.read.parquet(f"file://{tmp_path}/out")
+    assert set(out.columns) == {*mine.columns, "shard_", "slot_"}
+    rows = out.collect()
+    assert len(rows) == mine.count() and all(r["slot"] == "mine" and r["shard"] == "yours" for r in rows)
+    for k in range(4):
+        assert sorted(r["slot_"] for r in rows if r["shard_"] == k) == list(range(sum(r["shard_"] == k for r in rows)))
