@@ -39,6 +39,7 @@ BATCH_BYTES = 1 << 20
 SIDE, SIDE_BITS = (LENGTH - K) // 2, 4
 BROADCAST_IDS, BROADCAST_TEXTS = 1_000_000, 200_000
 HOT_ROWS = 64
+PIECE = 16  # members of a segment that are dealt together
 HOT_SEGMENTS = 10_000
 MOST_BYTES = 1 << 28  # of a text
 MARK = -(1 << 63)
@@ -431,8 +432,9 @@ def later(held: DataFrame) -> DataFrame:
             gone = doc > holder
             yield pa.RecordBatch.from_arrays([pa.array(x[gone].astype(np.int64)) for x in (doc, lo, lo + n)], names=["doc", "a", "b"])
 
-    # Rows hold many members or few; dealt by their content, so that each task gets its share of copies.
-    rows = held.filter("holder is not null").select("members", "holder", "n")
+    # Rows hold many members or few: cut into pieces that are dealt by their content, so that each task gets its share of copies.
+    pieces = F.transform(F.sequence(F.lit(0), F.expr(f"(size(members) - 1) div {PIECE}").cast("int")), lambda i: F.slice("members", i * PIECE + 1, F.lit(PIECE)))
+    rows = held.filter("holder is not null").select(F.explode(pieces).alias("members"), "holder", "n")
     parts = max(int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")), held.sparkSession.sparkContext.defaultParallelism)
     return rows.repartition(parts, F.xxhash64("members")).mapInArrow(run, "doc long, a long, b long")
 
