@@ -488,11 +488,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         return named.join(rows.groupBy("doc").agg(F.collect_set(F.struct("h", "place")).alias("segments")), "doc")
 
     if n_hot:
-        cold, hots = segments(again.join(hot, "h", "left_anti")), segments(again.join(hot, "h", "left_semi"))
+        # Marked in one lookup and written, so that no join makes the rows of hot groups alone.
+        marked = again.join(hot.withColumn("hot", F.lit(1)), "h", "left").select("h", "doc", "place", F.coalesce("hot", F.lit(0)).alias("hot"))
+        marked = scratch.save(marked, "marked")
+        scratch.drop("repeated")
+        cold, hots = (segments(marked.filter(F.col("hot") == i)) for i in (0, 1))
         small, parts = refined(cut_out_together(hots), scratch, HOT_SEGMENTS)
         # Cut out first and written, so the shuffled texts are gone when the segments are shuffled.
         cold = scratch.save(cut_out(cold), "cold")
-        scratch.drop("repeated")
+        scratch.drop("marked")
         spans = solved(cold).unionByName(solved(small))
         for part in parts:
             spans = spans.unionByName(part)
