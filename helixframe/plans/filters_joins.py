@@ -324,11 +324,10 @@ def exon_overlap(spark, d):
 
 @query("j14_best_match", "SELECT a AS p_partkey, b AS best, round(score, 6) AS score FROM (SELECT a.p_partkey AS a, b.p_partkey AS b, -abs(a.p_retailprice - b.p_retailprice) - abs(a.p_size - b.p_size) AS score, row_number() OVER (PARTITION BY a.p_partkey ORDER BY round(-abs(a.p_retailprice - b.p_retailprice) - abs(a.p_size - b.p_size), 6) DESC, b.p_partkey) AS rn FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey <> b.p_partkey) WHERE rn = 1")
 def best_match(spark, d):
-    p = table(spark, d, "part")
-    b = p.select("p_brand", "p_type", F.col("p_partkey").alias("best"), F.col("p_retailprice").alias("price2"), F.col("p_size").alias("size2"))
-    score = F.round(-F.abs(F.col("p_retailprice") - F.col("price2")) - F.abs(F.col("p_size") - F.col("size2")), 6)
-    pairs = p.join(b, ["p_brand", "p_type"]).filter("p_partkey <> best").withColumn("score", score)
-    return O.best_record(pairs, ["p_partkey"], [F.desc("score"), F.asc("best")]).select("p_partkey", "best", "score")
+    # Prices have two decimals: in millionths, costs are whole numbers.
+    p = table(spark, d, "part").select("p_brand", "p_type", "p_partkey", F.round(F.col("p_retailprice") * 1e6).cast("long").alias("x"), (F.col("p_size") * 1_000_000).cast("long").alias("y"))
+    near = O.nearest_in_plane(p, ["p_brand", "p_type"], "p_partkey", "x", "y")
+    return near.select("p_partkey", "best", F.round(-F.col("cost") / 1e6, 6).alias("score"))
 
 
 @query("j16_bounded_product", "SELECT a.n_name AS n_name, r.r_name AS r_name FROM nation a, region r WHERE a.n_regionkey <> r.r_regionkey AND length(a.n_name) > length(r.r_name)")
