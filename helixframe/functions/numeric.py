@@ -124,6 +124,8 @@ def root(f: Callable[[float], float], low: float, high: float, steps: int = 200)
     rising = f(high) > f(low)
     for _ in range(steps):
         mid = (low + high) / 2
+        if mid in (low, high):
+            break
         if (f(mid) > 0) == rising:
             high = mid
         else:
@@ -136,44 +138,87 @@ def t_quantile(p: float, df: float) -> float:
     return half if p >= 0.5 else -half
 
 
-def _two_sided(logs: np.ndarray, at: int) -> float:
+def _mode(step: Callable[[np.ndarray], np.ndarray], low: int, high: int) -> int:
+    """The likeliest k of low .. high; step(k) is the logarithm of p(k + 1) / p(k), which falls."""
+    while low < high:
+        mid = (low + high) // 2
+        if step(np.array([mid], float))[0] > 0:
+            low = mid + 1
+        else:
+            high = mid
+    return low
+
+
+def _law(step: Callable[[np.ndarray], np.ndarray], low: int, high: int, least: float = -760.0) -> tuple[int, np.ndarray]:
+    """The first k and the logarithms, up to a constant, of a law on low .. high with one peak, as far as they are above `least` from it: what is
+    beyond is 0 as a double, so the table grows with the spread and not with the range."""
+    mode = _mode(step, low, high)
+
+    def side(k: int, way: int, end: int) -> np.ndarray:
+        parts, at, size = [], 0.0, 1024
+        while k != end and at > least:
+            n = min(size, abs(end - k))
+            steps = np.arange(n, dtype=float) * way + k
+            logs = at + np.cumsum(step(steps) if way > 0 else -step(steps - 1))
+            parts.append(logs)
+            at, k, size = logs[-1], k + way * n, size * 2
+        return np.concatenate(parts) if parts else np.zeros(0)
+
+    down, up = side(mode, -1, low), side(mode, 1, high)
+    return mode - len(down), np.concatenate([down[::-1], [0.0], up])
+
+
+def _two_sided(first: int, logs: np.ndarray, at: int) -> float:
     """Sum of the probabilities that are no larger than the observed one."""
-    return float(min(1.0, np.exp(logs[logs <= logs[at] + math.log1p(1e-7)]).sum()))
+    if not first <= at < first + len(logs):
+        return 0.0
+    p = np.exp(logs)
+    return float(min(1.0, p[logs <= logs[at - first] + math.log1p(1e-7)].sum() / p.sum()))
 
 
 def poisson_rate_test(x1: int, t1: float, x2: int, t2: float, level: float = 0.95) -> dict[str, float]:
     """Exact comparison of two Poisson rates, given the total: ratio, p and Clopper-Pearson limits of the ratio."""
-    n, share = x1 + x2, t1 / (t1 + t2)
-    k = np.arange(n + 1)
-    logs = np.array([math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) for i in k]) + k * math.log(share) + (n - k) * math.log1p(-share)
+    n, share = int(x1 + x2), t1 / (t1 + t2)
+    rise = math.log(share) - math.log1p(-share)
+    law = _law(lambda k: np.log((n - k) / (k + 1)) + rise, 0, n)
     tail = (1 - level) / 2
     low = 0.0 if x1 == 0 else root(lambda p: beta_cdf(x1, n - x1 + 1, p) - tail, 0.0, 1.0)
     high = 1.0 if x1 == n else root(lambda p: beta_cdf(x1 + 1, n - x1, p) - (1 - tail), 0.0, 1.0)
     odds = lambda p: math.inf if p >= 1 else p / (1 - p) * t2 / t1
     ratio = (x1 / t1) / (x2 / t2) if x2 else (math.inf if x1 else math.nan)
-    return {"ratio": ratio, "p": _two_sided(logs, x1) if n else 1.0, "low": odds(low), "high": odds(high)}
+    return {"ratio": ratio, "p": _two_sided(*law, int(x1)) if n else 1.0, "low": odds(low), "high": odds(high)}
 
 
 def fisher_exact(a: int, b: int, c: int, d: int, level: float = 0.95) -> dict[str, float]:
     """2 x 2 table [[a, b], [c, d]]: two-sided p, conditional maximum-likelihood odds ratio and its limits."""
-    row, col, n = a + b, a + c, a + b + c + d
-    k = np.arange(max(0, row + col - n), min(row, col) + 1)
-    choose = lambda m, r: np.array([math.lgamma(m + 1) - math.lgamma(i + 1) - math.lgamma(m - i + 1) for i in r])
-    logs = choose(col, k) + choose(n - col, row - k)
-    central = logs - math.log(np.exp(logs - logs.max()).sum()) - logs.max()
-
-    def law(log_odds: float) -> np.ndarray:
-        w = logs + log_odds * k
-        w = np.exp(w - w.max())
-        return w / w.sum()
-
-    at, tail = int(a - k[0]), (1 - level) / 2
-    top, bottom = a == k[-1], a == k[0]
+    a, row, col, n = int(a), int(a + b), int(a + c), int(a + b + c + d)
+    lowest, highest = max(0, row + col - n), min(row, col)
+    step = lambda k: np.log((col - k) / (k + 1) * (row - k) / (n - col - row + k + 1))
+
+    def law(log_odds: float) -> tuple[np.ndarray, np.ndarray]:
+        first, logs = _law(lambda k: step(k) + log_odds, lowest, highest)
+        p = np.exp(logs)
+        return np.arange(first, first + len(p)), p / p.sum()
+
+    def moment(log_odds: float) -> float:
+        k, p = law(log_odds)
+        return float((p * k).sum()) - a
+
+    def above(log_odds: float) -> float:
+        k, p = law(log_odds)
+        return float(p[k >= a].sum())
+
+    def below(log_odds: float) -> float:
+        k, p = law(log_odds)
+        return float(p[k <= a].sum())
+
+    tail = (1 - level) / 2
+    top, bottom = a == highest, a == lowest
     solve = lambda f: math.exp(root(f, -60.0, 60.0))
-    odds = math.inf if top else 0.0 if bottom else solve(lambda o: (law(o) * k).sum() - a)
-    low = 0.0 if bottom else solve(lambda o: law(o)[at:].sum() - tail)
-    high = math.inf if top else solve(lambda o: tail - law(o)[: at + 1].sum())
-    return {"odds_ratio": odds, "p": _two_sided(central, at), "low": low, "high": high}
+    odds = math.inf if top else 0.0 if bottom else solve(moment)
+    low = 0.0 if bottom else solve(lambda o: above(o) - tail)
+    high = math.inf if top else solve(lambda o: tail - below(o))
+    return {"odds_ratio": odds, "p": _two_sided(*_law(step, lowest, highest), a), "low": low, "high": high}
 
 
 def least_squares(x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
