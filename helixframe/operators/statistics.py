@@ -17,7 +17,8 @@ def weighted_mean(v: Column, w: Column) -> Column:
 
 def pair_differentiation(df: DataFrame, unit: str, group: str, value: str) -> DataFrame:
     """unit, a, b, vst, diff for every pair of groups of a unit: the share of the pooled variance (over all values of
-    both) that isn't within the groups. Null for fewer than two values on a side, constant values or a negative share."""
+    both) that isn't within the groups. Null for fewer than two values on a side, constant values or a negative share.
+    A share that rounding alone tells from 0 is 0, so the order in which rows were added up doesn't decide."""
     stats = df.groupBy(unit, group).agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.var_samp(value).alias("v"))
     a = stats.select(unit, F.col(group).alias("a"), F.col("n").alias("na"), F.col("m").alias("ma"), F.col("v").alias("va"))
     b = stats.select(unit, F.col(group).alias("b"), F.col("n").alias("nb"), F.col("m").alias("mb"), F.col("v").alias("vb"))
@@ -25,7 +26,8 @@ def pair_differentiation(df: DataFrame, unit: str, group: str, value: str) -> Da
     n = F.col("na") + F.col("nb")
     squares = (F.col("na") - 1) * F.col("va") + (F.col("nb") - 1) * F.col("vb") + F.col("na") * F.col("nb") / n * (F.col("ma") - F.col("mb")) * (F.col("ma") - F.col("mb"))
     total, within = squares / (n - 1), (F.col("na") * F.col("va") + F.col("nb") * F.col("vb")) / n
-    vst = F.when(total > 0, (total - within) / F.when(total > 0, total))
+    share = (total - within) / F.when(total > 0, total)
+    vst = F.when(total > 0, F.when(F.abs(share) < 1e-13, 0.0).otherwise(share))
     return pairs.select(unit, "a", "b", F.when(vst >= 0, vst).alias("vst"), (F.col("ma") - F.col("mb")).alias("diff"))
 
 
