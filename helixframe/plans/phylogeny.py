@@ -213,8 +213,7 @@ def episodes(spark, d):
     o = table(spark, d, "orders")
     parent = F.nullif(F.floor(F.col("o_orderkey") / 2), F.lit(0).cast("long"))
     tree = o.select(F.col("o_orderkey").alias("node"), parent.alias("parent"), F.when(F.col("o_orderstatus") == "F", F.col("o_custkey") % 4).otherwise(0).cast("long").alias("gain"), F.nullif("o_orderpriority", F.lit("5-LOW")).alias("order"))
-    tips = tree.join(tree.select(F.col("parent").alias("node")), "node", "left_anti")
-    return T.episodes(tree, T.ancestors(tree), tips)
+    return M.episodes(tree)
 
 
 

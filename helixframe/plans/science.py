@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric as N
 from ..functions.contracts import collected
 from ..operators import graphs as G
+from ..operators import messages as M
 from ..operators import ordered as O
 from ..operators import sequence as Q
 from ..operators import trees as T
@@ -57,13 +58,13 @@ def order_tree(spark, d):
 @query("j24_nearest_ancestor", f"WITH RECURSIVE {_TREE} SELECT t.node AS node, (SELECT arg_min(anc, steps) FROM r JOIN t u ON r.anc = u.node WHERE r.node = t.node AND steps > 0 AND u.status = 'F') AS nearest FROM t")
 def nearest_ancestor(spark, d):
     tree = order_tree(spark, d)
-    return T.nearest_ancestor(T.ancestors(tree), tree.filter("status = 'F'").select("node"))
+    return M.nearest_marked(tree, tree.filter("status = 'F'").select("node"))
 
 
 
 @query("j25_descendant_closure", f"WITH RECURSIVE {_TREE} SELECT anc AS ancestor, count(*) AS members, max(steps) AS depth FROM r GROUP BY 1")
 def descendants(spark, d):
-    return T.ancestors(order_tree(spark, d)).groupBy("ancestor").agg(F.count("*").alias("members"), F.max("steps").alias("depth"))
+    return M.heights(order_tree(spark, d))
 
 
 

@@ -97,3 +97,15 @@ def test_states_of_a_wide_family(spark):
     out = discrete_states(spark.createDataFrame(tree, "node long, parent long, length double"), spark.createDataFrame(tips, "node long, trait string, s string"), "trait", "s", ["a", "b"], tolerance=1e-2).collect()
     assert len(out) == 3003 and all(r["loglik"] is not None and r["probability"] > 0 for r in out)
     assert {r["node"]: r["state"] for r in out if r["node"] >= 10} == {n: s for n, _, s in tips}
+
+
+def test_tree_queries_build_no_closure(spark, monkeypatch):
+    from helixframe.operators import trees
+    from helixframe.plans.catalog import QUERIES
+
+    def closure(*_):
+        raise AssertionError("a row for each pair of a node and an ancestor")
+
+    monkeypatch.setattr(trees, "ancestors", closure)
+    for name in ("j24_nearest_ancestor", "j25_descendant_closure", "p24_episodes"):
+        assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
