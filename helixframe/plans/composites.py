@@ -67,7 +67,8 @@ def blocks(spark, d):
 def informative(spark, d):
     c = columns(spark, d, 0, 1)
     side = lambda k, name: F.max(F.when(F.col("doc_id") == k, F.col("base"))).alias(name)
-    p = c.groupBy("pos").agg(side(0, "pa"), side(1, "pb")).filter("pa <> pb")
+    # A maximum of texts sorts its rows: only those of the two references.
+    p = c.filter(F.col("doc_id").isin(0, 1)).groupBy("pos").agg(side(0, "pa"), side(1, "pb")).filter("pa <> pb")
     rows = c.filter("doc_id > 1").join(F.broadcast(p), "pos").filter("(base = pa or base = pb) and base not in ('-', 'N')")
     return rows.groupBy("doc_id").agg(F.count_if(F.col("base") == F.col("pa")).alias("from_a"), F.count_if(F.col("base") == F.col("pb")).alias("from_b"))
 

@@ -108,7 +108,8 @@ def variable(spark, d):
 def focal(spark, d):
     c = columns(spark, d, 0, 1)
     side = lambda k, name: F.max(F.when(F.col("doc_id") == k, F.col("base"))).alias(name)
-    flank = c.groupBy("pos").agg(side(0, "l"), side(1, "r")).filter("l <> r")
+    # A maximum of texts sorts its rows: only those of the two references.
+    flank = c.filter(F.col("doc_id").isin(0, 1)).groupBy("pos").agg(side(0, "l"), side(1, "r")).filter("l <> r")
     b, left, right = F.col("base"), F.col("l"), F.col("r")
     return c.join(F.broadcast(flank), "pos").groupBy("doc_id").agg(F.count_if(b == left).alias("left_n"), F.count_if(b == right).alias("right_n"), F.count_if((b != left) & (b != right)).alias("other_n"))
 

@@ -109,3 +109,21 @@ def test_tree_queries_build_no_closure(spark, monkeypatch):
     monkeypatch.setattr(trees, "ancestors", closure)
     for name in ("j24_nearest_ancestor", "j25_descendant_closure", "p24_episodes"):
         assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_references_alone_are_sorted(spark):
+    from helixframe.plans.catalog import QUERIES
+
+    for name in ("p05_focal_states", "p04_informative_sites"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "IN (0,1)" in plan
+
+
+def test_self_overlaps(spark):
+    from helixframe.operators.intervals import self_overlaps_half_open
+
+    rng = random.Random(2)
+    rows = [(k, k % 3, a, a + rng.randrange(0, 40)) for k in range(150) for a in [rng.randrange(100)]]
+    got = self_overlaps_half_open(spark.createDataFrame(rows, "i long, g long, s long, e long"), ("s", "e"), ["g"], ["i"], 16)
+    got = sorted((*sorted((r["i"], r["i2"])), r["overlap"]) for r in got.collect())
+    assert got == sorted((i, j, min(e, v) - max(s, u)) for i, g, s, e in rows for j, h, u, v in rows if i < j and g == h and s < v and u < e and min(e, v) > max(s, u))
