@@ -25,6 +25,18 @@ def overlap_join_half_open(a: DataFrame, b: DataFrame, bounds_a: tuple[str, str]
     return kept.withColumn("overlap", overlap_length(F.col(s1), F.col(e1), F.col(s2), F.col(e2))).drop("__bin")
 
 
+def self_overlaps_half_open(df: DataFrame, bounds: tuple[str, str], keys: list[str], order: list[str], bin_size: int) -> DataFrame:
+    """Unordered pairs of overlapping intervals of one table with equal keys, once each: the columns of the one that starts first (ties: `order`;
+    rows that are equal in it too are no pair), those of the other with the suffix 2, and the overlap. Only the first side is dealt into bins; the other is in that of its start."""
+    s, e = bounds
+    last = F.greatest(F.ceil(F.col(e) / bin_size) - 1, F.floor(F.col(s) / bin_size))
+    first = df.filter(F.col(s) < F.col(e)).withColumn("__bin", F.explode(F.sequence(F.floor(F.col(s) / bin_size), last)))
+    later = df.filter(F.col(s) < F.col(e)).select(*keys, *(F.col(c).alias(f"{c}2") for c in df.columns if c not in keys), F.floor(F.col(s) / bin_size).alias("__bin"))
+    place = lambda end: F.struct(F.col(f"{s}{end}"), *(F.col(f"{c}{end}") for c in order))
+    pairs = first.join(later, [*keys, "__bin"]).filter((F.col(f"{s}2") < F.col(e)) & (F.col(f"{s}2") >= F.col(s)) & (place("") < place("2")))
+    return pairs.withColumn("overlap", F.least(e, f"{e}2") - F.col(f"{s}2")).drop("__bin")
+
+
 def point_join_closed(points: DataFrame, intervals: DataFrame, point: str, bounds: tuple[str, str], keys: list[str], tolerance: int, bin_size: int) -> DataFrame:
     """Points with every interval that holds them or ends within the tolerance, and the distance (0 inside);
     points without one stay, with nulls."""

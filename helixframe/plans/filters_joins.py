@@ -315,9 +315,8 @@ def theta_self(spark, d):
 
 @query("j13_exon_overlap", f"WITH i AS ({INTERVALS}) SELECT a.id AS id, b.id AS id2, sum(least(a.e, b.e) - greatest(a.s, b.s))::BIGINT AS bp, count(*) AS pairs FROM i a JOIN i b ON a.grp = b.grp AND a.s < b.e AND b.s < a.e AND a.id < b.id GROUP BY 1, 2")
 def exon_overlap(spark, d):
-    i = shipments(spark, d)
-    b = i.select(F.col("id").alias("id2"), "grp", F.col("s").alias("s2"), F.col("e").alias("e2"))
-    pairs = I.overlap_join_half_open(i, b, ("s", "e"), ("s2", "e2"), ["grp"], 64).filter("id < id2")
+    pairs = I.self_overlaps_half_open(shipments(spark, d), ("s", "e"), ["grp"], ["id", "line"], 64).filter("id <> id2")
+    pairs = pairs.select(F.least("id", "id2").alias("id"), F.greatest("id", "id2").alias("id2"), "overlap")
     return pairs.groupBy("id", "id2").agg(F.sum("overlap").alias("bp"), F.count("*").alias("pairs"))
 
 
