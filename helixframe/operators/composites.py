@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rounds import dealt, settled
+
 
 def greedy_assignment(pairs: DataFrame, group: list[str], left: str, right: str, order: list[str], score: list[str]) -> DataFrame:
     """One-to-one assignment within each group: left items in coordinate order each take the unused right item of the
@@ -125,21 +127,31 @@ def blocks_of_runs(df: DataFrame, group: list[str], order: list[str], unit: Colu
     return marked.withColumn("__n", new).withColumn("block", F.sum("__n").over(w)).drop("__u", "__n")
 
 
+#: Columns of all parents up to which they are broadcast.
+BROADCAST_COLUMNS = 1_000_000
+
+
 def paired_blocks(letters: DataFrame, pairs: DataFrame) -> DataFrame:
     """child, parent, kind, block, parent_blocks, child_blocks, sites: for each pair of haplotypes and kind of block with two parent blocks
     or more, a row for each block of the child with its informative sites, where all parent blocks are aligned without gaps, differ, and
-    one has the child's base. letters (block, hap, kind, pos, base) are aligned; pairs (child, parent)."""
+    one has the child's base. letters (block, hap, kind, pos, base) are aligned; pairs (child, parent).
+
+    A block is one row with its letters, and meets the informative columns of each parent as one row: letters are never multiplied by pairs.
+    """
     gap = F.col("base").isin("-", "N")
-    blocks = letters.select("hap", "kind", "block").distinct()
+    blocks = settled(dealt(letters, ["hap", "kind", "block"]).groupBy("hap", "kind", "block").agg(F.collect_list(F.struct("pos", "base")).alias("letters")))
     number = blocks.groupBy("hap", "kind").agg(F.count("*").alias("n"))
     columns = letters.groupBy("hap", "kind", "pos").agg(F.count("*").alias("k"), F.collect_set("base").alias("bases"), F.max(gap).alias("gap"))
-    columns = columns.join(number, ["hap", "kind"]).filter("k = n and size(bases) > 1 and not gap").select(F.col("hap").alias("parent"), "kind", "pos", "bases")
-    child = letters.filter(~gap).select(F.col("hap").alias("child"), "kind", "block", "pos", "base")
-    sites = pairs.join(child, "child").join(columns, ["parent", "kind", "pos"]).filter(F.array_contains("bases", F.col("base")))
-    sites = sites.groupBy("child", "parent", "kind", "block").agg(F.count("*").alias("sites"))
-    rows = pairs.join(blocks.withColumnRenamed("hap", "child"), "child").join(number.select(F.col("hap").alias("child"), "kind", F.col("n").alias("child_blocks")), ["child", "kind"])
-    rows = rows.join(number.select(F.col("hap").alias("parent"), "kind", F.col("n").alias("parent_blocks")), ["parent", "kind"]).filter("parent_blocks >= 2")
-    return rows.join(sites, ["child", "parent", "kind", "block"], "left").select("child", "parent", "kind", "block", "parent_blocks", "child_blocks", F.coalesce("sites", F.lit(0).cast("long")).alias("sites"))
+    columns = settled(columns.join(number, ["hap", "kind"]).filter("k = n and size(bases) > 1 and not gap").select("hap", "kind", "pos", "bases"))
+    held = columns.groupBy("hap", "kind").agg(F.map_from_entries(F.collect_list(F.struct("pos", "bases"))).alias("columns"))
+    parents = number.filter("n >= 2").join(held, ["hap", "kind"], "left").withColumnsRenamed({"hap": "parent", "n": "parent_blocks"})
+    children = pairs.join(number.withColumnsRenamed({"hap": "child", "n": "child_blocks"}), "child")
+    if columns.count() <= BROADCAST_COLUMNS and children.count() <= BROADCAST_COLUMNS:
+        parents, children = F.broadcast(parents), F.broadcast(children)
+    met = blocks.withColumnRenamed("hap", "child").join(children, ["child", "kind"]).join(parents, ["parent", "kind"])
+    known = F.filter("letters", lambda x: F.array_contains(F.try_element_at("columns", x["pos"]), x["base"]))
+    sites = F.when(F.col("columns").isNull(), 0).otherwise(F.size(known))
+    return met.select("child", "parent", "kind", "block", "parent_blocks", "child_blocks", sites.cast("long").alias("sites"))
 
 
 def stable_seed(text: str) -> int:

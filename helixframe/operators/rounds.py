@@ -1,4 +1,4 @@
-"""What iterative operators share: tables that end a round."""
+"""What operators share: tables that end a round, and rows dealt to tasks by their number."""
 
 from __future__ import annotations
 
@@ -17,3 +17,14 @@ def settled(df: DataFrame) -> DataFrame:
     path = f"{folder.rstrip('/')}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows that a task gets at most, unless one key has more.
+TASK_ROWS = 500_000
+
+
+def dealt(df: DataFrame, keys: list[str], rows: int | None = None) -> DataFrame:
+    """df dealt by its keys to as many tasks as its rows need (`rows`, if they were counted before). Tasks dealt by compressed bytes grow without bound where
+    rows are alike."""
+    rows = df.count() if rows is None else rows
+    return df.repartition(max(1, -(-rows // TASK_ROWS)), *keys)

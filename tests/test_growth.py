@@ -127,3 +127,17 @@ def test_self_overlaps(spark):
     got = self_overlaps_half_open(spark.createDataFrame(rows, "i long, g long, s long, e long"), ("s", "e"), ["g"], ["i"], 16)
     got = sorted((*sorted((r["i"], r["i2"])), r["overlap"]) for r in got.collect())
     assert got == sorted((i, j, min(e, v) - max(s, u)) for i, g, s, e in rows for j, h, u, v in rows if i < j and g == h and s < v and u < e and min(e, v) > max(s, u))
+
+
+def test_blocks_meet_parents_as_single_rows(spark):
+    from helixframe.operators.composites import paired_blocks
+
+    texts = {("a", 1): "ACGT", ("a", 2): "ACCN", ("a", 3): "-CG", ("b", 4): "AGGT", ("b", 5): "ACGA", ("c", 6): "TGGA"}
+    letters = spark.createDataFrame([(block, hap, "k", i, x) for (hap, block), t in texts.items() for i, x in enumerate(t)], "block int, hap string, kind string, pos int, base string")
+    pairs = spark.createDataFrame([(x, y) for x in "abc" for y in "abc" if x != y], "child string, parent string")
+    out = paired_blocks(letters, pairs)
+    # Place 2 tells the blocks of a apart (G, C, G), places 1 and 3 those of b (G, C and T, A); c has one block.
+    want = {("b", "a", 4): 1, ("b", "a", 5): 1, ("c", "a", 6): 1, ("a", "b", 1): 2, ("a", "b", 2): 1, ("a", "b", 3): 1, ("c", "b", 6): 2}
+    assert {(r["child"], r["parent"], r["block"]): r["sites"] for r in out.collect()} == want
+    assert {(r["parent_blocks"], r["child_blocks"]) for r in out.filter("child = 'c'").collect()} == {(3, 1), (2, 1)}
+    assert "count(1) AS sites" not in out._jdf.queryExecution().optimizedPlan().toString()
