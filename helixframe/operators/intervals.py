@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rounds import dealt
+
 
 def overlap_length(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     return F.greatest(F.lit(0), F.least(e1, e2) - F.greatest(s1, s2))
@@ -72,11 +74,17 @@ def union_touching(df: DataFrame, group: list[str], start: str, end: str) -> Dat
 
 
 def point_clusters(df: DataFrame, group: list[str], point: str, tolerance: int) -> DataFrame:
-    """Clusters of points with gaps of at most the tolerance: the smallest point and the size of each."""
+    """Clusters of points with gaps of at most the tolerance: the smallest point and the size of each.
+
+    One sort: a cluster is its first row, and its size the distance to the first row of the next.
+    """
     w = Window.partitionBy(*group).orderBy(point)
     gap = F.col(point) - F.lag(point).over(w)
-    marked = df.withColumn("__new", F.when(gap.isNull() | (gap > tolerance), 1).otherwise(0)).withColumn("cluster", F.sum("__new").over(w))
-    return marked.groupBy(*group, "cluster").agg(F.min(point).alias(point), F.count("*").alias("size"))
+    numbered = {"cluster": F.sum("__new").over(w), "__at": F.count("*").over(w.rowsBetween(Window.unboundedPreceding, 0)), "__n": F.count("*").over(Window.partitionBy(*group))}
+    marked = dealt(df, group).withColumn("__new", F.when(gap.isNull() | (gap > tolerance), 1).otherwise(0)).withColumns(numbered)
+    first = marked.withColumn("__was", F.lag("cluster").over(w)).filter("__was is null or __was <> cluster")
+    size = F.coalesce(F.lead("__at").over(w), F.col("__n") + 1) - F.col("__at")
+    return first.select(*group, "cluster", point, size.alias("size"))
 
 
 def sliding_windows(df: DataFrame, position: str, size: int, step: int, first: int = 0) -> DataFrame:

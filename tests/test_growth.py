@@ -141,3 +141,26 @@ def test_blocks_meet_parents_as_single_rows(spark):
     assert {(r["child"], r["parent"], r["block"]): r["sites"] for r in out.collect()} == want
     assert {(r["parent_blocks"], r["child_blocks"]) for r in out.filter("child = 'c'").collect()} == {(3, 1), (2, 1)}
     assert "count(1) AS sites" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_clusters_take_one_sort(spark, monkeypatch):
+    from helixframe.operators import intervals, rounds
+
+    monkeypatch.setattr(rounds, "TASK_ROWS", 40)
+    rng = random.Random(8)
+    rows = [(g, None if rng.random() < 0.05 else rng.randrange(300)) for g in (1, 2, 3, None) for _ in range(60)] + [(9, 5), (9, None), (9, None)]
+    got = intervals.point_clusters(spark.createDataFrame(rows, "g int, p long"), ["g"], "p", 3)
+    want = set()
+    for g in {g for g, _ in rows}:
+        points = sorted((p for h, p in rows if h == g), key=lambda p: (p is not None, p))
+        number = points.count(None)
+        if number:
+            want.add((g, number, None, number))
+        own = [p for p in points if p is not None]
+        firsts = [i for i, p in enumerate(own) if not i or p - own[i - 1] > 3]
+        for i, j in zip(firsts, [*firsts[1:], len(own)]):
+            number += 1
+            want.add((g, number, own[i], j - i))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Sort [") == 1 and "Aggregate" not in plan and got.rdd.getNumPartitions() == 7
