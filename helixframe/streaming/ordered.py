@@ -7,10 +7,11 @@ every operator of the engine with a watermark. Streams need the RocksDB state st
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -21,64 +22,65 @@ def state_store(spark: SparkSession) -> None:
 
 
 class _InOrder(StatefulProcessor):
-    """fold(state, row) -> (state, result) over each key's rows by time, then by the tie columns; rows are dicts, states tuples."""
+    """fold(state, row) -> (state, result) over each key's rows by time, then by the tie columns; rows are dicts, states tuples.
 
-    def __init__(self, columns: list[str], ts: str, order: list[str], waiting: T.StructType, state: T.StructType, start: tuple, fold: Callable, name: str):
-        self.columns, self.ts, self.order, self.name = columns, ts, order, name
-        self.waiting_schema, self.state_schema, self.start, self.fold = waiting, state, start, fold
+    Rows of a batch wait as one pickled list, and are touched again only when a timer finds the first of them due.
+    """
+
+    def __init__(self, columns: list[str], order: list[str], state: T.StructType, start: tuple, fold: Callable):
+        self.columns, self.order, self.state_schema, self.start, self.fold = columns, order, state, start, fold
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.waiting_schema)
+        self.waiting = handle.getListState("waiting", WAITING)
         self.state = handle.getValueState("state", self.state_schema)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = []
-        for p in rows:
-            p = p[self.columns].astype(object).where(p[self.columns].notna(), None)
-            p[self.ts] = [int(pd.Timestamp(t).value // 1000) for t in p[self.ts]]
-            new += list(p.itertuples(index=False, name=None))
-        if new:
-            self.waiting.appendList(new)
-        yield from self._sent(timerValues.getCurrentWatermarkInMs())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._sent(timerValues.getCurrentWatermarkInMs())
-
-    def _sent(self, watermark: int) -> Iterator[pd.DataFrame]:
-        rows = [dict(zip(self.columns, r, strict=True)) for r in self.waiting.get()]
-        due = sorted((r for r in rows if r[self.ts] <= watermark * 1000), key=lambda r: tuple(r[c] for c in self.order))
-        rest = [tuple(r[c] for c in self.columns) for r in rows if r[self.ts] > watermark * 1000]
-        if rest:
-            at = self.columns.index(self.ts)
-            self.handle.registerTimer(-(-min(r[at] for r in rest) // 1000))
+    def _wait(self, rows: list[tuple], write: Callable) -> None:
+        write(pickle.dumps(rows))
+        at = self.columns.index(MICROS)
+        self.handle.registerTimer(-(-min(r[at] for r in rows) // 1000))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        # A row that is due already meets its timer at the end of the same batch.
+        self._wait([tuple(r[c] for c in self.columns) for r in rows], lambda b: self.waiting.appendValue((b,)))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        limit = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = [dict(zip(self.columns, r, strict=True)) for (b,) in self.waiting.get() for r in pickle.loads(b)]
+        due = sorted((r for r in rows if r[MICROS] <= limit), key=lambda r: tuple(r[c] for c in self.order))
         if not due:
             return
+        rest = [tuple(r.values()) for r in rows if r[MICROS] > limit]
         if rest:
-            self.waiting.put(rest)
+            self._wait(rest, lambda b: self.waiting.put([(b,)]))
         else:
             self.waiting.clear()
-        state, results = tuple(self.state.get()) if self.state.exists() else self.start, []
+        state = self.state.get()
+        state = self.start if state is None else tuple(state)
+        out = Row(*self.columns, "__result")
         for r in due:
             state, result = self.fold(state, r)
-            results.append(result)
+            yield out(*r.values(), result)
         self.state.update(state)
-        out = pd.DataFrame({c: [r[c] for r in due] for c in self.columns})
-        out[self.ts] = pd.to_datetime(out[self.ts], unit="us")
-        yield out.assign(**{self.name: results})
 
     def close(self) -> None:
         pass
 
 
+MICROS = "__micros"
+WAITING = T.StructType([T.StructField("rows", T.BinaryType())])
+
+
 def in_order(rows: DataFrame, key: str, ts: str, ties: list[str], late: str, state: str, start: tuple, fold: Callable, name: str, kind: T.DataType) -> DataFrame:
     """A stream's rows with `name`, the result of the fold over the rows of the same key so far. ts: UTC timestamps, never null; watermarks
-    count milliseconds, so a row waits until the whole millisecond of its time has passed."""
-    schema = rows.schema
-    waiting = T.StructType([T.StructField(f.name, T.LongType() if f.name == ts else f.dataType) for f in schema.fields])
-    processor = _InOrder(rows.columns, ts, [ts, *ties], waiting, T.StructType.fromDDL(state), start, fold, name)
-    out = T.StructType([*schema.fields, T.StructField(name, kind)])
-    return rows.withWatermark(ts, late).groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=out, outputMode="append", timeMode="eventtime")
+    count milliseconds, so a row waits until the whole millisecond of its time has passed. The fold sees no ts."""
+    slim = rows.withWatermark(ts, late).withColumn(MICROS, F.unix_micros(ts))
+    fields = [*(f for f in rows.schema.fields if f.name != ts), T.StructField(MICROS, T.LongType())]
+    processor = _InOrder([f.name for f in fields], [MICROS, *ties], T.StructType.fromDDL(state), start, fold)
+    out = T.StructType([*fields, T.StructField("__result", kind)])
+    found = slim.groupBy(key).transformWithState(statefulProcessor=processor, outputStructType=out, outputMode="append", timeMode="eventtime")
+    return found.select(*(F.timestamp_micros(MICROS).alias(ts) if c == ts else c for c in rows.columns), F.col("__result").alias(name))
 
 
 def carried_forward(rows: DataFrame, key: str, ts: str, ties: list[str], value: str, name: str, default: str, late: str = "1 hour") -> DataFrame:
