@@ -25,15 +25,31 @@ def site_ordinals(dosages: DataFrame, group: list[str], site: str) -> DataFrame:
     return cumulative(sites, group, site, [], F.lit(1).cast("long")).select(*group, site, (F.col("total") - 1).alias("ordinal"))
 
 
+#: Cells of a block's matrix of sites by samples, unless one window has more.
+BLOCK_CELLS = 2_000_000
+
+
+def site_calls(dosages: DataFrame, group: list[str], site: str, sample: str, dosage: str) -> DataFrame:
+    """(group, site, calls): a row for each site with its calls, none of them missing."""
+    call = F.when(F.col(dosage).isNotNull(), F.struct(F.xxhash64(sample).alias("s"), F.col(dosage).cast("double").alias("g")))
+    return settled(dosages.groupBy(*group, site).agg(F.collect_list(call).alias("calls")))
+
+
 def linked_sites(dosages: DataFrame, group: list[str], site: str, sample: str, dosage: str, window: int = 50, step: int = 5, r2: float = 0.2) -> DataFrame:
     """(group, a, b, r2): ordinals a < b of sites that some window of `window` sites, moved by `step`, holds together and whose squared
     correlation over samples called at both is above r2. Sites without variation are linked with none."""
-    calls = dosages.filter(F.col(dosage).isNotNull())
-    vectors = calls.groupBy(*group, site).agg(F.collect_list(F.struct(F.xxhash64(sample).alias("s"), F.col(dosage).cast("double").alias("g"))).alias("calls"))
-    rows = vectors.join(site_ordinals(dosages, group, site), [*group, site]).select(*group, "ordinal", F.col("calls.s").alias("s"), F.col("calls.g").alias("g"))
-    own = F.expr(f"ordinal div {window}")
-    # A site is compared in its own block and with the end of the block before.
-    blocks = rows.withColumn("block", F.explode(F.when(own > 0, F.array(own, own - 1)).otherwise(F.array(own))))
+    calls = site_calls(dosages, group, site, sample, dosage)
+    return linked_calls(calls, site_ordinals(calls, group, site), group, site, window, step, r2)
+
+
+def linked_calls(calls: DataFrame, sites: DataFrame, group: list[str], site: str, window: int = 50, step: int = 5, r2: float = 0.2) -> DataFrame:
+    """linked_sites of calls (see site_calls) and sites (see site_ordinals)."""
+    most = calls.agg(F.max(F.size("calls"))).first()[0] or 1
+    size = window * max(1, min(8, BLOCK_CELLS // (window * most)))
+    rows = calls.filter(F.size("calls") > 0).join(sites, [*group, site]).select(*group, "ordinal", F.col("calls.s").alias("s"), F.col("calls.g").alias("g"))
+    own = F.expr(f"ordinal div {size}")
+    # A site is compared in its own block, and the first window of a block with the block before.
+    blocks = rows.withColumn("block", F.explode(F.when((own > 0) & (F.col("ordinal") % size < window), F.array(own, own - 1)).otherwise(F.array(own))))
 
     def compare(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("ordinal")
@@ -46,14 +62,14 @@ def linked_sites(dosages: DataFrame, group: list[str], site: str, sample: str, d
         cov, var = n * sxy - sx * sx.T, n * sxx - sx * sx
         both = var * var.T
         block = int(p["block"].iloc[0])
-        near = (at[None, :] - at[:, None] // step * step < window) & (at[:, None] < at[None, :]) & (at[:, None] // window == block)
+        near = (at[None, :] - at[:, None] // step * step < window) & (at[:, None] < at[None, :]) & (at[:, None] // size == block)
         i, j = np.nonzero(near & (both > 0) & (cov * cov > r2 * both))
         out = pd.DataFrame({"a": at[i], "b": at[j], "r2": cov[i, j] ** 2 / both[i, j]})
         for c in group:
             out[c] = p[c].iloc[0]
         return out[[*group, "a", "b", "r2"]]
 
-    keys = ", ".join(f"`{c}` {dosages.schema[c].dataType.simpleString()}" for c in group)
+    keys = ", ".join(f"`{c}` {calls.schema[c].dataType.simpleString()}" for c in group)
     return blocks.groupBy(*group, "block").applyInPandas(compare, f"{keys}, a long, b long, r2 double")
 
 
@@ -104,8 +120,9 @@ def first_kept(sites: DataFrame, links: DataFrame, group: list[str], reach: int,
 
 def linkage_pruned(dosages: DataFrame, group: list[str], site: str, sample: str, dosage: str, window: int = 50, step: int = 5, r2: float = 0.2) -> DataFrame:
     """(group, site, ordinal, kept): of the sites of a window whose squared correlation is above r2, the first in order stays."""
-    sites = settled(site_ordinals(dosages, group, site))
-    links = settled(linked_sites(dosages, group, site, sample, dosage, window, step, r2))
+    calls = site_calls(dosages, group, site, sample, dosage)
+    sites = settled(site_ordinals(calls, group, site))
+    links = settled(linked_calls(calls, sites, group, site, window, step, r2))
     return first_kept(sites, links, group, window)
 
 

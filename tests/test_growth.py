@@ -188,3 +188,29 @@ def test_ranges_of_large_groups_alone(spark, monkeypatch, least):
     total = {r["id"]: r["total"] for r in ordered.cumulative(df, ["g"], "p", [F.asc("id")], F.lit(1)).collect()}
     key = lambda r: (r[1] is not None, r[1], r[2])
     assert total == {r[2]: i + 1 for g in {r[0] for r in rows} for i, r in enumerate(sorted((r for r in rows if r[0] == g), key=key))}
+
+
+def test_links_over_wide_blocks(spark, monkeypatch):
+    from helixframe.operators import genotypes
+
+    rng = np.random.default_rng(11)
+    x = rng.integers(0, 3, (230, 12))
+    x[5::9] = x[0]
+    rows = [(int(c), "c", k, f"s{i}") for k, site in enumerate(x) for i, c in enumerate(site) if rng.random() < 0.9]
+    dosages = spark.createDataFrame(rows, "x int, chrom string, site int, sample string")
+    links = []
+    for cells in (1, 100_000):  # blocks of one window, and of eight
+        monkeypatch.setattr(genotypes, "BLOCK_CELLS", cells)
+        links.append(sorted(tuple(r) for r in genotypes.linked_sites(dosages, ["chrom"], "site", "sample", "x", 10, 5).select("a", "b").collect()))
+    assert links[0] == links[1]
+    dose = np.full(x.shape, np.nan)
+    for c, _, k, i in rows:
+        dose[k, int(i[1:])] = c
+    want = []
+    for a in range(230):
+        for b in range(a + 1, min(230, a // 5 * 5 + 10)):
+            both = ~np.isnan(dose[a]) & ~np.isnan(dose[b])
+            u, v = dose[a, both], dose[b, both]
+            if u.var() > 0 and v.var() > 0 and np.corrcoef(u, v)[0, 1] ** 2 > 0.2 + 1e-12:
+                want.append((a, b))
+    assert links[0] == want
