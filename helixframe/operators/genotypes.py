@@ -196,8 +196,9 @@ def principal_components(dosages: DataFrame, site: str, sample: str, dosage: str
     orthonormal, until each of the first k has a residual below tolerance times the largest eigenvalue; ArithmeticError after `rounds`. Vectors have length 1;
     their largest entry (the first of them by sample) is positive. Fewer than k components come back if the matrix has fewer.
     """
-    called = dosages.filter(F.col(dosage).isNotNull()).select(site, sample, F.col(dosage).cast("double").alias("__g"))
-    p = called.groupBy(site).agg((F.avg("__g") / 2).alias("__p")).filter("__p > 0 and __p < 1")
+    dosages = settled(dosages.select(site, sample, F.col(dosage).cast("double").alias("__g")))
+    called = dosages.filter("__g is not null")
+    p = settled(called.groupBy(site).agg((F.avg("__g") / 2).alias("__p")).filter("__p > 0 and __p < 1"))
     number = lambda df, c: settled(cumulative(df.select(c).distinct().withColumn("__h", F.xxhash64(c)), [], "__h", [F.col(c)], F.lit(1).cast("long")).select(c, (F.col("total") - 1).alias("__at")))
     sites, samples = number(p, site), number(dosages, sample)
     n_sites, n_samples = sites.count(), samples.count()

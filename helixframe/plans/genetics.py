@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import composites as P
 from ..operators import genotypes as G
+from ..operators.rounds import settled
 from ..session import table
 from .registry import query
 
@@ -38,7 +39,7 @@ def linkage_pruned(spark, d):
 @query("m53_principal_components")
 def principal_components(spark, d):
     """Ten components of the pruned sites."""
-    calls = dosages(spark, d)
+    calls = settled(dosages(spark, d))
     kept = G.linkage_pruned(calls, ["chrom"], "site", "sample", "x").filter("kept").select("chrom", "site")
     return G.principal_components(calls.join(kept, ["chrom", "site"]), "site", "sample", "x")[0]
 

@@ -214,3 +214,13 @@ def test_links_over_wide_blocks(spark, monkeypatch):
             if u.var() > 0 and v.var() > 0 and np.corrcoef(u, v)[0, 1] ** 2 > 0.2 + 1e-12:
                 want.append((a, b))
     assert links[0] == want
+
+
+def test_components_read_calls_once(spark, monkeypatch):
+    from helixframe.operators import genotypes
+
+    seen, kept = [], genotypes.settled
+    monkeypatch.setattr(genotypes, "settled", lambda df: seen.append(df.columns) or kept(df))
+    calls = spark.range(400).selectExpr("id % 40 as site", "id div 40 as sample", "(id * 7 + id div 11) % 3 as x")
+    out, values = genotypes.principal_components(calls, "site", "sample", "x", 3)
+    assert seen[0] == ["site", "sample", "__g"] and out.count() == 10 and len(values) == 3
